@@ -67,7 +67,7 @@ SELECT doc_id,
        CASE WHEN pos % 5 = 0 THEN start + 1 ELSE start END AS start,
        CASE WHEN pos % 5 = 0 THEN start + 2 ELSE least("end" + 30, doc_len) END AS "end",
        CASE WHEN pos % 4 = 0 THEN 'USCO' ELSE 'NSCO' END AS ner_class,
-       CAST(60 + (CASE WHEN pos % 5 = 0 THEN start + 1 ELSE start END) % 40 AS DOUBLE) / 100 AS ner_score
+       CAST(60 + start % 40 AS DOUBLE) / 100 AS ner_score
 FROM words_fx WHERE lower(tok) IN ('the', 'that', 'le', 'la', 'die', 'der', 'el', 'que')
 """
 
@@ -86,7 +86,8 @@ FROM (
 
 # Keyword tokens (lookup word characters) of the normalised documents.
 VIEWS["ktok_fx"] = f"""
-SELECT doc_id, pos, tok, CAST(e - length(tok) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM (
+SELECT doc_id, pos, tok, CAST(e - length(tok) AS BIGINT) AS s, CAST(e AS BIGINT) AS e,
+       lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS next_tok FROM (
   SELECT doc_id, pos, tok, sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS e
   FROM (
     SELECT doc_id, unnest(toks) AS tok, unnest(range(0, len(toks))) AS pos
@@ -105,13 +106,15 @@ WITH RECURSIVE g1 AS (
   SELECT entity_type, strip_accents(lower(term)) AS norm, arg_max(term, gaz_ord) AS term,
          arg_max(code, gaz_ord) AS code FROM g1 GROUP BY ALL
 ), shp AS (
-  SELECT *, regexp_extract(norm, '^[{KW}]+') AS first_tok FROM g2
+  SELECT *, regexp_extract(norm, '^[{KW}]+') AS first_tok,
+         regexp_extract(norm, '^[{KW}]+[^{KW}]+([{KW}]+)', 1) AS second_tok FROM g2
   WHERE regexp_matches(norm, '^[{KW}]') AND regexp_matches(norm, '[{KW}]$')
 ), nt AS (
   SELECT doc_id, text, strip_accents(lower(text)) AS norm FROM documents
 ), cand AS (
   SELECT t.doc_id, g.entity_type, t.s AS start, t.s + length(g.norm) AS "end", g.term, g.code
-  FROM ktok_fx t JOIN shp g ON g.first_tok = t.tok JOIN nt n ON n.doc_id = t.doc_id
+  FROM ktok_fx t JOIN shp g ON g.first_tok = t.tok AND (g.second_tok = '' OR g.second_tok = t.next_tok)
+  JOIN nt n ON n.doc_id = t.doc_id
   WHERE substring(n.norm, t.s + 1, length(g.norm)) = g.norm
 ), cand2 AS (
   SELECT c.* FROM cand c JOIN ktok_fx k ON k.doc_id = c.doc_id AND k.e = c."end"

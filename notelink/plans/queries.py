@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from notelink.functions import text as tx
 from notelink.operators import gazetteer as gz
 from notelink.operators import lookup as lk
+from notelink.operators import mentions as mn
+from notelink.operators import negation as ng
+from notelink.operators import records as rc
 from notelink.plans import fixtures as fx
 from notelink.plans.oracle import with_views
 
@@ -68,9 +71,10 @@ def q_g2_norm_index(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, entity_type, start, "end", code FROM (
   SELECT t.doc_id, g.entity_type, CAST(t.s AS BIGINT) AS start, CAST(t.s + length(g.norm) AS BIGINT) AS "end", g.code
   FROM ktok_fx t
-  JOIN (SELECT entity_type, norm, arg_max(code, gaz_ord) AS code, regexp_extract(norm, '^[0-9A-Za-z_]+') AS first_tok
+  JOIN (SELECT entity_type, norm, arg_max(code, gaz_ord) AS code, regexp_extract(norm, '^[0-9A-Za-z_]+') AS first_tok,
+               regexp_extract(norm, '^[0-9A-Za-z_]+[^0-9A-Za-z_]+([0-9A-Za-z_]+)', 1) AS second_tok
         FROM (SELECT entity_type, strip_accents(lower(term)) AS norm, code, gaz_ord FROM gaz_words) GROUP BY ALL) g
-    ON g.first_tok = t.tok
+    ON g.first_tok = t.tok AND (g.second_tok = '' OR g.second_tok = t.next_tok)
   JOIN (SELECT doc_id, strip_accents(lower(text)) AS norm FROM documents) n ON n.doc_id = t.doc_id
   WHERE substring(n.norm, t.s + 1, length(g.norm)) = g.norm
 ) c WHERE EXISTS (SELECT 1 FROM ktok_fx k WHERE k.doc_id = c.doc_id AND k.e = c."end")
@@ -88,5 +92,161 @@ def q_p1_lookup(spark: SparkSession, d: str) -> DataFrame:
                       "code", "term", "nel_score")
 
 
+# --- N3 / N5 / N6 mentions -------------------------------------------------
+
+MENTION_COLS = ["doc_id", "ord", "start", "end", "span", "ner_class", "ner_score"]
+
+
+@register("q_n5_merge_mean", with_views(["mentions_fx"], """
+, l AS (
+  SELECT *, lag("end") OVER w AS pe, lag(ner_class) OVER w AS pc FROM mentions_fx
+  WINDOW w AS (PARTITION BY doc_id ORDER BY start, "end", ord)
+), g AS (
+  SELECT *, sum(CASE WHEN pe IS NOT NULL AND ner_class = pc AND (start = pe OR start = pe + 1) THEN 0 ELSE 1 END)
+            OVER (PARTITION BY doc_id ORDER BY start, "end", ord ROWS UNBOUNDED PRECEDING) AS grp FROM l
+)
+SELECT g.doc_id, arg_min(ord, start) AS ord, min(start) AS start, max("end") AS "end",
+       substring(any_value(d.text), min(start) + 1, max("end") - min(start)) AS span,
+       arg_min(ner_class, start) AS ner_class, round(avg(ner_score), 6) AS ner_score
+FROM g JOIN documents d ON d.doc_id = g.doc_id GROUP BY g.doc_id, grp
+"""))
+def q_n5_merge_mean(spark: SparkSession, d: str) -> DataFrame:
+    m = mn.merge_contiguous(fx.mentions_fx(spark, d), fx.docs_fx(spark, d), "mean")
+    return m.select("doc_id", *_long("ord", "start", "end"), "span", "ner_class", "ner_score")
+
+
+@register("q_n5_merge_max", with_views(["mentions_fx"], """
+, l AS (
+  SELECT *, lag("end") OVER w AS pe, lag(ner_class) OVER w AS pc FROM mentions_fx
+  WINDOW w AS (PARTITION BY doc_id ORDER BY start, "end", ord)
+), g AS (
+  SELECT *, sum(CASE WHEN pe IS NOT NULL AND ner_class = pc AND pe + 1 >= start AND start >= pe THEN 0 ELSE 1 END)
+            OVER (PARTITION BY doc_id ORDER BY start, "end", ord ROWS UNBOUNDED PRECEDING) AS grp FROM l
+)
+SELECT doc_id, min(start) AS start, max("end") AS "end", arg_min(ner_class, start) AS ner_class,
+       max(ner_score) AS ner_score, count(*) AS n_rows
+FROM g GROUP BY doc_id, grp
+"""))
+def q_n5_merge_max(spark: SparkSession, d: str) -> DataFrame:
+    m = mn.merge_contiguous(fx.mentions_fx(spark, d).withColumn("one", F.lit(1)), None, "max")
+    n = fx.mentions_fx(spark, d)
+    # merged rows without text: count how many input rows each run covers by an interval join-free rule
+    m = m.select("doc_id", *_long("start", "end"), "ner_class", "ner_score")
+    cnt = (n.alias("a").join(m.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id"))
+                             & (F.col("a.start") >= F.col("b.start")) & (F.col("a.end") <= F.col("b.end"))
+                             & (F.col("a.ner_class") == F.col("b.ner_class")))
+           .groupBy("b.doc_id", "b.start", "b.end").agg(F.count("*").cast("long").alias("n_rows")))
+    return m.join(cnt.withColumnRenamed("doc_id", "doc_id"), ["doc_id", "start", "end"])
+
+
+@register("q_n3_group_tags", with_views(["words_fx"], """
+, t AS (
+  SELECT doc_id, pos AS tok_idx, start, "end",
+         CASE length(tok) % 4 WHEN 0 THEN 'O' WHEN 1 THEN 'B-X' WHEN 2 THEN 'I-X' ELSE 'I-Y' END AS tag,
+         CAST(40 + (length(tok) * 13) % 60 AS DOUBLE) / 100 AS score FROM words_fx
+), t2 AS (
+  SELECT *, CASE WHEN tag LIKE 'B-%' THEN 'B' ELSE 'I' END AS bi,
+         CASE WHEN tag LIKE 'B-%' OR tag LIKE 'I-%' THEN substring(tag, 3) ELSE tag END AS typ FROM t
+), t3 AS (
+  SELECT *, lag(typ) OVER (PARTITION BY doc_id ORDER BY tok_idx) AS pt FROM t2
+), t4 AS (
+  SELECT *, sum(CASE WHEN pt IS NULL OR typ <> pt OR bi = 'B' THEN 1 ELSE 0 END)
+            OVER (PARTITION BY doc_id ORDER BY tok_idx ROWS UNBOUNDED PRECEDING) AS grp FROM t3
+)
+SELECT doc_id, min(tok_idx) AS ord, min(start) AS start, max("end") AS "end", arg_min(typ, tok_idx) AS ner_class,
+       round(avg(score), 6) AS ner_score
+FROM t4 GROUP BY doc_id, grp HAVING arg_min(typ, tok_idx) <> 'O'
+"""))
+def q_n3_group_tags(spark: SparkSession, d: str) -> DataFrame:
+    w = fx.words_fx(spark, d)
+    n = F.length("tok")
+    tag = F.when(n % 4 == 0, "O").when(n % 4 == 1, "B-X").when(n % 4 == 2, "I-X").otherwise("I-Y")
+    score = (F.lit(40) + (n * 13) % 60).cast("double") / 100
+    toks = w.select("doc_id", F.col("pos").alias("tok_idx"), "start", "end", tag.alias("tag"), score.alias("score"))
+    g = mn.group_token_tags(toks, ("doc_id",), "simple")
+    return g.select("doc_id", *_long("ord", "start", "end"), "ner_class", "ner_score")
+
+
+@register("q_n6_join_all", with_views(["mentions_fx", "lookup_fx"], """
+, u AS (
+  SELECT doc_id, 'TOKEN' AS entity_type, ord, start, "end" FROM mentions_fx
+  UNION ALL SELECT doc_id, entity_type, start AS ord, start, "end" FROM lookup_fx
+)
+SELECT doc_id, entity_type, start, "end",
+       row_number() OVER (PARTITION BY doc_id ORDER BY start, "end" DESC,
+                          CASE entity_type WHEN 'WORD' THEN 0 WHEN 'TOKEN' THEN 1 ELSE 2 END, entity_type, ord) - 1 AS rank
+FROM u
+"""))
+def q_n6_join_all(spark: SparkSession, d: str) -> DataFrame:
+    tok = fx.mentions_fx(spark, d).select("doc_id", F.lit("TOKEN").alias("entity_type"), "ord", "start", "end")
+    look = lk.lookup_annotate(fx.docs_fx(spark, d), fx.gaz_words(spark, d))
+    look = look.select("doc_id", "entity_type", F.col("start").alias("ord"), "start", "end")
+    r = mn.join_all(tok.unionByName(look), ["WORD", "TOKEN"])
+    return r.select("doc_id", "entity_type", *_long("start", "end", "rank"))
+
+
+# --- X1-X4 negation ---------------------------------------------------------
+
+@register("q_x4_scope_attributes", with_views(["mentions_fx", "scopes_fx"], """
+SELECT m.doc_id, m.ord, m.start, m."end", m.span, m.ner_class, m.ner_score,
+       count(s.doc_id) FILTER (WHERE s.ner_class = 'NSCO') AS neg_count,
+       count(s.doc_id) FILTER (WHERE s.ner_class = 'NSCO') > 0 AS is_negated,
+       max(s.ner_score) FILTER (WHERE s.ner_class = 'NSCO') AS negation_score,
+       count(s.doc_id) FILTER (WHERE s.ner_class = 'USCO') AS unc_count,
+       count(s.doc_id) FILTER (WHERE s.ner_class = 'USCO') > 0 AS is_uncertain,
+       max(s.ner_score) FILTER (WHERE s.ner_class = 'USCO') AS uncertainty_score
+FROM mentions_fx m LEFT JOIN scopes_fx s ON s.doc_id = m.doc_id
+  AND ((s.start <= m.start AND m.start < s."end") OR (s.start < m."end" AND m."end" <= s."end"))
+GROUP BY ALL
+"""))
+def q_x4_scope_attributes(spark: SparkSession, d: str) -> DataFrame:
+    out = ng.scope_attributes(fx.mentions_fx(spark, d), fx.scopes_fx(spark, d), ["doc_id", "ord"])
+    return out.select("doc_id", *_long("ord", "start", "end"), "span", "ner_class", "ner_score", "neg_count",
+                      "is_negated", "negation_score", "unc_count", "is_uncertain", "uncertainty_score")
+
+
+@register("q_x3_overlap_pairs", with_views(["mentions_fx", "scopes_fx"], """
+SELECT m.doc_id, m.ord, s.ner_class AS s_class, s.ner_score AS s_score
+FROM mentions_fx m JOIN scopes_fx s ON s.doc_id = m.doc_id
+  AND ((s.start <= m.start AND m.start < s."end") OR (s.start < m."end" AND m."end" <= s."end"))
+"""))
+def q_x3_overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
+    p = ng.overlap_pairs(fx.mentions_fx(spark, d), ng.select_scopes(fx.scopes_fx(spark, d)), ["doc_id", "ord"])
+    return p.select("doc_id", *_long("ord"), "s_class", "s_score")
+
+
+# --- O1 / O2 records --------------------------------------------------------
+
+@register("q_o2_records", with_views(["lookup_fx"], """
+SELECT d.doc_id, count(l.doc_id) AS n_ann,
+       coalesce(string_agg(l.start || ':' || l."end" || ':' || l.code, ';' ORDER BY l.start, l."end" DESC), '') AS ann_sig,
+       d.text AS meta_text, true AS processing_success
+FROM documents d LEFT JOIN lookup_fx l ON l.doc_id = d.doc_id GROUP BY d.doc_id, d.text
+"""))
+def q_o2_records(spark: SparkSession, d: str) -> DataFrame:
+    docs = fx.docs_fx(spark, d)
+    ann = lk.lookup_annotate(docs, fx.gaz_words(spark, d))
+    return rc.annotation_signature(rc.build_records(docs, ann))
+
+
+@register("q_o1_metadata", """
+SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 1 ELSE 4 END AS n_keys,
+       d.text AS meta_text, CAST(l.quality AS VARCHAR) AS meta_quality
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+""")
+def q_o1_metadata(spark: SparkSession, d: str) -> DataFrame:
+    docs = fx.docs_fx(spark, d)
+    lab = fx.table(spark, d, "labels")
+    meta = F.create_map(F.lit("doc_id"), F.col("l_id").cast("string"), F.lit("quality"), F.col("quality").cast("string"),
+                        F.lit("toxic"), F.col("toxic").cast("string"))
+    j = docs.join(lab.withColumnRenamed("doc_id", "l_id"), F.col("doc_id") == F.col("l_id"), "left")
+    j = j.withColumn("metadata", F.when(F.col("l_id").isNotNull(), meta))
+    m = rc.build_metadata(F.col("text"), F.col("metadata"))
+    return j.select("doc_id", F.size(m).cast("long").alias("n_keys"), m["text"].alias("meta_text"),
+                    m["quality"].alias("meta_quality"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return q_p1_lookup(spark, d)
+    docs = fx.docs_fx(spark, d)
+    ann = lk.lookup_annotate(docs, fx.gaz_words(spark, d))
+    return rc.build_records(docs, ann, ["WORD"])
