@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from notelink.functions import text as tx
 from notelink.operators import gazetteer as gz
+from notelink.operators import lexical as lx
 from notelink.operators import lookup as lk
 from notelink.operators import mentions as mn
 from notelink.operators import negation as ng
@@ -246,6 +247,119 @@ def q_o1_metadata(spark: SparkSession, d: str) -> DataFrame:
                     m["quality"].alias("meta_quality"))
 
 
+# --- F1-F6 fuzzy linking, B1-B3 BM25 (noisy part names vs the part gazetteer) ---
+
+_LINK_BASE = """
+, g1 AS (SELECT term, arg_min(code, gaz_ord) AS code, min(gaz_ord) AS gaz_ord FROM gaz_part GROUP BY term)
+, t AS (SELECT gaz_ord, term, code, strip_accents(lower(term)) AS norm FROM g1)
+, g2 AS (SELECT norm, arg_max(term, gaz_ord) AS term, arg_max(code, gaz_ord) AS code FROM t GROUP BY norm)
+, mm AS (SELECT base, v, span, strip_accents(lower(span)) AS m FROM noisy_fx)
+, q AS (SELECT DISTINCT m FROM mm WHERE m NOT IN (SELECT norm FROM g2))
+"""
+
+
+def _fuzzy_sql(score: str, threshold: float = 0.7) -> str:
+    return with_views(["gaz_part", "noisy_fx"], _LINK_BASE + f"""
+, sc AS (SELECT q.m, t.gaz_ord, t.norm, round({score}, 6) AS score FROM q, t)
+, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY score DESC, gaz_ord) AS rn FROM sc) WHERE rn = 1)
+, links AS (
+  SELECT g2.norm AS m, g2.term, g2.code, CAST(1 AS DOUBLE) AS nel_score FROM g2
+  UNION ALL
+  SELECT b.m, CASE WHEN b.score >= {threshold} THEN g2.term END AS term,
+         CASE WHEN b.score >= {threshold} THEN g2.code ELSE 'NO_MAP' END AS code, b.score AS nel_score
+  FROM best b JOIN g2 ON g2.norm = b.norm
+)
+SELECT mm.base, CAST(mm.v AS BIGINT) AS v, mm.span, coalesce(l.code, 'NO_MAP') AS code,
+       coalesce(l.term, mm.span) AS term, l.nel_score
+FROM mm LEFT JOIN links l ON l.m = mm.m
+""")
+
+
+def _noisy_mentions(spark: SparkSession, d: str) -> DataFrame:
+    return fx.noisy_fx(spark, d).select("base", F.col("v").cast("long").alias("v"), "span")
+
+
+def _fuzzy_query(method: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        out = lx.link_fuzzy(_noisy_mentions(spark, d), fx.gaz_part(spark, d), method, 0.7)
+        return out.select("base", "v", "span", "code", "term", "nel_score")
+
+    return run
+
+
+_LEV = "CASE WHEN greatest(length(q.m), length(t.norm)) = 0 THEN 1.0 ELSE 1 - levenshtein(q.m, t.norm) / greatest(length(q.m), length(t.norm)) END"
+register("q_f2_link_levenshtein", _fuzzy_sql(_LEV))(_fuzzy_query("levenshtein"))
+register("q_f3_link_jaro_winkler", _fuzzy_sql("jaro_winkler_similarity(q.m, t.norm)"))(_fuzzy_query("jaro-winkler"))
+register("q_f4_link_token_sort")(_fuzzy_query("token-sort-ratio"))
+register("q_f5_link_token_set")(_fuzzy_query("token-set-ratio"))
+
+
+@register("q_f6_threshold_levenshtein_09", _fuzzy_sql(_LEV, 0.9))
+def q_f6_threshold_levenshtein_09(spark: SparkSession, d: str) -> DataFrame:
+    out = lx.link_fuzzy(_noisy_mentions(spark, d), fx.gaz_part(spark, d), "levenshtein", 0.9)
+    return out.select("base", "v", "span", "code", "term", "nel_score")
+
+
+@register("q_f1_exact_link", with_views(["gaz_part", "noisy_fx"], _LINK_BASE + """
+SELECT mm.base, CAST(mm.v AS BIGINT) AS v, g2.term, g2.code FROM mm JOIN g2 ON g2.norm = mm.m
+"""))
+def q_f1_exact_link(spark: SparkSession, d: str) -> DataFrame:
+    idx = gz.norm_index(fx.gaz_part(spark, d))
+    m = _noisy_mentions(spark, d).withColumn("norm", tx.normalize("span"))
+    return m.join(idx, "norm").select("base", "v", "term", "code")
+
+
+_BM25_SQL = with_views(["gaz_part", "noisy_fx"], _LINK_BASE + """
+, toks AS (SELECT gaz_ord, list_filter(string_split_regex(norm, '\s+'), lambda x: x <> '') AS tk FROM t)
+, tf AS (SELECT gaz_ord, token, count(*) AS tf FROM (SELECT gaz_ord, unnest(tk) AS token FROM toks) GROUP BY ALL)
+, dl AS (SELECT gaz_ord, len(tk) AS dl FROM toks)
+, corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl)
+, df AS (SELECT token, count(*) AS df FROM tf GROUP BY token)
+, idf0 AS (SELECT token, ln(n - df + 0.5) - ln(df + 0.5) AS idf_raw FROM df, corpus)
+, idf AS (SELECT token, CASE WHEN idf_raw < 0 THEN 0.25 * (SELECT avg(idf_raw) FROM idf0) ELSE idf_raw END AS idf FROM idf0)
+, qt AS (SELECT m, token, count(*) AS qtf FROM (
+    SELECT m, unnest(list_filter(string_split_regex(m, '\s+'), lambda x: x <> '')) AS token FROM q) GROUP BY ALL)
+, pos AS (
+  SELECT qt.m, tf.gaz_ord, sum(qt.qtf * idf.idf * (tf.tf * 2.5) / (tf.tf + 1.5 * (0.25 + 0.75 * dl.dl / corpus.avgdl))) AS raw
+  FROM qt JOIN tf USING (token) JOIN idf USING (token) JOIN dl USING (gaz_ord), corpus GROUP BY ALL)
+, sc AS (SELECT q.m, t.gaz_ord, t.norm, round(coalesce(pos.raw, 0), 6) AS score
+         FROM q CROSS JOIN t LEFT JOIN pos ON pos.m = q.m AND pos.gaz_ord = t.gaz_ord)
+, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY score DESC, gaz_ord) AS rn FROM sc) WHERE rn = 1)
+, links AS (
+  SELECT g2.norm AS m, g2.term, g2.code, CAST(1 AS DOUBLE) AS nel_score FROM g2
+  UNION ALL
+  SELECT b.m, g2.term, g2.code, b.score AS nel_score FROM best b JOIN g2 ON g2.norm = b.norm
+)
+SELECT mm.base, CAST(mm.v AS BIGINT) AS v, mm.span, coalesce(l.code, 'NO_MAP') AS code,
+       coalesce(l.term, mm.span) AS term, l.nel_score
+FROM mm LEFT JOIN links l ON l.m = mm.m
+""")
+
+
+@register("q_b3_link_bm25", _BM25_SQL)
+def q_b3_link_bm25(spark: SparkSession, d: str) -> DataFrame:
+    out = lx.link_bm25(_noisy_mentions(spark, d), fx.gaz_part(spark, d))
+    return out.select("base", "v", "span", "code", "term", "nel_score")
+
+
+@register("q_b1_bm25_postings", with_views(["gaz_part"], """
+, g1 AS (SELECT term, min(gaz_ord) AS gaz_ord FROM gaz_part GROUP BY term)
+, toks AS (SELECT gaz_ord, list_filter(string_split_regex(strip_accents(lower(term)), '\s+'), lambda x: x <> '') AS tk FROM g1)
+, tf AS (SELECT gaz_ord, token, count(*) AS tf FROM (SELECT gaz_ord, unnest(tk) AS token FROM toks) GROUP BY ALL)
+, dl AS (SELECT gaz_ord, len(tk) AS dl FROM toks)
+, corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl)
+, df AS (SELECT token, count(*) AS df FROM tf GROUP BY token)
+, idf0 AS (SELECT token, ln(n - df + 0.5) - ln(df + 0.5) AS idf_raw FROM df, corpus)
+SELECT tf.token, tf.gaz_ord, tf.tf, dl.dl,
+       round(CASE WHEN idf_raw < 0 THEN 0.25 * (SELECT avg(idf_raw) FROM idf0) ELSE idf_raw END, 6) AS idf
+FROM tf JOIN dl USING (gaz_ord) JOIN idf0 USING (token)
+"""))
+def q_b1_bm25_postings(spark: SparkSession, d: str) -> DataFrame:
+    g = fx.gaz_part(spark, d).withColumn("entity_type", F.lit(""))
+    p = lx.bm25_postings(gz.normalized_terms(g))
+    return p.select("token", *_long("gaz_ord", "tf", "dl"), F.round("idf", 6).alias("idf"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     docs = fx.docs_fx(spark, d)
     ann = lk.lookup_annotate(docs, fx.gaz_words(spark, d))
