@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notelink.functions import text as tx
+from notelink.operators import dense as dn
 from notelink.operators import gazetteer as gz
 from notelink.operators import lexical as lx
 from notelink.operators import lookup as lk
@@ -360,6 +361,73 @@ def q_b1_bm25_postings(spark: SparkSession, d: str) -> DataFrame:
     return p.select("token", *_long("gaz_ord", "tf", "dl"), F.round("idf", 6).alias("idf"))
 
 
+# --- D-1..D-7 dense retrieval -------------------------------------------------
+
+_NORM_SQL = """
+, v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+, n AS (SELECT vec_id, label, CASE WHEN nrm = 0 THEN e ELSE list_transform(e, lambda x: x / nrm) END AS u
+        FROM (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS nrm FROM v))
+"""
+
+
+@register("q_d3_lp_normalize", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)" + """
+, m AS (SELECT vec_id, e, list_sum(list_transform(e, lambda x: abs(x))) AS n1,
+               sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n2,
+               list_max(list_transform(e, lambda x: abs(x))) AS ninf FROM v)
+SELECT vec_id,
+  round(list_sum(CASE WHEN n1 = 0 THEN e ELSE list_transform(e, lambda x: x / n1) END), 6) AS s1,
+  round(list_sum(list_transform(CASE WHEN n2 = 0 THEN e ELSE list_transform(e, lambda x: x / n2) END, lambda x: x * x)), 6) AS s2,
+  round(list_max(CASE WHEN ninf = 0 THEN e ELSE list_transform(e, lambda x: x / ninf) END), 6) AS sinf
+FROM m
+""")
+def q_d3_lp_normalize(spark: SparkSession, d: str) -> DataFrame:
+    e = fx.vec_fx(spark, d)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return e.select(
+        "vec_id",
+        F.round(total(dn.lp_normalize("embedding", 1)), 6).alias("s1"),
+        F.round(total(F.transform(dn.lp_normalize("embedding", 2), lambda x: x * x)), 6).alias("s2"),
+        F.round(F.array_max(dn.lp_normalize("embedding", float("inf"))), 6).alias("sinf"))
+
+
+@register("q_d5_cosine_top10", "WITH " + _NORM_SQL.strip().lstrip(",") + """
+, sc AS (SELECT a.vec_id AS q_id, b.vec_id AS gaz_ord, round(list_dot_product(a.u, b.u), 6) AS sim FROM n a, n b)
+SELECT q_id, rank, gaz_ord, sim FROM (
+  SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, gaz_ord) - 1 AS rank FROM sc) WHERE rank < 10
+""")
+def q_d5_cosine_top10(spark: SparkSession, d: str) -> DataFrame:
+    e = fx.vec_fx(spark, d)
+    return dn.cosine_top_k(e.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("vec")),
+                           e.select(F.col("vec_id").alias("gaz_ord"), F.col("embedding").alias("vec")), 10)
+
+
+@register("q_d6_retrieve_by_label", "WITH " + _NORM_SQL.strip().lstrip(",") + """
+, sc AS (SELECT a.label, a.vec_id AS q_id, b.vec_id AS gaz_ord, round(list_dot_product(a.u, b.u), 6) AS sim
+         FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id)
+SELECT label, q_id, rank, gaz_ord, sim, 'L' || CAST(label AS VARCHAR) || ':' || CAST(gaz_ord AS VARCHAR) AS code FROM (
+  SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, gaz_ord) - 1 AS rank FROM sc) WHERE rank < 3
+""")
+def q_d6_retrieve_by_label(spark: SparkSession, d: str) -> DataFrame:
+    """Top-3 neighbours within the same label (key-partitioned retrieval), self excluded by key of the term side."""
+    e = fx.vec_fx(spark, d)
+    q = e.select("label", F.col("vec_id").alias("q_id"), F.col("embedding").alias("vec"))
+    t = e.select("label", F.col("vec_id").alias("gaz_ord"), F.col("embedding").alias("vec"))
+    top = dn.cosine_top_k(q, t, 4, keys=["label"])
+    top = top.where(F.col("q_id") != F.col("gaz_ord"))
+    w = Window.partitionBy("q_id").orderBy(F.col("sim").desc(), F.col("gaz_ord"))
+    top = top.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).where(F.col("rank") < 3)
+    code = F.concat(F.lit("L"), F.col("label").cast("string"), F.lit(":"), F.col("gaz_ord").cast("string"))
+    return top.select("label", "q_id", "rank", "gaz_ord", "sim", code.alias("code"))
+
+
+@register("q_p4_link_dense")
+def q_p4_link_dense(spark: SparkSession, d: str) -> DataFrame:
+    """P4 linking with the hashed n-gram embedder: noisy part names against the part gazetteer."""
+    vecs = dn.embed_terms(fx.gaz_part(spark, d))
+    out = dn.link_dense(_noisy_mentions(spark, d), vecs)
+    return out.select("base", "v", "span", "code", "term", "nel_score")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     docs = fx.docs_fx(spark, d)
     ann = lk.lookup_annotate(docs, fx.gaz_words(spark, d))
