@@ -22,8 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def by_document(df: DataFrame) -> DataFrame:
+    """Hash-partition by ``doc_id`` once; later per-document windows and the
+    record build then need no further exchange.  (A table stored bucketed by
+    ``doc_id`` makes this step free.)"""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "doc_id")
+
+
 def docs_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return by_document(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
 
 
 def gaz_part(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +68,7 @@ def noisy_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokens_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every T3 token of every document with its offsets (covers all characters)."""
-    d = table(spark, sf_dir, "documents")
+    d = docs_fx(spark, sf_dir)
     t = d.select("doc_id", "lang", F.length("text").alias("doc_len"),
                  F.posexplode(F.regexp_extract_all("text", F.lit(PRETOKEN_RE), 1)).alias("pos", "tok"))
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -94,18 +102,23 @@ def scopes_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gaz_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word gazetteer mined from the corpus: frequent words and adjacent pairs.
 
-    Needs no offsets: words come from ``regexp_extract_all``, pairs from a
-    look-ahead that captures ``word + one separator + word`` at every word start.
+    Needs no offsets: words come from ``regexp_extract_all``, pairs from the
+    token array (word, one single-character token, word) by index.
     """
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = docs_fx(spark, sf_dir).select("doc_id", "text")
     words = d.select("doc_id", F.explode(F.array_distinct(F.transform(
         F.regexp_extract_all("text", F.lit(f"([{WORD_CHARS}]+)"), 1), F.lower))).alias("term"))
     uni = (words.where(F.length("term") >= MIN_WORD_LEN).groupBy("term")
            .agg(F.count("*").alias("nd")).where(F.col("nd") >= MIN_WORD_DOCS))
-    pair_re = f"(?<!{WORD_RE})(?=([{WORD_CHARS}]+{NON_WORD_RE}[{WORD_CHARS}]+))"
-    pairs = d.select("doc_id", F.explode(F.array_distinct(F.transform(
-        F.regexp_extract_all("text", F.lit(pair_re), 1),
-        lambda p: F.lower(F.regexp_replace(p, NON_WORD_RE, " "))))).alias("term"))
+    # pairs: word, one single-character token, word -- by index into the token array
+    # capture only words: every separator character becomes an empty element
+    toks = F.regexp_extract_all("text", F.lit(f"([{WORD_CHARS}]+)|{NON_WORD_RE}"), 1)
+    is_word = lambda t: t != ""
+    pair_at = lambda i: F.when(is_word(F.try_element_at("_t", i)) & is_word(F.try_element_at("_t", i + 2)),
+                               F.lower(F.concat(F.try_element_at("_t", i), F.lit(" "), F.try_element_at("_t", i + 2))))
+    pairs = d.select("doc_id", toks.alias("_t")).select("doc_id", F.explode(F.array_distinct(F.filter(
+        F.transform(F.sequence(F.lit(1), F.greatest(F.size("_t") - 2, F.lit(1))), pair_at),
+        lambda x: x.isNotNull()))).alias("term"))
     bi = pairs.groupBy("term").agg(F.count("*").alias("nd")).where(F.col("nd") >= MIN_PAIR_DOCS)
     # one global ordering over a gazetteer-sized table
     w = Window.orderBy(F.col("nd").desc(), F.col("term"))
