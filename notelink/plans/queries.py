@@ -20,7 +20,10 @@ from notelink.operators import lookup as lk
 from notelink.operators import mentions as mn
 from notelink.operators import negation as ng
 from notelink.operators import records as rc
+from notelink.operators import tagging as tg
+from notelink.operators import textprep as tp
 from notelink.plans import fixtures as fx
+from notelink.plans.materialize import checkpointed
 from notelink.plans.oracle import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -423,11 +426,171 @@ def q_d6_retrieve_by_label(spark: SparkSession, d: str) -> DataFrame:
 @register("q_p4_link_dense")
 def q_p4_link_dense(spark: SparkSession, d: str) -> DataFrame:
     """P4 linking with the hashed n-gram embedder: noisy part names against the part gazetteer."""
-    vecs = dn.embed_terms(fx.gaz_part(spark, d))
+    vecs = checkpointed(dn.embed_terms(fx.gaz_part(spark, d)))
     out = dn.link_dense(_noisy_mentions(spark, d), vecs)
     return out.select("base", "v", "span", "code", "term", "nel_score")
 
 
+# --- T3-T10 text preparation, N1/N2/N4 tagging, P2/P3/P5 pipelines --------------
+
+@register("q_t3_pretokenize", with_views(["tokens_fx"], """
+, t AS (
+  SELECT doc_id, pos, tok, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM tokens_fx
+), a AS (
+  SELECT doc_id, pos, tok,
+         CASE WHEN nxt IS NOT NULL AND NOT regexp_matches(tok, '^\\s$') AND NOT regexp_matches(nxt, '^\\s$')
+              THEN 1 ELSE 0 END AS add FROM t
+), b AS (
+  SELECT *, sum(length(tok) + add) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS e FROM a
+)
+SELECT doc_id, string_agg(tok || CASE WHEN add = 1 THEN ' ' ELSE '' END, '' ORDER BY pos) AS pretok,
+       coalesce(string_agg(CASE WHEN add = 1 THEN CAST(e - 1 AS VARCHAR) END, ',' ORDER BY pos), '') AS added
+FROM b GROUP BY doc_id
+"""))
+def q_t3_pretokenize(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.docs_fx(spark, d).select("doc_id", tx.pretokenize("text").alias("p"))
+    return p.select("doc_id", F.col("p.text").alias("pretok"),
+                    F.concat_ws(",", F.transform("p.added", lambda x: x.cast("string"))).alias("added"))
+
+
+@register("q_t10_canonical_lang", """
+SELECT doc_id, CASE lower(lang) WHEN 'es' THEN 'es' WHEN 'en' THEN 'en' WHEN 'it' THEN 'it' WHEN 'ro' THEN 'ro'
+  WHEN 'cz' THEN 'cs' WHEN 'cs' THEN 'cs' WHEN 'se' THEN 'sv' WHEN 'sv' THEN 'sv' WHEN 'nl' THEN 'nl' END AS lang_v1
+FROM documents
+""")
+def q_t10_canonical_lang(spark: SparkSession, d: str) -> DataFrame:
+    return fx.table(spark, d, "documents").select("doc_id", tx.canonical_lang("lang").alias("lang_v1"))
+
+
+@register("q_t4_split_sentences")
+def q_t4_split_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return tp.split_sentences(fx.docs_fx(spark, d)).select("doc_id", *_long("sent_id", "start", "end"), "text")
+
+
+@register("q_t7_build_chunks")
+def q_t7_build_chunks(spark: SparkSession, d: str) -> DataFrame:
+    c = tp.build_chunks(fx.docs_fx(spark, d), max_tokens=64)
+    return c.select("doc_id", *_long("chunk_id", "sent_id", "start", "end"), "text")
+
+
+# deterministic stand-in model: words of seven or more word characters, scored by length
+LONG_WORD_RE = f"[{tx.WORD_CHARS}]{{7,}}"
+
+
+def _long_word_tagger():
+    return tg.regex_tagger(LONG_WORD_RE, "LONG", lambda s: len(s) / 100)
+
+
+_LONG_SQL = """
+, lw AS (SELECT doc_id, pos, start, "end", tok, CAST(length(tok) AS DOUBLE) / 100 AS ner_score
+         FROM words_fx WHERE length(tok) >= 7)
+"""
+
+
+@register("q_n2_tag_v1", with_views(["words_fx"], _LONG_SQL + """
+SELECT doc_id, start, "end", tok AS span, 'LONG' AS ner_class, ner_score FROM lw
+"""))
+def q_n2_tag_v1(spark: SparkSession, d: str) -> DataFrame:
+    m = tg.tag_sentences_v1(fx.docs_fx(spark, d), _long_word_tagger())
+    return m.select("doc_id", *_long("start", "end"), "span", "ner_class", "ner_score")
+
+
+_MERGED_LONG_SQL = _LONG_SQL + """
+, l1 AS (SELECT *, lag("end") OVER (PARTITION BY doc_id ORDER BY start) AS pe FROM lw)
+, l2 AS (SELECT *, sum(CASE WHEN pe IS NOT NULL AND (start = pe OR start = pe + 1) THEN 0 ELSE 1 END)
+                   OVER (PARTITION BY doc_id ORDER BY start ROWS UNBOUNDED PRECEDING) AS grp FROM l1)
+, merged AS (SELECT l2.doc_id, min(start) AS start, max("end") AS "end",
+                    substring(any_value(d.text), min(start) + 1, max("end") - min(start)) AS span,
+                    round(avg(ner_score), 6) AS ner_score
+             FROM l2 JOIN documents d ON d.doc_id = l2.doc_id GROUP BY l2.doc_id, grp)
+"""
+
+
+@register("q_n1_detect_merge", with_views(["words_fx"], _MERGED_LONG_SQL + """
+SELECT doc_id, start, "end", span, 'LONG' AS ner_class, ner_score FROM merged
+"""))
+def q_n1_detect_merge(spark: SparkSession, d: str) -> DataFrame:
+    m = tg.detect_mentions(fx.docs_fx(spark, d), _long_word_tagger(), max_tokens=64)
+    return m.select("doc_id", *_long("start", "end"), "span", "ner_class", "ner_score")
+
+
+def _pipeline_records(spark: SparkSession, d: str, link) -> DataFrame:
+    docs = fx.docs_fx(spark, d)
+    ments = checkpointed(tg.tag_all(docs, {"PART": _long_word_tagger()}, max_tokens=64))
+    linked = link(ments.drop("entity_type"), fx.gaz_part(spark, d)).withColumn("entity_type", F.lit("PART"))
+    return rc.annotation_signature(rc.build_records(docs, linked, ["PART"]))
+
+
+def _pipeline_sql(link_sql: str) -> str:
+    return with_views(["words_fx", "gaz_part"], _MERGED_LONG_SQL + """
+, g1 AS (SELECT term, arg_min(code, gaz_ord) AS code, min(gaz_ord) AS gaz_ord FROM gaz_part GROUP BY term)
+, t AS (SELECT gaz_ord, term, code, strip_accents(lower(term)) AS norm FROM g1)
+, g2 AS (SELECT norm, arg_max(term, gaz_ord) AS term, arg_max(code, gaz_ord) AS code FROM t GROUP BY norm)
+, mm AS (SELECT doc_id, start, "end", span, strip_accents(lower(span)) AS m FROM merged)
+, q AS (SELECT DISTINCT m FROM mm WHERE m NOT IN (SELECT norm FROM g2))
+""" + link_sql + """
+, ann AS (SELECT mm.doc_id, mm.start, mm."end", coalesce(l.code, 'NO_MAP') AS code FROM mm LEFT JOIN links l ON l.m = mm.m)
+SELECT d.doc_id, count(a.doc_id) AS n_ann,
+       coalesce(string_agg(a.start || ':' || a."end" || ':' || a.code, ';' ORDER BY a.start, a."end" DESC), '') AS ann_sig,
+       d.text AS meta_text, true AS processing_success
+FROM documents d LEFT JOIN ann a ON a.doc_id = d.doc_id GROUP BY d.doc_id, d.text
+""")
+
+
+_P2_LINK = f"""
+, sc AS (SELECT q.m, t.gaz_ord, t.norm, round({_LEV}, 6) AS score FROM q, t)
+, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY score DESC, gaz_ord) AS rn FROM sc) WHERE rn = 1)
+, links AS (
+  SELECT g2.norm AS m, g2.code FROM g2
+  UNION ALL
+  SELECT b.m, CASE WHEN b.score >= 0.7 THEN g2.code ELSE 'NO_MAP' END AS code FROM best b JOIN g2 ON g2.norm = b.norm
+)
+"""
+
+
+@register("q_p2_pipeline_levenshtein", _pipeline_sql(_P2_LINK))
+def q_p2_pipeline_levenshtein(spark: SparkSession, d: str) -> DataFrame:
+    return _pipeline_records(spark, d, lambda m, g: lx.link_fuzzy(m, g, "levenshtein", 0.7))
+
+
+_P3_LINK = """
+, toks AS (SELECT gaz_ord, list_filter(string_split_regex(norm, '\s+'), lambda x: x <> '') AS tk FROM t)
+, tf AS (SELECT gaz_ord, token, count(*) AS tf FROM (SELECT gaz_ord, unnest(tk) AS token FROM toks) GROUP BY ALL)
+, dl AS (SELECT gaz_ord, len(tk) AS dl FROM toks)
+, corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl)
+, df AS (SELECT token, count(*) AS df FROM tf GROUP BY token)
+, idf0 AS (SELECT token, ln(n - df + 0.5) - ln(df + 0.5) AS idf_raw FROM df, corpus)
+, idf AS (SELECT token, CASE WHEN idf_raw < 0 THEN 0.25 * (SELECT avg(idf_raw) FROM idf0) ELSE idf_raw END AS idf FROM idf0)
+, qt AS (SELECT m, token, count(*) AS qtf FROM (
+    SELECT m, unnest(list_filter(string_split_regex(m, '\s+'), lambda x: x <> '')) AS token FROM q) GROUP BY ALL)
+, pos AS (
+  SELECT qt.m, tf.gaz_ord, sum(qt.qtf * idf.idf * (tf.tf * 2.5) / (tf.tf + 1.5 * (0.25 + 0.75 * dl.dl / corpus.avgdl))) AS raw
+  FROM qt JOIN tf USING (token) JOIN idf USING (token) JOIN dl USING (gaz_ord), corpus GROUP BY ALL)
+, sc AS (SELECT q.m, t.gaz_ord, t.norm, round(coalesce(pos.raw, 0), 6) AS score
+         FROM q CROSS JOIN t LEFT JOIN pos ON pos.m = q.m AND pos.gaz_ord = t.gaz_ord)
+, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY score DESC, gaz_ord) AS rn FROM sc) WHERE rn = 1)
+, links AS (SELECT g2.norm AS m, g2.code FROM g2 UNION ALL SELECT b.m, g2.code FROM best b JOIN g2 ON g2.norm = b.norm)
+"""
+
+
+@register("q_p3_pipeline_bm25", _pipeline_sql(_P3_LINK))
+def q_p3_pipeline_bm25(spark: SparkSession, d: str) -> DataFrame:
+    return _pipeline_records(spark, d, lx.link_bm25)
+
+
+@register("q_p5_pipeline_dense_negation")
+def q_p5_pipeline_dense_negation(spark: SparkSession, d: str) -> DataFrame:
+    """P5: long-word mentions, dense links (hashed embedder) and scopes from a second tagger."""
+    docs = fx.docs_fx(spark, d)
+    ments = checkpointed(tg.tag_all(docs, {"PART": _long_word_tagger()}, max_tokens=64))
+    scope_tagger = tg.regex_tagger(r"\b(?:[Nn]ot?|[Pp]as|[Kk]ein|[Ss]in)\b[^.\n]{0,40}", "NSCO", lambda s: 0.9)
+    scopes = tg.detect_mentions(docs, scope_tagger, max_tokens=64, merge_mode=None)
+    vecs = checkpointed(dn.embed_terms(fx.gaz_part(spark, d).withColumn("entity_type", F.lit("PART"))))
+    linked = dn.link_dense(ments, vecs)
+    neg = ng.scope_attributes(linked, scopes, ["doc_id", "entity_type", "ord"])
+    return rc.annotation_signature(rc.build_records(docs, neg, ["PART"]))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     docs = fx.docs_fx(spark, d)
     ann = lk.lookup_annotate(docs, fx.gaz_words(spark, d))
