@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notelink.functions import text as tx
+from notelink.operators import coverage as cv
 from notelink.operators import dense as dn
 from notelink.operators import gazetteer as gz
 from notelink.operators import lexical as lx
@@ -25,6 +26,9 @@ from notelink.operators import textprep as tp
 from notelink.plans import fixtures as fx
 from notelink.plans.materialize import checkpointed
 from notelink.plans.oracle import with_views
+from notelink.session import scratch_path
+from notelink.sources import notes as sn
+from notelink.sources import sinks as sk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -591,6 +595,95 @@ def q_p5_pipeline_dense_negation(spark: SparkSession, d: str) -> DataFrame:
     return rc.annotation_signature(rc.build_records(docs, neg, ["PART"]))
 
 
+# --- S1/S2/S6-S8 sources and sinks, P6 job, V1 checks, R1/R2 coverage ----------
+
+@register("q_s2_docs_from_table", """
+SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS doc_id, text, role AS meta_role,
+       CAST(turn AS VARCHAR) AS meta_turn FROM conversations
+""")
+def q_s2_docs_from_table(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.table(spark, d, "conversations").withColumn(
+        "key", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    docs = sn.docs_from_table(c, "key", "text", ["role", "turn"])
+    return docs.select("doc_id", "text", F.col("metadata")["role"].alias("meta_role"),
+                       F.col("metadata")["turn"].alias("meta_turn"))
+
+
+@register("q_v1_quarantine", """
+SELECT conv_id, turn, text IS NOT NULL AS valid, CASE WHEN text IS NULL THEN 'text must be a string' END AS reason
+FROM conversations
+""")
+def q_v1_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.table(spark, d, "conversations")
+    valid, rejected = sn.quarantine_docs(c)
+    return valid.select("conv_id", "turn", F.lit(True).alias("valid"), F.lit(None).cast("string").alias("reason")) \
+        .unionByName(rejected.select("conv_id", "turn", F.lit(False).alias("valid"), "reason"))
+
+
+def _catalogue_gaz(spark: SparkSession, d: str) -> DataFrame:
+    a = fx.gaz_part(spark, d).select(F.lit("en").alias("lang"), F.lit("disease").alias("entity_type"), "gaz_ord", "term", "code")
+    b = fx.gaz_words(spark, d).select(F.lit("es").alias("lang"), F.lit("symptoms").alias("entity_type"), "gaz_ord", "term", "code")
+    return a.unionByName(b)
+
+
+def _catalogue_vectors(spark: SparkSession, d: str) -> DataFrame:
+    e = fx.vec_fx(spark, d)
+    return e.select(F.lit("en").alias("lang"), F.lit("disease").alias("entity_type"), F.col("vec_id").alias("gaz_ord"),
+                    F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("term"), F.lit("m1").alias("model"))
+
+
+@register("q_r1_coverage_gaps", with_views(["gaz_part", "gaz_words"], """
+, langs AS (SELECT lang, count(*) AS n_docs FROM documents GROUP BY lang)
+, et AS (SELECT 'disease' AS entity_type UNION ALL SELECT 'symptoms')
+, gz AS (SELECT 'en' AS lang, 'disease' AS entity_type, term FROM gaz_part
+         UNION ALL SELECT 'es', 'symptoms', term FROM gaz_words)
+, terms AS (SELECT lang, entity_type, count(DISTINCT term) AS n_terms FROM gz GROUP BY ALL)
+, vec AS (SELECT 'en' AS lang, 'disease' AS entity_type, count(*) AS n_vectors FROM embeddings)
+, g AS (SELECT l.lang, e.entity_type, l.n_docs, coalesce(t.n_terms, 0) AS n_terms, coalesce(v.n_vectors, 0) AS n_vectors
+        FROM langs l CROSS JOIN et e LEFT JOIN terms t ON t.lang = l.lang AND t.entity_type = e.entity_type
+        LEFT JOIN vec v ON v.lang = l.lang AND v.entity_type = e.entity_type)
+SELECT lang, entity_type, n_docs, n_terms, n_vectors,
+       concat_ws(',', CASE WHEN n_terms = 0 THEN 'gazetteer' END,
+                      CASE WHEN n_vectors = 0 OR n_vectors < n_terms THEN 'vectors' END) AS missing
+FROM g
+"""))
+def q_r1_coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
+    et = spark.createDataFrame([("disease",), ("symptoms",)], "entity_type string")
+    out = cv.coverage_gaps(fx.table(spark, d, "documents"), _catalogue_gaz(spark, d), _catalogue_vectors(spark, d), et)
+    return out.withColumn("missing", F.array_join("missing", ","))
+
+
+@register("q_r2_stale_vectors", with_views(["gaz_part"], """
+, g1 AS (SELECT term, arg_min(code, gaz_ord) AS code, min(gaz_ord) AS gaz_ord FROM gaz_part GROUP BY term)
+SELECT 'en' AS lang, 'disease' AS entity_type, term, code, gaz_ord FROM g1
+WHERE term NOT IN (SELECT p_name FROM part WHERE p_name LIKE 's%')
+"""))
+def q_r2_stale_vectors(spark: SparkSession, d: str) -> DataFrame:
+    g = _catalogue_gaz(spark, d).where(F.col("entity_type") == "disease")
+    have = g.where(F.col("term").startswith("s")).select("lang", "entity_type", "term").withColumn("model", F.lit("m1"))
+    return cv.stale_vectors(g, have, "m1").select("lang", "entity_type", "term", "code", *_long("gaz_ord"))
+
+
+@register("q_p6_annotate_dir", with_views(["lookup_fx"], """
+SELECT d.doc_id, count(l.doc_id) AS n_ann,
+       coalesce(string_agg(l.start || ':' || l."end" || ':' || l.code, ';' ORDER BY l.start, l."end" DESC), '') AS ann_sig
+FROM documents d LEFT JOIN lookup_fx l ON l.doc_id = d.doc_id GROUP BY d.doc_id
+"""))
+def q_p6_annotate_dir(spark: SparkSession, d: str) -> DataFrame:
+    """P6 end to end: every document written as its own text file, read back (S1), annotated, written as JSON (S6)."""
+    import uuid
+
+    base = scratch_path(spark, f"p6-{uuid.uuid4().hex}")
+    fx.docs_fx(spark, d).select("doc_id", "text").write.partitionBy("doc_id").text(f"{base}/notes")
+    notes = sn.read_notes(spark, f"{base}/notes", id_source="partition")
+    from notelink.plans import jobs
+
+    recs = jobs.annotate(fx.by_document(notes), "lookup", ["WORD"], checkpointed(fx.gaz_words(spark, d)), lang="und")
+    sk.write_records(recs, f"{base}/records")
+    back = spark.read.schema(recs.schema).json(f"{base}/records")
+    return rc.annotation_signature(back).select(F.col("doc_id").cast("long").alias("doc_id"), "n_ann", "ann_sig")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     docs = fx.docs_fx(spark, d)
     ann = lk.lookup_annotate(docs, fx.gaz_words(spark, d))
