@@ -26,7 +26,8 @@ HEADLINE = [
     "q_f3_link_jaro_winkler",
     "q_b3_link_bm25",
     "q_d5_cosine_top10",
-    "q_o2_records",           # lookup + one record per document
+    "q_p2_pipeline_levenshtein",  # tagger -> chunks -> merge -> link -> records
+    "q_p6_annotate_dir",      # documents as files -> lookup -> JSON records -> read back
 ]
 
 

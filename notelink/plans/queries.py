@@ -318,7 +318,7 @@ def q_f1_exact_link(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BM25_SQL = with_views(["gaz_part", "noisy_fx"], _LINK_BASE + """
-, toks AS (SELECT gaz_ord, list_filter(string_split_regex(norm, '\s+'), lambda x: x <> '') AS tk FROM t)
+, toks AS (SELECT gaz_ord, list_filter(string_split_regex(norm, '\\s+'), lambda x: x <> '') AS tk FROM t)
 , tf AS (SELECT gaz_ord, token, count(*) AS tf FROM (SELECT gaz_ord, unnest(tk) AS token FROM toks) GROUP BY ALL)
 , dl AS (SELECT gaz_ord, len(tk) AS dl FROM toks)
 , corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl)
@@ -326,7 +326,7 @@ _BM25_SQL = with_views(["gaz_part", "noisy_fx"], _LINK_BASE + """
 , idf0 AS (SELECT token, ln(n - df + 0.5) - ln(df + 0.5) AS idf_raw FROM df, corpus)
 , idf AS (SELECT token, CASE WHEN idf_raw < 0 THEN 0.25 * (SELECT avg(idf_raw) FROM idf0) ELSE idf_raw END AS idf FROM idf0)
 , qt AS (SELECT m, token, count(*) AS qtf FROM (
-    SELECT m, unnest(list_filter(string_split_regex(m, '\s+'), lambda x: x <> '')) AS token FROM q) GROUP BY ALL)
+    SELECT m, unnest(list_filter(string_split_regex(m, '\\s+'), lambda x: x <> '')) AS token FROM q) GROUP BY ALL)
 , pos AS (
   SELECT qt.m, tf.gaz_ord, sum(qt.qtf * idf.idf * (tf.tf * 2.5) / (tf.tf + 1.5 * (0.25 + 0.75 * dl.dl / corpus.avgdl))) AS raw
   FROM qt JOIN tf USING (token) JOIN idf USING (token) JOIN dl USING (gaz_ord), corpus GROUP BY ALL)
@@ -352,7 +352,7 @@ def q_b3_link_bm25(spark: SparkSession, d: str) -> DataFrame:
 
 @register("q_b1_bm25_postings", with_views(["gaz_part"], """
 , g1 AS (SELECT term, min(gaz_ord) AS gaz_ord FROM gaz_part GROUP BY term)
-, toks AS (SELECT gaz_ord, list_filter(string_split_regex(strip_accents(lower(term)), '\s+'), lambda x: x <> '') AS tk FROM g1)
+, toks AS (SELECT gaz_ord, list_filter(string_split_regex(strip_accents(lower(term)), '\\s+'), lambda x: x <> '') AS tk FROM g1)
 , tf AS (SELECT gaz_ord, token, count(*) AS tf FROM (SELECT gaz_ord, unnest(tk) AS token FROM toks) GROUP BY ALL)
 , dl AS (SELECT gaz_ord, len(tk) AS dl FROM toks)
 , corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl)
@@ -558,7 +558,7 @@ def q_p2_pipeline_levenshtein(spark: SparkSession, d: str) -> DataFrame:
 
 
 _P3_LINK = """
-, toks AS (SELECT gaz_ord, list_filter(string_split_regex(norm, '\s+'), lambda x: x <> '') AS tk FROM t)
+, toks AS (SELECT gaz_ord, list_filter(string_split_regex(norm, '\\s+'), lambda x: x <> '') AS tk FROM t)
 , tf AS (SELECT gaz_ord, token, count(*) AS tf FROM (SELECT gaz_ord, unnest(tk) AS token FROM toks) GROUP BY ALL)
 , dl AS (SELECT gaz_ord, len(tk) AS dl FROM toks)
 , corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl)
@@ -566,7 +566,7 @@ _P3_LINK = """
 , idf0 AS (SELECT token, ln(n - df + 0.5) - ln(df + 0.5) AS idf_raw FROM df, corpus)
 , idf AS (SELECT token, CASE WHEN idf_raw < 0 THEN 0.25 * (SELECT avg(idf_raw) FROM idf0) ELSE idf_raw END AS idf FROM idf0)
 , qt AS (SELECT m, token, count(*) AS qtf FROM (
-    SELECT m, unnest(list_filter(string_split_regex(m, '\s+'), lambda x: x <> '')) AS token FROM q) GROUP BY ALL)
+    SELECT m, unnest(list_filter(string_split_regex(m, '\\s+'), lambda x: x <> '')) AS token FROM q) GROUP BY ALL)
 , pos AS (
   SELECT qt.m, tf.gaz_ord, sum(qt.qtf * idf.idf * (tf.tf * 2.5) / (tf.tf + 1.5 * (0.25 + 0.75 * dl.dl / corpus.avgdl))) AS raw
   FROM qt JOIN tf USING (token) JOIN idf USING (token) JOIN dl USING (gaz_ord), corpus GROUP BY ALL)

@@ -63,3 +63,26 @@ def test_canonical_lang(spark):
     df = spark.createDataFrame([("cz",), ("cs",), ("se",), ("xx",), ("ES",)], ["l"])
     got = [r[0] for r in df.select(tx.canonical_lang("l")).collect()]
     assert got == ["cs", "cs", "sv", None, "es"]
+
+
+def test_sentence_goldens():
+    from notelink.operators.textprep import sentence_spans
+
+    assert sentence_spans("Fiebre alta. No tos.") == [(0, 0, 12), (1, 13, 20)]
+    assert len(sentence_spans("Valor 3. mg dados.")) == 1
+    assert len(sentence_spans("J. Perez llega. Sale.")) == 2
+    assert len(sentence_spans("Bueno... Sigue.")) == 1
+
+
+def test_chunk_goldens(spark):
+    from notelink.operators import textprep as tp
+
+    rows = [(0, " ".join(f"w{i}" for i in range(25))), (1, " ".join(f"w{i}" for i in range(20)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sents = tp.split_sentences(docs)
+    for max_tokens, doc, sizes in ((10, 0, [10, 10, 5]), (4, 1, [8, 8, 4])):
+        ch = tp.chunk_sentences(sents.where(f"doc_id = {doc}"), max_tokens).orderBy("chunk_id").collect()
+        assert [len(c["text"].split()) for c in ch] == sizes
+        assert [c["chunk_id"] for c in ch] == list(range(len(sizes)))
+        text = rows[doc][1]
+        assert all(text[c["start"]:c["end"]] == c["text"] for c in ch)
