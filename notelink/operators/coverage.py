@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from notelink.operators import dense as dn
 from notelink.operators.gazetteer import dedup_terms
+from notelink.plans.materialize import keyed_constants, lookup_constant
 from notelink.sources import gazetteer as sg
 
 
@@ -17,13 +18,16 @@ def coverage_gaps(docs: DataFrame, gazetteer: DataFrame, vectors: DataFrame | No
     in order, ``gazetteer`` and ``vectors`` when absent.
     """
     langs = docs.groupBy("lang").agg(F.count("*").alias("n_docs"))
-    et = F.broadcast(entity_types.select("entity_type").distinct().withColumn("_k", F.lit(1)))
-    grid = langs.withColumn("_k", F.lit(1)).join(et, "_k").drop("_k")
-    terms = dedup_terms(gazetteer).groupBy("lang", "entity_type").agg(F.count("*").alias("n_terms"))
-    out = grid.join(terms, ["lang", "entity_type"], "left")
+    types = [r["entity_type"] for r in entity_types.select("entity_type").distinct().limit(10_001).collect()]
+    if len(types) > 10_000:
+        raise ValueError("expected a short list of entity types")
+    grid = langs.withColumn("entity_type", F.explode(F.array(*[F.lit(t) for t in sorted(types)])))
+    keys = ["lang", "entity_type"]
+    terms = keyed_constants(dedup_terms(gazetteer).groupBy(*keys).agg(F.count("*").alias("n_terms")), keys, ["n_terms"])
+    out = grid.withColumn("n_terms", lookup_constant(terms, keys, "n_terms", "long"))
     if vectors is not None:
-        vec = vectors.groupBy("lang", "entity_type").agg(F.count("*").alias("n_vectors"))
-        out = out.join(vec, ["lang", "entity_type"], "left")
+        vec = keyed_constants(vectors.groupBy(*keys).agg(F.count("*").alias("n_vectors")), keys, ["n_vectors"])
+        out = out.withColumn("n_vectors", lookup_constant(vec, keys, "n_vectors", "long"))
     else:
         out = out.withColumn("n_vectors", F.lit(None).cast("long"))
     n_terms = F.coalesce(F.col("n_terms"), F.lit(0))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from notelink.functions.similarity import PAIR_UDFS
 from notelink.functions.text import SPACE_CLASS, normalize
 from notelink.operators.gazetteer import gaz_keys, norm_index, normalized_terms
+from notelink.plans.materialize import checkpointed, keyed_constants, lookup_constant
 
 METHODS = ("levenshtein", "jaro-winkler", "token-sort-ratio", "token-set-ratio")
 NO_MAP = "NO_MAP"
@@ -35,7 +36,7 @@ BM25_EPSILON = 0.25
 
 
 def with_type_key(mentions: DataFrame, gaz: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Give both sides an ``entity_type`` key so every join is an equi-join."""
+    """Give both sides an ``entity_type`` column (empty when the gazetteer has none)."""
     if "entity_type" not in gaz.columns:
         gaz = gaz.withColumn("entity_type", F.lit(""))
         mentions = mentions.withColumn("entity_type", F.lit(""))
@@ -137,11 +138,12 @@ def fuzzy_best(queries: DataFrame, terms: DataFrame, method: str) -> DataFrame:
     scored = pairs.withColumn("score", _score(method, F.col("m"), F.col("norm")))
     best1 = _best(scored, group)
     # residual: term lengths whose bound could reach the best candidate score
-    lens = terms.select(*keys, F.length(_form(method, F.col("norm"))).alias("lb")).distinct()
+    lens = terms.groupBy(*keys).agg(F.array_sort(F.collect_set(F.length(_form(method, F.col("norm"))))).alias("lbs"))
+    lens = keyed_constants(lens, keys, ["lbs"])
     q = queries.join(best1.select(*group, F.col("score").alias("s1")), group, "left")
     q = q.withColumn("la", F.length(_form(method, F.col("m"))))
-    # one row per admissible length; ``lens`` is bounded by the distinct term lengths per key
-    need = q.join(F.broadcast(lens), keys)
+    # one row per distinct term length of the key (a bounded list), kept where the bound allows
+    need = q.withColumn("lb", F.explode(lookup_constant(lens, keys, "lbs")))
     need = need.where(F.col("s1").isNull() | (F.round(_upper_bound(method, F.col("la"), F.col("lb")), SCORE_DIGITS)
                                               >= F.col("s1")))
     tl = terms.select(*keys, "gaz_ord", "norm", F.length(_form(method, F.col("norm"))).alias("lb"))
@@ -163,10 +165,11 @@ def link_fuzzy(mentions: DataFrame, gaz: DataFrame, method: str = "levenshtein",
     drop_type = "entity_type" not in gaz.columns
     mentions, gaz = with_type_key(mentions, gaz)
     keys = gaz_keys(gaz)
-    terms = normalized_terms(gaz)
-    index = norm_index(gaz)
+    # gazetteer-sized tables used by several branches: materialise once
+    terms = checkpointed(normalized_terms(gaz))
+    index = checkpointed(norm_index(terms.select(*keys, "gaz_ord", "term", "code"), deduped=True))
     m = mentions.withColumn("_m", normalize(F.col("span")))
-    queries = m.select(*keys, F.col("_m").alias("m")).distinct()
+    queries = checkpointed(m.select(*keys, F.col("_m").alias("m")).distinct())
     exact = queries.join(index.select(*keys, F.col("norm").alias("m"), "term", "code"), [*keys, "m"])
     exact = exact.select(*keys, "m", "term", "code", F.lit(1.0).alias("nel_score"))
     rest = queries.join(index.select(*keys, F.col("norm").alias("m")), [*keys, "m"], "left_anti")
@@ -198,12 +201,14 @@ def bm25_postings(terms: DataFrame) -> DataFrame:
     toks = terms.select(*keys, "gaz_ord", F.explode(_tokens(F.col("norm"))).alias("token"))
     tf = toks.groupBy(*keys, "gaz_ord", "token").agg(F.count("*").alias("tf"))
     dl = terms.select(*keys, "gaz_ord", F.size(_tokens(F.col("norm"))).alias("dl"))
-    corpus = dl.groupBy(*keys).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    corpus = keyed_constants(dl.groupBy(*keys).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")),
+                             keys, ["n_docs", "avgdl"])
     df_ = tf.groupBy(*keys, "token").agg(F.count("*").alias("df"))
-    idf = df_.join(F.broadcast(corpus), keys)
+    idf = df_.withColumn("n_docs", lookup_constant(corpus, keys, "n_docs", "long")) \
+        .withColumn("avgdl", lookup_constant(corpus, keys, "avgdl", "double"))
     idf = idf.withColumn("idf_raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    avg_idf = idf.groupBy(*keys).agg(F.avg("idf_raw").alias("avg_idf"))
-    idf = idf.join(F.broadcast(avg_idf), keys)
+    avg_idf = keyed_constants(idf.groupBy(*keys).agg(F.avg("idf_raw").alias("avg_idf")), keys, ["avg_idf"])
+    idf = idf.withColumn("avg_idf", lookup_constant(avg_idf, keys, "avg_idf", "double"))
     idf = idf.withColumn("idf", F.when(F.col("idf_raw") < 0, BM25_EPSILON * F.col("avg_idf")).otherwise(F.col("idf_raw")))
     post = tf.join(dl, [*keys, "gaz_ord"]).join(idf.select(*keys, "token", "idf", "avgdl"), [*keys, "token"])
     return post
@@ -234,9 +239,9 @@ def bm25_best(queries: DataFrame, terms: DataFrame) -> DataFrame:
         F.max_by(F.struct("gaz_ord", "score"), F.struct(F.col("score"), -F.col("gaz_ord"))).alias("_pos"),
         F.count("*").alias("_n"),
         F.min(F.when(F.col("score") == 0, F.col("gaz_ord"))).alias("_zero_ord"))
-    sizes = ranked.groupBy(*keys).agg(F.count("*").alias("_total"))
+    sizes = keyed_constants(ranked.groupBy(*keys).agg(F.count("*").alias("_total")), keys, ["_total"])
     q = queries.select(*group).join(agg, group, "left").join(_first_missing_rank(s, group), group, "left")
-    q = q.join(F.broadcast(sizes), keys)
+    q = q.withColumn("_total", lookup_constant(sizes, keys, "_total", "long"))
     n = F.coalesce(F.col("_n"), F.lit(0))
     # first term (in file order) sharing no token: the first gap in the ranks, else rank n when n < N
     q = q.withColumn("_free_r", F.coalesce(F.col("_gap_idx"), F.when(n < F.col("_total"), n)))
@@ -263,10 +268,10 @@ def link_bm25(mentions: DataFrame, gaz: DataFrame, with_class: bool = False) ->
     drop_type = "entity_type" not in gaz.columns
     mentions, gaz = with_type_key(mentions, gaz)
     keys = gaz_keys(gaz)
-    terms = normalized_terms(gaz)
-    index = norm_index(gaz)
+    terms = checkpointed(normalized_terms(gaz))
+    index = checkpointed(norm_index(terms.select(*keys, "gaz_ord", "term", "code"), deduped=True))
     m = mentions.withColumn("_m", normalize(F.col("span")))
-    queries = m.select(*keys, F.col("_m").alias("m")).distinct()
+    queries = checkpointed(m.select(*keys, F.col("_m").alias("m")).distinct())
     exact = queries.join(index.select(*keys, F.col("norm").alias("m"), "term", "code"), [*keys, "m"])
     exact = exact.select(*keys, "m", "term", "code", F.lit(1.0).alias("nel_score"))
     rest = queries.join(index.select(*keys, F.col("norm").alias("m")), [*keys, "m"], "left_anti")

@@ -56,3 +56,33 @@ def maybe_broadcast(df: DataFrame, limit: int | None = None) -> tuple[DataFrame,
     if nbytes <= limit:
         return F.broadcast(df), True
     return df, False
+
+
+# Per-key constants (one row per language x entity type) are attached through a
+# map literal instead of a join; this caps how many keys that may be.
+MAX_KEYED_CONSTANTS = 100_000
+
+
+def keyed_constants(df: DataFrame, keys: list[str], values: list[str]) -> dict:
+    """Collect a small per-key table as ``{key tuple: {value: v}}`` (size-checked)."""
+    rows = df.select(*keys, *values).limit(MAX_KEYED_CONSTANTS + 1).collect()
+    if len(rows) > MAX_KEYED_CONSTANTS:
+        raise ValueError(f"more than {MAX_KEYED_CONSTANTS} keys; expected a small per-key table")
+    return {tuple(r[k] for k in keys): {v: r[v] for v in values} for r in rows}
+
+
+def _key_string(cols: list) -> F.Column:
+    return F.concat_ws("\u0001", *[F.coalesce(c.cast("string"), F.lit("\u0002")) for c in cols]) if cols else F.lit("")
+
+
+def lookup_constant(consts: dict, keys: list[str], value: str, cast: str | None = None) -> F.Column:
+    """Column holding ``consts[key][value]`` for each row's key (null when absent)."""
+    kv = []
+    for k, vals in consts.items():
+        kv.append(F.lit("\u0001".join("\u0002" if x is None else str(x) for x in k)))
+        v = vals[value]
+        kv.append(F.lit(v) if not isinstance(v, (list, tuple)) else F.array(*[F.lit(x) for x in v]))
+    if not kv:
+        return F.lit(None)
+    col = F.try_element_at(F.create_map(*kv), _key_string([F.col(k) for k in keys]))
+    return col.cast(cast) if cast else col
