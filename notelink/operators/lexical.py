@@ -123,6 +123,66 @@ def _best(df: DataFrame, group: list[str]) -> DataFrame:
     return df.groupBy(*group).agg(pick.alias("_b")).select(*group, "_b.gaz_ord", "_b.norm", "_b.score")
 
 
+def _exploded_occurrence_bigrams(df: DataFrame, cols: list[str], text: str) -> DataFrame:
+    """One row per bigram, numbered by occurrence (``ab#1``, ``ab#2``) so that set
+    overlap equals multiset overlap.  Numbering is a window per (string, bigram):
+    linear in the string length, also for very long spans."""
+    n = F.length(text)
+    grams = F.when(n < 2, F.array(F.col(text))).otherwise(
+        F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(text, i, 2)))
+    e = df.select(*cols, F.posexplode(grams).alias("_p", "_g"))
+    w = Window.partitionBy(*cols, "_g").orderBy("_p")
+    return e.select(*cols, F.concat("_g", F.lit("#"), F.row_number().over(w).cast("string")).alias("g"))
+
+
+def _levenshtein_best(queries: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact best Levenshtein match with prefix filtering on rare bigrams.
+
+    1. seeds: terms sharing one of the query's two rarest bigrams (global
+       order: document frequency in the gazetteer, then the gram) -> best s0;
+    2. a term scoring >= s0 has at most ``d = floor((1 - s0) L)`` edits, so it
+       shares at least ``a = L - 1 - 2d`` occurrence-numbered bigrams with the
+       query (q-gram lemma); any such term shares one of the query's
+       ``|X| - a + 1`` rarest bigrams (prefix lemma), so only those are joined;
+    3. term lengths where ``a <= 0`` cannot be filtered this way and are
+       scanned by length, when the length bound still reaches s0.
+    Frequent bigrams therefore only enter the join for queries that need them.
+    """
+    group = [*keys, "m"]
+    tg_ = _exploded_occurrence_bigrams(terms, [*keys, "gaz_ord", "norm"], "norm")
+    gdf = tg_.groupBy(*keys, "g").agg(F.count("*").alias("df"))
+    qg = _exploded_occurrence_bigrams(queries, group, "m")
+    qg = qg.join(gdf, [*keys, "g"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    wq = Window.partitionBy(*group)
+    qg = qg.withColumn("nq", F.count("*").over(wq)).withColumn("rk", F.row_number().over(wq.orderBy("df", "g")))
+    # 1. seeds from the two rarest grams that occur in the gazetteer
+    seeds_g = qg.where(F.col("df") > 0).withColumn("rk0", F.row_number().over(wq.orderBy("df", "g"))).where(F.col("rk0") <= 2)
+    seeds = seeds_g.select(*keys, "m", "g").join(tg_, [*keys, "g"]).select(*group, "gaz_ord", "norm").distinct()
+    seeds = seeds.withColumn("score", _score("levenshtein", F.col("m"), F.col("norm")))
+    s0 = _best(seeds, group).select(*group, F.col("score").alias("s0"))
+    # 2. per query: required overlap per term length, prefix size, residual lengths
+    lens = keyed_constants(terms.groupBy(*keys).agg(F.array_sort(F.collect_set(F.length("norm"))).alias("lbs")),
+                           keys, ["lbs"])
+    q = queries.join(s0, group, "left").withColumn("s0", F.coalesce("s0", F.lit(0.0)))
+    q = q.withColumn("la", F.length("m")).withColumn("lbs", lookup_constant(lens, keys, "lbs"))
+    big = lambda lb: F.greatest(F.col("la"), lb)
+    alpha = lambda lb: big(lb) - 1 - 2 * F.floor((F.lit(1.0) - F.col("s0") + F.lit(1e-6)) * big(lb))
+    ub = lambda lb: F.round(_upper_bound("levenshtein", F.col("la"), lb), SCORE_DIGITS)
+    q = q.withColumn("a_min", F.array_min(F.filter(F.transform("lbs", alpha), lambda a: a > 0)))
+    q = q.withColumn("scan", F.filter("lbs", lambda lb: (alpha(lb) <= 0) & (ub(lb) >= F.col("s0"))))
+    q = q.join(qg.groupBy(*group).agg(F.first("nq").alias("nq")), group, "left")
+    q = q.withColumn("p", F.when(F.col("a_min").isNotNull(), F.col("nq") - F.col("a_min") + 1))
+    q = checkpointed(q.select(*group, "p", "scan"))
+    pref = qg.join(q.select(*group, "p"), group).where(F.col("rk") <= F.col("p")).select(*keys, "m", "g")
+    cand = pref.join(tg_, [*keys, "g"]).select(*group, "gaz_ord", "norm").distinct()
+    cand = cand.withColumn("score", _score("levenshtein", F.col("m"), F.col("norm")))
+    # 3. unfilterable lengths
+    tl = terms.select(*keys, "gaz_ord", "norm", F.length("norm").alias("lb"))
+    rest = q.select(*group, F.explode("scan").alias("lb")).join(tl, [*keys, "lb"]).select(*group, "gaz_ord", "norm")
+    rest = rest.withColumn("score", _score("levenshtein", F.col("m"), F.col("norm")))
+    return _best(seeds.unionByName(cand).unionByName(rest), group)
+
+
 def fuzzy_best(queries: DataFrame, terms: DataFrame, method: str) -> DataFrame:
     """Best term for each distinct query ``m`` (per key); exact over all terms.
 
@@ -132,6 +192,8 @@ def fuzzy_best(queries: DataFrame, terms: DataFrame, method: str) -> DataFrame:
     method = canonical_method(method)
     keys = gaz_keys(terms)
     group = [*keys, "m"]
+    if method == "levenshtein":
+        return _levenshtein_best(queries, terms, keys)
     qk = queries.select(*group, F.explode(_keys(method, F.col("m"))).alias("_k"))
     tk = terms.select(*keys, "gaz_ord", "norm", F.explode(_keys(method, F.col("norm"))).alias("_k"))
     pairs = qk.join(tk, [*keys, "_k"]).select(*group, "gaz_ord", "norm").distinct()
