@@ -272,11 +272,54 @@ def bm25_postings(terms: DataFrame) -> DataFrame:
     avg_idf = keyed_constants(idf.groupBy(*keys).agg(F.avg("idf_raw").alias("avg_idf")), keys, ["avg_idf"])
     idf = idf.withColumn("avg_idf", lookup_constant(avg_idf, keys, "avg_idf", "double"))
     idf = idf.withColumn("idf", F.when(F.col("idf_raw") < 0, BM25_EPSILON * F.col("avg_idf")).otherwise(F.col("idf_raw")))
-    post = tf.join(dl, [*keys, "gaz_ord"]).join(idf.select(*keys, "token", "idf", "avgdl"), [*keys, "token"])
+    post = tf.join(dl, [*keys, "gaz_ord"]).join(idf.select(*keys, "token", "df", "idf", "avgdl"), [*keys, "token"])
     return post
 
 
-def bm25_best(queries: DataFrame, terms: DataFrame) -> DataFrame:
+# Tokens in more than this many terms are "frequent": they are joined only for
+# queries whose rare-token candidates cannot already beat every frequent-only term.
+FREQUENT_DF = 10_000
+
+
+def _bm25_contrib() -> Column:
+    return F.col("qtf") * F.col("idf") * (F.col("tf") * (BM25_K1 + 1)) / (
+        F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
+
+
+def bm25_best(queries: DataFrame, terms: DataFrame, frequent_df: int | None = None) -> DataFrame:
+    """B2 + B3 with MaxScore-style pruning of frequent tokens (exact).
+
+    Terms that share a rare query token are scored in full (their frequent
+    tokens looked up by ``(term, token)``).  A term whose shared tokens are all
+    frequent scores strictly below ``sum(qtf * max(idf, 0) * (k1 + 1))`` over
+    the query's frequent tokens, so a query whose best rare candidate beats that
+    bound is finished; the others go through the full postings join.
+    """
+    keys = gaz_keys(terms)
+    group = [*keys, "m"]
+    cut = FREQUENT_DF if frequent_df is None else frequent_df
+    post = checkpointed(bm25_postings(terms))
+    qt = queries.select(*group, F.explode(_tokens(F.col("m"))).alias("token")).groupBy(*group, "token").agg(
+        F.count("*").alias("qtf"))
+    tok_stats = post.select(*keys, "token", "df", "idf").distinct()
+    qs = qt.join(tok_stats, [*keys, "token"], "left")
+    freq = F.col("df") > cut
+    bound = qs.groupBy(*group).agg(F.sum(F.when(freq, F.col("qtf") * F.greatest(F.col("idf"), F.lit(0.0))
+                                                * (BM25_K1 + 1)).otherwise(0.0)).alias("ub_f"))
+    rare_hits = qs.where(~freq).select(*group, "token").join(post.select(*keys, "token", "gaz_ord"), [*keys, "token"])
+    cand = rare_hits.select(*group, "gaz_ord").distinct()
+    full = cand.join(qt, group).join(post, [*keys, "token", "gaz_ord"])
+    scored = full.groupBy(*group, "gaz_ord").agg(F.round(F.sum(_bm25_contrib()), SCORE_DIGITS).alias("score"))
+    best = scored.groupBy(*group).agg(
+        F.max_by(F.struct("gaz_ord", "score"), F.struct(F.col("score"), -F.col("gaz_ord"))).alias("_b"))
+    best = best.join(bound, group).where(F.col("_b.score") > F.round("ub_f", SCORE_DIGITS))
+    done = checkpointed(best.select(*group, F.col("_b.gaz_ord").alias("gaz_ord"), F.col("_b.score").alias("score")))
+    rest = queries.join(done.select(*group), group, "left_anti")
+    out = done.join(terms.select(*keys, "gaz_ord", "norm"), [*keys, "gaz_ord"])
+    return out.unionByName(_bm25_best_full(rest, terms, post))
+
+
+def _bm25_best_full(queries: DataFrame, terms: DataFrame, post: DataFrame) -> DataFrame:
     """B2 + B3: Okapi score of each query against every term; argmax, lowest ``gaz_ord`` on ties.
 
     Only terms sharing a token are scored (join on token); every other term
@@ -286,12 +329,9 @@ def bm25_best(queries: DataFrame, terms: DataFrame) -> DataFrame:
     """
     keys = gaz_keys(terms)
     group = [*keys, "m"]
-    post = bm25_postings(terms)
     qt = queries.select(*group, F.explode(_tokens(F.col("m"))).alias("token")).groupBy(*group, "token").agg(
         F.count("*").alias("qtf"))
-    contrib = F.col("qtf") * F.col("idf") * (F.col("tf") * (BM25_K1 + 1)) / (
-        F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
-    scores = qt.join(post, [*keys, "token"]).groupBy(*group, "gaz_ord").agg(F.sum(contrib).alias("raw"))
+    scores = qt.join(post, [*keys, "token"]).groupBy(*group, "gaz_ord").agg(F.sum(_bm25_contrib()).alias("raw"))
     scores = scores.withColumn("score", F.round("raw", SCORE_DIGITS))
     # dense rank of every term in file order, to find the first term that shares no token
     rank_w = Window.partitionBy(*keys).orderBy("gaz_ord")

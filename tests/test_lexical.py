@@ -100,7 +100,9 @@ def test_bm25_golden_zero_overlap(spark):
     assert (r["code"], r["nel_score"]) == ("C0", 0.0)
 
 
-def test_bm25_against_brute_force(spark):
+@pytest.mark.parametrize("cut", [10_000, 3, 0])
+def test_bm25_against_brute_force(spark, monkeypatch, cut):
+    monkeypatch.setattr(lx, "FREQUENT_DF", cut)
     rnd = random.Random(5)
     vocab = ["dolor", "tos", "seca", "fiebre", "alta", "baja", "cabeza", "pecho"]
     terms = [" ".join(rnd.choice(vocab) for _ in range(rnd.randint(1, 3))) for _ in range(30)]
