@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notelink.llm import chat
 from notelink.llm import decontaminate as dc
+from notelink.llm import langid as li
 from notelink.llm.common import table
 from notelink.llm.registry import register
 
@@ -36,3 +38,40 @@ def op1_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     out = dc.find_contamination(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+_ESC = "{0}"
+for _c in ["\\", *chat.CONTROL]:
+    _ESC = f"replace({_ESC}, '{_c}', '{_c[0]}\\{_c[1:]}')" if len(_c) > 1 else f"replace({_ESC}, '\\', '\\\\')"
+
+
+@register("op8_chat_format", f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(chat.START + chat.SEP + chat.END)} + length({_ESC.format('role')}) + length({_ESC.format('text')})) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+""")
+def op8_chat_format(spark: SparkSession, d: str) -> DataFrame:
+    probe = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")],
+                                  "conv_id long, turn long, role string, text string")
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    back = chat.read_chat(chat.format_chat(chat.conversations(turns)).drop("messages"))
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"),
+        F.char_length(F.array_join("loss_texts", "")).cast("long").alias("loss_chars"),
+        F.sha2(F.array_join("loss_texts", ""), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+@register("op10_language_id")
+def op10_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    held = li.fold_of("doc_id", 5) == 0
+    samples = li.learn(docs.select("doc_id", "text", "lang").filter(~held))
+    return li.predict(docs.select("doc_id", "text"), samples).select(
+        "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
