@@ -126,14 +126,33 @@ def powers(n: int) -> np.ndarray:
     return _POWERS[:n]
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, off: np.ndarray, blank: np.ndarray = BLANK, prefixes: tuple[int, ...] = ()):
     """Hashes of the lower-cased (A-Z) words of each document and, per document, where they begin.
 
     Words are runs of bytes that are not ``blank``. Returns ``(hash, first)``:
-    the words of document ``i`` are ``hash[first[i]:first[i + 1]]``.
+    the words of document ``i`` are ``hash[first[i]:first[i + 1]]``. With
+    ``prefixes``, ``hash`` has one more column for each of these lengths: the
+    hash of the word's first so many bytes.
     """
+    starts, first, v, pos, size = _words(data, off, blank)
+    if not len(starts):
+        return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), first
+    salt = np.uint64(0xD6E8FEB86659FD93)
+    whole = mix(np.add.reduceat(v, starts) ^ (size * salt))
+    if not prefixes:
+        return whole, first
+    cols = [whole]
+    for n in prefixes:
+        part = np.add.reduceat(np.where(pos < n, v, np.uint64(0)), starts)
+        cols.append(mix(part ^ (np.minimum(size, np.uint64(n)) * salt)))
+    return np.column_stack(cols), first
+
+
+def _words(data: np.ndarray, off: np.ndarray, blank: np.ndarray):
+    """Where words start (from the first on), per document the first one, each byte's part of
+    its word's hash, its place in the word, and the words' sizes."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+        return np.zeros(0, np.int64), np.zeros(len(off), np.int64), None, None, None
     b = LOWER[data]
     word = ~blank[b]
     begin = word.copy()
@@ -143,13 +162,14 @@ def word_hashes(data: np.ndarray, off: np.ndarray, blank: np.ndarray = BLANK) ->
     starts = np.flatnonzero(begin)
     first = np.searchsorted(starts, off)
     if not len(starts):
-        return np.zeros(0, np.uint64), first
+        return starts, first, None, None, None
+    base = starts[0]
     span = np.diff(np.concatenate([starts, [len(b)]]))
-    pos = np.arange(starts[0], len(b)) - np.repeat(starts, span)
-    v = BYTE_VALUES[b[starts[0]:]] * powers(int(span.max()))[pos]
-    v[~word[starts[0]:]] = 0
-    size = np.add.reduceat(word[starts[0]:].astype(np.uint64), starts - starts[0])
-    return mix(np.add.reduceat(v, starts - starts[0]) ^ (size * np.uint64(0xD6E8FEB86659FD93))), first
+    pos = np.arange(base, len(b)) - np.repeat(starts, span)
+    v = BYTE_VALUES[b[base:]] * powers(int(span.max()))[pos]
+    v[~word[base:]] = 0
+    starts = starts - base
+    return starts, first, v, pos, np.add.reduceat(word[base:].astype(np.uint64), starts)
 
 
 def fold(acc: np.ndarray, nxt: np.ndarray) -> np.ndarray:

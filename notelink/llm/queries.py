@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelink.llm import chat
+from notelink.llm import bpe, chat
 from notelink.llm import decontaminate as dc
 from notelink.llm import langid as li
+from notelink.llm import toxicity as tx
 from notelink.llm.common import table
 from notelink.llm.registry import register
 
@@ -75,3 +77,28 @@ def op10_language_id(spark: SparkSession, d: str) -> DataFrame:
     samples = li.learn(docs.select("doc_id", "text", "lang").filter(~held))
     return li.predict(docs.select("doc_id", "text"), samples).select(
         "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@register("op4_byte_bpe")
+def op4_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
+    coded = bpe.encode(table(spark, d, "documents").select("doc_id", "text"), RANKS)
+    # the text is no longer needed: it comes back from the ids
+    return bpe.decode(coded.drop("text"), RANKS).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest().alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# The labels that the tables have, in the order of the chain.
+CATEGORIES = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+
+
+@register("op6_toxicity")
+def op6_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    held = F.coalesce(li.fold_of("doc_id", 5) == 0, F.lit(False))
+    chain = tx.learn(docs, table(spark, d, "labels").filter(~held), CATEGORIES)
+    return tx.score(docs, chain, list(CATEGORIES)).select(
+        "doc_id", held.alias("held_out"), "p_low_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("rejected"))
