@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from notelink.llm import bpe, chat
 from notelink.llm import decontaminate as dc
 from notelink.llm import langid as li
+from notelink.llm import topk as tk
 from notelink.llm import toxicity as tx
 from notelink.llm.common import table
 from notelink.llm.registry import register
@@ -102,3 +103,19 @@ def op6_toxicity(spark: SparkSession, d: str) -> DataFrame:
     chain = tx.learn(docs, table(spark, d, "labels").filter(~held), CATEGORIES)
     return tx.score(docs, chain, list(CATEGORIES)).select(
         "doc_id", held.alias("held_out"), "p_low_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("rejected"))
+
+
+@register("op7_top_k", """
+WITH e AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = len(embedding)),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM e AS q JOIN e AS c ON q.vec_id % 50 = 0 AND q.vec_id != c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op7_top_k(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings").select("vec_id", tk.scaled("embedding").alias("v"))
+    return tk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
