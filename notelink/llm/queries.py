@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from notelink.llm import bpe, chat
 from notelink.llm import decontaminate as dc
+from notelink.llm import jaccard as jc
 from notelink.llm import langid as li
 from notelink.llm import topk as tk
 from notelink.llm import toxicity as tx
@@ -119,3 +120,26 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 def op7_top_k(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings").select("vec_id", tk.scaled("embedding").alias("v"))
     return tk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+@register("op5_jaccard_join", r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(array_to_string(list_slice(w, i, i + 4), ' ')) AS g
+  FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+f AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1),
+s AS MATERIALIZED (SELECT doc_id, g FROM g SEMI JOIN f USING (g)),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (
+  SELECT x, y FROM o JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y WHERE 100 * o >= 75 * (nx.n + ny.n - o)),
+e AS MATERIALIZED (SELECT x AS a, y AS b FROM link UNION ALL SELECT y, x FROM link),
+reach(doc_id, to_id) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM reach AS r JOIN e ON e.a = r.to_id)
+SELECT doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, CAST(min(to_id) AS BIGINT) AS component_id
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+""")
+def op5_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    return jc.jaccard_join(table(spark, d, "documents")).members.select("doc_id", "n_shingles", "component_id")
