@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -185,3 +186,20 @@ def shard_of(h: np.ndarray, n: int) -> np.ndarray:
 def unique_ids(df: DataFrame, key: str) -> bool:
     """Whether no value of ``key`` occurs twice (one pass over that column alone)."""
     return df.groupBy(key).count().filter("count > 1").limit(1).count() == 0
+
+
+# --- arrays in binary columns ------------------------------------------------
+
+def squeeze(x: np.ndarray, ordered: bool = False) -> bytes:
+    """A compact binary form of a numeric array: byte planes, compressed; of differences if it is ``ordered``."""
+    if ordered and len(x):
+        x = np.concatenate([x[:1], np.diff(x)])
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T) if len(x) else np.zeros(0, np.uint8)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unsqueeze(b: bytes, dtype, ordered: bool = False) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    size = np.dtype(dtype).itemsize
+    x = np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel() if len(raw) else np.zeros(0, dtype)
+    return np.cumsum(x, dtype=dtype) if ordered and len(x) else x

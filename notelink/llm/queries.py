@@ -10,6 +10,7 @@ from notelink.llm import bpe, chat
 from notelink.llm import decontaminate as dc
 from notelink.llm import jaccard as jc
 from notelink.llm import langid as li
+from notelink.llm import suffix_dedup as sd
 from notelink.llm import topk as tk
 from notelink.llm import toxicity as tx
 from notelink.llm.common import table
@@ -143,3 +144,25 @@ FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """)
 def op5_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jc.jaccard_join(table(spark, d, "documents")).members.select("doc_id", "n_shingles", "component_id")
+
+
+@register("op9_suffix_dedup", """
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(hex(encode(text)), '') AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS s FROM d, unnest(range(0, n - 49)) AS u(i) WHERE n >= 50),
+m AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING count(*) > 1),
+f AS (SELECT doc_id, i FROM w JOIN m USING (s) WHERE m < doc_id),
+b AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS b FROM f),
+g AS (SELECT doc_id, i, sum(b) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM b),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, g),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM r),
+c AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+        string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS kept
+      FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+""")
+def op9_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    out = sd.remove_repeats(table(spark, d, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
