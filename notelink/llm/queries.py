@@ -95,7 +95,7 @@ def op4_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
 
 
 # The labels that the tables have, in the order of the chain.
-CATEGORIES = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 
 
 @register("op6_toxicity")

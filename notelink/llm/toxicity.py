@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,15 +133,15 @@ def _rows(h: np.ndarray, first: np.ndarray, keep: np.ndarray) -> tuple[np.ndarra
     return h[np.arange(at[-1]) + np.repeat(first[keep] - at[:-1], size)], at
 
 
-def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key: str = "doc_id",
+def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, str], key: str = "doc_id",
           text: str = "text", rows: int = TRAIN_ROWS) -> list[Linear]:
     """Fit the chain on at most ``rows`` labelled documents.
 
-    ``categories``: name to a 0/1 expression over ``labels``, in the order of the
+    ``categories``: name to a 0/1 SQL expression over ``labels``, in the order of the
     chain. Null keys, texts and labels are left out; a key with several labels or
     texts counts as often as it occurs. Only word hashes of the sample reach the driver.
     """
-    pick = labels.select(F.col(key).alias("k"), *[c.cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())])
+    pick = labels.select(F.col(key).alias("k"), *[F.expr(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())])
     pick = pick.dropna().withColumn("h", F.xxhash64("k")).orderBy("h", "k", *[f"y{i}" for i in range(len(categories))]).limit(rows)
     found = pick.collect()
     if not found:
