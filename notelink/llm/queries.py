@@ -148,7 +148,9 @@ def op5_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
 
 @register("op9_suffix_dedup", """
 WITH d AS MATERIALIZED (SELECT doc_id, coalesce(hex(encode(text)), '') AS h, strlen(coalesce(text, '')) AS n FROM documents),
-w AS MATERIALIZED (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS s FROM d, unnest(range(0, n - 49)) AS u(i) WHERE n >= 50),
+p AS MATERIALIZED (SELECT doc_id, n, j, substr(h, 400 * j + 1, 498) AS h FROM d, unnest(range(0, (n - 50) // 200 + 1)) AS u(j) WHERE n >= 50),
+w AS MATERIALIZED (SELECT doc_id, 200 * j + i AS i, hash(substr(h, 2 * i + 1, 100)) AS s
+  FROM p, unnest(range(0, least(200, n - 49 - 200 * j))) AS u(i)),
 m AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING count(*) > 1),
 f AS (SELECT doc_id, i FROM w JOIN m USING (s) WHERE m < doc_id),
 b AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS b FROM f),
