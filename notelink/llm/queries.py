@@ -10,6 +10,7 @@ from notelink.llm import bpe, chat
 from notelink.llm import decontaminate as dc
 from notelink.llm import jaccard as jc
 from notelink.llm import langid as li
+from notelink.llm import ngram_lm as lm
 from notelink.llm import suffix_dedup as sd
 from notelink.llm import topk as tk
 from notelink.llm import toxicity as tx
@@ -96,6 +97,7 @@ def op4_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
 
 # The labels that the tables have, in the order of the chain.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
+REJECT = 0.65  # probability from which a document is rejected
 
 
 @register("op6_toxicity")
@@ -104,7 +106,7 @@ def op6_toxicity(spark: SparkSession, d: str) -> DataFrame:
     held = F.coalesce(li.fold_of("doc_id", 5) == 0, F.lit(False))
     chain = tx.learn(docs, table(spark, d, "labels").filter(~held), CATEGORIES)
     return tx.score(docs, chain, list(CATEGORIES)).select(
-        "doc_id", held.alias("held_out"), "p_low_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("rejected"))
+        "doc_id", held.alias("held_out"), "p_low_quality", "p_toxic", (F.col("p_toxic") >= REJECT).alias("rejected"))
 
 
 @register("op7_top_k", """
@@ -168,3 +170,12 @@ def op9_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
     out = sd.remove_repeats(table(spark, d, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op3_lm_score")
+def op3_lm_score(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    held = F.coalesce(li.fold_of("doc_id", 7) == 2, F.lit(False))
+    model = lm.train(docs.filter(~held))
+    return lm.score(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known",
+                                        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
