@@ -14,6 +14,7 @@ from notelink.llm import ngram_lm as lm
 from notelink.llm import suffix_dedup as sd
 from notelink.llm import topk as tk
 from notelink.llm import toxicity as tx
+from notelink.llm import training_order as to
 from notelink.llm.common import table
 from notelink.llm.registry import register
 
@@ -179,3 +180,10 @@ def op3_lm_score(spark: SparkSession, d: str) -> DataFrame:
     model = lm.train(docs.filter(~held))
     return lm.score(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known",
                                         F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@register("op2_training_order")
+def op2_training_order(spark: SparkSession, d: str) -> DataFrame:
+    shards = to.write_shards(table(spark, d, "documents").select("doc_id", "text"))
+    return to.read_shards(spark, shards).select(
+        "slot", "shard", F.col("key").alias("doc_id"), "part", "n_ids", F.sha2("ids", 256).alias("ids_sha256"))
