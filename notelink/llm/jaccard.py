@@ -410,7 +410,8 @@ def representative_links(ordered: DataFrame, num: int, den: int) -> tuple[DataFr
 
 @dataclass
 class Joined:
-    """``members``: every document's (key, n_shingles, class_id, component_id); ``links``: (x, y) of
+    """``members``: every document's (key, text_hash, n_shingles, class_id, component_id), where
+    ``text_hash`` is Spark's ``xxhash64`` of the text; ``links``: (x, y) of
     representatives that link, enough of them to connect every component."""
 
     members: DataFrame
@@ -448,7 +449,8 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     ids = classes.select("n", "d1", "d2", F.col("rep.key").alias("class_id"))
     own = info.join(ids, ["n", "d1", "d2"], "left").withColumn("class_id", F.coalesce("class_id", "key"))
     out = own.join(comp.withColumnRenamed("doc", "class_id"), "class_id", "left").select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"), "class_id", F.coalesce("comp", "class_id").alias("component_id"))
+        F.col("key").alias(key), F.col("v").alias("text_hash"), F.col("n").alias("n_shingles"), "class_id",
+        F.coalesce("comp", "class_id").alias("component_id"))
     return Joined(out.unionByName(_without_key(rows.filter("key IS NULL"), key, k)), links)
 
 
@@ -457,5 +459,5 @@ def _without_key(rows: DataFrame, key: str, k: int) -> DataFrame:
         return lambda batch: [pa.array(np.diff(shingle_sets(*text_buffers(batch.column("text")), k)[1]), pa.int64())]
 
     null = F.lit(None).cast("long")
-    return append_columns(rows, [T.StructField("n_shingles", T.LongType())], build).select(
-        F.col("key").alias(key), "n_shingles", null.alias("class_id"), null.alias("component_id"))
+    return append_columns(rows, [T.StructField("n_shingles", T.LongType())], build, keep=["key", "text"]).select(
+        F.col("key").alias(key), F.xxhash64("text").alias("text_hash"), "n_shingles", null.alias("class_id"), null.alias("component_id"))

@@ -472,12 +472,13 @@ def _spans(docs: DataFrame, length: int, n_shards: int) -> DataFrame:
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 FIELDS = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", _SPAN),
-          T.StructField("kept", T.BinaryType())]
+          T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())]
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
-    """``docs`` with ``n_bytes, n_removed, spans`` (maximal removed byte ranges) and ``kept`` (the
-    remaining UTF-8 bytes; a cut may go through a character).
+    """``docs`` with ``n_bytes, n_removed, spans`` (maximal removed byte ranges), ``kept`` (the
+    remaining UTF-8 bytes; a cut may go through a character) and ``kept_text`` (where anything
+    was removed, the same without parts of characters that were cut through, else null).
 
     A byte goes if a string of ``length`` bytes that covers it also starts in a document
     with a smaller ``key`` (long); strings are judged on the input, and none crosses
@@ -503,7 +504,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         def each(batch: pa.RecordBatch) -> list[pa.Array]:
             data, off = text_buffers(batch.column(text))
             n = np.diff(off)
-            kept, ranges, removed = [], [], []
+            kept, whole, ranges, removed = [], [], [], []
             for j, f in enumerate(batch.column("_found").to_pylist()):
                 own = data[off[j]:off[j + 1]]
                 cuts = np.frombuffer(f, np.int32).reshape(-1, 2).tolist() if f else []
@@ -512,11 +513,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     left.append(own[at:a])
                     at = b
                 left.append(own[at:])
-                kept.append(b"".join(x.tobytes() for x in left))
+                left = [x.tobytes() for x in left]
+                kept.append(b"".join(left))
+                whole.append("".join([x.decode("utf-8", "ignore") for x in left]) if cuts else None)
                 ranges.append([{"start": a, "end": b} for a, b in cuts])
                 removed.append(sum(b - a for a, b in cuts))
             return [pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
-                    pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())]
+                    pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()),
+                    pa.array(whole, pa.string())]
 
         return each
 

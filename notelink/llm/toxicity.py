@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from notelink.llm.common import append_columns, text_buffers, word_hashes
 
 # The bounded sample that is learned from: labelled rows in order of their key's hash.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 10_000
 # Beginnings of words, in bytes, that count as words too: inflected and compound forms.
 PREFIXES = (5, 6, 7)
 # Words of a model (those that tell its category best), and the rows a word must be in.
@@ -64,65 +64,66 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(self.margins(h, first, before), -30, 30)))
 
 
-def _pick_words(h: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The words whose presence tells the category best (chi-squared), sorted."""
-    words, at = np.unique(h, return_inverse=True)
-    n = np.bincount(at, minlength=len(words)).astype(float)
-    pos = np.bincount(at, weights=y[row], minlength=len(words))
-    rate = y.mean()
-    chi = (pos - n * rate) ** 2 / np.maximum(n * rate * (1 - rate), 1e-9)
-    chi[n < MIN_ROWS] = -1
-    best = np.argsort(-chi, kind="stable")[:FEATURES]
-    return np.sort(words[best[chi[best] > 0]])
+@dataclass
+class Sample:
+    """The labelled rows: their words as numbers in ``vocabulary`` (CSR), folds and labels, and
+    which words each category may use, without each fold (the last: without none)."""
+
+    vocabulary: np.ndarray
+    words: np.ndarray
+    first: np.ndarray
+    fold: np.ndarray
+    labels: np.ndarray
+    usable: np.ndarray  # (categories, FOLDS + 1, vocabulary)
 
 
-def fit_linear(h: np.ndarray, first: np.ndarray, before: np.ndarray, y: np.ndarray) -> Linear:
-    """Logistic regression by accelerated gradient steps. With one class only, or no
-    rows, the model is the smoothed share of the category."""
-    n = len(y)
+def fit_linear(s: Sample, rows: np.ndarray, before: np.ndarray, y: np.ndarray, usable: np.ndarray) -> Linear:
+    """Logistic regression by accelerated gradient steps. With one class only, no rows or
+    no words, the model is the smoothed share of the category."""
+    n, k = len(rows), before.shape[1]
     prior = (y.sum() + 0.5) / (n + 1) if n else 1e-6
     bias = float(np.log(prior / (1 - prior)))
-    none = Linear(np.zeros(0, np.uint64), np.zeros(0), np.zeros(before.shape[1]), bias)
-    if n == 0 or y.min() == y.max():
-        return none
-    row = np.repeat(np.arange(n), np.diff(first))
-    words = _pick_words(h, row, y)
-    if not len(words):
-        return none
-    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-    known = words[at] == h
-    col, row = at[known], row[known]
-    k = before.shape[1]
-    x = np.concatenate([np.zeros(len(words) + k), [bias]])
+    vocabulary = np.flatnonzero(usable)
+    if n == 0 or y.min() == y.max() or not len(vocabulary):
+        return Linear(np.zeros(0, np.uint64), np.zeros(0), np.zeros(k), bias)
+    number = np.full(len(usable), -1)
+    number[vocabulary] = np.arange(len(vocabulary))
+    w, first = _rows(s.words, s.first, rows)
+    row, col = np.repeat(np.arange(n), np.diff(first)), number[w]
+    row, col = row[col >= 0], col[col >= 0]
+    m = len(vocabulary)
     # A diagonal bound of the curvature: each coordinate steps by its own, over the features that a row has at most.
     width = np.sqrt(np.bincount(row, minlength=n).max() + k + 1.0)
-    own = np.concatenate([np.bincount(col, minlength=len(words)), (before**2).sum(0) + 1, [n]])
+    own = np.concatenate([np.bincount(col, minlength=m), (before**2).sum(0) + 1, [n]])
     size = 4 / (own * width + RIDGE * n)
+    x = np.concatenate([np.zeros(m + k), [bias]])
     look, t = x.copy(), 1.0
     for _ in range(STEPS):
-        z = np.bincount(row, weights=look[col], minlength=n) + before @ look[len(words):-1] + look[-1]
+        z = np.bincount(row, weights=look[col], minlength=n) + before @ look[m:-1] + look[-1]
         err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        grad = np.concatenate([np.bincount(col, weights=err[row], minlength=len(words)), before.T @ err, [err.sum()]])
+        grad = np.concatenate([np.bincount(col, weights=err[row], minlength=m), before.T @ err, [err.sum()]])
         grad[:-1] += RIDGE * n * look[:-1]
         new = look - size * grad
         t, last = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         look, x = new + (last - 1) / t * (new - x), new
-    return Linear(words, x[:len(words)], x[len(words):-1], float(x[-1]))
+    order = np.argsort(s.vocabulary[vocabulary])
+    return Linear(s.vocabulary[vocabulary][order], x[:m][order], x[m:-1], float(x[-1]))
 
 
-def fit_chain(h: np.ndarray, first: np.ndarray, fold: np.ndarray, labels: np.ndarray) -> list[Linear]:
-    """A model per column of ``labels``; later ones are fitted on out-of-fold probabilities of earlier ones."""
-    n, m = labels.shape
+def fit_chain(s: Sample) -> list[Linear]:
+    """A model per category; later ones are fitted on out-of-fold probabilities of earlier ones."""
+    n, m = s.labels.shape
     outside = np.zeros((n, 0))
     chain = []
     for j in range(m):
-        chain.append(fit_linear(h, first, outside, labels[:, j]))
+        chain.append(fit_linear(s, np.arange(n), outside, s.labels[:, j], s.usable[j, FOLDS]))
         if j + 1 < m:
             p = np.zeros(n)
             for f in range(FOLDS):
-                seen, unseen = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-                model = fit_linear(*_rows(h, first, seen), outside[seen], labels[seen, j])
-                p[unseen] = model.probability(*_rows(h, first, unseen), outside[unseen])
+                seen, unseen = np.flatnonzero(s.fold != f), np.flatnonzero(s.fold == f)
+                model = fit_linear(s, seen, outside[seen], s.labels[seen, j], s.usable[j, f])
+                w, first = _rows(s.words, s.first, unseen)
+                p[unseen] = model.probability(s.vocabulary[w], first, outside[unseen])
             outside = np.column_stack([outside, p])
     return chain
 
@@ -133,37 +134,82 @@ def _rows(h: np.ndarray, first: np.ndarray, keep: np.ndarray) -> tuple[np.ndarra
     return h[np.arange(at[-1]) + np.repeat(first[keep] - at[:-1], size)], at
 
 
+def _usable(stats: pa.Table, fold: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each category, without each fold and without none, the words that tell it best (chi-squared)."""
+    m = y.shape[1]
+    out = np.zeros((m, FOLDS + 1, stats.num_rows), bool)
+    n = np.column_stack([stats.column(f"n{f}").to_numpy() for f in range(FOLDS)]).astype(float)
+    for j in range(m):
+        pos = np.column_stack([stats.column(f"p{j}_{f}").to_numpy() for f in range(FOLDS)]).astype(float)
+        for f in range(FOLDS + 1):
+            seen = [g for g in range(FOLDS) if g != f]
+            n_f, pos_f, rows = n[:, seen].sum(1), pos[:, seen].sum(1), fold != f
+            rate = y[rows, j].mean() if rows.any() else 0.0
+            chi = (pos_f - n_f * rate) ** 2 / max(rate * (1 - rate), 1e-9) / np.maximum(n_f, 1)
+            chi[n_f < MIN_ROWS] = 0
+            best = np.argsort(-chi, kind="stable")[:FEATURES]
+            out[j, f, best[chi[best] > 0]] = True
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, str], key: str = "doc_id",
           text: str = "text", rows: int = TRAIN_ROWS) -> list[Linear]:
     """Fit the chain on at most ``rows`` labelled documents.
 
     ``categories``: name to a 0/1 SQL expression over ``labels``, in the order of the
     chain. Null keys, texts and labels are left out; a key with several labels or
-    texts counts as often as it occurs. Only word hashes of the sample reach the driver.
+    texts counts as often as it occurs. Words are counted in Spark; the driver
+    gets the counts of words in MIN_ROWS rows or more, and the numbers of chosen words.
     """
-    pick = labels.select(F.col(key).alias("k"), *[F.expr(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())])
-    pick = pick.dropna().withColumn("h", F.xxhash64("k")).orderBy("h", "k", *[f"y{i}" for i in range(len(categories))]).limit(rows)
-    found = pick.collect()
-    if not found:
-        empty = np.zeros(0, np.uint64), np.zeros(1, np.int64)
-        return fit_chain(*empty, np.zeros(0), np.zeros((0, len(categories))))
-    spark = docs.sparkSession
-    chosen = spark.createDataFrame([tuple(r) for r in found], pick.schema)
+    m, spark = len(categories), docs.sparkSession
+    y_cols = [f"y{j}" for j in range(m)]
+    pick = labels.select(F.col(key).alias("k"), *[F.expr(c).cast("int").alias(y) for c, y in zip(categories.values(), y_cols)])
+    pick = pick.dropna().withColumn("h", F.xxhash64("k")).orderBy("h", "k", *y_cols).limit(rows)
+    fold = F.pmod(F.floor(F.col("h") / 7), F.lit(FOLDS)).cast("int").alias("fold")
+    chosen = spark.createDataFrame([tuple(r) for r in pick.collect()], pick.schema)
     sample = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).dropna().join(F.broadcast(chosen), "k")
+    found = append_columns(sample, [T.StructField("words", T.ArrayType(T.LongType()))], _word_arrays).drop("t")
+    found = found.select("h", "k", fold, *y_cols, "words")
+    counts = [F.sum((F.col("fold") == f).cast("int")).alias(f"n{f}") for f in range(FOLDS)]
+    counts += [F.sum(F.when(F.col("fold") == f, F.col(y)).otherwise(0)).alias(f"p{j}_{f}") for j, y in enumerate(y_cols) for f in range(FOLDS)]
+    stats = found.withColumn("w", F.explode("words")).groupBy("w").agg(F.count("*").alias("n"), *counts)
+    stats = stats.filter(F.col("n") >= MIN_ROWS).toArrow().combine_chunks().sort_by("w")
+    known = found.select("h", "k", "fold", *y_cols).toArrow()
+    y_all = np.column_stack([known.column(y).to_numpy() for y in y_cols]).astype(float)
+    usable = _usable(stats, known.column("fold").to_numpy(), y_all)
+    kept = usable.any((0, 1))
+    vocabulary = stats.column("w").to_numpy()[kept]
+    payload = spark.sparkContext.broadcast(vocabulary.tobytes())
+
+    def numbers():
+        words = np.frombuffer(payload.value, np.int64)
 
-    def build():
         def each(batch: pa.RecordBatch) -> list[pa.Array]:
-            h, first = word_sets(batch.column("t"))
-            return [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))]
+            col = batch.column("words")
+            h, size = col.flatten().to_numpy(), np.diff(np.asarray(col.offsets))
+            at = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
+            hit = words[at] == h if len(words) else np.zeros(len(h), bool)
+            row = np.repeat(np.arange(len(size)), size)[hit]
+            first = np.searchsorted(row, np.arange(len(size) + 1))
+            return [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(at[hit], pa.int32()))]
 
         return each
 
-    got = append_columns(sample, [T.StructField("words", T.ArrayType(T.LongType()))], build).drop("t")
-    data = got.select("h", "words", *[f"y{i}" for i in range(len(categories))]).toArrow().combine_chunks().sort_by("h")
-    words = data.column("words").combine_chunks()
-    first = np.concatenate([[0], np.cumsum(np.diff(np.asarray(words.offsets)))]).astype(np.int64)
-    y = np.column_stack([data.column(f"y{i}").to_numpy() for i in range(len(categories))]).astype(float)
-    return fit_chain(words.flatten().to_numpy().view(np.uint64), first, np.abs(data.column("h").to_numpy() // 7) % FOLDS, y)
+    data = append_columns(found, [T.StructField("numbers", T.ArrayType(T.IntegerType()))], numbers).drop("words")
+    data = data.toArrow().combine_chunks().sort_by([("h", "ascending"), ("k", "ascending")])
+    got = data.column("numbers").combine_chunks() if data.num_rows else pa.array([], pa.list_(pa.int32()))
+    first = np.concatenate([[0], np.cumsum(np.diff(np.asarray(got.offsets)))]).astype(np.int64)
+    y = np.column_stack([data.column(c).to_numpy() for c in y_cols]).astype(float)
+    return fit_chain(Sample(vocabulary.view(np.uint64), got.flatten().to_numpy(zero_copy_only=False), first,
+                            data.column("fold").to_numpy(), y, usable[:, :, kept]))
+
+
+def _word_arrays():
+    def each(batch: pa.RecordBatch) -> list[pa.Array]:
+        h, first = word_sets(batch.column("t"))
+        return [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))]
+
+    return each
 
 
 def score(docs: DataFrame, chain: list[Linear], names: list[str], text: str = "text") -> DataFrame:
