@@ -98,19 +98,21 @@ def pretokenize(col: Column | str) -> Column:
     Tokens are runs of word characters or single other characters.  A space is
     inserted after every token that is followed by another token when neither
     is white space; ``added`` holds the positions of the inserted spaces in the
-    new text.  Built from a look-around ``regexp_replace`` (a NUL marker) and
-    ``transform``/``filter`` over the code points, all JVM-side.
+    new text.  Built from a look-around ``regexp_replace`` and ``transform``/``filter``
+    over the code points, all JVM-side.
     """
     c = F.col(col) if isinstance(col, str) else col
     w, s = WORD_CHARS, SPACE_CLASS
     boundary = f"(?<=[^{w}{s}])(?=[^{s}])|(?<=[{w}])(?=[^{w}{s}])"
-    marked = F.regexp_replace(c, boundary, "\u0000")
+    # Positions come from a copy in which NUL marks the boundaries; its own NULs are
+    # full stops there, which are of the same class and length.
+    marked = F.regexp_replace(F.translate(c, "\u0000", "."), boundary, "\u0000")
     chars = F.regexp_extract_all(marked, F.lit("(?s)(.)"), 1)
     added = F.filter(
         F.transform(chars, lambda ch, i: F.when(ch == "\u0000", i).otherwise(F.lit(-1))),
         lambda i: i >= 0,
     )
-    return F.struct(F.replace(marked, F.lit("\u0000"), F.lit(" ")).alias("text"), added.alias("added"))
+    return F.struct(F.regexp_replace(c, boundary, " ").alias("text"), added.alias("added"))
 
 
 def canonical_lang(col: Column | str) -> Column:

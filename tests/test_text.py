@@ -32,31 +32,29 @@ def test_pretokenize_golden(spark):
     assert list(r["added"]) == [4, 14]
 
 
-def _pretok_py(s):
-    import re
-
-    toks = [t for t in re.split(f"({tx.PRETOKEN_RE[1:-1]})", s) if t]
-    added, ct = [], 0
-    for i in range(len(toks) - 1):
-        ct += len(toks[i])
-        if not toks[i].isspace() and not toks[i + 1].isspace():
-            toks[i] = toks[i] + " "
-            added.append(ct)
-            ct += 1
-    return "".join(toks), added
+def test_pretokenize_goldens(spark):
+    cases = {"a\x00b": ("a \x00 b", [1, 3]), "": ("", []), " ": (" ", []), "ab": ("ab", []), "é1.": ("é1 .", [2]), "..": (". .", [1]),
+             "a, b": ("a , b", [1]), "(x)\n-y": ("( x )\n- y", [1, 3, 7]), "日本": ("日 本", [1])}
+    rows = spark.createDataFrame([(t,) for t in cases], ["t"]).select("t", tx.pretokenize("t").alias("p")).collect()
+    assert {r["t"]: (r["p"]["text"], list(r["p"]["added"])) for r in rows} == cases
 
 
-def test_pretokenize_random(spark):
+def test_pretokenize_properties(spark):
+    """Without the inserted spaces the text is the input; no two different tokens touch any more."""
     import random
+    import re
 
     rnd = random.Random(7)
-    alphabet = "ab é,.;-\n\t?!()12"
+    alphabet = "ab é,.;-\n\t?!()12\x00"
     rows = [("".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 30))),) for _ in range(200)]
-    got = spark.createDataFrame(rows, ["t"]).select("t", tx.pretokenize("t").alias("p")).collect()
-    for r in got:
-        text, added = _pretok_py(r["t"])
-        assert r["p"]["text"] == text, r["t"]
-        assert list(r["p"]["added"]) == added, r["t"]
+    word, other = f"[{tx.WORD_CHARS}]", f"[^{tx.WORD_CHARS}\\s]"
+    touching = re.compile(f"{word}{other}|{other}{word}|{other}{other}")
+    for r in spark.createDataFrame(rows, ["t"]).select("t", tx.pretokenize("t").alias("p")).collect():
+        text, added = r["p"]["text"], set(r["p"]["added"])
+        assert all(text[i] == " " for i in added)
+        assert "".join(c for i, c in enumerate(text) if i not in added) == r["t"]
+        assert not touching.search(text)
+        assert all(text[i - 1] not in " \n\t" and text[i + 1] not in " \n\t" for i in added)
 
 
 def test_canonical_lang(spark):
@@ -86,3 +84,24 @@ def test_chunk_goldens(spark):
         assert [c["chunk_id"] for c in ch] == list(range(len(sizes)))
         text = rows[doc][1]
         assert all(text[c["start"]:c["end"]] == c["text"] for c in ch)
+
+
+def test_long_sentence_is_cut_in_linear_time_and_loses_nothing(spark):
+    from notelink.operators import textprep as tp
+
+    text = "start " + " ".join(f"w{i},x" for i in range(3000))
+    docs = spark.createDataFrame([("d1", text)], "doc_id string, text string")
+    for tok in (None, lambda t: [(m.start(), m.end()) for m in __import__("re").finditer(r"\w+|[^\w\s]", t)]):
+        rows = tp.build_chunks(docs, 100, tok).orderBy("chunk_id").collect()
+        assert len(rows) == 91 and all(text[r["start"]:r["end"]] == r["text"] for r in rows)
+        assert "".join("".join(r["text"].split()) for r in rows) == "".join(text.split())
+
+
+def test_lines_end_where_python_ends_them(spark):
+    from notelink.operators import textprep as tp
+
+    text = "one\x0btwo\x0cthree\u2028four\x85five\r\nsix\rseven\n\neight"
+    docs = spark.createDataFrame([("d", text)], "doc_id string, text string")
+    rows = tp.split_lines_sentences(docs).orderBy("start").collect()
+    assert [r["text"] for r in rows] == [x for x in text.splitlines() if x]
+    assert all(text[r["start"]:r["end"]] == r["text"] for r in rows)
