@@ -7,27 +7,23 @@ from pyspark.sql import functions as F
 
 from notelink.operators import dense as dn
 from notelink.operators.gazetteer import dedup_terms
-from notelink.plans.materialize import keyed_constants, lookup_constant
+from notelink.plans.materialize import with_constants
 from notelink.sources import gazetteer as sg
 
 
 def coverage_gaps(docs: DataFrame, gazetteer: DataFrame, vectors: DataFrame | None, entity_types: DataFrame) -> DataFrame:
     """R1: per (lang, entity type): documents, terms and vectors, and what is missing.
 
-    ``entity_types``: ``entity_type`` rows (a small list).  ``missing`` lists,
+    ``entity_types``: ``entity_type`` rows, the caller's own list of what to check.  ``missing`` lists,
     in order, ``gazetteer`` and ``vectors`` when absent.
     """
     langs = docs.groupBy("lang").agg(F.count("*").alias("n_docs"))
-    types = [r["entity_type"] for r in entity_types.select("entity_type").distinct().limit(10_001).collect()]
-    if len(types) > 10_000:
-        raise ValueError("expected a short list of entity types")
-    grid = langs.withColumn("entity_type", F.explode(F.array(*[F.lit(t) for t in sorted(types)])))
+    types = sorted(r["entity_type"] for r in entity_types.select("entity_type").distinct().collect())
+    grid = langs.withColumn("entity_type", F.explode(F.array(*[F.lit(t) for t in types]).cast("array<string>")))
     keys = ["lang", "entity_type"]
-    terms = keyed_constants(dedup_terms(gazetteer).groupBy(*keys).agg(F.count("*").alias("n_terms")), keys, ["n_terms"])
-    out = grid.withColumn("n_terms", lookup_constant(terms, keys, "n_terms", "long"))
+    out = with_constants(grid, dedup_terms(gazetteer).groupBy(*keys).agg(F.count("*").alias("n_terms")), keys)
     if vectors is not None:
-        vec = keyed_constants(vectors.groupBy(*keys).agg(F.count("*").alias("n_vectors")), keys, ["n_vectors"])
-        out = out.withColumn("n_vectors", lookup_constant(vec, keys, "n_vectors", "long"))
+        out = with_constants(out, vectors.groupBy(*keys).agg(F.count("*").alias("n_vectors")), keys)
     else:
         out = out.withColumn("n_vectors", F.lit(None).cast("long"))
     n_terms = F.coalesce(F.col("n_terms"), F.lit(0))

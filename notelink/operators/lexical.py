@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from notelink.functions.similarity import PAIR_UDFS
 from notelink.functions.text import SPACE_CLASS, normalize
 from notelink.operators.gazetteer import gaz_keys, norm_index, normalized_terms
-from notelink.plans.materialize import checkpointed, keyed_constants, lookup_constant
+from notelink.plans.materialize import checkpointed, with_constants
 
 METHODS = ("levenshtein", "jaro-winkler", "token-sort-ratio", "token-set-ratio")
 NO_MAP = "NO_MAP"
@@ -46,13 +46,13 @@ def with_type_key(mentions: DataFrame, gaz: DataFrame) -> tuple[DataFrame, DataF
 def canonical_method(method: str) -> str:
     m = method.strip().lower().replace("_", "-")
     if m not in METHODS:
-        raise ValueError(f"Unknown method: {method!r}. Valid options: {list(METHODS)}")
+        raise ValueError(f"{method!r} is no fuzzy method; there are {', '.join(METHODS)}")
     return m
 
 
 def check_threshold(threshold: float) -> float:
     if threshold is None or not 0 <= float(threshold) <= 1:
-        raise ValueError("Threshold must be [0, 1]")
+        raise ValueError(f"the least score must be a number from 0 to 1, not {threshold!r}")
     return float(threshold)
 
 
@@ -108,13 +108,16 @@ def _upper_bound(method: str, la: Column, lb: Column) -> Column:
     return F.when(tot == 0, 1.0).otherwise(2 * lcs / tot)
 
 
-def _score(method: str, m: Column, t: Column) -> Column:
+def _raw_score(method: str, m: Column, t: Column) -> Column:
     if method == "levenshtein":
         big = F.greatest(F.length(m), F.length(t))
-        raw = F.when(big == 0, 1.0).otherwise(1 - F.levenshtein(m, t) / big)
-    else:
-        raw = PAIR_UDFS[method](m, t)
-    return F.round(raw, SCORE_DIGITS)
+        return F.when(big == 0, 1.0).otherwise(1 - F.levenshtein(m, t) / big)
+    return PAIR_UDFS[method](m, t)
+
+
+def _score(method: str, m: Column, t: Column) -> Column:
+    """The score that is reported and compared: rounded, so that ties are ties."""
+    return F.round(_raw_score(method, m, t), SCORE_DIGITS)
 
 
 def _best(df: DataFrame, group: list[str]) -> DataFrame:
@@ -161,10 +164,9 @@ def _levenshtein_best(queries: DataFrame, terms: DataFrame, keys: list[str]) ->
     seeds = seeds.withColumn("score", _score("levenshtein", F.col("m"), F.col("norm")))
     s0 = _best(seeds, group).select(*group, F.col("score").alias("s0"))
     # 2. per query: required overlap per term length, prefix size, residual lengths
-    lens = keyed_constants(terms.groupBy(*keys).agg(F.array_sort(F.collect_set(F.length("norm"))).alias("lbs")),
-                           keys, ["lbs"])
+    lens = terms.groupBy(*keys).agg(F.array_sort(F.collect_set(F.length("norm"))).alias("lbs"))
     q = queries.join(s0, group, "left").withColumn("s0", F.coalesce("s0", F.lit(0.0)))
-    q = q.withColumn("la", F.length("m")).withColumn("lbs", lookup_constant(lens, keys, "lbs"))
+    q = with_constants(q.withColumn("la", F.length("m")), lens, keys)
     big = lambda lb: F.greatest(F.col("la"), lb)
     alpha = lambda lb: big(lb) - 1 - 2 * F.floor((F.lit(1.0) - F.col("s0") + F.lit(1e-6)) * big(lb))
     ub = lambda lb: F.round(_upper_bound("levenshtein", F.col("la"), lb), SCORE_DIGITS)
@@ -201,11 +203,10 @@ def fuzzy_best(queries: DataFrame, terms: DataFrame, method: str) -> DataFrame:
     best1 = _best(scored, group)
     # residual: term lengths whose bound could reach the best candidate score
     lens = terms.groupBy(*keys).agg(F.array_sort(F.collect_set(F.length(_form(method, F.col("norm"))))).alias("lbs"))
-    lens = keyed_constants(lens, keys, ["lbs"])
     q = queries.join(best1.select(*group, F.col("score").alias("s1")), group, "left")
     q = q.withColumn("la", F.length(_form(method, F.col("m"))))
     # one row per distinct term length of the key (a bounded list), kept where the bound allows
-    need = q.withColumn("lb", F.explode(lookup_constant(lens, keys, "lbs")))
+    need = with_constants(q, lens, keys).withColumn("lb", F.explode("lbs")).drop("lbs")
     need = need.where(F.col("s1").isNull() | (F.round(_upper_bound(method, F.col("la"), F.col("lb")), SCORE_DIGITS)
                                               >= F.col("s1")))
     tl = terms.select(*keys, "gaz_ord", "norm", F.length(_form(method, F.col("norm"))).alias("lb"))
@@ -237,9 +238,11 @@ def link_fuzzy(mentions: DataFrame, gaz: DataFrame, method: str = "levenshtein",
     rest = queries.join(index.select(*keys, F.col("norm").alias("m")), [*keys, "m"], "left_anti")
     best = fuzzy_best(rest, terms, method)
     best = best.join(index.select(*keys, "norm", F.col("term").alias("_t"), F.col("code").alias("_c")), [*keys, "norm"])
+    # the threshold is for the score itself, before rounding
+    best = best.withColumn("_raw", _raw_score(method, F.col("m"), F.col("norm")))
     linked = best.select(*keys, "m",
-                         F.when(F.col("score") >= threshold, F.col("_t")).alias("term"),
-                         F.when(F.col("score") >= threshold, F.col("_c")).otherwise(F.lit(NO_MAP)).alias("code"),
+                         F.when(F.col("_raw") >= threshold, F.col("_t")).alias("term"),
+                         F.when(F.col("_raw") >= threshold, F.col("_c")).otherwise(F.lit(NO_MAP)).alias("code"),
                          F.col("score").alias("nel_score"))
     links = exact.unionByName(linked)
     out = m.join(links.withColumnRenamed("m", "_m"), [*keys, "_m"], "left")
@@ -263,14 +266,11 @@ def bm25_postings(terms: DataFrame) -> DataFrame:
     toks = terms.select(*keys, "gaz_ord", F.explode(_tokens(F.col("norm"))).alias("token"))
     tf = toks.groupBy(*keys, "gaz_ord", "token").agg(F.count("*").alias("tf"))
     dl = terms.select(*keys, "gaz_ord", F.size(_tokens(F.col("norm"))).alias("dl"))
-    corpus = keyed_constants(dl.groupBy(*keys).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")),
-                             keys, ["n_docs", "avgdl"])
+    corpus = dl.groupBy(*keys).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     df_ = tf.groupBy(*keys, "token").agg(F.count("*").alias("df"))
-    idf = df_.withColumn("n_docs", lookup_constant(corpus, keys, "n_docs", "long")) \
-        .withColumn("avgdl", lookup_constant(corpus, keys, "avgdl", "double"))
+    idf = with_constants(df_, corpus, keys)
     idf = idf.withColumn("idf_raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    avg_idf = keyed_constants(idf.groupBy(*keys).agg(F.avg("idf_raw").alias("avg_idf")), keys, ["avg_idf"])
-    idf = idf.withColumn("avg_idf", lookup_constant(avg_idf, keys, "avg_idf", "double"))
+    idf = with_constants(idf, idf.groupBy(*keys).agg(F.avg("idf_raw").alias("avg_idf")), keys)
     idf = idf.withColumn("idf", F.when(F.col("idf_raw") < 0, BM25_EPSILON * F.col("avg_idf")).otherwise(F.col("idf_raw")))
     post = tf.join(dl, [*keys, "gaz_ord"]).join(idf.select(*keys, "token", "df", "idf", "avgdl"), [*keys, "token"])
     return post
@@ -341,9 +341,9 @@ def _bm25_best_full(queries: DataFrame, terms: DataFrame, post: DataFrame) -> Da
         F.max_by(F.struct("gaz_ord", "score"), F.struct(F.col("score"), -F.col("gaz_ord"))).alias("_pos"),
         F.count("*").alias("_n"),
         F.min(F.when(F.col("score") == 0, F.col("gaz_ord"))).alias("_zero_ord"))
-    sizes = keyed_constants(ranked.groupBy(*keys).agg(F.count("*").alias("_total")), keys, ["_total"])
+    sizes = ranked.groupBy(*keys).agg(F.count("*").alias("_total"))
     q = queries.select(*group).join(agg, group, "left").join(_first_missing_rank(s, group), group, "left")
-    q = q.withColumn("_total", lookup_constant(sizes, keys, "_total", "long"))
+    q = with_constants(q, sizes, keys)
     n = F.coalesce(F.col("_n"), F.lit(0))
     # first term (in file order) sharing no token: the first gap in the ranks, else rank n when n < N
     q = q.withColumn("_free_r", F.coalesce(F.col("_gap_idx"), F.when(n < F.col("_total"), n)))

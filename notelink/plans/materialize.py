@@ -7,11 +7,6 @@ from pyspark.sql import functions as F
 
 from notelink.session import ensure_checkpoint_dir
 
-# Broadcast a side only when its measured size is below this many bytes and
-# below the session's own auto-broadcast threshold.
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` to the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -19,14 +14,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def broadcast_limit(spark) -> int:
+    """The session's own auto-broadcast threshold; a side is broadcast only when it is measured smaller."""
     conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
     try:
         limit = int(str(conf).lower().rstrip("b"))
     except ValueError:
         limit = 10485760
-    if limit <= 0:
-        return 0
-    return max(limit, DEFAULT_BROADCAST_BYTES)
+    return max(limit, 0)
 
 
 def measured_bytes(df: DataFrame) -> tuple[int, int]:
@@ -58,31 +52,13 @@ def maybe_broadcast(df: DataFrame, limit: int | None = None) -> tuple[DataFrame,
     return df, False
 
 
-# Per-key constants (one row per language x entity type) are attached through a
-# map literal instead of a join; this caps how many keys that may be.
-MAX_KEYED_CONSTANTS = 100_000
-
-
-def keyed_constants(df: DataFrame, keys: list[str], values: list[str]) -> dict:
-    """Collect a small per-key table as ``{key tuple: {value: v}}`` (size-checked)."""
-    rows = df.select(*keys, *values).limit(MAX_KEYED_CONSTANTS + 1).collect()
-    if len(rows) > MAX_KEYED_CONSTANTS:
-        raise ValueError(f"more than {MAX_KEYED_CONSTANTS} keys; expected a small per-key table")
-    return {tuple(r[k] for k in keys): {v: r[v] for v in values} for r in rows}
+def with_constants(df: DataFrame, consts: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the other columns of ``consts`` (one row per key; null keys match null).
 
-
-def _key_string(cols: list) -> F.Column:
-    return F.concat_ws("\u0001", *[F.coalesce(c.cast("string"), F.lit("\u0002")) for c in cols]) if cols else F.lit("")
-
-
-def lookup_constant(consts: dict, keys: list[str], value: str, cast: str | None = None) -> F.Column:
-    """Column holding ``consts[key][value]`` for each row's key (null when absent)."""
-    kv = []
-    for k, vals in consts.items():
-        kv.append(F.lit("\u0001".join("\u0002" if x is None else str(x) for x in k)))
-        v = vals[value]
-        kv.append(F.lit(v) if not isinstance(v, (list, tuple)) else F.array(*[F.lit(x) for x in v]))
-    if not kv:
-        return F.lit(None)
-    col = F.try_element_at(F.create_map(*kv), _key_string([F.col(k) for k in keys]))
-    return col.cast(cast) if cast else col
+    An equi-join that Spark broadcasts while the table is small; there is no limit on the number of keys.
+    """
+    right = consts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in consts.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(right, on, "left").drop(*[f"_k_{k}" for k in keys])

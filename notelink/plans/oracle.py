@@ -84,40 +84,44 @@ FROM (
 )
 """
 
-# Keyword tokens (lookup word characters) of the normalised documents.
+# Pieces of the normalised documents as lookup reads them: keyword tokens (with the
+# keyword token after them) and single other characters.
 VIEWS["ktok_fx"] = f"""
-SELECT doc_id, pos, tok, CAST(e - length(tok) AS BIGINT) AS s, CAST(e AS BIGINT) AS e,
-       lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS next_tok FROM (
+SELECT doc_id, tok, CAST(e - length(tok) AS BIGINT) AS s, CAST(e AS BIGINT) AS e,
+       lead(tok) OVER (PARTITION BY doc_id, regexp_matches(tok, '^[{KW}]') ORDER BY pos) AS next_tok FROM (
   SELECT doc_id, pos, tok, sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS e
   FROM (
     SELECT doc_id, unnest(toks) AS tok, unnest(range(0, len(toks))) AS pos
     FROM (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '([{KW}]+|[^{KW}])', 1) AS toks FROM documents)
   )
-) WHERE regexp_matches(tok, '^[{KW}]')
+)
 """
 
-# Dictionary lookup of gaz_words in the documents (L1-L3), independent form:
-# candidates by first token + substring test, then islands and a recursive
-# chain of "next start at or after the previous end".
-VIEWS["lookup_fx"] = f"""
-WITH RECURSIVE g1 AS (
+# Occurrences of gaz_words in the documents (L1), independent form: by first piece, then a
+# substring test; no keyword character may follow.
+VIEWS["cand_fx"] = f"""
+WITH g1 AS (
   SELECT entity_type, term, arg_min(code, gaz_ord) AS code, min(gaz_ord) AS gaz_ord FROM gaz_words GROUP BY ALL
 ), g2 AS (
   SELECT entity_type, strip_accents(lower(term)) AS norm, arg_max(term, gaz_ord) AS term,
          arg_max(code, gaz_ord) AS code FROM g1 GROUP BY ALL
 ), shp AS (
-  SELECT *, regexp_extract(norm, '^[{KW}]+') AS first_tok,
-         regexp_extract(norm, '^[{KW}]+[^{KW}]+([{KW}]+)', 1) AS second_tok FROM g2
-  WHERE regexp_matches(norm, '^[{KW}]') AND regexp_matches(norm, '[{KW}]$')
-), nt AS (
-  SELECT doc_id, text, strip_accents(lower(text)) AS norm FROM documents
-), cand AS (
-  SELECT t.doc_id, g.entity_type, t.s AS start, t.s + length(g.norm) AS "end", g.term, g.code
-  FROM ktok_fx t JOIN shp g ON g.first_tok = t.tok AND (g.second_tok = '' OR g.second_tok = t.next_tok)
-  JOIN nt n ON n.doc_id = t.doc_id
-  WHERE substring(n.norm, t.s + 1, length(g.norm)) = g.norm
+  SELECT *, regexp_extract(norm, '^([{KW}]+|[^{KW}])', 1) AS first_tok,
+         regexp_extract(norm, '^[{KW}]+[^{KW}]+([{KW}]+)', 1) AS second_tok FROM g2 WHERE norm <> ''
+)
+SELECT t.doc_id, g.entity_type, t.s AS start, t.s + length(g.norm) AS "end", g.term, g.code
+FROM ktok_fx t JOIN shp g ON g.first_tok = t.tok AND (g.second_tok = '' OR g.second_tok = t.next_tok)
+JOIN (SELECT doc_id, strip_accents(lower(text)) AS norm FROM documents) n ON n.doc_id = t.doc_id
+WHERE starts_with(substring(n.norm, t.s + 1, length(g.norm) + 1), g.norm)
+  AND NOT regexp_matches(substring(n.norm, t.s + length(g.norm) + 1, 1), '[{KW}]')
+"""
+
+# L2 and L3: islands and a recursive chain of "next start at or after the previous end".
+VIEWS["lookup_fx"] = f"""
+WITH RECURSIVE nt AS (
+  SELECT doc_id, text FROM documents
 ), cand2 AS (
-  SELECT c.* FROM cand c JOIN ktok_fx k ON k.doc_id = c.doc_id AND k.e = c."end"
+  SELECT * FROM cand_fx
 ), ordd AS (
   SELECT *, max("end") OVER (PARTITION BY doc_id, entity_type ORDER BY start, "end" DESC
                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM cand2
@@ -154,7 +158,8 @@ _DEPS = {
     "mentions_fx": ["words_fx"],
     "scopes_fx": ["words_fx"],
     "gaz_words": ["words_fx"],
-    "lookup_fx": ["gaz_words", "ktok_fx"],
+    "cand_fx": ["gaz_words", "ktok_fx"],
+    "lookup_fx": ["cand_fx"],
 }
 
 

@@ -76,20 +76,11 @@ def q_g2_norm_index(spark: SparkSession, d: str) -> DataFrame:
 
 # --- L1-L3 / P1 dictionary lookup -------------------------------------------
 
-@register("q_l1_lookup_candidates", with_views(["lookup_fx"], """
-SELECT doc_id, entity_type, start, "end", code FROM (
-  SELECT t.doc_id, g.entity_type, CAST(t.s AS BIGINT) AS start, CAST(t.s + length(g.norm) AS BIGINT) AS "end", g.code
-  FROM ktok_fx t
-  JOIN (SELECT entity_type, norm, arg_max(code, gaz_ord) AS code, regexp_extract(norm, '^[0-9A-Za-z_]+') AS first_tok,
-               regexp_extract(norm, '^[0-9A-Za-z_]+[^0-9A-Za-z_]+([0-9A-Za-z_]+)', 1) AS second_tok
-        FROM (SELECT entity_type, strip_accents(lower(term)) AS norm, code, gaz_ord FROM gaz_words) GROUP BY ALL) g
-    ON g.first_tok = t.tok AND (g.second_tok = '' OR g.second_tok = t.next_tok)
-  JOIN (SELECT doc_id, strip_accents(lower(text)) AS norm FROM documents) n ON n.doc_id = t.doc_id
-  WHERE substring(n.norm, t.s + 1, length(g.norm)) = g.norm
-) c WHERE EXISTS (SELECT 1 FROM ktok_fx k WHERE k.doc_id = c.doc_id AND k.e = c."end")
+@register("q_l1_lookup_candidates", with_views(["cand_fx"], """
+SELECT doc_id, entity_type, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", code FROM cand_fx
 """))
 def q_l1_lookup_candidates(spark: SparkSession, d: str) -> DataFrame:
-    idx = gz.norm_index(fx.gaz_words(spark, d), exact=True)
+    idx = checkpointed(gz.norm_index(fx.gaz_words(spark, d), exact=True))
     c = lk.lookup_candidates(fx.docs_fx(spark, d), idx)
     return c.select("doc_id", "entity_type", *_long("start", "end"), "code")
 
@@ -215,9 +206,13 @@ def q_x4_scope_attributes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("q_x3_overlap_pairs", with_views(["mentions_fx", "scopes_fx"], """
+, mb AS (SELECT doc_id, ord, start, "end", unnest(list_distinct([start // 500, ("end" - 1) // 500])) AS bin FROM mentions_fx)
+, sb AS (SELECT doc_id, ner_class, ner_score, start, "end", unnest(range(start // 500, ("end" - 1) // 500 + 1)) AS bin
+         FROM scopes_fx WHERE "end" > start)
 SELECT m.doc_id, m.ord, s.ner_class AS s_class, s.ner_score AS s_score
-FROM mentions_fx m JOIN scopes_fx s ON s.doc_id = m.doc_id
-  AND ((s.start <= m.start AND m.start < s."end") OR (s.start < m."end" AND m."end" <= s."end"))
+FROM mb m JOIN sb s ON s.doc_id = m.doc_id AND s.bin = m.bin
+WHERE CASE WHEN s.start <= m.start AND m.start < s."end" THEN m.start // 500 = m.bin
+           WHEN s.start < m."end" AND m."end" <= s."end" THEN (m."end" - 1) // 500 = m.bin ELSE false END
 """))
 def q_x3_overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     p = ng.overlap_pairs(fx.mentions_fx(spark, d), ng.select_scopes(fx.scopes_fx(spark, d)), ["doc_id", "ord"])
@@ -268,13 +263,13 @@ _LINK_BASE = """
 
 def _fuzzy_sql(score: str, threshold: float = 0.7) -> str:
     return with_views(["gaz_part", "noisy_fx"], _LINK_BASE + f"""
-, sc AS (SELECT q.m, t.gaz_ord, t.norm, round({score}, 6) AS score FROM q, t)
+, sc AS (SELECT q.m, t.gaz_ord, t.norm, {score} AS raw, round({score}, 6) AS score FROM q, t)
 , best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY score DESC, gaz_ord) AS rn FROM sc) WHERE rn = 1)
 , links AS (
   SELECT g2.norm AS m, g2.term, g2.code, CAST(1 AS DOUBLE) AS nel_score FROM g2
   UNION ALL
-  SELECT b.m, CASE WHEN b.score >= {threshold} THEN g2.term END AS term,
-         CASE WHEN b.score >= {threshold} THEN g2.code ELSE 'NO_MAP' END AS code, b.score AS nel_score
+  SELECT b.m, CASE WHEN b.raw >= {threshold} THEN g2.term END AS term,
+         CASE WHEN b.raw >= {threshold} THEN g2.code ELSE 'NO_MAP' END AS code, b.score AS nel_score
   FROM best b JOIN g2 ON g2.norm = b.norm
 )
 SELECT mm.base, CAST(mm.v AS BIGINT) AS v, mm.span, coalesce(l.code, 'NO_MAP') AS code,
