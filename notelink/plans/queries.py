@@ -425,8 +425,9 @@ def q_d6_retrieve_by_label(spark: SparkSession, d: str) -> DataFrame:
 @register("q_p4_link_dense")
 def q_p4_link_dense(spark: SparkSession, d: str) -> DataFrame:
     """P4 linking with the hashed n-gram embedder: noisy part names against the part gazetteer."""
-    vecs = checkpointed(dn.embed_terms(fx.gaz_part(spark, d)))
-    out = dn.link_dense(_noisy_mentions(spark, d), vecs)
+    model = dn.hashed_ngram_embedder()
+    vecs = checkpointed(dn.embed_terms(fx.gaz_part(spark, d), model))
+    out = dn.link_dense(_noisy_mentions(spark, d), vecs, model)
     return out.select("base", "v", "span", "code", "term", "nel_score")
 
 
@@ -584,8 +585,9 @@ def q_p5_pipeline_dense_negation(spark: SparkSession, d: str) -> DataFrame:
     ments = checkpointed(tg.tag_all(docs, {"PART": _long_word_tagger()}, max_tokens=64))
     scope_tagger = tg.regex_tagger(r"\b(?:[Nn]ot?|[Pp]as|[Kk]ein|[Ss]in)\b[^.\n]{0,40}", "NSCO", lambda s: 0.9)
     scopes = tg.detect_mentions(docs, scope_tagger, max_tokens=64, merge_mode=None)
-    vecs = checkpointed(dn.embed_terms(fx.gaz_part(spark, d).withColumn("entity_type", F.lit("PART"))))
-    linked = dn.link_dense(ments, vecs)
+    model = dn.hashed_ngram_embedder()
+    vecs = checkpointed(dn.embed_terms(fx.gaz_part(spark, d).withColumn("entity_type", F.lit("PART")), model))
+    linked = dn.link_dense(ments, vecs, model)
     neg = ng.scope_attributes(linked, scopes, ["doc_id", "entity_type", "ord"])
     return rc.annotation_signature(rc.build_records(docs, neg, ["PART"]))
 
