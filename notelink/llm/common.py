@@ -35,6 +35,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold at most ``rows`` texts: the default of 10,000 is meant for narrow rows,
+    and each task holds a batch twice, in the JVM and in its Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without the columns that an operator is about to add (any case)."""
     low = {n.lower() for n in names}
@@ -49,6 +57,7 @@ def append_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[],
     to the new arrays. Input columns named like a new one are replaced, unless
     ``fn`` needs them: then list the columns to keep in ``keep``.
     """
+    bounded_batches(df.sparkSession)
     low = {f.name.lower() for f in fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in low and (keep is None or f.name in keep)]
     schema = T.StructType([*kept, *fields])

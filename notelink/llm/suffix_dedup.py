@@ -31,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notelink.llm.common import (BYTE_VALUES, append_columns, mix, shard_of, slabs, squeeze, text_buffers, unsqueeze, without)
+from notelink.llm.common import (BYTE_VALUES, append_columns, bounded_batches, mix, shard_of, slabs, squeeze, text_buffers, unsqueeze, without)
 
 # Bytes of an anchor; a window of 50 bytes has 29 of them to choose from.
 GRAM = 22
-# Anchors or contexts that a task gathers before it sends them, and text per range of the hash order.
-FLUSH, SHARD_BYTES = 1_000_000, 12 * 1024 * 1024
+# What bounds a task's memory: text per array step, anchors gathered before they are sent, contexts
+# (by occurrences and by bytes), and text per range of the hash order.
+STEP_BYTES, FLUSH, PENDING, CONTEXT_BYTES, SHARD_BYTES = 512 * 1024, 400_000, 100_000, 4 * 1024 * 1024, 6 * 1024 * 1024
 SHALLOW = 4  # words of eight bytes that the multikey pass sorts by
 
 
@@ -188,8 +189,8 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     edge = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)]))
     first, place = start[edge], place[edge]
     row = np.searchsorted(off, first, "right") - 1
-    # texts lie one after another: an anchor's windows are all of one text
-    return h[place], row, first - off[row], place - first, np.diff(np.concatenate([edge, [len(start)]]))
+    # Least hashes lie low in their order; hashed once more, they spread evenly over its ranges.
+    return mix(h[place]), row, first - off[row], place - first, np.diff(np.concatenate([edge, [len(start)]]))
 
 
 _MOVED = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("batch", T.LongType()), T.StructField("kind", T.IntegerType()),
@@ -231,7 +232,7 @@ class _Anchors:
         run = _same(h)
         several = np.bincount(run, weights=np.concatenate([[0], (np.diff(run) == 0) & (np.diff(key[row]) != 0)]) if len(run) else None)
         shared = several[run] > 0 if len(run) else np.zeros(0, bool)
-        yield _moved(batch % n_shards, batch, _INFO, squeeze(key), squeeze(v), *_pack_found(h, row, rest, shared))
+        yield _moved(batch % n_shards, batch, _INFO, squeeze(key), squeeze(v), *_pack_found(row, rest, shared))
         # of shared ones one goes out, without a document; of the others all
         lead = np.concatenate([[True], run[1:] != run[:-1]]) if len(run) else shared
         out_row = np.where(shared, np.int32(-1), row)
@@ -244,10 +245,24 @@ class _Anchors:
         self.__init__()
 
 
-def _pack_found(h, row, rest, keep) -> tuple[bytes, bytes, bytes, bytes]:
-    """The anchors to keep: hash, document, first window, and place and count together."""
-    first, place, count = (x[keep] for x in rest)
-    return squeeze(h[keep], True), squeeze(row[keep]), squeeze(first), squeeze(np.stack([place, count], 1).view(np.uint16).ravel())
+def _pack_found(row, rest, keep) -> tuple[bytes, bytes, bytes]:
+    """The anchors to keep, by document and place: document, first window, and place and count together."""
+    row, first, place, count = (x[keep] for x in (row, *rest))
+    order = np.lexsort((first, row))
+    both = np.stack([place, count], 1).view(np.uint16).ravel()
+    return squeeze(row[order], True), squeeze(first[order], True), squeeze(both[order])
+
+
+def _pack_document(first: np.ndarray, both: np.ndarray) -> bytes:
+    """One document's anchors, as byte planes of differences (Spark's shuffle compresses them)."""
+    step = np.diff(first, prepend=np.int32(0))
+    return np.ascontiguousarray(step.view(np.uint8).reshape(-1, 4).T).tobytes() + both.tobytes()
+
+
+def _unpack_document(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(data, np.uint8, 4 * n).reshape(4, n)
+    first = np.cumsum(np.ascontiguousarray(planes.T).view(np.int32).ravel(), dtype=np.int32)
+    return first, np.frombuffer(data, np.uint8, 2 * n, 4 * n).reshape(n, 2)
 
 
 def _shared_anchors(docs: DataFrame, length: int, n_shards: int) -> DataFrame:
@@ -256,7 +271,7 @@ def _shared_anchors(docs: DataFrame, length: int, n_shards: int) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, done, got = TaskContext.get().partitionId(), 0, _Anchors()
         for batch in batches:
-            for part in slabs(batch):
+            for part in slabs(batch, STEP_BYTES):
                 got.add(part.column("key").to_numpy(), part.column("v").to_numpy(), *text_buffers(part.column("text")), length)
                 if got.n >= FLUSH:
                     yield from got.flush((task << 24) + done, n_shards)
@@ -291,21 +306,20 @@ def _shared_anchors(docs: DataFrame, length: int, n_shards: int) -> DataFrame:
         for s, (a, b) in enumerate(zip(cut, cut[1:])):
             keep = shared[a:b]
             if keep.any():
-                yield _moved(0, batch_of[s], _BACK, b"", b"", *_pack_found(h[a:b], row[a:b], [x[a:b] for x in rest], keep))
+                yield _moved(0, batch_of[s], _BACK, b"", b"", *_pack_found(row[a:b], [x[a:b] for x in rest], keep))
 
     def settle(group: tuple, t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
         info = next(r for r in rows if r["kind"] == _INFO)
         key, v = unsqueeze(info["a"], np.int64), unsqueeze(info["b"], np.int64)
-        h = np.concatenate([unsqueeze(r["c"], np.uint64, True) for r in rows])
-        row = np.concatenate([unsqueeze(r["d"], np.int32) for r in rows])
-        first = np.concatenate([unsqueeze(r["e"], np.int32) for r in rows])
-        both = np.concatenate([unsqueeze(r["f"], np.uint16) for r in rows])
+        row = np.concatenate([unsqueeze(r["c"], np.int32, True) for r in rows])
+        first = np.concatenate([unsqueeze(r["d"], np.int32, True) for r in rows])
+        both = np.concatenate([unsqueeze(r["e"], np.uint16) for r in rows])
         order = np.lexsort((first, row))
-        h, row, first, both = h[order], row[order], first[order], both[order]
+        row, first, both = row[order], first[order], both[order]
         docs_, at = np.unique(row, return_index=True)
         cut = [*at.tolist(), len(row)]
-        packed = [h[a:b].tobytes() + first[a:b].tobytes() + both[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+        packed = [_pack_document(first[a:b], both[a:b]) for a, b in zip(cut, cut[1:])]
         return pa.table({"key": key[docs_], "v": v[docs_], "n": np.diff(cut).astype(np.int32), "found": pa.array(packed, pa.binary())})
 
     sent = docs.mapInArrow(gather, _MOVED).repartitionById(n_shards, "shard")
@@ -321,11 +335,11 @@ class _Contexts:
         self.docs, self.ids, self.contexts, self.owner = [], {}, [], []
         self.pending, self.bytes = [], 0
 
-    def add(self, key: int, v: int, text: bytes, n: int, found: bytes, length: int) -> None:
+    def add(self, key: int, v: int, text: bytes, grams: np.ndarray, first: np.ndarray, both: np.ndarray, length: int) -> None:
+        """``grams``: hashes of the text's strings of GRAM bytes."""
         doc = len(self.docs)
         self.docs.append((key, v))
-        h, first = np.frombuffer(found, np.uint64, n), np.frombuffer(found, np.int32, n, 8 * n)
-        both = np.frombuffer(found, np.uint8, 2 * n, 12 * n).reshape(n, 2)
+        h = mix(grams[first.astype(np.int64) + both[:, 0]])
         for hash_, a, place, count in zip(h.tolist(), first.tolist(), both[:, 0].tolist(), both[:, 1].tolist()):
             ctx = (text[a:a + count - 1 + length], place)
             i = self.ids.get(ctx)
@@ -373,8 +387,11 @@ def repeated_windows(text: np.ndarray, at: np.ndarray, size: np.ndarray, place:
     if not n:
         return out
     pad = np.concatenate([text, np.zeros(2 * length, np.uint8)])
-    after = pad[(at + place)[:, None] + np.arange(length)]
-    before = pad[np.maximum(at + place - 1, 0)[:, None] - np.minimum(np.arange(length - GRAM), np.maximum(at + place - 1, 0)[:, None])]
+    after, before = np.empty((n, length), np.uint8), np.empty((n, length - GRAM), np.uint8)
+    for a in range(0, n, 8192):  # index arrays are eight times the bytes: a few rows at a time
+        anchor = (at + place)[a:a + 8192, None]
+        after[a:a + 8192] = pad[anchor + np.arange(length)]
+        before[a:a + 8192] = pad[np.maximum(anchor - 1 - np.arange(length - GRAM), 0)]
     r_order, r_lcp = deep_shallow(after, np.minimum(size - place, length))
     l_order, l_lcp = deep_shallow(before, np.minimum(place, length - GRAM))
     r_class, l_class = np.empty(n, np.int64), np.empty(n, np.int64)
@@ -394,18 +411,18 @@ def repeated_windows(text: np.ndarray, at: np.ndarray, size: np.ndarray, place:
     return out
 
 
-def _spans(docs: DataFrame, length: int, n_shards: int) -> DataFrame:
+def _spans(docs: DataFrame, text: str, length: int, n_shards: int) -> DataFrame:
     """(key, v, spans): the byte ranges to remove, as int32 starts and ends."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, done, got = TaskContext.get().partitionId(), 0, _Contexts()
         for batch in batches:
-            for part in slabs(batch):
-                data, off = text_buffers(part.column("text"))
-                raw = data.tobytes()
-                for j, (k, v, n, f) in enumerate(zip(*[part.column(c).to_pylist() for c in ("key", "v", "n", "found")])):
-                    got.add(k, v, raw[off[j]:off[j + 1]], n, f, length)
-                    if len(got.pending) >= FLUSH or got.bytes >= 16 * 1024 * 1024:
+            for part in slabs(batch, STEP_BYTES):
+                data, off = text_buffers(part.column(text))
+                raw, grams = data.tobytes(), gram_hashes(data)
+                for j, (k, v, n, f) in enumerate(zip(*[part.column(c).to_pylist() for c in ("_key", "_v", "_n", "_found")])):
+                    got.add(k, v, raw[off[j]:off[j + 1]], grams[off[j]:off[j + 1]], *_unpack_document(n, f), length)
+                    if len(got.pending) >= PENDING or got.bytes >= CONTEXT_BYTES:
                         yield from got.flush((task << 24) + done, n_shards)
                         done += 1
         if got.docs:
@@ -485,20 +502,23 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     documents. Null text is empty. A row with a null key is kept whole and is
     never an earlier document; rows with one key do not judge one another, so the
     first document of each passage keeps it. Columns named like the new ones, or
-    ``_key``, ``_v`` and ``_found``, are replaced, all others stay.
+    ``_key``, ``_v``, ``_n`` and ``_found``, are replaced, all others stay.
     """
     if not GRAM <= length <= GRAM + 60:
         raise ValueError(f"length must be from {GRAM} to {GRAM + 60}")
     spark = docs.sparkSession
-    docs = without(docs, [f.name for f in FIELDS if f.name not in (key, text)] + ["_key", "_v", "_found"])
+    bounded_batches(spark)
+    docs = without(docs, [f.name for f in FIELDS if f.name not in (key, text)] + ["_key", "_v", "_n", "_found"])
     rows = docs.withColumn("_key", F.col(f"`{key}`").cast("long")).withColumn("_v", F.xxhash64(F.col(f"`{text}`")))
-    known = rows.select(F.col("_key").alias("key"), F.col("_v").alias("v"), F.col(f"`{text}`").alias("text")).filter("key IS NOT NULL")
-    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    known = rows.filter("_key IS NOT NULL")
+    size = known.agg(F.sum(F.octet_length(f"`{text}`"))).first()[0] or 0
     n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
-    shared = _shared_anchors(known, length, n_shards).dropDuplicates(["key", "v"])
-    spans = _spans(known.join(shared, ["key", "v"]), length, n_shards).dropDuplicates(["key", "v"])
-    spans = spans.select(F.col("key").alias("_key"), F.col("v").alias("_v"), F.col("spans").alias("_found"))
-    found = rows.join(spans, ["_key", "_v"], "left")
+    plain = known.select(F.col("_key").alias("key"), F.col("_v").alias("v"), F.col(f"`{text}`").alias("text"))
+    shared = _shared_anchors(plain, length, n_shards).dropDuplicates(["key", "v"]).toDF("_key", "_v", "_n", "_found")
+    # Both joins below take all columns of ``known`` by the same keys: its text is shuffled once.
+    spans = _spans(known.join(shared, ["_key", "_v"]), text, length, n_shards).dropDuplicates(["key", "v"]).toDF("_key", "_v", "_found")
+    found = known.join(spans, ["_key", "_v"], "left")
+    found = found.unionByName(rows.filter("_key IS NULL").withColumn("_found", F.lit(None).cast("binary")))
 
     def build():
         def each(batch: pa.RecordBatch) -> list[pa.Array]:

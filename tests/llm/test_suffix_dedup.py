@@ -68,6 +68,7 @@ def corpus(seed):
 def test_equals_brute_force(spark, monkeypatch, seed):
     if seed > 1:  # many flushes and ranges
         monkeypatch.setattr(sd, "FLUSH", 40 * seed)
+        monkeypatch.setattr(sd, "PENDING", 30 * seed)
         monkeypatch.setattr(sd, "SHARD_BYTES", 1500)
     docs = corpus(seed)
     if seed == 3:  # rows with one key, null keys
