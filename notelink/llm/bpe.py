@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from notelink.llm.common import append_columns, text_buffers
 
 # Pieces kept in a worker's cache, and the bytes that a kept piece may have.
-CACHE_PIECES, CACHE_PIECE_BYTES = 400_000, 64
+CACHE_PIECES, CACHE_PIECE_BYTES = 250_000, 64
 # A rank file above this is refused: it is broadcast.
 MAX_RANK_BYTES = 64 * 1024 * 1024
 BLOCK = 64

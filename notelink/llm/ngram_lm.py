@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notelink.llm.common import (append_columns, fold, mix, shard_of, shared_path, slabs, squeeze, text_buffers, unsqueeze, word_hashes)
+from notelink.llm.common import (append_columns, bounded_batches, fold, mix, shard_of, shared_path, slabs, squeeze, text_buffers, unsqueeze, word_hashes)
 
 # Bigrams that a task counts before it sends them, and text per file of the model.
 FLUSH, SHARD_BYTES, WORD_SHARE = 2_500_000, 32 * 1024 * 1024, 4
@@ -327,6 +327,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     gives a model that knows no token.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_files = max(1, -(-size // SHARD_BYTES))

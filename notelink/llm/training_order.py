@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelink.llm.common import mix, shared_path, slabs, text_buffers
+from notelink.llm.common import bounded_batches, mix, shared_path, slabs, text_buffers
 
 HEAD = np.dtype([("slot", "<i8"), ("key", "<i8"), ("part", "<i4"), ("null_key", "<u2"), ("n", "<u2")])
 ROUNDS = 6
@@ -103,6 +103,7 @@ def write_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", ids:
     if not 0 < ids < 1 << 16:
         raise ValueError("a sequence has 1 to 65535 ids")
     spark = docs.sparkSession
+    bounded_batches(spark)
     path = path or shared_path(spark, "training-order")
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
