@@ -65,7 +65,7 @@ _NEXT, _CUT = _lexer()
 
 
 def classes() -> np.ndarray:
-    """The class of every code point, from the Unicode database."""
+    """The class of every code point, from Python's Unicode database (characters that it lacks are OTHER)."""
     global _CLASS
     if _CLASS is None:
         t = np.full(0x110000, OTHER, np.uint8)

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import unicodedata
 
 import numpy as np
 import public_tokenizers as P
@@ -51,7 +52,9 @@ ALPHABET = st.text(alphabet="aesltrvmd' \n\t1!é日 \x1c", max_size=40)
 def test_pieces_and_ids_of_random_texts(texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
     if texts:
-        assert pieces(texts) == [PAT.findall(t) for t in texts]
+        # the libraries' Unicode databases differ in age: classes of characters that ours lacks may differ
+        known = ["".join(c for c in t if unicodedata.category(c) != "Cn") for t in texts]
+        assert pieces(known) == [PAT.findall(t) for t in known]
         ids, first = CODEC.encode(texts)
         assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [LIB.encode_ordinary(t) for t in texts]
 
