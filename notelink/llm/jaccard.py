@@ -34,11 +34,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notelink.llm.common import append_columns, fold, mix, shard_of, slabs, text_buffers, word_hashes, written
+from notelink.llm.common import append_columns, bounded_batches, fold, mix, shard_of, slabs, text_buffers, word_hashes, written
 
 # N-grams that a task gathers before it settles them (bounds its memory), and text
 # per range of the hash order.
 FLUSH, SHARD_BYTES = 1_500_000, 32 * 1024 * 1024
+# Rounds in which each n-gram's documents are compared with one of them, before all others are.
+LEADERS = 2
+# Ranges of the hash order by which candidates are bounded (a power of two).
+RANGES = 32
 # One n-gram more in a prefix for each so many of the document: the screen asks for that many more matches.
 EXTRA = 20
 
@@ -125,7 +129,8 @@ class _Gathered:
         place = np.arange(len(h)) - np.repeat(first[:-1], n)
         low = place < np.repeat(_screen_prefix(n, num, den), n)
         row = np.repeat(np.arange(len(n), dtype=np.int32), n)[low]
-        self.grams.append((h[low], row + np.int32(self.n_docs)))
+        # hashed once more: the lowest hashes of each set would crowd the first ranges
+        self.grams.append((mix(h[low]), row + np.int32(self.n_docs)))
         self.n_docs += len(n)
         self.n_grams += len(row)
 
@@ -209,7 +214,8 @@ def _screen(docs: DataFrame, k: int, num: int, den: int, n_shards: int) -> DataF
 
 _PACK = "pack long, docs binary, n binary, grams binary"
 _ORDERED = T.StructType([
-    T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())),
+    T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("m", T.LongType()),
+    T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("prefix", T.ArrayType(T.LongType())),
     T.StructField("fragments", T.ArrayType(T.StructType([
         T.StructField("fragment", T.IntegerType()), T.StructField("grams", T.ArrayType(T.LongType()))])))])
 
@@ -282,7 +288,8 @@ def _frequencies(packs: DataFrame, n_shards: int) -> DataFrame:
 
 
 def _ordered(packs: DataFrame, df: DataFrame, num: int, den: int) -> DataFrame:
-    """Per document that can still link: its prefix in the global order, and its shared n-grams by fragment."""
+    """Per document that can still link: its size n, how many of its n-grams others have (m),
+    also by RANGES of the hash order (counts), its prefix in the global order, and its shared n-grams by fragment."""
 
     def order(left: pa.Table, right: pa.Table) -> pa.Table:
         known = right.to_pylist()
@@ -303,6 +310,8 @@ def _ordered(packs: DataFrame, df: DataFrame, num: int, den: int) -> DataFrame:
             able = (n > 0) & (shared >= _need(n, num, den))
             keep = able[row]
             h, row, freq = h[keep], row[keep], freq[keep]
+            counts = np.bincount(row * RANGES + (h >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64),
+                                 minlength=len(doc) * RANGES).reshape(-1, RANGES).astype(np.int32)
             fragment = (np.log2(freq).astype(np.int32) << 2) | (h >> np.uint64(62)).astype(np.int32)
             sort = np.lexsort((h, fragment, row))
             h, row, fragment = h[sort].view(np.int64), row[sort], fragment[sort]
@@ -317,7 +326,8 @@ def _ordered(packs: DataFrame, df: DataFrame, num: int, den: int) -> DataFrame:
             grams = pa.ListArray.from_arrays(pa.array(np.concatenate([edge, [len(h)]]), pa.int32()), pa.array(h))
             struct = pa.StructArray.from_arrays([pa.array(fragment[edge]), grams], names=["fragment", "grams"])
             parts.append(pa.Table.from_arrays([
-                pa.array(doc[docs]), pa.array(n[docs]),
+                pa.array(doc[docs]), pa.array(n[docs]), pa.array(shared[docs]),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(docs) + 1) * RANGES, pa.int32()), pa.array(counts[docs].ravel())),
                 pa.ListArray.from_arrays(pa.array(p_at, pa.int32()), pa.array(h[in_prefix])),
                 pa.ListArray.from_arrays(pa.array(np.searchsorted(row[edge], np.concatenate([docs, [len(doc)]])), pa.int32()), struct),
             ], schema=_ordered_arrow()))
@@ -327,7 +337,7 @@ def _ordered(packs: DataFrame, df: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _ordered_arrow() -> pa.Schema:
-    return pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())),
+    return pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("counts", pa.list_(pa.int32())), ("prefix", pa.list_(pa.int64())),
                       ("fragments", pa.list_(pa.struct([("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])))])
 
 
@@ -364,8 +374,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _fits(num: int, den: int) -> Column:
-    """Sizes that allow the similarity."""
-    return (den * F.col("nx") >= num * F.col("ny")) & (den * F.col("ny") >= num * F.col("nx"))
+    """Whether sizes and numbers of shared n-grams allow the similarity: a pair's overlap in a range
+    of the hash order is at most the lesser number of n-grams there that others have."""
+    need = num * (F.col("nx") + F.col("ny"))
+    most = F.lit(0)
+    for r in range(RANGES):
+        most = most + F.least(F.col("cx")[r], F.col("cy")[r])
+    return ((den + num) * F.least("mx", "my") >= need) & ((den + num) * most >= need)
 
 
 def _pairs(a: Column, b: Column, df: DataFrame) -> DataFrame:
@@ -377,11 +392,14 @@ def representative_links(ordered: DataFrame, num: int, den: int) -> tuple[DataFr
     spark = ordered.sparkSession
     sizes = ordered.select("doc", "n")
     parts = ordered.select("doc", F.explode("fragments").alias("f")).select("doc", "f.fragment", "f.grams")
-    grams = ordered.select("doc", "n", F.explode("prefix").alias("h"))
+    about = ordered.select("doc", "n", "m", "counts")
+    grams = ordered.select("doc", F.explode("prefix").alias("h"))
+    # n-grams of one prefix only propose nothing
+    several = grams.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    grams = written(grams.join(several, "h"), "prefixes")
     none = spark.createDataFrame([], "x long, y long")
-    links, tested = none, none
-    comp = spark.createDataFrame([], "doc long, comp long")
-    comp_of = F.coalesce("comp", "doc")
+    links, tested, comp = none, none, spark.createDataFrame([], "doc long, comp long")
+    leaders = spark.createDataFrame([], "h long, of long")
 
     def test(pairs: DataFrame) -> None:
         nonlocal links, tested, comp
@@ -390,19 +408,32 @@ def representative_links(ordered: DataFrame, num: int, den: int) -> tuple[DataFr
         tested = tested.unionByName(pairs)
         comp = components(links)
 
-    for pick in (F.min, F.max):
-        own = grams.join(comp, "doc", "left").select("h", "doc", "n", comp_of.alias("comp"))
-        lead = own.groupBy("h").agg(pick(F.struct("doc", "n", "comp")).alias("lead"), F.count("*").alias("m")).filter("m > 1")
-        met = own.join(lead, "h").select("doc", F.col("n").alias("nx"), "comp", F.col("lead.doc").alias("lead"),
-                                         F.col("lead.n").alias("ny"), F.col("lead.comp").alias("of"))
-        test(_pairs(F.col("doc"), F.col("lead"), met.filter((F.col("comp") != F.col("of")) & _fits(num, den))))
-    # All others that share a prefix n-gram and are not connected: between components, not inside.
-    own = written(grams.join(comp, "doc", "left").select("h", "doc", "n", comp_of.alias("comp")), "prefixes")
-    sides = own.select("h", "comp").distinct()
-    both = sides.select("h", F.col("comp").alias("ca")).join(sides.select("h", F.col("comp").alias("cb")), "h").filter("ca < cb")
-    a = own.select("h", F.col("comp").alias("ca"), F.col("doc").alias("da"), F.col("n").alias("nx"))
-    b = own.select("h", F.col("comp").alias("cb"), F.col("doc").alias("db"), F.col("n").alias("ny"))
-    test(_pairs(F.col("da"), F.col("db"), both.join(a, ["h", "ca"]).join(b, ["h", "cb"]).filter(_fits(num, den))))
+    def side(df: DataFrame, doc: str, x: str) -> DataFrame:
+        return df.join(about.select(F.col("doc").alias(doc), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"), F.col("counts").alias(f"c{x}")), doc)
+
+    for _ in range(LEADERS):
+        own = grams.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        # The next leader is of a component that has not led yet: the document that is least unlike the others.
+        led = leaders.join(comp.select(F.col("doc").alias("of"), "comp"), "of", "left").select("h", F.coalesce("comp", "of").alias("comp")).distinct()
+        open_ = written(own.join(led, ["h", "comp"], "left_anti"), "open")
+        lead = open_.join(about.select("doc", (F.col("n") - F.col("m")).alias("own")), "doc").groupBy("h").agg(
+            F.min(F.struct("own", "doc", "comp")).alias("lead"), F.count("*").alias("c")).filter("c > 1")
+        lead = written(lead.select("h", F.col("lead.doc").alias("of"), F.col("lead.comp").alias("of_comp")), "leaders")
+        met = open_.join(lead, "h").filter("comp != of_comp").select("doc", "of").distinct()
+        test(_pairs(F.col("doc"), F.col("of"), side(side(met, "doc", "x"), "of", "y").filter(_fits(num, den))))
+        leaders = leaders.unionByName(lead.select("h", "of"))
+    # All others that share a prefix n-gram and are not connected: between components, not inside. A
+    # component's bounds are the best of its documents'; the smaller of two is unfolded first.
+    own = about.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    most = F.array(*[F.max(F.col("counts")[r]) for r in range(RANGES)])
+    bounds = written(own.groupBy("comp").agg(F.min("n").alias("n"), F.max("m").alias("m"), most.alias("c"), F.count("*").alias("size")), "bounds")
+    docs = written(grams.join(own, "doc"), "prefixes")
+    sides = docs.select("h", "comp").distinct().join(bounds, "comp")
+    sa, sb = (sides.select("h", F.struct("size", "comp").alias(f"s{x}"), *[F.col(c).alias(f"{c}{x}") for c in "nmc"]) for x in "xy")
+    both = sa.join(sb, "h").filter((F.col("sx") < F.col("sy")) & _fits(num, den)).select("h", F.col("sx.comp").alias("a"), F.col("sy.comp").alias("b"))
+    da, db = (docs.select("h", F.col("comp").alias(c), F.col("doc").alias(f"d{x}"), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"),
+                          F.col("counts").alias(f"c{x}")) for c, x in zip("ab", "xy"))
+    test(_pairs(F.col("dx"), F.col("dy"), both.join(da, ["h", "a"]).join(db, ["h", "b"]).filter(_fits(num, den))))
     return links, comp
 
 
@@ -431,6 +462,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     known = rows.filter("key IS NOT NULL").withColumn("v", F.xxhash64("text"))
     spark = docs.sparkSession
+    bounded_batches(spark)
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     info = written(_screen(known, k, num, den, n_shards), "screened")
