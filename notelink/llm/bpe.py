@@ -293,6 +293,29 @@ def encode(docs: DataFrame, rank_file: str, text: str = "text") -> DataFrame:
     return append_columns(docs, [T.StructField("ids", _INTS), T.StructField("token_ends", _INTS)], build)
 
 
+def id_type(rank_file: str) -> np.dtype:
+    """The narrowest unsigned little-endian type that holds every id of the rank file."""
+    with open(rank_file, "rb") as f:
+        return np.min_scalar_type(max(int(line.split()[1]) for line in f if line.strip())).newbyteorder("<")
+
+
+def encode_packed(docs: DataFrame, rank_file: str, text: str = "text") -> DataFrame:
+    """``docs`` with ``n_ids`` and ``packed_ids`` (the ids as ``id_type`` one after another); otherwise like ``encode``."""
+    payload, kind = _payload(docs.sparkSession, rank_file), id_type(rank_file)
+
+    def build():
+        codec = _codec(payload.value)
+
+        def each(batch: pa.RecordBatch) -> list[pa.Array]:
+            ids, first = codec.encode([t or "" for t in batch.column(text).to_pylist()])
+            packed = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(first * kind.itemsize), pa.py_buffer(ids.astype(kind))])
+            return [pa.array(np.diff(first), pa.int64()), packed.cast(pa.binary())]
+
+        return each
+
+    return append_columns(docs, [T.StructField("n_ids", T.LongType()), T.StructField("packed_ids", T.BinaryType())], build)
+
+
 def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
     """``encoded`` (``ids`` and ``token_ends``) with ``decoded``, the text's bytes; null ids are empty.
     Ids that the rank file does not have, or offsets of other ids, are an error."""
@@ -324,4 +347,4 @@ def ids_digest(ids: str = "ids"):
     return F.sha2(F.array_join(F.col(ids).cast("array<string>"), " "), 256)
 
 
-__all__ = ["Codec", "decode", "encode", "ids_digest", "merge", "piece_starts", "symbols", "text_buffers"]
+__all__ = ["Codec", "decode", "encode", "encode_packed", "id_type", "ids_digest", "merge", "piece_starts", "symbols", "text_buffers"]

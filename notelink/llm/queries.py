@@ -184,6 +184,6 @@ def op3_lm_score(spark: SparkSession, d: str) -> DataFrame:
 
 @register("op2_training_order")
 def op2_training_order(spark: SparkSession, d: str) -> DataFrame:
-    shards = to.write_shards(table(spark, d, "documents").select("doc_id", "text"))
+    shards = to.write_shards(table(spark, d, "documents").select("doc_id", "text"), rank_file=RANKS)
     return to.read_shards(spark, shards).select(
         "slot", "shard", F.col("key").alias("doc_id"), "part", "n_ids", F.sha2("ids", 256).alias("ids_sha256"))

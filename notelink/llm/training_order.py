@@ -7,8 +7,10 @@ global slots: the training order, without sorting by random numbers. Slots are
 dealt to shards by range, and a shard is one file of records of one size, so
 record ``r`` of shard ``s`` is found by arithmetic and a reader goes on at any slot.
 
-Ids are those of a byte-level vocabulary: the UTF-8 bytes, 0 to 255; unused
-places of a last sequence are 0, and each record says how many ids it has.
+Ids are those of a rank file: texts are encoded once, and the stored ids are
+counted and numbered; a place of a record is as wide as the vocabulary's largest
+id needs. Without a rank file, ids are the UTF-8 bytes, 0 to 255. Unused places of
+a last sequence are 0, and each record says how many ids it has.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelink.llm.common import bounded_batches, mix, shared_path, slabs, text_buffers
+from notelink.llm import bpe
+from notelink.llm.common import bounded_batches, mix, shared_path, slabs, text_buffers, written
 
 HEAD = np.dtype([("slot", "<i8"), ("key", "<i8"), ("part", "<i4"), ("null_key", "<u2"), ("n", "<u2")])
 ROUNDS = 6
@@ -77,10 +80,11 @@ class Shards:
     sequences: int
     ids: int  # of a sequence
     per_shard: int
+    width: int = 1  # bytes of an id, little-endian
 
     @property
     def stride(self) -> int:
-        return HEAD.itemsize + self.ids
+        return HEAD.itemsize + self.ids * self.width
 
     def place(self, slot: int) -> tuple[int, int]:
         """Shard and byte offset of a slot's record."""
@@ -91,13 +95,14 @@ _MOVED = "shard int, slot long, key long, null_key boolean, part int, n int, dat
 
 
 def write_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", ids: int = 512, per_shard: int = 65_536,
-                 seed: int = 20_240_601, path: str | None = None) -> Shards:
+                 seed: int = 20_240_601, path: str | None = None, rank_file: str | None = None) -> Shards:
     """Write the sequences of ``docs``, in a training order given by ``seed``, to ``path`` (a new
-    folder of the shared ``spark.checkpoint.dir`` if not given).
+    folder of the shared ``spark.checkpoint.dir`` if not given). Ids are those of ``rank_file``, or
+    bytes if there is none.
 
-    ``docs`` must be a stored table, or a plain selection from one: its tasks are run twice and
-    must have the same rows each time; if they do not, the job fails and writes nothing
-    (use ``common.written`` on other inputs). Null and empty texts have no sequence; equal
+    Without a rank file ``docs`` must be a stored table, or a plain selection from one: its tasks
+    are run twice and must have the same rows each time; if they do not, the job fails and writes
+    nothing (use ``common.written`` on other inputs). With one, the ids are stored first. Null and empty texts have no sequence; equal
     rows are separate sequences; a null key is kept as null. Long texts give many sequences.
     """
     if not 0 < ids < 1 << 16:
@@ -105,10 +110,16 @@ def write_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", ids:
     spark = docs.sparkSession
     bounded_batches(spark)
     path = path or shared_path(spark, "training-order")
-    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    rows = rows.withColumn("check", F.xxhash64("key", n_bytes))
-    counted = rows.select(F.spark_partition_id().alias("task"), F.floor((n_bytes + ids - 1) / ids).alias("n"), "check").groupBy("task").agg(
+    if rank_file is None:
+        width, n_ids = 1, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+        rows = rows.select("key", F.col("text").alias("data"), n_ids.alias("n_ids"))
+    else:
+        width = bpe.id_type(rank_file).itemsize
+        coded = bpe.encode_packed(rows, rank_file).select("key", F.col("packed_ids").alias("data"), "n_ids")
+        rows = written(coded, "training-ids", "zstd")
+    rows = rows.withColumn("check", F.xxhash64("key", "n_ids"))
+    counted = rows.select(F.spark_partition_id().alias("task"), F.floor((F.col("n_ids") + ids - 1) / ids).alias("n"), "check").groupBy("task").agg(
         F.sum("n").alias("n"), F.bit_xor("check").alias("check")).collect()
     first, total = {}, 0
     for r in sorted(counted, key=lambda r: r.task):
@@ -122,8 +133,8 @@ def write_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", ids:
         seen, squeeze = 0, zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for part in slabs(batch):
-                data, off = text_buffers(part.column("text"))
-                raw = data.tobytes()
+                data, off = text_buffers(part.column("data"))
+                raw, off = data.tobytes(), off // width
                 seen ^= int(np.bitwise_xor.reduce(part.column("check").to_numpy(), initial=0))
                 count = -(-np.diff(off) // ids)
                 n = int(count.sum())
@@ -136,7 +147,7 @@ def write_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", ids:
                 yield pa.RecordBatch.from_arrays([
                     pa.array((slot // per_shard).astype(np.int32)), pa.array(slot), part.column("key").take(pa.array(doc)),
                     part.column("key").is_null().take(pa.array(doc)), pa.array(nth.astype(np.int32)), pa.array((end - begin).astype(np.int32)),
-                    pa.array([squeeze(raw[a:b]) for a, b in zip(begin.tolist(), end.tolist())], pa.binary()),
+                    pa.array([squeeze(raw[a:b]) for a, b in zip((begin * width).tolist(), (end * width).tolist())], pa.binary()),
                 ], names=["shard", "slot", "key", "null_key", "part", "n", "data"])
         if seen != expected:
             raise RuntimeError("the input's tasks differ between two runs; write it to a table first")
@@ -148,7 +159,7 @@ def write_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", ids:
         t = pa.Table.from_batches(got)
         shard = t.column("shard")[0].as_py()
         slot = t.column("slot").to_numpy()
-        out = np.zeros((len(slot), HEAD.itemsize + ids), np.uint8)
+        out = np.zeros((len(slot), HEAD.itemsize + ids * width), np.uint8)
         place = slot - shard * per_shard
         if len(np.unique(place)) != len(place) or len(place) != min(per_shard, total - shard * per_shard):
             raise RuntimeError(f"shard {shard} is not complete")
@@ -157,26 +168,28 @@ def write_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", ids:
         head["key"], head["null_key"] = t.column("key").fill_null(0).to_numpy(), t.column("null_key").to_numpy()
         out[place, :HEAD.itemsize] = head.view(np.uint8).reshape(len(slot), -1)
         open_ = zstandard.ZstdDecompressor().decompress
-        for r, x in zip(place.tolist(), t.column("data").to_pylist()):
-            x = open_(x)
+        for r, x in zip(place.tolist(), t.column("data")):
+            x = open_(x.as_buffer())
             out[r, HEAD.itemsize:HEAD.itemsize + len(x)] = np.frombuffer(x, np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["shard", "data"])
+        del got, t
+        whole = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, out.nbytes], np.int32)), pa.py_buffer(out)])
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), whole], names=["shard", "data"])
 
     moved = rows.mapInArrow(number, _MOVED).repartitionById(n_shards, "shard")
     files = moved.mapInArrow(record, "shard int, data binary")
     # One row per shard: Spark's writer commits whole files only; a line end follows the last record.
     files.select("shard", F.col("data").cast("string").alias("value")).write.partitionBy("shard").text(path)
-    return Shards(path, total, ids, per_shard)
+    return Shards(path, total, ids, per_shard, width)
 
 
 def read_shards(spark: SparkSession, shards: Shards, first: int = 0, count: int | None = None) -> DataFrame:
     """The records of slots ``first`` to ``first + count - 1`` (to the last if not given), from the files
-    that hold them: (slot, shard, key, part, n_ids, ids as bytes)."""
+    that hold them: (slot, shard, key, part, n_ids, ids as bytes, ``shards.width`` for each)."""
     last = shards.sequences if count is None else min(shards.sequences, first + count)
     schema = "slot long, shard int, key long, part int, n_ids int, ids binary"
     if first >= last:
         return spark.createDataFrame([], schema)
-    stride, per_shard = shards.stride, shards.per_shard
+    stride, per_shard, width = shards.stride, shards.per_shard, shards.width
     files = spark.read.format("binaryFile").load(shards.path).select("content", "shard")
     files = files.filter(F.col("shard").between(first // per_shard, (last - 1) // per_shard))
 
@@ -189,7 +202,7 @@ def read_shards(spark: SparkSession, shards: Shards, first: int = 0, count: int
                 for a in range(0, len(rows), 4096):
                     some = rows[a:a + 4096]
                     head = np.ascontiguousarray(some[:, :HEAD.itemsize]).view(HEAD).ravel()
-                    body = [x[:n].tobytes() for x, n in zip(some[:, HEAD.itemsize:], head["n"].tolist())]
+                    body = [x[:n * width].tobytes() for x, n in zip(some[:, HEAD.itemsize:], head["n"].tolist())]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(head["slot"]), pa.array(np.full(len(some), shard, np.int32)), pa.array(head["key"], mask=head["null_key"] > 0),
                         pa.array(head["part"]), pa.array(head["n"].astype(np.int32)), pa.array(body, pa.binary())],
@@ -199,7 +212,7 @@ def read_shards(spark: SparkSession, shards: Shards, first: int = 0, count: int
 
 
 def iterate(shards: Shards, first: int = 0) -> Iterator[tuple[int, bytes]]:
-    """(slot, ids) one after another from ``first`` on, for a trainer that reads the shared folder as
+    """(slot, ids as bytes) one after another from ``first`` on, for a trainer that reads the shared folder as
     a file system: it seeks to the record and reads on."""
     root = urlparse(shards.path).path
     slot = first
@@ -211,5 +224,5 @@ def iterate(shards: Shards, first: int = 0) -> Iterator[tuple[int, bytes]]:
             while slot < shards.sequences and slot // shards.per_shard == shard:
                 row = f.read(shards.stride)
                 head = np.frombuffer(row, HEAD, 1)[0]
-                yield int(head["slot"]), row[HEAD.itemsize:HEAD.itemsize + int(head["n"])]
+                yield int(head["slot"]), row[HEAD.itemsize:HEAD.itemsize + int(head["n"]) * shards.width]
                 slot += 1

@@ -67,3 +67,31 @@ def test_query_returns_all_texts(spark):
     got = sorted((r.doc_id, r.part, r.ids_sha256) for r in E.queries()["op2_training_order"](spark, SF).collect())
     texts = [(r.doc_id, r.text.encode()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert got == sorted((k, i, hashlib.sha256(t[a:a + 512]).hexdigest()) for k, t in texts for i, a in enumerate(range(0, len(t), 512)))
+
+
+def test_shards_hold_ids_of_the_rank_file(spark):
+    import hashlib
+
+    import __spark_entry__ as E
+    from notelink.llm import bpe
+    from notelink.llm.queries import RANKS
+    from tests.conftest import SF
+
+    with open(RANKS, "rb") as f:
+        codec = bpe.Codec(f.read())
+    pieces = {i: t for t, i in codec.ranks.items()}
+    cut = lambda t, n: [x[a:a + n] for x in [codec.encode([t or ""])[0]] for a in range(0, len(x), n)]
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    shards = to.write_shards(df, ids=8, per_shard=100, rank_file=RANKS)
+    rows = to.read_shards(spark, shards).orderBy("slot").collect()
+    assert shards.width == 2 and [r.slot for r in rows] == list(range(shards.sequences))
+    ids = [np.frombuffer(r.ids, "<u2") for r in rows]
+    assert max(x.max() for x in ids) > 255 and all(len(x) == r.n_ids for x, r in zip(ids, rows))
+    got = sorted((r.key or -1, r.part, x.tolist()) for r, x in zip(rows, ids))
+    assert got == sorted((k or -1, i, x.tolist()) for k, t in ROWS for i, x in enumerate(cut(t, 8)))
+    assert b"".join(pieces[i] for k, _, x in got if k == 6 for i in x) == ROWS[7][1].encode()
+    assert list(to.iterate(shards, 99)) == [(r.slot, bytes(r.ids)) for r in rows[99:]]
+    # the query
+    got = sorted((r.doc_id, r.part, r.n_ids, r.ids_sha256) for r in E.queries()["op2_training_order"](spark, SF).collect())
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert got == sorted((r.doc_id, i, len(x), hashlib.sha256(x.astype("<u2").tobytes()).hexdigest()) for r in docs for i, x in enumerate(cut(r.text, 512)))
