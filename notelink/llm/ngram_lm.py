@@ -1,13 +1,15 @@
-"""Operator 3: scoring with an interpolated modified Kneser-Ney bigram model.
-
-*Counting.* Tasks count the bigrams of their documents and send them, by ranges of
-the bigram hash, to tasks that add them up; these know each bigram once, and
-pass on what each word adds: how often it occurs, after how many different
-words, and how many bigrams seen once, twice and more often it begins. No count
+"""Operator 3: scoring with an interpolated modified Kneser-Ney model of any order from two.
+
+*Counting.* Tasks count the n-grams of the top order in their documents and send
+them, by ranges of the n-gram hash, to tasks that add them up; these know each
+n-gram once, and pass on what it adds to the order below: one to the continuation
+count of its suffix, and its own count to the context that it begins. That order's
+ranges add these up and do the same, down to single words. N-grams that begin a
+text have nothing before them and keep their counts at every order. No count
 is cut off and nothing is pruned.
 
 *Storing.* Each range becomes one file of sorted hashes and counts in the shared
-folder, written by Spark's writer; words likewise. A hash is kept as its place in
+folder, written by Spark's writer. A hash is kept as its place in
 a bucket table and 32 more bits; as files grow in number with the corpus, not in
 size, a wrong hit stays as unlikely (some 10^-8) at any size.
 
@@ -19,6 +21,7 @@ system path, Spark first brings the files to the executors.
 from __future__ import annotations
 
 import os
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlparse
@@ -32,9 +35,11 @@ from pyspark.sql import types as T
 
 from notelink.llm.common import (append_columns, bounded_batches, fold, mix, shard_of, shared_path, slabs, squeeze, text_buffers, unsqueeze, word_hashes)
 
-# Bigrams that a task counts before it sends them, and text per file of the model.
+# Bigrams that a task counts before it sends them, and text per file of the model (at higher
+# orders fewer, as each n-gram is longer).
 FLUSH, SHARD_BYTES, WORD_SHARE = 2_500_000, 32 * 1024 * 1024, 4
-END, BEGIN = mix(np.array([0x454E44, 0x424547], np.uint64))  # the end of a text; the context of its first token
+# The end of a text; the context of its first token; what stands before that to fill an n-gram up.
+END, BEGIN, PAD = mix(np.array([0x454E44, 0x424547, 0x504144], np.uint64))
 
 
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -51,19 +56,27 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def contexts(tok: np.ndarray, at: np.ndarray) -> np.ndarray:
-    before = np.empty_like(tok)
-    before[1:] = tok[:-1]
-    before[at[:-1]] = BEGIN
-    return before
+def grams(tok: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
+    """The n-gram that ends at each token, oldest word first."""
+    out = [tok]
+    nth = np.arange(len(tok)) - np.repeat(at[:-1], np.diff(at))
+    for j in range(1, order):
+        before = np.full_like(tok, PAD)
+        before[nth == j - 1] = BEGIN
+        inside = np.flatnonzero(nth >= j)
+        before[inside] = tok[inside - j]
+        out.insert(0, before)
+    return out
 
 
-# --- files of sorted hashes --------------------------------------------------
+def gram_hash(words: list[np.ndarray]) -> np.ndarray:
+    h = words[0]
+    for w in words[1:]:
+        h = fold(h, w)
+    return h
 
-# Sums in a file's head: bigrams that occur one to four times; tokens, distinct tokens, words
-# that follow one to four different words, and distinct bigrams.
-N_SUMS = 11
 
+# --- files of sorted hashes --------------------------------------------------
 
 def _place(h: np.ndarray, n_files: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket within the file, and the 32 bits that are kept."""
@@ -76,8 +89,8 @@ def _padded(x: np.ndarray) -> bytes:
     return raw + bytes(-len(raw) % 8)
 
 
-def file_bytes(h: np.ndarray, fields: list[np.ndarray], n_files: int, sums: np.ndarray | None = None) -> bytes:
-    """A file: sizes and sums, where buckets begin, sorted hashes, then each field as bytes, with
+def file_bytes(h: np.ndarray, fields: list[np.ndarray], n_files: int) -> bytes:
+    """A file: sizes, where buckets begin, sorted hashes, then each field as bytes, with
     values of 255 and more in a list of their own."""
     bits = max(0, int(len(h) // 16).bit_length())
     bucket, rest = _place(h, n_files, bits)
@@ -89,7 +102,7 @@ def file_bytes(h: np.ndarray, fields: list[np.ndarray], n_files: int, sums: np.n
         big = np.flatnonzero(f >= 255)
         large.append(len(big))
         parts += [_padded(np.minimum(f, 255).astype(np.uint8)), _padded(big.astype(np.uint32)), _padded(f[big])]
-    head = np.array([len(h), bits, len(fields), *(sums if sums is not None else np.zeros(N_SUMS, np.int64)), *large], np.int64)
+    head = np.array([len(h), bits, len(fields), *large], np.int64)
     return b"".join([head.tobytes(), _padded(begin), _padded(rest[order]), *parts])
 
 
@@ -98,11 +111,10 @@ class HashFile:
 
     def __init__(self, buf: np.ndarray, n_files: int):
         self.n_files = n_files
-        head = buf[:8 * (3 + N_SUMS)].view(np.int64)
-        n, self.bits, k = (int(x) for x in head[:3])
-        self.sums, self.n = np.array(head[3:]), n
-        large = buf[8 * (3 + N_SUMS):8 * (3 + N_SUMS + k)].view(np.int64)
-        at = 8 * (3 + N_SUMS + k)
+        n, self.bits, k = (int(x) for x in buf[:24].view(np.int64))
+        self.n = n
+        large = buf[24:8 * (3 + k)].view(np.int64)
+        at = 8 * (3 + k)
 
         def part(count: int, kind) -> np.ndarray:
             nonlocal at
@@ -168,11 +180,13 @@ class HashTable:
 
 # --- counting ----------------------------------------------------------------
 
-_SENT = "shard int, a binary, b binary, c binary, d binary"
-
-
-def _sent(*row) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int32(), *[pa.binary()] * 4])], names=["shard", *"abcd"])
+# Rows that are sent: to a range, what n-grams are as suffixes (0) or as contexts (1), packed.
+_SENT = "shard int, kind int, data binary"
+# Of an n-gram as a suffix: how often it occurs, and its count at its order (of continuations, below
+# the top). As a context: the sum of the counts that it begins, and how many are one, two, more.
+AS_SUFFIX, AS_CONTEXT = 2, 4
+# Sums of a file: counts of one to four; tokens, distinct tokens, sum of counts.
+N_SUMS = 7
 
 
 def _summed(h: np.ndarray, *cols: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -183,69 +197,113 @@ def _summed(h: np.ndarray, *cols: np.ndarray) -> tuple[np.ndarray, ...]:
     return s[begin], order[begin], *[np.add.reduceat(c[order], begin) if len(s) else c for c in cols]
 
 
-def _count(docs: DataFrame, n_files: int) -> DataFrame:
-    """Bigram counts of parts of the corpus, by ranges of the bigram hash: words, both words'
-    numbers in them, counts."""
+def _sends(kind: int, words: list[np.ndarray], fields: list[np.ndarray], n_files: int) -> Iterator[pa.RecordBatch]:
+    """N-grams added up and cut by ranges of their hash: words, numbers of each n-gram's words in them, fields."""
+    h, at, *fields = _summed(gram_hash(words), *fields)
+    cut = np.searchsorted(shard_of(h, n_files), np.arange(n_files + 1))
+    for s, (p, q) in enumerate(zip(cut, cut[1:])):
+        if q > p:
+            vocab, number = np.unique(np.concatenate([w[at[p:q]] for w in words]), return_inverse=True)
+            number = number.astype(np.int32).reshape(len(words), -1)
+            data = pickle.dumps([squeeze(vocab, True), [squeeze(x) for x in number], [squeeze(f[p:q].astype(np.int64)) for f in fields]])
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())],
+                                             names=["shard", "kind", "data"])
+
+
+def _count(docs: DataFrame, order: int, n_files: int) -> DataFrame:
+    """Counts of top-order n-grams in parts of the corpus."""
+    most = max(1, 2 * FLUSH // order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, total = [], 0
+        held, total = [], 0
         for batch in batches:
             for part in slabs(batch):
-                tok, at = tokens(part.column("text"))
-                pairs.append((contexts(tok, at), tok))
-                total += len(tok)
-                if total >= FLUSH:
-                    yield from flush(pairs)
-                    pairs, total = [], 0
-        if pairs:
-            yield from flush(pairs)
-
-    def flush(pairs) -> Iterator[pa.RecordBatch]:
-        a, b = (np.concatenate(x) for x in zip(*pairs))
-        h, at, n = _summed(fold(a, b), np.ones(len(a), np.int64))
-        a, b = a[at], b[at]
-        cut = np.searchsorted(shard_of(h, n_files), np.arange(n_files + 1))
-        for s, (p, q) in enumerate(zip(cut, cut[1:])):
-            if q > p:
-                words, number = np.unique(np.concatenate([a[p:q], b[p:q]]), return_inverse=True)
-                number = number.astype(np.int32)
-                yield _sent(s, squeeze(words, True), squeeze(number[:q - p]), squeeze(number[q - p:]), squeeze(n[p:q].astype(np.uint32)))
+                held.append(tokens(part.column("text")))
+                total += len(held[-1][0])
+                if total >= most:
+                    yield from flush(held)
+                    held, total = [], 0
+        if held:
+            yield from flush(held)
+
+    def flush(held) -> Iterator[pa.RecordBatch]:
+        words = [np.concatenate(x) for x in zip(*[grams(tok, at, order) for tok, at in held])]
+        yield from _sends(0, words, [np.ones(len(words[0]), np.int64)], n_files)
 
     return docs.mapInArrow(run, _SENT).repartitionById(n_files, "shard")
 
 
-# Word fields: occurrences, different words before it, and bigrams it begins that occur once, twice, more often.
-WORD_FIELDS = 5
+def _gather(batches: Iterator[pa.RecordBatch]) -> tuple[int | None, list[np.ndarray], list[np.ndarray]]:
+    """A range, and its n-grams in the order of their hashes: words and fields."""
+    parts, shard = ([], []), None
+    for batch in batches:
+        for r in batch.to_pylist():
+            shard = r["shard"]
+            vocab, numbers, fields = pickle.loads(r["data"])
+            vocab = unsqueeze(vocab, np.uint64, True)
+            parts[r["kind"]].append(([vocab[unsqueeze(x, np.int32)] for x in numbers], [unsqueeze(f, np.int64) for f in fields]))
+    found = []
+    for own in parts:
+        if own:
+            words = [np.concatenate(x) for x in zip(*[w for w, _ in own])]
+            fields = [np.concatenate(x) for x in zip(*[f for _, f in own])]
+            own.clear()
+            h, at, *fields = _summed(gram_hash(words), *fields)
+            found.append((h, [w[at] for w in words], fields))
+        else:
+            found.append(None)
+    if shard is None or not found[1] and len(found[0][2]) == 1:  # nothing, or the top order
+        return shard, *(found[0][1:] if found[0] else ([], []))
+    h = np.unique(np.concatenate([x[0] for x in found if x]))
+    words = [np.zeros(len(h), np.uint64) for _ in next(x for x in found if x)[1]]
+    out = []
+    for x, width in zip(found, (AS_SUFFIX, AS_CONTEXT)):
+        fields = [np.zeros(len(h), np.int64) for _ in range(width)]
+        if x:
+            place = np.searchsorted(h, x[0])
+            for to, of in zip([*words, *fields], [*x[1], *x[2]]):
+                to[place] = of
+        out += fields
+    return shard, words, out
+
+
+def _lower(sent: DataFrame, n_files: int) -> DataFrame:
+    """What the n-grams of one order add to those of the order below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, words, fields = _gather(batches)
+        if shard is None:
+            return
+        times, count = fields[0], fields[min(1, len(fields) - 1)]
+        del fields
+        real = words[0] != PAD
+        yield from _sends(0, words[1:], [times, np.where(real, 1, count)], n_files)
+        words, n = [w[real] for w in words[:-1]], count[real]
+        if len(n):
+            yield from _sends(1, words, [n, *[x.astype(np.int64) for x in (n == 1, n == 2, n > 2)]], n_files)
+
+    return sent.mapInArrow(run, _SENT).repartitionById(n_files, "shard")
+
+
+# Fields in files of words: occurrences, continuation count, and as a context; in files between words and the
+# top order all but the first, in those of the top order the count alone.
+WORD_FIELDS = AS_SUFFIX + AS_CONTEXT
 _BLOB = "kind string, file int, data binary"
 
 
-def _add_up(sent: DataFrame, n_files: int, n_words: int) -> DataFrame:
-    """Per range: its file of bigrams, and what its bigrams add to words (for all files of words, one after another)."""
+def _file(sent: DataFrame, level: int, order: int, n_files: int) -> DataFrame:
+    """Each range's file, and its sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, shard = [], None
-        for batch in batches:
-            for r in batch.to_pylist():
-                shard = r["shard"]
-                words = unsqueeze(r["a"], np.uint64, True)
-                parts.append((words[unsqueeze(r["b"], np.int32)], words[unsqueeze(r["c"], np.int32)],
-                              unsqueeze(r["d"], np.uint32).astype(np.int64)))
+        shard, words, fields = _gather(batches)
         if shard is None:
             return
-        a, b, n = (np.concatenate(x) for x in zip(*parts))
-        del parts
-        h, at, n = _summed(fold(a, b), n)
-        a, b = a[at], b[at]
-        yield blob("grams", shard, file_bytes(h, [n], n_files))
-        words, number = np.unique(np.concatenate([a, b]), return_inverse=True)
-        left, right, size = number[:len(a)], number[len(a):], len(words)
-        fields = [np.bincount(right, weights=n, minlength=size), np.bincount(right, minlength=size),
-                  *[np.bincount(left[m], minlength=size) for m in (n == 1, n == 2, n > 2)]]
-        sums = np.zeros(N_SUMS, np.int64)
-        sums[:4] = [(n == k).sum() for k in (1, 2, 3, 4)]
-        cut = np.searchsorted(shard_of(words, n_words), np.arange(n_words + 1))
-        cells = [x for p, q in zip(cut, cut[1:]) for x in (squeeze(words[p:q], True), *[squeeze(f[p:q].astype(np.int64)) for f in fields])]
-        yield blob("words", shard, b"".join([sums.tobytes(), np.array([len(x) for x in cells], np.int64).tobytes(), *cells]))
+        real = words[0] != PAD
+        h, fields = gram_hash(words)[real], [f[real] for f in fields]
+        times, count = fields[0], fields[min(1, len(fields) - 1)]
+        yield blob(f"g{level}", shard, file_bytes(h, fields[level != 1 and level != order:], n_files))
+        sums = [level, *[(count == k).sum() for k in (1, 2, 3, 4)], times.sum(), (times > 0).sum(), count.sum()]
+        yield blob("sums", level << 24 | shard, np.array(sums, np.int64).tobytes())
 
     return sent.mapInArrow(run, _BLOB)
 
@@ -260,53 +318,19 @@ def _as_files(blobs: DataFrame, path: str) -> None:
     blobs.select("kind", "file", F.col("data").cast("string").alias("value")).write.partitionBy("kind", "file").text(path)
 
 
-def _words(files: DataFrame, n_words: int) -> DataFrame:
-    """The files of words, from what the ranges of bigrams add to them."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                data, file = batch.column("content")[r].as_py(), batch.column("file")[r].as_py()
-                k, head = 1 + WORD_FIELDS, 8 * N_SUMS
-                sizes = np.frombuffer(data, np.int64, n_words * k, head)
-                at = head + 8 * n_words * k + np.concatenate([[0], np.cumsum(sizes)])
-                for s in range(n_words):
-                    sums = data[:head] if s == file % n_words else bytes(head)
-                    cells = [data[at[s * k + j]:at[s * k + j + 1]] for j in range(k)]
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([sums]), *[pa.array([c]) for c in cells]],
-                                                     names=["shard", "sums", *[f"f{j}" for j in range(k)]])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, parts, shard = np.zeros(N_SUMS, np.int64), [], None
-        for batch in batches:
-            for r in batch.to_pylist():
-                shard = r["shard"]
-                sums = sums + np.frombuffer(r["sums"], np.int64)
-                parts.append((unsqueeze(r["f0"], np.uint64, True), *[unsqueeze(r[f"f{j + 1}"], np.int64) for j in range(WORD_FIELDS)]))
-        if shard is None:
-            return
-        h, *fields = (np.concatenate(x) for x in zip(*parts))
-        h, _, *fields = _summed(h, *fields)
-        sums[4:] = [fields[0].sum(), (fields[0] > 0).sum(), *[(fields[1] == k).sum() for k in (1, 2, 3, 4)], fields[1].sum()]
-        yield blob("words", shard, file_bytes(h, fields, n_words, sums))
-
-    kinds = "shard int, sums binary, " + ", ".join(f"f{j} binary" for j in range(1 + WORD_FIELDS))
-    return files.select("content", "file").mapInArrow(split, kinds).repartitionById(n_words, "shard").mapInArrow(merge, _BLOB)
-
-
 @dataclass
 class Model:
     """A trained model: where its files are, and its totals."""
 
     path: str
-    n_grams: int
+    order: int
+    n_grams: int  # files of each order from two
     n_words: int
     tokens: int
     distinct: int
     types: int
-    discounts: list[float]  # of bigrams
-    word_discounts: list[float]  # of the lower order
-    rest: float  # what the lower order's discounts leave for the uniform distribution
+    discounts: list[list[float]]  # of each order from one
+    rest: float  # what the lowest order's discounts leave for the uniform distribution
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -320,37 +344,47 @@ def discounts(n: list[int]) -> list[float]:
     return out
 
 
-def train(docs: DataFrame, text: str = "text") -> Model:
-    """Count the corpus and store the model in a new folder of the shared ``spark.checkpoint.dir``.
+def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
+    """Count the corpus and store the model of n-grams up to ``order`` in a new folder of the
+    shared ``spark.checkpoint.dir``.
 
     Every row is a text; null is empty (its end is still a token). An empty table
     gives a model that knows no token.
     """
+    if order < 2:
+        raise ValueError("the order is two or more")
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_files = max(1, -(-size // SHARD_BYTES))
+    n_files = max(1, -(-size * order // (2 * SHARD_BYTES)))
     n_words = max(1, n_files // WORD_SHARE)
     path = shared_path(spark, "ngrams")
     if docs.isEmpty():
-        return Model(path, n_files, n_words, 0, 0, 0, discounts([0] * 4), discounts([0] * 4), 1.0)
-    _as_files(_add_up(_count(docs, n_files), n_files, n_words), f"{path}/counts")
-    added = spark.read.format("binaryFile").load(f"{path}/counts/kind=words")
-    _as_files(_words(added, n_words), f"{path}/model")
-    head = F.unhex(F.substring(F.hex("content"), 1 + 16 * 3, 16 * N_SUMS))
-    rows = spark.read.format("binaryFile").load(f"{path}/model/kind=words").select(head.alias("h"))
+        return Model(path, order, n_files, n_words, 0, 0, 0, [discounts([0] * 4)] * order, 1.0)
+    # One job: each order's exchange is used for its files and for the order below.
+    sent, blobs = _count(docs, order, n_files), None
+    for level in range(order, 0, -1):
+        files = _file(sent, level, order, n_files if level > 1 else n_words)
+        blobs = files if blobs is None else blobs.unionByName(files)
+        if level > 1:
+            sent = _lower(sent, n_files if level > 2 else n_words)
+    _as_files(blobs, path)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.column("h").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in np.frombuffer(x, np.int64).tolist()], names=[f"s{j}" for j in range(N_SUMS)])
+            rows = [np.frombuffer(x, np.int64, 1 + N_SUMS) for x in batch.column("content").to_pylist()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.array(rows).T], names=["level", *names])
 
     names = [f"s{j}" for j in range(N_SUMS)]
-    s = [int(x or 0) for x in rows.mapInArrow(add, ", ".join(f"{n} long" for n in names)).agg(*[F.sum(n) for n in names]).first()]
-    d1, types = discounts(s[6:10]), s[10]
-    rest = (d1[0] * s[6] + d1[1] * s[7] + d1[2] * (s[5] - s[6] - s[7])) / types
-    return Model(path, n_files, n_words, s[4], s[5], types, discounts(s[:4]), d1, rest)
+    heads = spark.read.format("binaryFile").load(f"{path}/kind=sums").select("content")
+    heads = heads.mapInArrow(add, ", ".join(f"{n} long" for n in ["level", *names]))
+    s = {r.level: [int(r[n]) for n in names] for r in heads.groupBy("level").agg(*[F.sum(n).alias(n) for n in names]).collect()}
+    d = [discounts(s[k][:4]) if k in s else discounts([0] * 4) for k in range(1, order + 1)]
+    once, twice, _, _, n, distinct, types = s[1]
+    rest = (d[0][0] * once + d[0][1] * twice + d[0][2] * (distinct - once - twice)) / types
+    return Model(path, order, n_files, n_words, n, distinct, types, d, rest)
 
 
 # --- scoring -----------------------------------------------------------------
@@ -367,39 +401,33 @@ def _local(spark, path: str) -> tuple[str, bool]:
 class Scorer:
     def __init__(self, model: Model, root: str):
         self.m = model
-        self.texts = None
-        self.grams = HashTable(os.path.join(root, "counts", "kind=grams"), model.n_grams)
-        self.words = HashTable(os.path.join(root, "model", "kind=words"), model.n_words)
+        self.tables = [HashTable(os.path.join(root, f"kind=g{k}"), model.n_grams if k > 1 else model.n_words) for k in range(1, model.order + 1)]
 
     def score(self, tok: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: known tokens, base score, model score (log10)."""
         m = self.m
-        before = contexts(tok, at)
-        words, number = np.unique(np.concatenate([tok, before]), return_inverse=True)
-        count, after, once, twice, more = self.words.lookup(words, WORD_FIELDS)
-        right, left = number[:len(tok)], number[len(tok):]
+        own = grams(tok, at, m.order)
+        words, number = np.unique(np.concatenate(own[-2:]), return_inverse=True)
+        count, after, *context = self.tables[0].lookup(words, WORD_FIELDS)
+        left, right = number[:len(tok)], number[len(tok):]
         base = np.log10((count + 1) / (m.tokens + m.distinct + 1))
-        d = m.word_discounts
-        lower = (after - np.choose(np.minimum(after, 3), [0.0, *d])) / max(m.types, 1) + m.rest / (m.distinct + 1)
-        # a context occurs as often as the bigrams it begins: as a token, or once per text
-        d = m.discounts
-        free = d[0] * once + d[1] * twice + d[2] * more
-        whole = np.where(words == BEGIN, self._texts(), np.where(words == END, 0, count)).astype(float)
-        n = self.grams.lookup(fold(before, tok), 1)[0]
-        total = whole[left]
-        seen = total > 0
-        total[~seen] = 1.0
-        p = (n - np.choose(np.minimum(n, 3), [0.0, *d])) / total + np.where(seen, free[left] / total, 1.0) * lower[right]
+        lower = (after - np.choose(np.minimum(after, 3), [0.0, *m.discounts[0]])) / max(m.types, 1) + m.rest / (m.distinct + 1)
+        p, context = lower[right], [x[left] for x in context]
+        for level in range(2, m.order + 1):
+            d = m.discounts[level - 1]
+            before = gram_hash(own[m.order - level:-1])
+            if level > 2:
+                context = self.tables[level - 2].lookup(before, 1 + AS_CONTEXT)[1:]
+            n = self.tables[level - 1].lookup(fold(before, tok), 1)[0]
+            total, once, twice, more = context
+            seen = total > 0  # else the order below is all there is
+            total = np.where(seen, total, 1).astype(float)
+            free = np.where(seen, (d[0] * once + d[1] * twice + d[2] * more) / total, 1.0)
+            p = (n - np.choose(np.minimum(n, 3), [0.0, *d])) * seen / total + free * p
         known = count[right] > 0
         return (np.add.reduceat(known.astype(np.int64), at[:-1]), np.add.reduceat(base[right], at[:-1]),
                 np.add.reduceat(np.log10(p), at[:-1]))
 
-    def _texts(self) -> int:
-        """Training texts: occurrences of the end."""
-        if self.texts is None:
-            self.texts = int(self.words.lookup(np.array([END]), 1)[0, 0])
-        return self.texts
-
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``n_tokens, n_known, base_score, score, perplexity``, over the whole text.

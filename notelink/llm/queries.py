@@ -177,7 +177,7 @@ def op9_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
 def op3_lm_score(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     held = F.coalesce(li.fold_of("doc_id", 7) == 2, F.lit(False))
-    model = lm.train(docs.filter(~held))
+    model = lm.train(docs.filter(~held), order=3)
     return lm.score(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known",
                                         F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -93,3 +93,64 @@ def test_query_beats_base_on_held_out_texts(spark):
     for r in rows:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
     assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
+
+
+def brute_of_order(train, texts, order):
+    """Interpolated modified Kneser-Ney by its recursion, on tuples of words."""
+    toks = lambda t: ["<b>", *(t or "").split(), "</end>"]
+    counts = {k: Counter() for k in range(1, order + 1)}
+    for t in train:
+        w = toks(t)
+        for i in range(1, len(w)):
+            counts[order].update([tuple(w[i - order + 1:i + 1])] if i >= order - 1 else [])
+            for k in range(2, order):  # nothing stands before the beginning: plain counts
+                counts[k].update([tuple(w[:k])] if i == k - 1 else [])
+    for k in range(order - 1, 0, -1):
+        counts[k].update(g[1:] for g in counts[k + 1])
+    d = {k: [0, *lm.discounts([sum(x == j for x in counts[k].values()) for j in (1, 2, 3, 4)])] for k in counts}
+    by = defaultdict(list)
+    for k in range(1, order + 1):
+        for g, n in counts[k].items():
+            by[g[:-1]].append(n)
+    v = len(counts[1])
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / (v + 1)
+        own = by.get(g[:-1])
+        if not own:
+            return p(g[1:])
+        n, total = counts[k][g], sum(own)
+        return (n - d[k][min(n, 3)]) / total + sum(d[k][min(x, 3)] for x in own) / total * p(g[1:])
+
+    out = []
+    for t in texts:
+        w = toks(t)
+        out.append(sum(math.log10(p(tuple(w[max(0, i - order + 1):i + 1]))) for i in range(1, len(w))))
+    return out
+
+
+@pytest.mark.parametrize("order", [3, 4])
+def test_higher_orders_equal_brute_force(spark, monkeypatch, order):
+    monkeypatch.setattr(lm, "SHARD_BYTES", 900)
+    monkeypatch.setattr(lm, "FLUSH", 150)
+    rng = np.random.default_rng(order)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 6, int(rng.integers(0, 25)))) for _ in range(100)] + [None, "", "w1 " * 300, "new w1 w2 new w3"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    model = lm.train(df.filter("id % 4 != 3"), order=order)
+    got = {r.id: r.score for r in lm.score(df, model).collect()}
+    for i, want in enumerate(brute_of_order([t for i, t in enumerate(texts) if i % 4 != 3], texts, order)):
+        assert got[i] == pytest.approx(want)
+
+
+def test_query_tells_texts_by_more_than_word_pairs(spark, tmp_path):
+    import __spark_entry__ as E
+
+    # c and d follow x equally often; only the word before it tells which
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    trained = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2][:120]
+    rows = [(i, "a x c" if n % 2 else "b x d") for n, i in enumerate(trained)] + list(zip(held, ["a x c", "a x d"]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in E.queries()["op3_lm_score"](spark, str(tmp_path)).collect()}
+    assert got[held[0]] > got[held[1]] + 0.5
