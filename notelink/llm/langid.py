@@ -30,7 +30,7 @@ from notelink.llm.common import append_columns
 # characters of each, and symbols of a language and of all languages together.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS, ALL_SYMBOLS = 64, 2048, 32_768, 1 << 19
 BLOCK = 512
-LETTERS = 94  # the commonest letters of the samples; any other letter is one symbol of its own
+LETTERS = 94  # the commonest letters of the samples have columns in a table, the others are looked up
 
 UNKNOWN = "und"
 _LOWER: np.ndarray | None = None
@@ -58,17 +58,17 @@ def letters_of(text: str) -> np.ndarray:
     return x[:-1] if len(x) and x[-1] == 0 else x
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a sequence: (states, width), -1 where there is none."""
-    link, size, to = [-1], [0], [[-1] * width]
+def transitions(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of a sequence, by state."""
+    link, size, to = [-1], [0], [{}]
     last = 0
     for c in symbols:
         cur = len(to)
-        to.append([-1] * width)
+        to.append({})
         size.append(size[last] + 1)
         link.append(0)
         p = last
-        while p >= 0 and to[p][c] < 0:
+        while p >= 0 and c not in to[p]:
             to[p][c] = cur
             p = link[p]
         if p >= 0:
@@ -77,19 +77,36 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                 link[cur] = q
             else:
                 copy = len(to)
-                to.append(to[q][:])
+                to.append(dict(to[q]))
                 size.append(size[p] + 1)
                 link.append(link[q])
-                while p >= 0 and to[p][c] == q:
+                while p >= 0 and to[p].get(c) == q:
                     to[p][c] = copy
                     p = link[p]
                 link[q] = link[cur] = copy
         last = cur
-    return np.array(to, np.int32)
+    return to
+
+
+def _flat(to: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """State, symbol and next state of all transitions."""
+    state = np.repeat(np.arange(len(to)), [len(x) for x in to])
+    symbol = np.fromiter((c for x in to for c in x), np.int64, len(state))
+    return state, symbol, np.fromiter((n for x in to for n in x.values()), np.int64, len(state))
+
+
+def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
+    """Transitions of the suffix automaton of a sequence: (states, width), -1 where there is none."""
+    to = transitions(symbols)
+    state, symbol, nxt = _flat(to)
+    out = np.full((len(to), width), -1, np.int32)
+    out[state, symbol] = nxt
+    return out
 
 
 class Parser:
-    """Automata of all languages in one table, side by side."""
+    """Automata of all languages side by side: a table for the commonest letters, sorted
+    (state, symbol) pairs for the others. Only letters that no sample has share a symbol."""
 
     def __init__(self, samples: dict[str, list[str]]):
         own = {}
@@ -101,20 +118,42 @@ class Parser:
                 own[lang] = np.concatenate(parts)[:share].astype(np.int64)
         self.langs = sorted(own)
         seen, count = np.unique(np.concatenate([*own.values(), [0]]), return_counts=True)
-        common = sorted(seen[seen > 0][np.argsort(-count[seen > 0], kind="stable")][:LETTERS].tolist())
-        self.width = len(common) + 2
-        self.symbol = np.full(0x110000, self.width - 1, np.uint8)
+        letters = seen[seen > 0][np.argsort(-count[seen > 0], kind="stable")]
+        letters = np.concatenate([np.sort(letters[:LETTERS]), letters[LETTERS:]])
+        self.width = min(len(letters), LETTERS) + 1  # columns: blanks and the commonest letters
+        self.other = len(letters) + 1
+        self.symbol = np.full(0x110000, self.other, np.min_scalar_type(self.other))
         self.symbol[0] = 0
-        self.symbol[common] = np.arange(1, len(common) + 1)
-        tables, base, self.root = [], 0, []
+        self.symbol[letters] = np.arange(1, len(letters) + 1)
+        tables, keys, values, base, self.root = [], [], [], 0, []
         for lang in self.langs:
-            t = suffix_automaton(self.symbol[own[lang]].tolist(), self.width)
-            tables.append(np.where(t >= 0, t + base, -1))
+            to = transitions(self.symbol[own[lang]].tolist())
+            state, symbol, nxt = _flat(to)
+            table, dense = np.full((len(to), self.width), -1, np.int32), symbol < self.width
+            table[state[dense], symbol[dense]] = nxt[dense] + base
+            key = (state[~dense] + base) * (self.other + 1) + symbol[~dense]
+            order = np.argsort(key)  # states of later languages are greater: all stay sorted
+            tables.append(table)
+            keys.append(key[order])
+            values.append((nxt[~dense] + base)[order])
             self.root.append(base)
-            base += len(t)
-        self.table = np.concatenate(tables).ravel().astype(np.int32) if tables else np.zeros(0, np.int32)
+            base += len(to)
+        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.keys = np.concatenate([*keys, np.zeros(0, np.int64)])
+        self.values = np.concatenate([*values, np.zeros(0, np.int64)]).astype(np.int32)
         self.bits = np.array([np.log2(len(own[x]) + 1) for x in self.langs])
 
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The next states, -1 where there is none; ``symbol`` goes along the last axis of ``state``."""
+        symbol = np.broadcast_to(symbol, state.shape)
+        nxt = np.where(symbol < self.width, self.table[state * self.width + np.minimum(symbol, self.width - 1)], -1)
+        rare = symbol >= self.width
+        if len(self.keys) and rare.any():
+            key = state[rare].astype(np.int64) * (self.other + 1) + symbol[rare]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            nxt[rare] = np.where(self.keys[at] == key, self.values[at], -1)
+        return nxt
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases that each text needs in each language: (texts, languages)."""
         out = np.zeros((len(texts), len(self.langs)), np.int64)
@@ -136,10 +175,10 @@ class Parser:
         for step in range(int(length[0])):
             k = active[step]
             c = flat[begin[:k] + step].astype(np.int32)
-            nxt = self.table[state[:, :k] * self.width + c]
+            nxt = self.step(state[:, :k], c)
             miss = nxt < 0
             if miss.any():
-                again = self.table[np.broadcast_to(root, (len(root), k))[miss] * self.width + np.broadcast_to(c, miss.shape)[miss]]
+                again = self.step(np.broadcast_to(root, (len(root), k))[miss], np.broadcast_to(c, miss.shape)[miss])
                 # a symbol that the language doesn't have is a phrase by itself
                 nxt[miss] = np.where(again < 0, np.broadcast_to(root, (len(root), k))[miss], again)
                 count[:, :k] += miss

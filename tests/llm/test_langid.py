@@ -65,3 +65,26 @@ def test_held_out_accuracy(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = [r for r in E.queries()["op10_language_id"](spark, SF).collect() if r.held_out]
     assert len(rows) > 20 and sum(r.lang_pred == lang[r.doc_id] for r in rows) >= 0.9 * len(rows)
+
+
+def test_no_letter_of_the_samples_is_merged():
+    rng = random.Random(5)
+    # the first language has the 94 commonest letters; the others share no letter, and word lengths tell nothing
+    text = lambda first, n, size: "".join(chr(first + rng.randrange(n)) if i % 5 else " " for i in range(size))
+    scripts = {"han": (0x4E00, 94), "hangul": (0xAC00, 60), "georgian": (0x10D0, 30), "thai": (0x0E01, 40)}
+    samples = {k: [text(*v, 9000 if k == "han" else 3000)] for k, v in scripts.items()}
+    parser = li.Parser(samples)
+    n = len({c for t in samples.values() for c in t[0]} - {" "})
+    assert n > li.LETTERS and len(set(parser.symbol[[ord(c) for t in samples.values() for c in t[0]]].tolist())) == n + 1
+    texts = [(k, text(*v, 400)) for k, v in scripts.items() for _ in range(5)]
+    texts += [(k, samples[k][0][100:400]) for k in samples]
+    got = parser.phrases([li.letters_of(t) for _, t in texts])
+    for (k, t), row in zip(texts, got * parser.bits):
+        assert parser.langs[int(np.argmin(row))] == k
+    for (k, t), row in zip(texts, got):  # greedy parsing, letter by letter
+        for j, lang in enumerate(parser.langs):
+            whole, x, count, begin = samples[lang][0].lower(), "".join(chr(c) if c else " " for c in li.letters_of(t)), 1, 0
+            for at in range(min(len(x), li.BLOCK)):
+                if x[begin:at + 1] not in " ".join(whole.split()) + " ":
+                    count, begin = count + 1, at if x[at] in whole else at + 1
+            assert row[j] == count
