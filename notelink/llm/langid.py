@@ -29,6 +29,7 @@ from notelink.llm.common import append_columns
 # The sample that is learned from: at most so many documents of a language,
 # characters of each, and symbols of a language and of all languages together.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS, ALL_SYMBOLS = 64, 2048, 32_768, 1 << 19
+PIECES = 16  # of a text longer than that, from all over it
 BLOCK = 512
 LETTERS = 94  # the commonest letters of the samples have columns in a table, the others are looked up
 
@@ -104,6 +105,16 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
     return out
 
 
+def evenly(parts: list[np.ndarray], total: int) -> list[np.ndarray]:
+    """The parts cut to one size, the largest with which all together have at most ``total`` items."""
+    size = np.sort([len(p) for p in parts])
+    rest = total - np.concatenate([[0], np.cumsum(size)[:-1]])  # for the parts from each on, if those before stay whole
+    each = rest // np.arange(len(size), 0, -1)
+    over = np.flatnonzero(each < size)
+    cut = max(0, int(each[over[0]])) if len(over) else None
+    return [p[:cut] for p in parts]
+
+
 class Parser:
     """Automata of all languages side by side: a table for the commonest letters, sorted
     (state, symbol) pairs for the others. Only letters that no sample has share a symbol."""
@@ -115,7 +126,7 @@ class Parser:
             parts = [letters_of(t) for t in samples[lang]]
             parts = [np.concatenate([p, [0]]) for p in parts if len(p)]
             if parts:
-                own[lang] = np.concatenate(parts)[:share].astype(np.int64)
+                own[lang] = np.concatenate(evenly(parts, share)).astype(np.int64)
         self.langs = sorted(own)
         seen, count = np.unique(np.concatenate([*own.values(), [0]]), return_counts=True)
         letters = seen[seen > 0][np.argsort(-count[seen > 0], kind="stable")]
@@ -202,19 +213,27 @@ def _parser(payload: bytes) -> Parser:
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
     """The labelled sample, by language: of each language the ``SAMPLE_DOCS`` documents with
-    the smallest hash of their key, ``SAMPLE_CHARS`` characters of each.
+    the smallest hash of their key, ``SAMPLE_CHARS`` characters of each. Of a longer text these are
+    ``PIECES`` pieces, one from each equal part of it at a place by hash, in the order of a hash.
 
-    The ranking reads keys and labels alone and keeps that many rows per task;
-    null keys, labels and texts are left out.
+    The ranking moves keys and labels alone and keeps that many rows per task;
+    null keys and labels and texts without a letter are left out.
     """
+    docs = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("t"))
+    docs = docs.filter(F.col("k").isNotNull() & F.col("lang").isNotNull() & F.col("t").rlike(r"\p{L}"))
     rank = Window.partitionBy("lang").orderBy("h", "k")
-    keys = (docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("h"))
-            .filter("k IS NOT NULL AND lang IS NOT NULL")
-            .withColumn("rn", F.row_number().over(rank)).filter(F.col("rn") <= SAMPLE_DOCS))
+    keys = docs.select("k", "lang", F.xxhash64("k").alias("h")).withColumn("rn", F.row_number().over(rank)).filter(F.col("rn") <= SAMPLE_DOCS)
     chosen = [r.k for r in keys.select("k").collect()]
-    rows = (docs.filter(F.col(key).isin(chosen) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-            .select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t"))
-            .collect()) if chosen else []
+    size, each = F.char_length("t"), SAMPLE_CHARS // PIECES
+
+    def piece(i: Column) -> Column:
+        part = F.floor(size / PIECES)
+        at = i * part + F.pmod(F.xxhash64("k", i), part - each + 1)
+        return F.struct(F.xxhash64("k", i, F.lit(1)).alias("h"), F.substring("t", (at + 1).cast("int"), F.lit(each)).alias("t"))
+
+    pieces = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), piece))
+    some = F.when(size <= SAMPLE_CHARS, F.col("t")).otherwise(F.array_join(F.transform(pieces, lambda x: x["t"]), " "))
+    rows = docs.filter(F.col("k").isin(chosen)).select("k", "lang", some.alias("t")).collect() if chosen else []
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, str(r.k), r.t)):
         out.setdefault(r.lang, []).append(r.t)

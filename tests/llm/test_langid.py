@@ -88,3 +88,23 @@ def test_no_letter_of_the_samples_is_merged():
                 if x[begin:at + 1] not in " ".join(whole.split()) + " ":
                     count, begin = count + 1, at if x[at] in whole else at + 1
             assert row[j] == count
+
+
+def test_sample_is_of_texts_with_letters_from_all_over(spark):
+    # the least-hashed documents of "xx" have no letter; a long text changes its letters half-way
+    keys = [r.id for r in spark.range(200).selectExpr("id", "xxhash64(id) AS h").orderBy("h").collect()]
+    rows = [(k, (None, "12 34", "")[i % 3] if i < 120 else "hund katze", "xx") for i, k in enumerate(keys)]
+    rows += [(1000, "ab " * 1000 + "cd " * 1000, "yy"), (1001, "short text", "yy")]
+    samples = li.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert samples["xx"] == ["hund katze"] * li.SAMPLE_DOCS
+    long, short = samples["yy"]
+    assert short == "short text" and len(long) == li.SAMPLE_CHARS + li.PIECES - 1
+    assert long.count("ab") > 200 and long.count("cd") > 200
+
+
+def test_symbols_are_shared_evenly():
+    parts = [np.full(n, i) for i, n in enumerate([5, 100, 20, 100, 0])]
+    assert [len(x) for x in li.evenly(parts, 100)] == [5, 37, 20, 37, 0]
+    assert [len(x) for x in li.evenly(parts, 225)] == [len(x) for x in parts]
+    parser = li.Parser({"x": [chr(0x4E00 + i) * 2000 for i in range(64)]})
+    assert len(set(parser.symbol[0x4E00:0x4E00 + 64].tolist())) == 64
