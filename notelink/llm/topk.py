@@ -14,7 +14,7 @@ partial scores.
 3. What is left and not complete is scored exactly, and the best k are kept.
 
 Equal vectors are one candidate that carries its smallest ids, and equal
-queries are one query, so a vector with very many copies costs what one does.
+queries are one query; they are numbered, as an id can have several vectors. So a vector with very many copies costs what one does.
 """
 
 from __future__ import annotations
@@ -106,10 +106,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     # One candidate per distinct vector, with the k + 1 smallest ids (one may be the query's own).
     nth = F.row_number().over(Window.partitionBy("dim", "v").orderBy("id"))
     few = rows.select("dim", "v", "id").distinct().withColumn("n", nth).filter(F.col("n") <= k + 1)
-    cands = written(few.groupBy("dim", "v").agg(F.min("id").alias("c"), F.sort_array(F.collect_list("id")).alias("ids")), "candidates")
+    cands = few.groupBy("dim", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    cands = written(cands.withColumn("c", F.monotonically_increasing_id()), "candidates")
     asked = rows.filter(F.coalesce("is_query", F.lit(False))).select("dim", "v", F.col("id").alias("query_id")).distinct()
-    queries = asked.groupBy("dim", "v").agg(F.min("query_id").alias("q"))
-    queries = written(queries, "queries")
+    queries = written(asked.select("dim", "v").distinct().withColumn("q", F.monotonically_increasing_id()), "queries")
+    # A query's own id is on as many candidates as it has vectors.
+    owned = rows.select("dim", "v", "id").distinct().join(asked.select(F.col("query_id").alias("id")).distinct(), "id", "left_semi")
+    best = k + (owned.groupBy("dim", "id").count().agg(F.max("count")).first()[0] or 1)
 
     blocks = _block_counts(cands.select(F.size("v").alias("dim")), CANDIDATES)
     own = written(_packed(cands.select("dim", "c", "v"), "c", blocks, parts), "blocks")
@@ -117,8 +120,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     # Every node meets every block of queries of its length: queries are sent to the nodes' blocks.
     sent = asking.select("dim", F.col("block").alias("q_block"), "part", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"),
                          F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    best = k + 1
-
     def lists(score, _):
         n = min(best, score.shape[1])
         at = np.argpartition(-score, n - 1, axis=1)[:, :n]
@@ -145,7 +146,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     # Phase 3: complete sums are exact already, the others are looked up.
     done = left.filter(F.col("n") == parts).select("q", "c", F.col("sum").alias("score"))
     scored = done.unionByName(exact_scores(left.filter(F.col("n") < parts).select("q", "c"), queries, cands))
-    top = scored.withColumn("n", by_total).filter(F.col("n") <= best).select("q", "c", "score")
+    by_id = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "least", "c"))
+    scored = scored.join(cands.select("c", F.col("ids")[0].alias("least")), "c")
+    top = scored.withColumn("n", by_id).filter(F.col("n") <= best).select("q", "c", "score")
     # Back to rows: each query row, the ids behind each candidate, without its own.
     answers = top.join(cands.select("c", "ids", F.size("v").alias("dim")), "c")
     answers = queries.join(answers, ["q", "dim"]).select("dim", "v", "score", F.explode("ids").alias("vec_id"))

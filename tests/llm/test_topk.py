@@ -40,3 +40,13 @@ def test_few_candidates_and_empty_table(spark):
     got = sorted(tuple(r) for r in tk.top_k(df, F.col("vec_id") % 50 == 0).collect())
     assert got == [(0, 1, 1, 4), (0, 2, 50, 2), (50, 1, 1, 4), (50, 2, 0, 2)]
     assert tk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ids_with_several_vectors(spark, monkeypatch, seed):
+    monkeypatch.setattr(tk, "CANDIDATES", 30)
+    rng = np.random.default_rng(seed)
+    rows = [(int(i), rng.integers(-4, 5, 6).tolist()) for i in rng.integers(0, 60, 200)] + [(0, [9 - j, 9, 9, 9, 9, 9]) for j in range(12)]
+    rows += [(7, [8, 8, 8, 0, 0, 0]), (7, [0, 0, 0, 8, 8, 8])]
+    got = tk.top_k(spark.createDataFrame(rows, "vec_id long, v array<long>"), F.col("vec_id") % 5 == 0, k=4).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 4)
