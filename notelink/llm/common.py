@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -197,6 +197,17 @@ def unique_ids(df: DataFrame, key: str) -> bool:
     return df.groupBy(key).count().filter("count > 1").limit(1).count() == 0
 
 
+# Tasks among which the rows of one key of a looked-up table are spread.
+SALTS = 32
+
+
+def salted_lookup(rows: DataFrame, table: DataFrame, on: list[str], spread: Column, salts: int = SALTS) -> DataFrame:
+    """``rows`` left-joined with ``table`` (one row per key): the rows of a key are dealt by the hash
+    ``spread`` to ``salts`` tasks, each of which gets a copy of the key's one row."""
+    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("__salt", F.pmod(spread, F.lit(salts)).cast("int")).join(copies, [*on, "__salt"], "left").drop("__salt")
+
+
 # --- arrays in binary columns ------------------------------------------------
 
 def squeeze(x: np.ndarray, ordered: bool = False) -> bytes:

@@ -10,6 +10,7 @@ from notelink.llm import bpe, chat
 from notelink.llm import decontaminate as dc
 from notelink.llm import jaccard as jc
 from notelink.llm import langid as li
+from notelink.llm import minhash as mh
 from notelink.llm import ngram_lm as lm
 from notelink.llm import suffix_dedup as sd
 from notelink.llm import topk as tk
@@ -187,3 +188,31 @@ def op2_training_order(spark: SparkSession, d: str) -> DataFrame:
     shards = to.write_shards(table(spark, d, "documents").select("doc_id", "text"), rank_file=RANKS)
     return to.read_shards(spark, shards).select(
         "slot", "shard", F.col("key").alias("doc_id"), "part", "n_ids", F.sha2("ids", 256).alias("ids_sha256"))
+
+
+def _linked_sql(k: int, percent: int, extra: str = "") -> str:
+    """Components of documents whose sets of k-word n-grams reach the similarity."""
+    return rf"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(array_to_string(list_slice(w, i, i + {k - 1}), ' ')) AS g
+  FROM d, unnest(range(1, greatest(len(w) - {k - 1}, 1) + 1)) AS u(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+f AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1),
+s AS MATERIALIZED (SELECT doc_id, g FROM g SEMI JOIN f USING (g)),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (
+  SELECT x, y FROM o JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y WHERE 100 * o >= {percent} * (nx.n + ny.n - o)),
+e AS MATERIALIZED (SELECT x AS a, y AS b FROM link UNION ALL SELECT y, x FROM link),
+reach(doc_id, to_id) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM reach AS r JOIN e ON e.a = r.to_id)
+SELECT doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, CAST(min(to_id) AS BIGINT) AS component_id{extra}
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
+@register("op13_minhash_dedup", _linked_sql(4, 80, ", min(to_id) = doc_id AS kept"))
+def op13_minhash_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return mh.minhash_dedup(table(spark, d, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
