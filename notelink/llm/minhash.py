@@ -7,11 +7,12 @@ permutation is shifted by ``c`` places around the circle.
 
 1. Equal sets become one class, represented by its smallest document.
 2. Signatures are cut into bands; classes that agree on a band share a bucket.
-3. In every bucket the classes are compared with one of them, first by some
-   bands, then by all; this connects groups of near copies. Then classes that still
-   share a bucket, but no component, are compared with each other, each pair in its
-   first common band only.
-4. A pair is compared by its sizes and signatures, then by its full sets, which decide exactly.
+3. In every bucket the classes are compared with the one that shares most buckets with
+   others, first by some bands, then by all; this connects groups of near copies. Then
+   classes that still share a bucket, but no component, are compared with each other, each
+   pair in its first common band only.
+4. A pair is compared by its sizes, its signatures and a bitmap of each set, whose bits that the other
+   one lacks bound the overlap; then by its full sets, which decide exactly.
 
 No bucket, band or candidate is capped. Two sets that link agree on no band with
 a probability below ``(1 - s ** ROWS) ** BANDS`` (7e-10 at a similarity of
@@ -35,6 +36,8 @@ from notelink.llm.jaccard import components, shingle_sets
 BANDS, ROWS = 40, 4
 # Bands by which buckets are first connected; the others then have few rows left.
 FIRST_BANDS = 6
+# Bits of a set's bitmap.
+CELLS = 2048
 # Chance that a pair at the threshold is left out for its number of equal coordinates.
 LOST = 1e-9
 # Text of which signatures are computed at once (its arrays stay in a core's cache).
@@ -79,7 +82,7 @@ def least_matches(num: int, den: int, size: int = BANDS * ROWS, lost: float = LO
 
 
 _SIGNED = T.StructType([T.StructField("n", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()),
-                        T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("sig", T.ArrayType(T.ShortType()))])
+                        T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("sig", T.ArrayType(T.ShortType())), T.StructField("cells", T.ArrayType(T.LongType()))])
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -91,9 +94,17 @@ def _rows(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * np.int32(x.shape[1])), pa.array(np.ascontiguousarray(x).ravel()))
 
 
+def _bitmaps(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(documents, CELLS / 64): the bits of the cells in which each set has an n-gram."""
+    cell = (h >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+    full = np.zeros((len(first) - 1, CELLS), np.uint8)
+    full[np.repeat(np.arange(len(first) - 1), np.diff(first)), cell] = 1
+    return np.packbits(full, axis=1).view(np.int64)
+
+
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """(key, v, n, d1, d2, buckets, sig): each document's set size and digest, its bucket in every
-    band, and 16 bits of every coordinate."""
+    """(key, v, n, d1, d2, buckets, sig, cells): each document's set size and digest, its bucket in every
+    band, 16 bits of every coordinate, and its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +116,8 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                     bucket = fold(bucket, sig[:, r::ROWS])
                 yield pa.RecordBatch.from_arrays([
                     part.column("key"), part.column("v"), pa.array(np.diff(first).astype(np.int64)), pa.array(_sums(mix(h), first)),
-                    pa.array(_sums(mix(h ^ _PI), first)), _rows(bucket.view(np.int64)), _rows(sig.astype(np.uint16).view(np.int16))],
+                    pa.array(_sums(mix(h ^ _PI), first)), _rows(bucket.view(np.int64)), _rows(sig.astype(np.uint16).view(np.int16)),
+                    _rows(_bitmaps(h, first))],
                     names=["key", "v", *_SIGNED.names])
 
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("v", T.LongType()), *_SIGNED.fields])
@@ -127,10 +139,18 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _alike(a: str, b: str, least: int, num: int, den: int) -> Column:
-    """Whether sizes and signatures of two classes allow a link."""
+    """Whether sizes, signatures and bitmaps of two classes allow a link."""
     equal = F.aggregate(F.zip_with(f"sig{a}", f"sig{b}", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     fits = F.least(f"n{a}", f"n{b}") * den >= F.greatest(f"n{a}", f"n{b}") * num
-    return fits & (equal >= least)
+    def own(x: str, y: str) -> Column:
+        """n-grams of x at most in y: all but one for every cell that only x has."""
+        alone = F.lit(0)
+        for w in range(CELLS // 64):
+            alone = alone + F.bit_count(F.col(f"cells{x}")[w].bitwiseAND(F.bitwise_not(F.col(f"cells{y}")[w])))
+        return F.col(f"n{x}") - alone
+
+    most = F.least(own(a, b), own(b, a))
+    return fits & (equal >= least) & ((num + den) * most >= num * (F.col(f"n{a}") + F.col(f"n{b}")))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -152,22 +172,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
 def class_links(classes: DataFrame, sets_of, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Links (x, y) between classes, enough to connect all that link, and their components (doc, comp).
 
-    ``classes`` holds (c, n, buckets, sig); ``sets_of`` gives (c, grams) for a table of classes (c).
+    ``classes`` holds (c, n, buckets, sig, cells); ``sets_of`` gives (c, grams) for a table of classes (c).
     """
     spark = classes.sparkSession
     least = least_matches(num, den)
     rows = classes.select("c", F.posexplode("buckets").alias("band", "bucket"))
-    several = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
+    several = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     # a bucket is one band's: the band is part of its hash
     rows = written(rows.join(several, "bucket"), "buckets")
-    members = rows.select("c").distinct()
-    able = written(classes.join(members, "c").select("c", "n", "buckets", "sig"), "candidates")
-    sets = written(sets_of(members), "sets")
+    # how often a class meets others: the middle of a group of copies meets most
+    members = written(rows.groupBy("c").agg(F.sum("size").alias("meets")), "members")
+    able = written(classes.join(members, "c").select("c", "n", "buckets", "sig", "cells"), "candidates")
+    sets = written(sets_of(members.select("c")), "sets")
+    rows = written(rows.drop("size").join(members, "c"), "members-by-bucket")
     links = spark.createDataFrame([], "x long, y long")
     comp = spark.createDataFrame([], "doc long, comp long")
 
     def side(df: DataFrame, x: str) -> DataFrame:
-        return df.join(able.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}")), x)
+        return df.join(able.select(F.col("c").alias(x), *[F.col(n).alias(f"{n}{x}") for n in ("n", "sig", "cells")]), x)
 
     def labelled(df: DataFrame) -> DataFrame:
         return df.join(comp.withColumnRenamed("doc", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
@@ -180,15 +202,16 @@ def class_links(classes: DataFrame, sets_of, num: int, den: int) -> tuple[DataFr
 
     for some in (rows.filter(F.col("band") < FIRST_BANDS), rows):
         own = written(labelled(some), "open")
-        lead = own.groupBy("bucket").agg(F.min(F.struct("comp", "c")).alias("lead"), F.max("comp").alias("last"))
-        lead = lead.filter("lead.comp < last").select("bucket", F.col("lead.c").alias("x"), F.col("lead.comp").alias("x_comp"))
-        met = own.join(written(lead, "leaders"), "bucket").filter("comp != x_comp").select("x", F.col("c").alias("y")).distinct()
+        lead = own.groupBy("bucket").agg(F.max_by(F.struct("comp", "c"), F.struct("meets", -F.col("c"))).alias("lead"),
+                                         F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+        lead = written(lead.select("bucket", F.col("lead.c").alias("x"), F.col("lead.comp").alias("x_comp")), "leaders")
+        met = own.join(lead, "bucket").filter("comp != x_comp").select("x", F.col("c").alias("y")).distinct()
         connect(side(side(met, "x"), "y").filter(_alike("x", "y", least, num, den)).select("x", "y"))
 
     own = written(labelled(rows), "open")
     mixed = own.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("bucket")
     left = written(own.join(mixed, "bucket").join(able, "c"), "left")
-    a, b = (left.select("bucket", "band", *[F.col(n).alias(f"{n}{x}") for n in ("c", "comp", "n", "buckets", "sig")]) for x in "xy")
+    a, b = (left.select("bucket", "band", *[F.col(n).alias(f"{n}{x}") for n in ("c", "comp", "n", "buckets", "sig", "cells")]) for x in "xy")
     first = F.array_position(F.zip_with("bucketsx", "bucketsy", lambda x, y: x == y), True)
     pairs = a.join(b.drop("band"), "bucket").filter(
         (F.col("compx") < F.col("compy")) & (first == F.col("band") + 1) & _alike("x", "y", least, num, den))
@@ -216,13 +239,13 @@ def minhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
     same = ["n", "d1", "d2"]
     first = info.filter("n > 0").groupBy(*same).agg(F.min(F.struct("key", "v")).alias("rep"), F.count("*").alias("rows"))
     classes = written(first.select(F.monotonically_increasing_id().alias("c"), *same, "rep.*", "rows"), "classes")
-    heads = info.select("key", "v", "buckets", "sig").join(classes, ["key", "v"]).dropDuplicates(["c"])
+    heads = info.select("key", "v", "buckets", "sig", "cells").join(classes, ["key", "v"]).dropDuplicates(["c"])
 
     def sets_of(members: DataFrame) -> DataFrame:
         wanted = classes.join(members, "c").select("c", "key", "v")
         return _sets(known.join(wanted, ["key", "v"]).dropDuplicates(["c"]).select("c", "text"), k)
 
-    _, comp = class_links(heads.select("c", "n", "buckets", "sig"), sets_of, num, den)
+    _, comp = class_links(heads.select("c", "n", "buckets", "sig", "cells"), sets_of, num, den)
     # The smallest key of each component, for every class that is not its document's alone.
     placed = classes.join(comp.withColumnRenamed("doc", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     placed = written(placed.select("comp", "key", "rows", *same), "placed")

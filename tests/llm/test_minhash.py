@@ -129,3 +129,11 @@ def test_shingles_have_four_words():
     text = b"a b c d e"
     h, first = shingle_sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 4)
     assert len(h) == 2 and list(first) == [0, 2]
+
+
+def test_bitmaps_bound_the_overlap():
+    h = np.random.default_rng(9).integers(0, 2**64, 400, np.uint64)
+    a, b = np.sort(h[:300]), np.sort(h[60:])
+    x, y = mh._bitmaps(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])).view(np.uint8)
+    only = int(np.unpackbits(x & ~y).sum())
+    assert 240 <= len(a) - only < 260 and only <= 60
