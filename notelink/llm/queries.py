@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from notelink.llm import bpe, chat
 from notelink.llm import decontaminate as dc
+from notelink.llm import hard_negatives as hn
 from notelink.llm import jaccard as jc
 from notelink.llm import langid as li
 from notelink.llm import minhash as mh
 from notelink.llm import ngram_lm as lm
+from notelink.llm import phrases as ph
 from notelink.llm import suffix_dedup as sd
 from notelink.llm import topk as tk
 from notelink.llm import toxicity as tx
@@ -216,3 +218,55 @@ FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 @register("op13_minhash_dedup", _linked_sql(4, 80, ", min(to_id) = doc_id AS kept"))
 def op13_minhash_dedup(spark: SparkSession, d: str) -> DataFrame:
     return mh.minhash_dedup(table(spark, d, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@register("op11_phrases", r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS MATERIALIZED (
+  SELECT lang, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase, count(*) AS f
+  FROM w, unnest([1, 2, 3]) AS s(size), unnest(range(1, len(w) - size + 2)) AS u(i) WHERE len(w) >= size
+  GROUP BY ALL HAVING count(*) >= 10),
+c AS MATERIALIZED (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE size > 1),
+cut AS (SELECT lang, size, phrase, a, k, array_to_string(w[:k], ' ') AS p, array_to_string(w[k + 1:], ' ') AS q
+  FROM c, unnest(range(1, size)) AS u(k)),
+s AS (
+  SELECT cut.lang, cut.size, cut.phrase, a, x.f AS l, y.f AS r, k,
+    CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cut JOIN g AS x ON x.lang = cut.lang AND x.phrase = p JOIN g AS y ON y.lang = cut.lang AND y.phrase = q),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, array_to_string(list_slice(w, i, i + 1), ' ') AS phrase, max(a) AS longer
+  FROM c, unnest([1, 2]) AS u(i) WHERE size = 3 GROUP BY ALL),
+kept AS (SELECT b.* FROM b LEFT JOIN inner_ AS i ON i.lang = b.lang AND i.phrase = b.phrase AND b.size = 2
+  WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+""")
+def op11_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return ph.mine_phrases(table(spark, d, "documents")).drop("k")
+
+
+@register("op12_hard_negatives", """
+WITH e AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = len(embedding)),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM e AS a JOIN e AS c ON a.vec_id % 50 = 0 AND a.vec_id != c.vec_id AND len(a.v) = len(c.v)),
+p AS MATERIALIZED (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+""")
+def op12_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, d, "embeddings").select("vec_id", label.alias("label"), tk.scaled("embedding").alias("v"))
+    return hn.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
