@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notelink.llm.common import append_columns, bounded_batches, fold, mix, shard_of, slabs, text_buffers, word_hashes, written
+from notelink.llm.common import append_columns, bounded_batches, fold, mix, salted_lookup, shard_of, slabs, text_buffers, word_hashes, written
 
 # N-grams that a task gathers before it settles them (bounds its memory), and text
 # per range of the hash order.
@@ -365,8 +365,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         seen = edges.join(label.withColumnRenamed("doc", "to"), "to").groupBy("doc").agg(F.min("comp").alias("near"))
         near = label.join(seen, "doc").select("doc", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        jump = label.select(F.col("doc").alias("comp"), F.col("comp").alias("far"))
-        new = written(near.join(jump, "comp", "left").select("doc", "was", F.least("comp", F.coalesce("far", "comp")).alias("comp")), "labels")
+        # only documents that are labels of others are looked up, and each label's followers are spread over tasks
+        jump = label.join(label.select(F.col("comp").alias("doc")).distinct(), "doc").select(F.col("doc").alias("comp"), F.col("comp").alias("far"))
+        new = salted_lookup(near, jump.filter("comp != far"), ["comp"], spread=F.xxhash64("doc"))
+        new = written(new.select("doc", "was", F.least("comp", F.coalesce("far", "comp")).alias("comp")), "labels")
         changed = new.filter("was != comp").limit(1).count()
         label = new.select("doc", "comp")
         if not changed:
@@ -431,9 +433,16 @@ def representative_links(ordered: DataFrame, num: int, den: int) -> tuple[DataFr
     sides = docs.select("h", "comp").distinct().join(bounds, "comp")
     sa, sb = (sides.select("h", F.struct("size", "comp").alias(f"s{x}"), *[F.col(c).alias(f"{c}{x}") for c in "nmc"]) for x in "xy")
     both = sa.join(sb, "h").filter((F.col("sx") < F.col("sy")) & _fits(num, den)).select("h", F.col("sx.comp").alias("a"), F.col("sy.comp").alias("b"))
-    da, db = (docs.select("h", F.col("comp").alias(c), F.col("doc").alias(f"d{x}"), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"),
-                          F.col("counts").alias(f"c{x}")) for c, x in zip("ab", "xy"))
-    test(_pairs(F.col("dx"), F.col("dy"), both.join(da, ["h", "a"]).join(db, ["h", "b"]).filter(_fits(num, den))))
+    both = written(both, "component-pairs")
+    # Each pair of documents comes from one n-gram, the least that both prefixes have: of the n-grams
+    # through which its components meet, which are the same for all pairs of two components.
+    used = both.select("h", F.col("a").alias("comp")).unionByName(both.select("h", F.col("b").alias("comp"))).distinct()
+    docs = written(docs.join(used, ["h", "comp"]), "unfolded")
+    through = docs.groupBy("doc").agg(F.collect_set("h").alias("hs"))
+    da, db = (docs.join(through, "doc").select("h", F.col("comp").alias(c), *[F.col(n).alias(f"{s}{x}") for n, s in (
+        ("doc", "d"), ("n", "n"), ("m", "m"), ("counts", "c"), ("hs", "h"))]) for c, x in zip("ab", "xy"))
+    least = F.array_min(F.array_intersect("hx", "hy")) == F.col("h")
+    test(_pairs(F.col("dx"), F.col("dy"), both.join(da, ["h", "a"]).join(db, ["h", "b"]).filter(_fits(num, den) & least)))
     return links, comp
 
 
@@ -468,7 +477,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     info = written(_screen(known, k, num, den, n_shards), "screened")
 
     classes = info.filter("n > 0").groupBy("n", "d1", "d2").agg(
-        F.min(F.struct("key", "v")).alias("rep"), F.max("shared").alias("shared"))
+        F.min(F.struct("key", "v")).alias("rep"), F.max("shared").alias("shared"), F.count("*").alias("rows"))
     smallest = F.ceil(F.col("n") * num / den)
     able = classes.filter(F.col("shared") >= F.floor(smallest / EXTRA) + 1).select("rep.*")
     found = known.join(able, ["key", "v"])
@@ -478,9 +487,12 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     ordered = written(_ordered(packs, _frequencies(packs, n_shards), num, den), "ordered")
     links, comp = representative_links(ordered, num, den)
 
-    ids = classes.select("n", "d1", "d2", F.col("rep.key").alias("class_id"))
-    own = info.join(ids, ["n", "d1", "d2"], "left").withColumn("class_id", F.coalesce("class_id", "key"))
-    out = own.join(comp.withColumnRenamed("doc", "class_id"), "class_id", "left").select(
+    # Class and component of every class that is not one document alone; the copies of a text are spread over tasks.
+    ids = classes.select("n", "d1", "d2", "rows", F.col("rep.key").alias("class_id"))
+    ids = ids.join(comp.withColumnRenamed("doc", "class_id"), "class_id", "left").filter("rows > 1 OR comp IS NOT NULL").drop("rows")
+    own = salted_lookup(info, written(ids, "classes"), ["n", "d1", "d2"], spread=F.xxhash64("key", "v"))
+    own = own.withColumn("class_id", F.coalesce("class_id", "key"))
+    out = own.select(
         F.col("key").alias(key), F.col("v").alias("text_hash"), F.col("n").alias("n_shingles"), "class_id",
         F.coalesce("comp", "class_id").alias("component_id"))
     return Joined(out.unionByName(_without_key(rows.filter("key IS NULL"), key, k)), links)
