@@ -22,6 +22,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,8 @@ from notelink.llm.common import bounded_batches, mix, shared_path, slabs, text_b
 
 HEAD = np.dtype([("slot", "<i8"), ("key", "<i8"), ("part", "<i4"), ("null_key", "<u2"), ("n", "<u2")])
 ROUNDS = 6
+# Records of a shard that a reading task holds at once.
+READ_RECORDS = 4096
 
 
 class Permutation:
@@ -94,7 +97,7 @@ class Shards:
 _MOVED = "shard int, slot long, key long, null_key boolean, part int, n int, data binary"
 
 
-def write_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", ids: int = 512, per_shard: int = 65_536,
+def write_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", ids: int = 512, per_shard: int = 32_768,
                  seed: int = 20_240_601, path: str | None = None, rank_file: str | None = None) -> Shards:
     """Write the sequences of ``docs``, in a training order given by ``seed``, to ``path`` (a new
     folder of the shared ``spark.checkpoint.dir`` if not given). Ids are those of ``rank_file``, or
@@ -118,6 +121,8 @@ def write_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", ids:
         width = bpe.id_type(rank_file).itemsize
         coded = bpe.encode_packed(rows, rank_file).select("key", F.col("packed_ids").alias("data"), "n_ids")
         rows = written(coded, "training-ids", "zstd")
+    if (HEAD.itemsize + ids * width) * per_shard >= 1 << 31:
+        raise ValueError("a shard has less than 2 GB: take a smaller per_shard")
     rows = rows.withColumn("check", F.xxhash64("key", "n_ids"))
     counted = rows.select(F.spark_partition_id().alias("task"), F.floor((F.col("n_ids") + ids - 1) / ids).alias("n"), "check").groupBy("task").agg(
         F.sum("n").alias("n"), F.bit_xor("check").alias("check")).collect()
@@ -125,11 +130,12 @@ def write_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", ids:
     for r in sorted(counted, key=lambda r: r.task):
         first[r.task] = (total, r.check)
         total += r.n
+    first = spark.sparkContext.broadcast(first)
     order = Permutation(max(total, 1), seed)
     n_shards = max(1, -(-total // per_shard))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, expected = first.get(TaskContext.get().partitionId(), (0, 0))
+        at, expected = first.value.get(TaskContext.get().partitionId(), (0, 0))
         seen, squeeze = 0, zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for part in slabs(batch):
@@ -182,33 +188,70 @@ def write_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", ids:
     return Shards(path, total, ids, per_shard, width)
 
 
+def _opened(path: str):
+    """A file to seek in, of the local or a remote store that pyarrow knows."""
+    at = urlparse(path)
+    if at.scheme in ("", "file"):
+        return open(at.path, "rb")
+    store, inside = pafs.FileSystem.from_uri(path)
+    return store.open_input_file(inside)
+
+
+def _seekable(path: str) -> bool:
+    if urlparse(path).scheme in ("", "file"):
+        return True
+    try:
+        return pafs.FileSystem.from_uri(path) is not None
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+
+
 def read_shards(spark: SparkSession, shards: Shards, first: int = 0, count: int | None = None) -> DataFrame:
     """The records of slots ``first`` to ``first + count - 1`` (to the last if not given), from the files
-    that hold them: (slot, shard, key, part, n_ids, ids as bytes, ``shards.width`` for each)."""
+    that hold them: (slot, shard, key, part, n_ids, ids as bytes, ``shards.width`` for each).
+
+    Tasks seek to ranges of ``READ_RECORDS`` records and hold one range at a time. In a store that only Spark can
+    open, a task holds a whole shard instead.
+    """
     last = shards.sequences if count is None else min(shards.sequences, first + count)
     schema = "slot long, shard int, key long, part int, n_ids int, ids binary"
     if first >= last:
         return spark.createDataFrame([], schema)
     stride, per_shard, width = shards.stride, shards.per_shard, shards.width
-    files = spark.read.format("binaryFile").load(shards.path).select("content", "shard")
+    files = spark.read.format("binaryFile").load(shards.path)
     files = files.filter(F.col("shard").between(first // per_shard, (last - 1) // per_shard))
+    if _seekable(shards.path):
+        # the first slot of each range; only names are read here, no contents
+        start = F.greatest(F.lit(first), F.col("shard").cast("long") * per_shard)
+        end = F.least(F.lit(last), (F.col("shard").cast("long") + 1) * per_shard)
+        ranges = files.select("path", "shard", end.alias("end"), F.explode(F.sequence(start, end - 1, F.lit(READ_RECORDS).cast("long"))).alias("slot"))
+        ranges = ranges.select("shard", "path", F.lit(None).cast("binary").alias("content"), "slot", F.least("end", F.col("slot") + READ_RECORDS).alias("end"))
+    else:
+        ranges = files.select("shard", "path", "content", F.lit(first).cast("long").alias("slot"), F.lit(last).cast("long").alias("end"))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                shard, data = batch.column("shard")[r].as_py(), batch.column("content")[r].as_buffer()
-                rows = np.frombuffer(data, np.uint8)[:len(data) // stride * stride].reshape(-1, stride)
-                rows = rows[max(0, first - shard * per_shard):last - shard * per_shard]
-                for a in range(0, len(rows), 4096):
-                    some = rows[a:a + 4096]
+                shard, path, data, slot, end = (batch.column(n)[r] for n in ("shard", "path", "content", "slot", "end"))
+                base = shard.as_py() * per_shard
+                a, b = max(0, slot.as_py() - base), min(per_shard, end.as_py() - base)
+                if data.is_valid:
+                    raw = memoryview(data.as_buffer())[a * stride:min(b * stride, len(data.as_buffer()) // stride * stride)]
+                else:
+                    with _opened(path.as_py()) as f:
+                        f.seek(a * stride)
+                        raw = f.read((b - a) * stride)
+                rows = np.frombuffer(raw, np.uint8).reshape(-1, stride)
+                for at in range(0, len(rows), READ_RECORDS):
+                    some = rows[at:at + READ_RECORDS]
                     head = np.ascontiguousarray(some[:, :HEAD.itemsize]).view(HEAD).ravel()
                     body = [x[:n * width].tobytes() for x, n in zip(some[:, HEAD.itemsize:], head["n"].tolist())]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(head["slot"]), pa.array(np.full(len(some), shard, np.int32)), pa.array(head["key"], mask=head["null_key"] > 0),
+                        pa.array(head["slot"]), pa.array(np.full(len(some), shard.as_py(), np.int32)), pa.array(head["key"], mask=head["null_key"] > 0),
                         pa.array(head["part"]), pa.array(head["n"].astype(np.int32)), pa.array(body, pa.binary())],
                         names=["slot", "shard", "key", "part", "n_ids", "ids"])
 
-    return files.mapInArrow(records, schema)
+    return ranges.mapInArrow(records, schema)
 
 
 def iterate(shards: Shards, first: int = 0) -> Iterator[tuple[int, bytes]]:

@@ -59,14 +59,39 @@ def test_empty_and_unstable_inputs(spark):
 
 
 def test_query_returns_all_texts(spark):
+    """The query's sequences are the ids that the tiktoken library gives by the same rank file, 512 to a sequence."""
     import hashlib
 
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
     import __spark_entry__ as E
+    from notelink.llm.queries import RANKS
     from tests.conftest import SF
 
+    library = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(RANKS), special_tokens={})
     got = sorted((r.doc_id, r.part, r.ids_sha256) for r in E.queries()["op2_training_order"](spark, SF).collect())
-    texts = [(r.doc_id, r.text.encode()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    assert got == sorted((k, i, hashlib.sha256(t[a:a + 512]).hexdigest()) for k, t in texts for i, a in enumerate(range(0, len(t), 512)))
+    texts = [(r.doc_id, np.array(library.encode_ordinary(r.text), "<u2")) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert got == sorted((k, i, hashlib.sha256(t[a:a + 512].tobytes()).hexdigest()) for k, t in texts for i, a in enumerate(range(0, len(t), 512)))
+
+
+def test_reading_by_ranges_and_whole_files_agree(spark, monkeypatch):
+    """Small ranges, and a store in which workers cannot seek."""
+    df = written(spark.createDataFrame(ROWS, "doc_id long, text string"), "t")
+    shards = to.write_shards(df, ids=8, per_shard=100)
+    want = list(to.iterate(shards))
+    monkeypatch.setattr(to, "READ_RECORDS", 7)
+    for seekable in (True, False):
+        monkeypatch.setattr(to, "_seekable", lambda path, ok=seekable: ok)
+        for first, count in ((0, None), (93, 240), (99, 1), (len(want) - 1, 5)):
+            rows = to.read_shards(spark, shards, first, count).orderBy("slot").collect()
+            assert [(r.slot, bytes(r.ids)) for r in rows] == want[first:None if count is None else first + count]
+
+
+def test_shards_too_large_for_one_buffer_are_refused(spark):
+    with pytest.raises(ValueError):
+        to.write_shards(spark.createDataFrame(ROWS, "doc_id long, text string"), ids=60_000, per_shard=65_536)
 
 
 def test_shards_hold_ids_of_the_rank_file(spark):
