@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from notelink.functions.similarity import PAIR_UDFS
 from notelink.functions.text import SPACE_CLASS, normalize
 from notelink.operators.gazetteer import gaz_keys, norm_index, normalized_terms
-from notelink.plans.materialize import checkpointed, with_constants
+from notelink.plans.materialize import checkpointed, numbered, with_constants
 
 METHODS = ("levenshtein", "jaro-winkler", "token-sort-ratio", "token-set-ratio")
 NO_MAP = "NO_MAP"
@@ -276,54 +276,99 @@ def bm25_postings(terms: DataFrame) -> DataFrame:
     return post
 
 
-# Tokens in more than this many terms are "frequent": they are joined only for
-# queries whose rare-token candidates cannot already beat every frequent-only term.
-FREQUENT_DF = 10_000
+# Postings of a token's first level; each further level has so many times as many. Postings of a row of a level.
+FIRST_LEVEL, GROWTH, LEVEL_ROW = 64, 8, 1024
 
 
-def _bm25_contrib() -> Column:
-    return F.col("qtf") * F.col("idf") * (F.col("tf") * (BM25_K1 + 1)) / (
-        F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
+def _impact() -> Column:
+    """What a posting adds to the score of a query that has its token once."""
+    return F.col("idf") * (F.col("tf") * (BM25_K1 + 1)) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
 
 
-def bm25_best(queries: DataFrame, terms: DataFrame, frequent_df: int | None = None) -> DataFrame:
-    """B2 + B3 with MaxScore-style pruning of frequent tokens (exact).
+def impact_levels(post: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Postings (``keys, token, gaz_ord, w``) in the order of their impact, cut into levels that grow.
 
-    Terms that share a rare query token are scored in full (their frequent
-    tokens looked up by ``(term, token)``).  A term whose shared tokens are all
-    frequent scores strictly below ``sum(qtf * max(idf, 0) * (k1 + 1))`` over
-    the query's frequent tokens, so a query whose best rare candidate beats that
-    bound is finished; the others go through the full postings join.
+    Returns the levels (``keys, token, level, top, first_ord``: the largest impact, and the first
+    ``gaz_ord`` of those that have it) and their postings (``keys, token, level, ords``).
+    """
+    order = [*[F.col(k) for k in keys], F.col("token"), F.round("w", SCORE_DIGITS).desc(), F.col("gaz_ord")]
+    p = numbered(post, order, "_o")
+    begin = p.groupBy(*keys, "token").agg(F.min("_o").alias("_b"))
+    p = p.join(begin, [*keys, "token"]).withColumn("_r", F.col("_o") - F.col("_b"))
+    level = F.floor(F.log(float(GROWTH), (GROWTH - 1) * F.col("_r") / FIRST_LEVEL + 1)).cast("int")
+    p = p.withColumn("level", level)
+    levels = p.groupBy(*keys, "token", "level").agg(F.max("w").alias("top"), F.min_by("gaz_ord", "_o").alias("first_ord"))
+    rows = p.groupBy(*keys, "token", "level", F.floor(F.col("_r") / LEVEL_ROW).alias("_c")).agg(F.collect_list("gaz_ord").alias("ords")).drop("_c")
+    return checkpointed(levels), checkpointed(rows)
+
+
+def bm25_best(queries: DataFrame, terms: DataFrame) -> DataFrame:
+    """B2 + B3: each query's term of the highest Okapi score (ties: lowest ``gaz_ord``), exact.
+
+    Postings are read in the order of their impact, level by level. A term that no
+    level read so far has shown scores at most the sum of what the next levels of the
+    query's tokens begin with: once that is below the best score found, the query
+    is done. Tokens whose next levels together stay below the best score are not
+    read at all, so the long lists of frequent tokens are hardly touched. Terms that
+    are shown are scored in full from their own tokens. Terms without a token of the query score 0.
     """
     keys = gaz_keys(terms)
     group = [*keys, "m"]
-    cut = FREQUENT_DF if frequent_df is None else frequent_df
-    post = checkpointed(bm25_postings(terms))
-    qt = queries.select(*group, F.explode(_tokens(F.col("m"))).alias("token")).groupBy(*group, "token").agg(
-        F.count("*").alias("qtf"))
-    tok_stats = post.select(*keys, "token", "df", "idf").distinct()
-    qs = qt.join(tok_stats, [*keys, "token"], "left")
-    freq = F.col("df") > cut
-    bound = qs.groupBy(*group).agg(F.sum(F.when(freq, F.col("qtf") * F.greatest(F.col("idf"), F.lit(0.0))
-                                                * (BM25_K1 + 1)).otherwise(0.0)).alias("ub_f"))
-    rare_hits = qs.where(~freq).select(*group, "token").join(post.select(*keys, "token", "gaz_ord"), [*keys, "token"])
-    cand = rare_hits.select(*group, "gaz_ord").distinct()
-    full = cand.join(qt, group).join(post, [*keys, "token", "gaz_ord"])
-    scored = full.groupBy(*group, "gaz_ord").agg(F.round(F.sum(_bm25_contrib()), SCORE_DIGITS).alias("score"))
-    best = scored.groupBy(*group).agg(
-        F.max_by(F.struct("gaz_ord", "score"), F.struct(F.col("score"), -F.col("gaz_ord"))).alias("_b"))
-    best = best.join(bound, group).where(F.col("_b.score") > F.round("ub_f", SCORE_DIGITS))
-    done = checkpointed(best.select(*group, F.col("_b.gaz_ord").alias("gaz_ord"), F.col("_b.score").alias("score")))
-    rest = queries.join(done.select(*group), group, "left_anti")
-    out = done.join(terms.select(*keys, "gaz_ord", "norm"), [*keys, "gaz_ord"])
-    return out.unionByName(_bm25_best_full(rest, terms, post))
+    post = checkpointed(bm25_postings(terms).withColumn("w", _impact()))
+    qt = queries.select(*group, F.explode(_tokens(F.col("m"))).alias("token")).groupBy(*group, "token").agg(F.count("*").alias("qtf"))
+    # Impacts are negative only where the mean idf is (tokens in more than half of the terms): no bound holds there
+    below = checkpointed(post.where("w < 0").select(*keys).distinct())
+    spread = queries
+    odd = None
+    if below.limit(1).count():
+        if keys:
+            odd, spread = queries.join(below, keys, "left_semi"), queries.join(below, keys, "left_anti")
+            qt = qt.join(below, keys, "left_anti")
+        else:
+            odd, spread, qt = queries, queries.limit(0), qt.limit(0)
+    levels, rows = impact_levels(post.where("w > 0").select(*keys, "token", "gaz_ord", "w"), keys)
+    vectors = checkpointed(post.where("w > 0").groupBy(*keys, "gaz_ord").agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("ws")))
+    # every query's tokens that some term has, with the next level to read
+    todo = qt.join(levels.where("level = 0"), [*keys, "token"])
+    todo = checkpointed(todo.withColumn("matched", F.count("*").over(Window.partitionBy(*group))))
+    asked = checkpointed(todo.groupBy(*group).agg(F.collect_list(F.struct("token", "qtf")).alias("toks")))
+    best = None
+    while todo.limit(1).count():
+        u = F.col("qtf") * F.col("top")
+        if best is None:  # the most telling token first
+            nth = F.row_number().over(Window.partitionBy(*group).orderBy(u.desc(), "token"))
+            t = todo.withColumn("reads", nth == 1)
+        else:
+            t = todo.join(best.select(*group, F.col("gaz_ord").alias("best_ord"), "score"), group, "left")
+            floor = F.coalesce("score", F.lit(0.0))
+            reach = F.round(F.sum(u).over(Window.partitionBy(*group).orderBy(u, "token").rowsBetween(Window.unboundedPreceding, 0)) + 1e-9, SCORE_DIGITS)
+            # of one token alone, postings of one impact come in the order of gaz_ord
+            tied = (F.col("matched") == 1) & (F.col("qtf") == 1) & (F.round("top", SCORE_DIGITS) == floor) & (F.col("first_ord") > F.col("best_ord"))
+            t = t.withColumn("reads", (reach >= floor) & ~F.coalesce(tied, F.lit(False)))
+        t = t.withColumn("open", F.max("reads").over(Window.partitionBy(*group))).where("open")
+        t = checkpointed(t.select(*group, "token", "qtf", "matched", "level", "top", "first_ord", "reads"))
+        shown = t.where("reads").join(rows, [*keys, "token", "level"]).select(*group, F.explode("ords").alias("gaz_ord")).distinct()
+        dot = F.aggregate("toks", F.lit(0.0), lambda s, x: s + x["qtf"] * F.coalesce(F.try_element_at("ws", x["token"]), F.lit(0.0)))
+        scored = shown.join(vectors, [*keys, "gaz_ord"]).join(asked, group).select(*group, "gaz_ord", F.round(dot, SCORE_DIGITS).alias("score"))
+        if best is not None:
+            scored = scored.unionByName(best)
+        pick = F.max_by(F.struct("gaz_ord", "score"), F.struct(F.col("score"), -F.col("gaz_ord"))).alias("_b")
+        best = checkpointed(scored.groupBy(*group).agg(pick).select(*group, "_b.gaz_ord", "_b.score"))
+        read = t.where("reads").select(*group, "token", "qtf", "matched", (F.col("level") + 1).alias("level")).join(levels, [*keys, "token", "level"])
+        todo = checkpointed(t.where("NOT reads").drop("reads").unionByName(read.select(*group, "token", "qtf", "matched", "level", "top", "first_ord")))
+    # no token in common: every term scores 0, the first one is taken
+    first = terms.groupBy(*keys).agg(F.min("gaz_ord").alias("_first"))
+    none = spread.select(*group) if best is None else spread.select(*group).join(best.where("score > 0"), group, "left_anti")
+    zero = with_constants(none, first, keys).select(*group, F.col("_first").alias("gaz_ord"), F.lit(0.0).alias("score"))
+    out = zero if best is None else best.where("score > 0").unionByName(zero)
+    out = out.join(terms.select(*keys, "gaz_ord", "norm"), [*keys, "gaz_ord"])
+    return out if odd is None else out.unionByName(_bm25_best_full(odd, terms, post))
 
 
 def _bm25_best_full(queries: DataFrame, terms: DataFrame, post: DataFrame) -> DataFrame:
-    """B2 + B3: Okapi score of each query against every term; argmax, lowest ``gaz_ord`` on ties.
+    """The same where impacts can be negative: every term that shares a token is scored.
 
-    Only terms sharing a token are scored (join on token); every other term
-    scores exactly 0, and the lowest such ``gaz_ord`` is found as the first
+    Every other term scores exactly 0, and the lowest such ``gaz_ord`` is found as the first
     gap in the sorted list of overlapping terms.  Returns ``keys, m, gaz_ord,
     norm, score`` with the score rounded to 6 places.
     """
@@ -331,11 +376,12 @@ def _bm25_best_full(queries: DataFrame, terms: DataFrame, post: DataFrame) -> Da
     group = [*keys, "m"]
     qt = queries.select(*group, F.explode(_tokens(F.col("m"))).alias("token")).groupBy(*group, "token").agg(
         F.count("*").alias("qtf"))
-    scores = qt.join(post, [*keys, "token"]).groupBy(*group, "gaz_ord").agg(F.sum(_bm25_contrib()).alias("raw"))
+    scores = qt.join(post, [*keys, "token"]).groupBy(*group, "gaz_ord").agg(F.sum(F.col("qtf") * F.col("w")).alias("raw"))
     scores = scores.withColumn("score", F.round("raw", SCORE_DIGITS))
-    # dense rank of every term in file order, to find the first term that shares no token
-    rank_w = Window.partitionBy(*keys).orderBy("gaz_ord")
-    ranked = terms.select(*keys, "gaz_ord", "norm").withColumn("r", F.row_number().over(rank_w) - 1)
+    # place of every term in file order, to find the first term that shares no token
+    ranked = numbered(terms.select(*keys, "gaz_ord", "norm"), [*[F.col(k) for k in keys], F.col("gaz_ord")], "_o")
+    ranked = with_constants(ranked, ranked.groupBy(*keys).agg(F.min("_o").alias("_b")), keys)
+    ranked = ranked.withColumn("r", F.col("_o") - F.col("_b")).drop("_o", "_b")
     s = scores.join(ranked.select(*keys, "gaz_ord", "r"), [*keys, "gaz_ord"])
     agg = s.groupBy(*group).agg(
         F.max_by(F.struct("gaz_ord", "score"), F.struct(F.col("score"), -F.col("gaz_ord"))).alias("_pos"),
@@ -351,7 +397,8 @@ def _bm25_best_full(queries: DataFrame, terms: DataFrame, post: DataFrame) -> Da
                [*keys, "_free_r"], "left")
     zero_ord = F.least(F.col("_zero_ord"), F.col("_free_ord"))
     pos_score = F.col("_pos.score")
-    use_pos = pos_score.isNotNull() & (pos_score > 0)
+    # below zero only if every term shares a token and loses by it
+    use_pos = pos_score.isNotNull() & ((pos_score > 0) | zero_ord.isNull())
     best_ord = F.when(use_pos, F.col("_pos.gaz_ord")).otherwise(zero_ord)
     best_score = F.when(use_pos, pos_score).otherwise(F.lit(0.0))
     out = q.select(*group, best_ord.alias("gaz_ord"), best_score.alias("score"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notelink.functions.text import NON_WORD_RE, PRETOKEN_RE, WORD_CHARS, WORD_RE
+from notelink.plans.materialize import numbered
 
 # Fixed values of the test views (FIXTURES.md §2).
 SCOPE_WORDS = ["the", "that", "le", "la", "die", "der", "el", "que"]
@@ -120,9 +121,7 @@ def gaz_words(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform(F.sequence(F.lit(1), F.greatest(F.size("_t") - 2, F.lit(1))), pair_at),
         lambda x: x.isNotNull()))).alias("term"))
     bi = pairs.groupBy("term").agg(F.count("*").alias("nd")).where(F.col("nd") >= MIN_PAIR_DOCS)
-    # one global ordering over a gazetteer-sized table
-    w = Window.orderBy(F.col("nd").desc(), F.col("term"))
-    g = uni.unionByName(bi).withColumn("gaz_ord", F.row_number().over(w).cast("long"))
+    g = numbered(uni.unionByName(bi), [F.col("nd").desc(), F.col("term")], "_o").withColumn("gaz_ord", F.col("_o") + 1)
     return g.select(F.lit("WORD").alias("entity_type"), "gaz_ord", "term",
                     F.concat(F.lit("W"), F.col("gaz_ord").cast("string")).alias("code"))
 

@@ -178,7 +178,8 @@ def _closure(names: list[str]) -> list[str]:
     return out
 
 
-def with_views(names: list[str], body: str) -> str:
-    """``WITH RECURSIVE`` prefix holding the listed views (and their inputs)."""
-    parts = [f"{n} AS ({VIEWS[n].strip()})" for n in _closure(names)]
+def with_views(names: list[str], body: str, materialized: bool = False) -> str:
+    """``WITH RECURSIVE`` prefix holding the listed views (and their inputs), each computed once if ``materialized``."""
+    kind = "AS MATERIALIZED" if materialized else "AS"
+    parts = [f"{n} {kind} ({VIEWS[n].strip()})" for n in _closure(names)]
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body

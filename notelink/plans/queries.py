@@ -128,15 +128,8 @@ SELECT doc_id, min(start) AS start, max("end") AS "end", arg_min(ner_class, star
 FROM g GROUP BY doc_id, grp
 """))
 def q_n5_merge_max(spark: SparkSession, d: str) -> DataFrame:
-    m = mn.merge_contiguous(fx.mentions_fx(spark, d).withColumn("one", F.lit(1)), None, "max")
-    n = fx.mentions_fx(spark, d)
-    # merged rows without text: count how many input rows each run covers by an interval join-free rule
-    m = m.select("doc_id", *_long("start", "end"), "ner_class", "ner_score")
-    cnt = (n.alias("a").join(m.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id"))
-                             & (F.col("a.start") >= F.col("b.start")) & (F.col("a.end") <= F.col("b.end"))
-                             & (F.col("a.ner_class") == F.col("b.ner_class")))
-           .groupBy("b.doc_id", "b.start", "b.end").agg(F.count("*").cast("long").alias("n_rows")))
-    return m.join(cnt.withColumnRenamed("doc_id", "doc_id"), ["doc_id", "start", "end"])
+    m = mn.merge_contiguous(fx.mentions_fx(spark, d), None, "max", with_count=True)
+    return m.select("doc_id", *_long("start", "end"), "ner_class", "ner_score", "n_rows")
 
 
 @register("q_n3_group_tags", with_views(["words_fx"], """
@@ -213,7 +206,7 @@ SELECT m.doc_id, m.ord, s.ner_class AS s_class, s.ner_score AS s_score
 FROM mb m JOIN sb s ON s.doc_id = m.doc_id AND s.bin = m.bin
 WHERE CASE WHEN s.start <= m.start AND m.start < s."end" THEN m.start // 500 = m.bin
            WHEN s.start < m."end" AND m."end" <= s."end" THEN (m."end" - 1) // 500 = m.bin ELSE false END
-"""))
+""", materialized=True))
 def q_x3_overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     p = ng.overlap_pairs(fx.mentions_fx(spark, d), ng.select_scopes(fx.scopes_fx(spark, d)), ["doc_id", "ord"])
     return p.select("doc_id", *_long("ord"), "s_class", "s_score")

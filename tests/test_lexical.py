@@ -100,9 +100,10 @@ def test_bm25_golden_zero_overlap(spark):
     assert (r["code"], r["nel_score"]) == ("C0", 0.0)
 
 
-@pytest.mark.parametrize("cut", [10_000, 3, 0])
-def test_bm25_against_brute_force(spark, monkeypatch, cut):
-    monkeypatch.setattr(lx, "FREQUENT_DF", cut)
+@pytest.mark.parametrize("first,growth", [(64, 8), (1, 2), (3, 4)])
+def test_bm25_against_brute_force(spark, monkeypatch, first, growth):
+    monkeypatch.setattr(lx, "FIRST_LEVEL", first)
+    monkeypatch.setattr(lx, "GROWTH", growth)
     rnd = random.Random(5)
     vocab = ["dolor", "tos", "seca", "fiebre", "alta", "baja", "cabeza", "pecho"]
     terms = [" ".join(rnd.choice(vocab) for _ in range(rnd.randint(1, 3))) for _ in range(30)]
@@ -111,3 +112,67 @@ def test_bm25_against_brute_force(spark, monkeypatch, cut):
     got = {r["ord"]: (r["code"], r["nel_score"]) for r in lx.link_bm25(ms, _gaz(spark, terms)).collect()}
     for i, s in enumerate(spans):
         assert got[i] == _bm25_brute(s, terms), s
+
+
+def test_bm25_many_terms_ties_and_repeated_tokens(spark, monkeypatch):
+    """Frequent tokens, equal scores, tokens twice in a query or term, several levels."""
+    monkeypatch.setattr(lx, "FIRST_LEVEL", 2)
+    monkeypatch.setattr(lx, "GROWTH", 2)
+    rnd = random.Random(11)
+    vocab = ["left", "left", "left", "side", "side"] + ["w%d" % i for i in range(25)]
+    terms = list(dict.fromkeys(" ".join(rnd.choice(vocab) for _ in range(rnd.randint(1, 4))) for _ in range(300)))
+    spans = ["left", "side", "left side", "left left", "left side w3 w4", "w1 w1 side zz", "zz", "", " "]
+    spans += [" ".join(rnd.choice(vocab + ["zz"]) for _ in range(rnd.randint(1, 5))) for _ in range(60)]
+    ms = spark.createDataFrame([(i, s) for i, s in enumerate(spans)], "ord long, span string")
+    got = {r["ord"]: (r["code"], r["nel_score"]) for r in lx.link_bm25(ms, _gaz(spark, terms)).collect()}
+    for i, s in enumerate(spans):
+        assert got[i] == _bm25_brute(s, terms), s
+
+
+def test_bm25_keys_and_negative_impacts(spark):
+    """Each key by itself; in one of them the tokens are in more than half of the terms."""
+    sets = {"x": ["a b", "a b c", "a c b", "b a"], "y": ["fever high", "cough", "a b", "dry cough", "pain in chest"]}
+    rows = [(k, i, t, f"C{i}") for k, ts in sets.items() for i, t in enumerate(ts)]
+    gaz = spark.createDataFrame(rows, "entity_type string, gaz_ord long, term string, code string")
+    spans = ["a", "b c", "c", "a q", "high cough", "q", "chest b", "a b c d"]
+    ms = spark.createDataFrame([(k, i, s) for k in sets for i, s in enumerate(spans)], "entity_type string, ord long, span string")
+    got = {(r["entity_type"], r["ord"]): (r["code"], r["nel_score"]) for r in lx.link_bm25(ms, gaz).collect()}
+    for k, ts in sets.items():
+        for i, s in enumerate(spans):
+            assert got[(k, i)] == _bm25_brute(s, ts), (k, s)
+
+
+def test_bm25_reads_little_of_a_frequent_token(spark, monkeypatch):
+    """A frequent token's list is read up to its best level only."""
+    monkeypatch.setattr(lx, "FIRST_LEVEL", 4)
+    monkeypatch.setattr(lx, "GROWTH", 4)
+    n = 3000
+    terms = spark.createDataFrame([(i, "common " + ("x%d " % i) * (1 + i % 7)) for i in range(n)] + [(n + i, "u%d" % i) for i in range(2 * n)],
+                                  "gaz_ord long, norm string")
+    read = []
+    old = lx.checkpointed
+
+    def spy(df):
+        out = old(df)
+        if "reads" in out.columns:
+            read.append(out)
+        return out
+
+    monkeypatch.setattr(lx, "checkpointed", spy)
+    q = spark.createDataFrame([("common",), ("common x5",)], "m string")
+    got = {r.m: r.gaz_ord for r in lx.bm25_best(q, terms).collect()}
+    assert got == {"common": 0, "common x5": 5}
+    levels = [r.level for t in read for r in t.where("reads AND token = 'common'").collect()]
+    assert levels and max(levels) <= 1
+
+
+def test_numbered_is_the_order(spark):
+    from pyspark.sql import functions as F
+
+    from notelink.plans.materialize import numbered
+    rnd = random.Random(3)
+    rows = list({(rnd.randint(0, 20), "k%d" % rnd.randint(0, 999)) for _ in range(500)})
+    df = spark.createDataFrame(rows, "a int, b string").repartition(7)
+    got = {(r.a, r.b): r.n for r in numbered(df, [F.col("a").desc(), F.col("b")], "n").collect()}
+    assert got == {x: i for i, x in enumerate(sorted(rows, key=lambda x: (-x[0], x[1])))}
+    assert numbered(df.limit(0), [F.col("a")]).count() == 0
