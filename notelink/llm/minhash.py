@@ -8,9 +8,8 @@ permutation is shifted by ``c`` places around the circle.
 1. Equal sets become one class, represented by its smallest document.
 2. Signatures are cut into bands; classes that agree on a band share a bucket.
 3. In every bucket the classes are compared with the one that shares most buckets with
-   others, first by some bands, then by all; this connects groups of near copies. Then
-   classes that still share a bucket, but no component, are compared with each other, each
-   pair in its first common band only.
+   others, which connects groups of near copies. Then classes that still share a bucket,
+   but no component, are compared with each other, each pair in its first common band only.
 4. A pair is compared by its sizes, its signatures and a bitmap of each set, whose bits that the other
    one lacks bound the overlap; then by its full sets, which decide exactly.
 
@@ -34,8 +33,6 @@ from notelink.llm.common import append_columns, bounded_batches, fold, mix, salt
 from notelink.llm.jaccard import components, shingle_sets
 
 BANDS, ROWS = 40, 4
-# Bands by which buckets are first connected; the others then have few rows left.
-FIRST_BANDS = 6
 # Bits of a set's bitmap.
 CELLS = 2048
 # Chance that a pair at the threshold is left out for its number of equal coordinates.
@@ -174,49 +171,39 @@ def class_links(classes: DataFrame, sets_of, num: int, den: int) -> tuple[DataFr
 
     ``classes`` holds (c, n, buckets, sig, cells); ``sets_of`` gives (c, grams) for a table of classes (c).
     """
-    spark = classes.sparkSession
     least = least_matches(num, den)
     rows = classes.select("c", F.posexplode("buckets").alias("band", "bucket"))
     several = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     # a bucket is one band's: the band is part of its hash
     rows = written(rows.join(several, "bucket"), "buckets")
     # how often a class meets others: the middle of a group of copies meets most
-    members = written(rows.groupBy("c").agg(F.sum("size").alias("meets")), "members")
-    able = written(classes.join(members, "c").select("c", "n", "buckets", "sig", "cells"), "candidates")
-    sets = written(sets_of(members.select("c")), "sets")
-    rows = written(rows.drop("size").join(members, "c"), "members-by-bucket")
-    links = spark.createDataFrame([], "x long, y long")
-    comp = spark.createDataFrame([], "doc long, comp long")
+    members = rows.groupBy("c").agg(F.sum("size").alias("meets"))
+    able = written(classes.join(members, "c").select("c", "meets", "n", "buckets", "sig", "cells"), "candidates")
+    sets = written(sets_of(able.select("c")), "sets")
 
     def side(df: DataFrame, x: str) -> DataFrame:
         return df.join(able.select(F.col("c").alias(x), *[F.col(n).alias(f"{n}{x}") for n in ("n", "sig", "cells")]), x)
 
-    def labelled(df: DataFrame) -> DataFrame:
-        return df.join(comp.withColumnRenamed("doc", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    # every bucket's classes with the one in its middle
+    lead = rows.join(able.select("c", "meets"), "c").groupBy("bucket").agg(F.max_by("c", F.struct("meets", -F.col("c"))).alias("x"))
+    met = rows.join(lead, "bucket").filter("c != x").select("x", F.col("c").alias("y")).distinct()
+    pairs = written(side(side(met, "x"), "y").filter(_alike("x", "y", least, num, den)).select("x", "y"), "pairs")
+    links = written(_confirmed(pairs, sets, num, den), "links")
+    comp = components(links)
 
-    def connect(pairs: DataFrame) -> None:
-        nonlocal links, comp
-        pairs = written(pairs, "pairs")
-        links = written(links.unionByName(_confirmed(pairs, sets, num, den)), "links")
-        comp = components(links)
-
-    for some in (rows.filter(F.col("band") < FIRST_BANDS), rows):
-        own = written(labelled(some), "open")
-        lead = own.groupBy("bucket").agg(F.max_by(F.struct("comp", "c"), F.struct("meets", -F.col("c"))).alias("lead"),
-                                         F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-        lead = written(lead.select("bucket", F.col("lead.c").alias("x"), F.col("lead.comp").alias("x_comp")), "leaders")
-        met = own.join(lead, "bucket").filter("comp != x_comp").select("x", F.col("c").alias("y")).distinct()
-        connect(side(side(met, "x"), "y").filter(_alike("x", "y", least, num, den)).select("x", "y"))
-
-    own = written(labelled(rows), "open")
+    # the pairs left: of one bucket, but of two components
+    own = rows.select("c", "band", "bucket").join(comp.withColumnRenamed("doc", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    own = written(own, "open")
     mixed = own.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("bucket")
-    left = written(own.join(mixed, "bucket").join(able, "c"), "left")
+    left = written(own.join(mixed, "bucket").join(able.drop("meets"), "c"), "left")
     a, b = (left.select("bucket", "band", *[F.col(n).alias(f"{n}{x}") for n in ("c", "comp", "n", "buckets", "sig", "cells")]) for x in "xy")
     first = F.array_position(F.zip_with("bucketsx", "bucketsy", lambda x, y: x == y), True)
     pairs = a.join(b.drop("band"), "bucket").filter(
         (F.col("compx") < F.col("compy")) & (first == F.col("band") + 1) & _alike("x", "y", least, num, den))
-    connect(pairs.select(F.col("cx").alias("x"), F.col("cy").alias("y")))
-    return links, comp
+    pairs = written(pairs.select(F.col("cx").alias("x"), F.col("cy").alias("y")), "pairs")
+    more = written(_confirmed(pairs, sets, num, den), "links")
+    links = links.unionByName(more)
+    return links, components(links) if more.limit(1).count() else comp
 
 
 def minhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 80, den: int = 100) -> DataFrame:
