@@ -71,15 +71,15 @@ def _lang_hash(langs: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x.encode()) for x in langs], np.uint64)
 
 
-def _places(h: np.ndarray) -> np.ndarray:
+def _places(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """The bits of a filter that stand for each hash: (looks, hashes)."""
-    shift = np.uint64(64 - FILTER_BITS.bit_length() + 1)
+    shift = np.uint64(64 - (64 * len(bits)).bit_length() + 1)
     return np.stack([(h if look == 0 else mix(h ^ np.uint64(look))) >> shift for look in range(LOOKS)])
 
 
 def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     out = np.ones(len(h), bool)
-    for at in _places(h):
+    for at in _places(h, bits):
         out &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
     return out
 
@@ -197,20 +197,20 @@ class Proposals:
                     whole = mix(h[first[some]] ^ lang[some])
                     for j in range(1, s):
                         whole = fold(whole, mix(h[first[some] + j] ^ lang[some]))
-                    at = _places(whole[~_has(bits[s], whole)]).ravel()
+                    at = _places(whole[~_has(bits[s], whole)], bits[s]).ravel()
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(at), s, np.int32)), pa.array((at >> np.uint64(6)).astype(np.int32)),
                          pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["size", "at", "mask"])
 
         found = phrases.select("lang", "phrase").mapInArrow(places, "size int, at int, mask long")
-        found = found.groupBy("size", "at").agg(F.bit_or("mask").alias("mask")).toPandas()
+        found = found.groupBy("size", "at").agg(F.bit_or("mask").alias("mask")).toArrow()
         out = Proposals(list(self.bits))
         for s in out.bits:
-            own = found[found["size"] == s]
+            own = found.filter(pc.field("size") == s)
             out.bits[s][:] = self.bits[s]
-            out.bits[s][own["at"].to_numpy(np.int64)] |= own["mask"].to_numpy(np.int64).view(np.uint64)
+            out.bits[s][own.column("at").to_numpy()] |= own.column("mask").to_numpy().view(np.uint64)
         old.unpersist()
-        return out, len(found) > 0
+        return out, found.num_rows > 0
 
 
 _SPACE = np.zeros(256, bool)
