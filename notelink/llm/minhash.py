@@ -10,18 +10,18 @@ permutation is shifted by ``c`` places around the circle.
 3. In every bucket the classes are compared with the one that shares most buckets with
    others, which connects groups of near copies. Then classes that still share a bucket,
    but no component, are compared with each other, each pair in its first common band only.
-4. A pair is compared by its sizes, its signatures and a bitmap of each set, whose bits that the other
-   one lacks bound the overlap; then by its full sets, which decide exactly.
+4. A pair is bounded by its sizes, by how many n-grams of each set no other class left has, and by
+   a bitmap of each set, whose bits that the other one lacks cannot be shared. All
+   three bounds are exact. What they allow is decided on the full sets.
 
 No bucket, band or candidate is capped. Two sets that link agree on no band with
-a probability below ``(1 - s ** ROWS) ** BANDS`` (7e-10 at a similarity of
-0.8), and have fewer equal coordinates than step 4 asks for with one below ``LOST``.
+a probability below ``(1 - s ** ROWS) ** BANDS``, 7e-10 at a similarity of 0.8; nothing else
+is left to chance.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,6 @@ from notelink.llm.jaccard import components, shingle_sets
 BANDS, ROWS = 40, 4
 # Bits of a set's bitmap.
 CELLS = 2048
-# Chance that a pair at the threshold is left out for its number of equal coordinates.
-LOST = 1e-9
 # Text of which signatures are computed at once (its arrays stay in a core's cache).
 STEP_BYTES = 256 * 1024
 
@@ -67,19 +65,8 @@ def signatures(h: np.ndarray, first: np.ndarray, size: int = BANDS * ROWS) -> np
     return out
 
 
-def least_matches(num: int, den: int, size: int = BANDS * ROWS, lost: float = LOST) -> int:
-    """The largest number of equal coordinates that sets of similarity ``num / den`` fall short of
-    with a probability of at most ``lost`` (binomial; shifted permutations vary less)."""
-    s, tail = num / den, 0.0
-    for t in range(size + 1):
-        tail += comb(size, t) * s**t * (1 - s) ** (size - t)
-        if tail > lost:
-            return t
-    return size
-
-
 _SIGNED = T.StructType([T.StructField("n", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()),
-                        T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("sig", T.ArrayType(T.ShortType())), T.StructField("cells", T.ArrayType(T.LongType()))])
+                        T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("cells", T.ArrayType(T.LongType()))])
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -100,8 +87,8 @@ def _bitmaps(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """(key, v, n, d1, d2, buckets, sig, cells): each document's set size and digest, its bucket in every
-    band, 16 bits of every coordinate, and its bitmap."""
+    """(key, v, n, d1, d2, buckets, cells): each document's set size and digest, its bucket in every
+    band, and its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,8 +100,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                     bucket = fold(bucket, sig[:, r::ROWS])
                 yield pa.RecordBatch.from_arrays([
                     part.column("key"), part.column("v"), pa.array(np.diff(first).astype(np.int64)), pa.array(_sums(mix(h), first)),
-                    pa.array(_sums(mix(h ^ _PI), first)), _rows(bucket.view(np.int64)), _rows(sig.astype(np.uint16).view(np.int16)),
-                    _rows(_bitmaps(h, first))],
+                    pa.array(_sums(mix(h ^ _PI), first)), _rows(bucket.view(np.int64)), _rows(_bitmaps(h, first))],
                     names=["key", "v", *_SIGNED.names])
 
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("v", T.LongType()), *_SIGNED.fields])
@@ -135,19 +121,31 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return append_columns(docs, [T.StructField("grams", T.BinaryType())], build, keep=["c"])
 
 
-def _alike(a: str, b: str, least: int, num: int, den: int) -> Column:
-    """Whether sizes, signatures and bitmaps of two classes allow a link."""
-    equal = F.aggregate(F.zip_with(f"sig{a}", f"sig{b}", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+def _alike(a: str, b: str, num: int, den: int) -> Column:
+    """Whether sizes and bitmaps of two classes allow a link."""
     fits = F.least(f"n{a}", f"n{b}") * den >= F.greatest(f"n{a}", f"n{b}") * num
+
     def own(x: str, y: str) -> Column:
-        """n-grams of x at most in y: all but one for every cell that only x has."""
-        alone = F.lit(0)
-        for w in range(CELLS // 64):
-            alone = alone + F.bit_count(F.col(f"cells{x}")[w].bitwiseAND(F.bitwise_not(F.col(f"cells{y}")[w])))
+        """n-grams of x that y can have: all but one for every cell that only x has."""
+        alone = F.aggregate(F.zip_with(f"cells{x}", f"cells{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, x: s + x)
         return F.col(f"n{x}") - alone
 
-    most = F.least(own(a, b), own(b, a))
-    return fits & (equal >= least) & ((num + den) * most >= num * (F.col(f"n{a}") + F.col(f"n{b}")))
+    need = num * (F.col(f"n{a}") + F.col(f"n{b}"))
+    return fits & ((num + den) * own(a, b) >= need) & ((num + den) * own(b, a) >= need)
+
+
+def _lone(sets: DataFrame) -> DataFrame:
+    """(c, lone): how many n-grams of each class no other class has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slabs(batch):
+                grams, off = text_buffers(part.column("grams"))
+                c = np.repeat(part.column("c").to_numpy(), np.diff(off) // 8)
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(c)], names=["gram", "c"])
+
+    grams = sets.select("c", "grams").mapInArrow(run, "gram long, c long")
+    return grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("c").alias("c")).filter("n = 1").groupBy("c").agg(F.count("*").alias("lone"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -169,25 +167,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
 def class_links(classes: DataFrame, sets_of, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Links (x, y) between classes, enough to connect all that link, and their components (doc, comp).
 
-    ``classes`` holds (c, n, buckets, sig, cells); ``sets_of`` gives (c, grams) for a table of classes (c).
+    ``classes`` holds (c, n, buckets, cells); ``sets_of`` gives (c, grams) for a table of classes (c).
     """
-    least = least_matches(num, den)
     rows = classes.select("c", F.posexplode("buckets").alias("band", "bucket"))
     several = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     # a bucket is one band's: the band is part of its hash
     rows = written(rows.join(several, "bucket"), "buckets")
     # how often a class meets others: the middle of a group of copies meets most
     members = rows.groupBy("c").agg(F.sum("size").alias("meets"))
-    able = written(classes.join(members, "c").select("c", "meets", "n", "buckets", "sig", "cells"), "candidates")
+    able = written(classes.join(members, "c").select("c", "meets", "n", "buckets", "cells"), "candidates")
     sets = written(sets_of(able.select("c")), "sets")
 
     def side(df: DataFrame, x: str) -> DataFrame:
-        return df.join(able.select(F.col("c").alias(x), *[F.col(n).alias(f"{n}{x}") for n in ("n", "sig", "cells")]), x)
+        return df.join(able.select(F.col("c").alias(x), *[F.col(n).alias(f"{n}{x}") for n in ("n", "cells")]), x)
 
     # every bucket's classes with the one in its middle
     lead = rows.join(able.select("c", "meets"), "c").groupBy("bucket").agg(F.max_by("c", F.struct("meets", -F.col("c"))).alias("x"))
     met = rows.join(lead, "bucket").filter("c != x").select("x", F.col("c").alias("y")).distinct()
-    pairs = written(side(side(met, "x"), "y").filter(_alike("x", "y", least, num, den)).select("x", "y"), "pairs")
+    pairs = written(side(side(met, "x"), "y").filter(_alike("x", "y", num, den)).select("x", "y"), "pairs")
     links = written(_confirmed(pairs, sets, num, den), "links")
     comp = components(links)
 
@@ -195,11 +192,15 @@ def class_links(classes: DataFrame, sets_of, num: int, den: int) -> tuple[DataFr
     own = rows.select("c", "band", "bucket").join(comp.withColumnRenamed("doc", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     own = written(own, "open")
     mixed = own.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("bucket")
-    left = written(own.join(mixed, "bucket").join(able.drop("meets"), "c"), "left")
-    a, b = (left.select("bucket", "band", *[F.col(n).alias(f"{n}{x}") for n in ("c", "comp", "n", "buckets", "sig", "cells")]) for x in "xy")
+    left = written(own.join(mixed, "bucket"), "left")
+    lone = written(_lone(sets.join(left.select("c").distinct(), "c")), "lone")
+    about = able.join(lone, "c", "left").withColumn("m", F.col("n") - F.coalesce("lone", F.lit(0))).filter(F.col("m") * den >= F.col("n") * num)
+    left = left.join(about.select("c", "n", "m", "buckets", "cells"), "c")
+    a, b = (left.select("bucket", "band", *[F.col(n).alias(f"{n}{x}") for n in ("c", "comp", "n", "m", "buckets", "cells")]) for x in "xy")
+    shared = (num + den) * F.least("mx", "my") >= num * (F.col("nx") + F.col("ny"))
     first = F.array_position(F.zip_with("bucketsx", "bucketsy", lambda x, y: x == y), True)
     pairs = a.join(b.drop("band"), "bucket").filter(
-        (F.col("compx") < F.col("compy")) & (first == F.col("band") + 1) & _alike("x", "y", least, num, den))
+        (F.col("compx") < F.col("compy")) & shared & (first == F.col("band") + 1) & _alike("x", "y", num, den))
     pairs = written(pairs.select(F.col("cx").alias("x"), F.col("cy").alias("y")), "pairs")
     more = written(_confirmed(pairs, sets, num, den), "links")
     links = links.unionByName(more)
@@ -226,13 +227,13 @@ def minhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
     same = ["n", "d1", "d2"]
     first = info.filter("n > 0").groupBy(*same).agg(F.min(F.struct("key", "v")).alias("rep"), F.count("*").alias("rows"))
     classes = written(first.select(F.monotonically_increasing_id().alias("c"), *same, "rep.*", "rows"), "classes")
-    heads = info.select("key", "v", "buckets", "sig", "cells").join(classes, ["key", "v"]).dropDuplicates(["c"])
+    heads = info.select("key", "v", "buckets", "cells").join(classes, ["key", "v"]).dropDuplicates(["c"])
 
     def sets_of(members: DataFrame) -> DataFrame:
         wanted = classes.join(members, "c").select("c", "key", "v")
         return _sets(known.join(wanted, ["key", "v"]).dropDuplicates(["c"]).select("c", "text"), k)
 
-    _, comp = class_links(heads.select("c", "n", "buckets", "sig", "cells"), sets_of, num, den)
+    _, comp = class_links(heads.select("c", "n", "buckets", "cells"), sets_of, num, den)
     # The smallest key of each component, for every class that is not its document's alone.
     placed = classes.join(comp.withColumnRenamed("doc", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     placed = written(placed.select("comp", "key", "rows", *same), "placed")

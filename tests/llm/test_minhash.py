@@ -97,11 +97,35 @@ def test_share_of_equal_coordinates_estimates_similarity():
     assert abs((sig[0] == sig[1]).mean() - 2100 / 3000) < 0.09
 
 
-def test_least_matches_is_a_binomial_tail():
-    t = mh.least_matches(80, 100, 160, 1e-9)
-    draws = np.random.default_rng(1).binomial(160, 0.8, 10**6)
-    assert 80 < t < 110 and not (draws < t).any()
-    assert mh.least_matches(1, 1, 160) == 160
+def test_lone_ngrams(spark):
+    sets = {1: [1, 2, 3], 2: [2, 3, 4, 5], 3: [9], 4: [3]}
+    df = spark.createDataFrame([(c, np.array(g, np.uint64).tobytes()) for c, g in sets.items()], "c long, grams binary")
+    assert {r.c: r.lone for r in mh._lone(df).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_a_large_group_makes_few_pairs(spark, monkeypatch):
+    """Near copies too far from the middle to link, and from each other: no pair of them is compared."""
+    rng = random.Random(3)
+    base = ["w%d" % i for i in range(120)]
+    docs = []
+    for _ in range(400):
+        near = base[:]
+        for _ in range(rng.choice([1, 1, 2, 6, 7, 8])):
+            near[rng.randrange(120)] = "x%d" % rng.randint(0, 10**9)
+        docs.append(" ".join(near))
+    seen = []
+    old = mh.written
+
+    def spy(df, name, *more):
+        out = old(df, name, *more)
+        if name == "pairs":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(mh, "written", spy)
+    docs = list(enumerate(docs))
+    assert result(mh.minhash_dedup(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+    assert sum(seen) < 2 * len(docs)
 
 
 def test_nulls_repeats_clashing_columns_and_empty_table(spark):
