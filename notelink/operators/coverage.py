@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notelink.operators import dense as dn
 from notelink.operators.gazetteer import dedup_terms
-from notelink.plans.materialize import with_constants
+from notelink.plans.materialize import checkpointed, with_constants
 from notelink.sources import gazetteer as sg
 
 
@@ -47,19 +49,43 @@ def stale_vectors(gazetteer: DataFrame, vectors: DataFrame | None, model: str) -
         return terms
     keys = [c for c in ("lang", "entity_type") if c in terms.columns]
     have = vectors.where(F.col("model") == model).select(*keys, "term").distinct()
-    return terms.join(have, [*keys, "term"], "left_anti")
+    on = F.col("t.term") == F.col("h.term")
+    for c in keys:
+        on = on & F.col(f"t.{c}").eqNullSafe(F.col(f"h.{c}"))
+    return terms.alias("t").join(have.alias("h"), on, "left_anti")
 
 
 def build_vectors(gazetteer: DataFrame, path: str, model: str = "hashed-ngram", embed_fn=None,
                   existing: DataFrame | None = None) -> DataFrame:
-    """R3: embed the stale terms (R2 -> D-1) and append them to the vector store (S5).
+    """R3: embed the stale terms (R2 -> D-1) and merge them into the vector store (S5).
 
-    Returns a status table: rows written per (lang, entity type).
+    Every (lang, entity type) is a job of its own: one that fails is recorded, and the others
+    go on. ``existing``: vectors that need no embedding (default: what the store has).
+    Returns a status table: key, ``n_vectors`` in the store, ``written`` now, ``seconds``, ``error``.
     """
-    todo = stale_vectors(gazetteer, existing, model)
-    keys = [c for c in ("lang", "entity_type") if c in todo.columns]
-    vec = dn.embed_column(todo.select(*keys, "gaz_ord", "term", "code"), "term", embed_fn).withColumn("model", F.lit(model))
-    sg.write_vectors(vec, path, mode="append")
     spark = gazetteer.sparkSession
-    written = sg.read_vectors(spark, path, model)
-    return written.groupBy(*keys).agg(F.count("*").alias("n_vectors"))
+    keys = [c for c in ("lang", "entity_type") if c in gazetteer.columns]
+    status = []
+    for key in gazetteer.select(*keys).distinct().collect() if keys else [()]:
+        begun, n, error = time.monotonic(), 0, None
+        own = gazetteer
+        for c in keys:
+            own = own.where(F.col(c).eqNullSafe(F.lit(key[c])))
+        try:
+            have = existing if existing is not None else sg.stored_vectors(spark, path)
+            todo = stale_vectors(own, have, model)
+            vec = dn.embed_column(todo.select(*keys, "gaz_ord", "term", "code"), "term", embed_fn).withColumn("model", F.lit(model))
+            vec = checkpointed(vec)
+            n = vec.count()
+            if n:
+                sg.write_vectors(vec, path)
+        except Exception as e:  # recorded: the other entries do not depend on this one
+            n, error = 0, f"{type(e).__name__}: {str(e).strip().splitlines()[-1] if str(e).strip() else ''}"
+        status.append((*key, n, time.monotonic() - begun, error))
+    fields = ", ".join([*[f"{c} string" for c in keys], "written long, seconds double, error string"])
+    table = spark.createDataFrame(status, fields)
+    stored = sg.stored_vectors(spark, path)
+    if stored is None:
+        return table.withColumn("n_vectors", F.lit(0).cast("long"))
+    total = stored.where(F.col("model") == model).groupBy(*keys).agg(F.count("*").alias("n_vectors"))
+    return with_constants(table, total, keys).withColumn("n_vectors", F.coalesce("n_vectors", F.lit(0).cast("long")))

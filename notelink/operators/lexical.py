@@ -5,15 +5,15 @@ gazetteer key, then joins back to the mentions.
 
 Fuzzy best match is exact without scoring every (mention, term) pair:
 
-1. candidate pairs share a key (character bigram or whole token, per
-   method) -- an inverted-index equi-join;
-2. candidates are scored exactly and the best per mention is kept
-   (score desc, lowest ``gaz_ord`` on ties);
-3. a term sharing no key has a method-specific upper bound that depends on
-   the two lengths only.  Mentions whose best candidate is below the bound
-   for some term length are re-scored against the terms of those lengths
-   only (equi-join on length).  The union of 2 and 3 contains the true
-   argmax, including the best *sub-threshold* score reported with NO_MAP.
+1. a few seeds per mention (terms that share its rarest bigrams or a token, and the
+   terms of the most promising character signatures) are scored: the best is ``s0``;
+2. a term can only do better if it shares enough bigrams (a prefix of the rarest
+   ones is joined), or, where that says nothing, enough characters: signatures (counts
+   of characters by class) bound how many, first for whole classes of
+   terms of one length, then term by term in the join condition;
+3. what is left is scored exactly, in Arrow batches; the best per mention is kept
+   (score desc, lowest ``gaz_ord`` on ties). It is the true argmax, including
+   the best *sub-threshold* score reported with NO_MAP.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notelink.functions.similarity import PAIR_UDFS
+from notelink.functions.similarity import JW_BOOST_THRESHOLD, JW_MAX_PREFIX, JW_PREFIX_WEIGHT, PAIR_UDFS
 from notelink.functions.text import SPACE_CLASS, normalize
 from notelink.operators.gazetteer import gaz_keys, norm_index, normalized_terms
 from notelink.plans.materialize import checkpointed, numbered, with_constants
@@ -58,13 +58,6 @@ def check_threshold(threshold: float) -> float:
 
 # --- per-method candidate keys and bounds ------------------------------------
 
-def _bigrams(s: Column) -> Column:
-    """Distinct character bigrams; the string itself when shorter than 2."""
-    n = F.length(s)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(s, i, 2))
-    return F.array_distinct(F.when(n < 2, F.array(s)).otherwise(grams))
-
-
 def _tokens(s: Column) -> Column:
     return F.filter(F.split(s, f"[{SPACE_CLASS}]+"), lambda t: t != "")
 
@@ -86,26 +79,48 @@ def _form(method: str, s: Column) -> Column:
     return s
 
 
-def _keys(method: str, s: Column) -> Column:
-    if method == "token-set-ratio":
-        return F.array_union(_bigrams(sorted_set_form(s)), F.transform(_tokens(s), lambda t: F.concat(F.lit("\u0001"), t)))
-    return _bigrams(_form(method, s))
+def _length_bound(la: Column, lb: Column) -> Column:
+    """Highest Levenshtein score of strings of these lengths that share no bigram."""
+    big = F.greatest(la, lb)
+    return F.when(big == 0, 1.0).otherwise(1 - F.greatest(F.abs(la - lb), F.ceil((big - 1) / 2)) / big)
 
 
-def _upper_bound(method: str, la: Column, lb: Column) -> Column:
-    """Highest score a term of length ``lb`` sharing no key can reach."""
-    big = F.greatest(la, lb)
-    if method == "levenshtein":
-        dist = F.greatest(F.abs(la - lb), F.ceil((big - 1) / 2))
-        return F.when(big == 0, 1.0).otherwise(1 - dist / big)
+# Classes of characters in a signature; coarse ones join three, three and two of them.
+SIGNATURE = 8
+
+
+def signature(s: Column) -> Column:
+    """How many characters of a string are in each class."""
+    at = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.pmod(F.ascii(F.substring(s, i, 1)), F.lit(SIGNATURE)))
+    at = F.when(F.length(s) > 0, at).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.array(*[F.lit(g) for g in range(SIGNATURE)]), lambda g: F.size(F.filter(at, lambda x: x == g)))
+
+
+def _shared(a: list, b: list) -> Column:
+    """The most characters that two strings with these counts share."""
+    out = F.lit(0)
+    for x, y in zip(a, b):
+        out = out + F.least(x, y)
+    return out
+
+
+def _counts(vec: str) -> list:
+    return [F.col(vec)[g] for g in range(SIGNATURE)]
+
+
+def _coarse(vec: Column) -> list:
+    return [vec[0] + vec[1] + vec[2], vec[3] + vec[4] + vec[5], vec[6] + vec[7]]
+
+
+def _score_bound(method: str, la: Column, lb: Column, shared: Column, prefix) -> Column:
+    """Highest score of strings of these lengths that share at most ``shared`` characters
+    (and begin with ``prefix`` equal ones, which Jaro-Winkler rewards)."""
+    m = F.least(shared, la, lb)
+    empty = (la == 0) & (lb == 0)
     if method == "jaro-winkler":
-        small = F.least(la, lb)
-        j = F.when(small == 0, 0.0).otherwise((small / la + small / lb + 1) / 3)
-        return F.when(j > 0.7, j + 0.4 * (1 - j)).otherwise(j)
-    # token forms: longest common subsequence with no shared bigram is at most (la + lb + 1) / 3
-    tot = la + lb
-    lcs = F.least(F.floor((tot + 1) / 3), F.least(la, lb))
-    return F.when(tot == 0, 1.0).otherwise(2 * lcs / tot)
+        j = F.when(m == 0, 0.0).otherwise((m / la + m / lb + 1) / 3)
+        return F.when(empty, 1.0).when(j > JW_BOOST_THRESHOLD, j + JW_PREFIX_WEIGHT * prefix * (1 - j)).otherwise(j)
+    return F.when(empty, 1.0).when(m == 0, 0.0).otherwise(2 * m / (la + lb))
 
 
 def _raw_score(method: str, m: Column, t: Column) -> Column:
@@ -169,7 +184,7 @@ def _levenshtein_best(queries: DataFrame, terms: DataFrame, keys: list[str]) ->
     q = with_constants(q.withColumn("la", F.length("m")), lens, keys)
     big = lambda lb: F.greatest(F.col("la"), lb)
     alpha = lambda lb: big(lb) - 1 - 2 * F.floor((F.lit(1.0) - F.col("s0") + F.lit(1e-6)) * big(lb))
-    ub = lambda lb: F.round(_upper_bound("levenshtein", F.col("la"), lb), SCORE_DIGITS)
+    ub = lambda lb: F.round(_length_bound(F.col("la"), lb), SCORE_DIGITS)
     q = q.withColumn("a_min", F.array_min(F.filter(F.transform("lbs", alpha), lambda a: a > 0)))
     q = q.withColumn("scan", F.filter("lbs", lambda lb: (alpha(lb) <= 0) & (ub(lb) >= F.col("s0"))))
     q = q.join(qg.groupBy(*group).agg(F.first("nq").alias("nq")), group, "left")
@@ -185,6 +200,110 @@ def _levenshtein_best(queries: DataFrame, terms: DataFrame, keys: list[str]) ->
     return _best(seeds.unionByName(cand).unionByName(rest), group)
 
 
+def _rare_bigrams(queries: DataFrame, terms: DataFrame, keys: list[str], form: str, term_cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Occurrence-numbered bigrams: the terms', and the queries' with their rank by document frequency (rarest first)."""
+    group = [*keys, "m"]
+    tg_ = _exploded_occurrence_bigrams(terms, [*keys, *term_cols], form)
+    gdf = tg_.groupBy(*keys, "g").agg(F.count("*").alias("df"))
+    qg = _exploded_occurrence_bigrams(queries, [*group, form] if form != "m" else group, form)
+    qg = qg.join(gdf, [*keys, "g"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    w = Window.partitionBy(*group).orderBy("df", "g")
+    return tg_, qg.withColumn("rk", F.row_number().over(w))
+
+
+# Seeds: rarest bigrams that are looked up, and signatures of which a term is tried for mentions without a good seed.
+SEED_BIGRAMS, SEED_CLASSES, GOOD = 2, 4, 0.8
+
+
+def _filtered_best(queries: DataFrame, terms: DataFrame, keys: list[str], method: str) -> DataFrame:
+    """Exact best match for Jaro-Winkler and the token ratios; see the module's docstring."""
+    group = [*keys, "m"]
+    jaro = method == "jaro-winkler"
+    t = terms.select(*keys, "gaz_ord", "norm", _form(method, F.col("norm")).alias("f"))
+    t = checkpointed(t.withColumn("lb", F.length("f")).withColumn("vec", signature(F.col("f"))))
+    k0, k1, _ = _coarse(F.col("vec"))
+    t = t.withColumn("k0", k0).withColumn("k1", k1)
+    q = queries.select(*group, _form(method, F.col("m")).alias("f"))
+    q = checkpointed(q.withColumn("la", F.length("f")).withColumn("qvec", signature(F.col("f"))))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return pairs.select(*group, "gaz_ord", "norm").distinct().withColumn("score", _score(method, F.col("m"), F.col("norm")))
+
+    # 1. seeds: the first term (it wins where all score 0), rare bigrams, shared tokens
+    tg_, qg = _rare_bigrams(q, t, keys, "f", ["gaz_ord", "norm"])
+    qg = checkpointed(qg)
+    first = t.groupBy(*keys).agg(F.min_by(F.struct("gaz_ord", "norm"), "gaz_ord").alias("_f"))
+    seeds = with_constants(q.select(*group), first, keys).select(*group, "_f.gaz_ord", "_f.norm")
+    rare = qg.where(F.col("df") > 0).withColumn("rk0", F.row_number().over(Window.partitionBy(*group).orderBy("df", "g")))
+    rare = rare.where(F.col("rk0") <= SEED_BIGRAMS).select(*group, "g")
+    seeds = seeds.unionByName(rare.join(tg_, [*keys, "g"]).select(*group, "gaz_ord", "norm"))
+    if method == "token-set-ratio":
+        mine = q.select(*group, F.explode(F.array_distinct(_tokens(F.col("m")))).alias("tok"))
+        theirs = t.select(*keys, "gaz_ord", "norm", F.explode(F.array_distinct(_tokens(F.col("norm")))).alias("tok"))
+        seeds = seeds.unionByName(mine.join(theirs, [*keys, "tok"]).select(*group, "gaz_ord", "norm"))
+    best = checkpointed(_best(scored(seeds), group))
+
+    # 2. signature classes of each term length: few, whatever the gazetteer's size (three counts that add up to the length)
+    some = t.groupBy(*keys, "lb", "k0", "k1").agg(F.min_by(F.struct("gaz_ord", "norm"), "gaz_ord").alias("one"))
+    classes = checkpointed(some.groupBy(*keys, "lb").agg(F.collect_list(F.struct("k0", "k1", "one")).alias("classes")))
+    lens = classes.groupBy(*keys).agg(F.array_sort(F.collect_list("lb")).alias("lbs"))
+
+    def lengths(df: DataFrame, prefix: int) -> DataFrame:
+        """One row for each term length at which the best score so far can be reached."""
+        e = with_constants(df, lens, keys).withColumn("lb", F.explode("lbs")).drop("lbs")
+        bound = F.round(_score_bound(method, F.col("la"), F.col("lb"), F.least("la", "lb"), F.lit(prefix)) + 1e-9, SCORE_DIGITS)
+        return e.where((bound >= F.col("s0")) & (bound > 0))
+
+    def class_bound(x) -> Column:
+        most = _shared(_coarse(F.col("qvec")), [x["k0"], x["k1"], F.col("lb") - x["k0"] - x["k1"]])
+        return F.round(_score_bound(method, F.col("la"), F.col("lb"), most, F.lit(0)) + 1e-9, SCORE_DIGITS)
+
+    def with_s0() -> DataFrame:
+        return q.join(best.select(*group, F.col("score").alias("s0")), group)
+
+    # a term of each of the best classes, for mentions without a good seed
+    poor = lengths(with_s0().where(F.col("s0") < GOOD), 0).join(classes, [*keys, "lb"])
+    tops = F.slice(F.sort_array(F.transform("classes", lambda x: F.struct(class_bound(x).alias("b"), x["one"].alias("one"))), asc=False), 1, SEED_CLASSES)
+    poor = poor.select(*group, F.explode(tops).alias("x")).where("x.b > 0")
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("x.b"), "x.one.gaz_ord"))
+    poor = poor.withColumn("n", nth).where(F.col("n") <= SEED_CLASSES).select(*group, "x.one.gaz_ord", "x.one.norm")
+    best = checkpointed(_best(best.unionByName(scored(poor)), group))
+
+    # 3. terms that can still do better
+    open_ = checkpointed(with_s0())
+    found = []
+    scan = lengths(open_, 0)
+    if not jaro:
+        # A common subsequence of k characters leaves 3k - la - lb - 1 bigrams in common at least; where that
+        # is more than none, a term has one of the query's rarest bigrams up to a prefix.
+        k = F.ceil((F.col("s0") - 1e-6) * (F.col("la") + F.col("lb")) / 2)
+        scan = scan.withColumn("alpha", 3 * k - F.col("la") - F.col("lb") - 1)
+        size = qg.groupBy(*group).agg(F.max("rk").alias("nq"))
+        prefix = scan.where("alpha > 0").groupBy(*group).agg(F.min("alpha").alias("alpha")).join(size, group)
+        prefix = prefix.select(*group, (F.col("nq") - F.col("alpha") + 1).alias("p"))
+        found.append(qg.join(prefix, group).where(F.col("rk") <= F.col("p")).select(*group, "g").join(tg_, [*keys, "g"]))
+        scan = scan.where("alpha <= 0").drop("alpha")
+    # classes of a length that share enough characters, then their terms that do, by the finer signature
+    able = scan.join(classes, [*keys, "lb"])
+    able = able.withColumn("x", F.explode(F.filter("classes", lambda x: (class_bound(x) >= F.col("s0")) & (class_bound(x) > 0))))
+    able = able.select(*group, "la", "qvec", "s0", "lb", "x.k0", "x.k1")
+    fine = F.round(_score_bound(method, F.col("la"), F.col("lb"), _shared(_counts("qvec"), _counts("vec")), F.lit(0)) + 1e-9, SCORE_DIGITS)
+    found.append(able.join(t.select(*keys, "lb", "k0", "k1", "gaz_ord", "norm", "vec"), [*keys, "lb", "k0", "k1"]).where(fine >= F.col("s0")))
+    if jaro:
+        # terms with the same first character: the prefix counts
+        near = lengths(open_, JW_MAX_PREFIX).withColumn("c1", F.substring("f", 1, 1)).withColumnRenamed("f", "qf")
+        same = F.lit(0)
+        for i in range(JW_MAX_PREFIX, 0, -1):
+            same = F.when((F.length("qf") >= i) & (F.substring("qf", 1, i) == F.substring("f", 1, i)), F.greatest(same, F.lit(i))).otherwise(same)
+        fine = F.round(_score_bound(method, F.col("la"), F.col("lb"), _shared(_counts("qvec"), _counts("vec")), same) + 1e-9, SCORE_DIGITS)
+        theirs = t.select(*keys, "lb", F.substring("f", 1, 1).alias("c1"), "gaz_ord", "norm", "vec", "f")
+        found.append(near.join(theirs, [*keys, "c1", "lb"]).where(fine >= F.col("s0")))
+    left = found[0].select(*group, "gaz_ord", "norm")
+    for more in found[1:]:
+        left = left.unionByName(more.select(*group, "gaz_ord", "norm"))
+    return _best(best.unionByName(scored(left)), group)
+
+
 def fuzzy_best(queries: DataFrame, terms: DataFrame, method: str) -> DataFrame:
     """Best term for each distinct query ``m`` (per key); exact over all terms.
 
@@ -193,26 +312,9 @@ def fuzzy_best(queries: DataFrame, terms: DataFrame, method: str) -> DataFrame:
     """
     method = canonical_method(method)
     keys = gaz_keys(terms)
-    group = [*keys, "m"]
     if method == "levenshtein":
         return _levenshtein_best(queries, terms, keys)
-    qk = queries.select(*group, F.explode(_keys(method, F.col("m"))).alias("_k"))
-    tk = terms.select(*keys, "gaz_ord", "norm", F.explode(_keys(method, F.col("norm"))).alias("_k"))
-    pairs = qk.join(tk, [*keys, "_k"]).select(*group, "gaz_ord", "norm").distinct()
-    scored = pairs.withColumn("score", _score(method, F.col("m"), F.col("norm")))
-    best1 = _best(scored, group)
-    # residual: term lengths whose bound could reach the best candidate score
-    lens = terms.groupBy(*keys).agg(F.array_sort(F.collect_set(F.length(_form(method, F.col("norm"))))).alias("lbs"))
-    q = queries.join(best1.select(*group, F.col("score").alias("s1")), group, "left")
-    q = q.withColumn("la", F.length(_form(method, F.col("m"))))
-    # one row per distinct term length of the key (a bounded list), kept where the bound allows
-    need = with_constants(q, lens, keys).withColumn("lb", F.explode("lbs")).drop("lbs")
-    need = need.where(F.col("s1").isNull() | (F.round(_upper_bound(method, F.col("la"), F.col("lb")), SCORE_DIGITS)
-                                              >= F.col("s1")))
-    tl = terms.select(*keys, "gaz_ord", "norm", F.length(_form(method, F.col("norm"))).alias("lb"))
-    rest = need.select(*group, "lb").join(tl, [*keys, "lb"]).select(*group, "gaz_ord", "norm")
-    rest = rest.withColumn("score", _score(method, F.col("m"), F.col("norm")))
-    return _best(best1.unionByName(rest), group)
+    return _filtered_best(queries, terms, keys, method)
 
 
 def link_fuzzy(mentions: DataFrame, gaz: DataFrame, method: str = "levenshtein", threshold: float = 0.7,

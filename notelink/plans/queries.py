@@ -7,6 +7,7 @@ DOUBLE on both sides; every computed column is aliased identically.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,6 +28,7 @@ from notelink.plans import fixtures as fx
 from notelink.plans.materialize import checkpointed
 from notelink.plans.oracle import with_views
 from notelink.session import scratch_path
+from notelink.sources import gazetteer as sg
 from notelink.sources import notes as sn
 from notelink.sources import sinks as sk
 
@@ -254,9 +256,10 @@ _LINK_BASE = """
 """
 
 
-def _fuzzy_sql(score: str, threshold: float = 0.7) -> str:
-    return with_views(["gaz_part", "noisy_fx"], _LINK_BASE + f"""
-, sc AS (SELECT q.m, t.gaz_ord, t.norm, {score} AS raw, round({score}, 6) AS score FROM q, t)
+def _fuzzy_sql(score: str, threshold: float = 0.7, scored: str | None = None) -> str:
+    """Links by the best term; ``score`` compares q.m and t.norm, or ``scored`` gives sc(m, gaz_ord, norm, raw, score)."""
+    scored = scored or f", sc AS (SELECT q.m, t.gaz_ord, t.norm, {score} AS raw, round({score}, 6) AS score FROM q, t)"
+    return with_views(["gaz_part", "noisy_fx"], _LINK_BASE + scored + f"""
 , best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY score DESC, gaz_ord) AS rn FROM sc) WHERE rn = 1)
 , links AS (
   SELECT g2.norm AS m, g2.term, g2.code, CAST(1 AS DOUBLE) AS nel_score FROM g2
@@ -286,8 +289,45 @@ def _fuzzy_query(method: str):
 _LEV = "CASE WHEN greatest(length(q.m), length(t.norm)) = 0 THEN 1.0 ELSE 1 - levenshtein(q.m, t.norm) / greatest(length(q.m), length(t.norm)) END"
 register("q_f2_link_levenshtein", _fuzzy_sql(_LEV))(_fuzzy_query("levenshtein"))
 register("q_f3_link_jaro_winkler", _fuzzy_sql("jaro_winkler_similarity(q.m, t.norm)"))(_fuzzy_query("jaro-winkler"))
-register("q_f4_link_token_sort")(_fuzzy_query("token-sort-ratio"))
-register("q_f5_link_token_set")(_fuzzy_query("token-set-ratio"))
+
+# Longest common subsequences of the distinct pairs (a, b) of pr, by the dynamic programme: a row a step, and
+# each row is the running maximum of what the row above allows.
+_LCS = """
+, ab AS (SELECT DISTINCT a, b FROM pr)
+, lcs AS (
+  SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda x: CAST(0 AS BIGINT)) AS r FROM ab
+  UNION ALL
+  SELECT a, b, i + 1, list_transform(range(0, length(b) + 1), lambda j: list_max(list_transform(range(0, j + 1), lambda k:
+    CASE WHEN k = 0 THEN CAST(0 AS BIGINT) WHEN substring(a, i + 1, 1) = substring(b, CAST(k AS INTEGER), 1)
+         THEN greatest(r[k + 1], r[k] + 1) ELSE r[k + 1] END)))
+  FROM lcs WHERE i < length(a)
+)
+, common AS (SELECT a, b, r[length(b) + 1] AS c FROM lcs WHERE i = length(a))
+"""
+_TOK = "list_filter(string_split_regex({0}, '\\s+'), lambda x: x <> '')"
+_SORT_SQL = f"""
+, pr AS (SELECT m, gaz_ord, norm, array_to_string(list_sort({_TOK.format('m')}), ' ') AS a,
+                array_to_string(list_sort({_TOK.format('norm')}), ' ') AS b FROM q, t)
+{_LCS}
+, raw AS (SELECT m, gaz_ord, norm, CASE WHEN length(a) + length(b) = 0 THEN 1.0
+    ELSE 1 - (length(a) + length(b) - 2 * c) / (length(a) + length(b)) END AS raw FROM pr JOIN common USING (a, b))
+, sc AS (SELECT *, round(raw, 6) AS score FROM raw)
+"""
+_SET_SQL = f"""
+, sets AS (SELECT m, gaz_ord, norm, list_distinct({_TOK.format('m')}) AS x, list_distinct({_TOK.format('norm')}) AS y FROM q, t)
+, pr AS (SELECT *, list_intersect(x, y) AS common_, array_to_string(list_sort(list_filter(x, lambda w: NOT list_contains(y, w))), ' ') AS a,
+                array_to_string(list_sort(list_filter(y, lambda w: NOT list_contains(x, w))), ' ') AS b FROM sets)
+{_LCS}
+, parts AS (SELECT *, length(array_to_string(common_, ' ')) AS s, CASE WHEN len(common_) > 0 THEN 1 ELSE 0 END AS gap,
+                   length(a) AS la, length(b) AS lb FROM pr JOIN common USING (a, b))
+, raw AS (SELECT m, gaz_ord, norm, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0
+    WHEN len(common_) > 0 AND (a = '' OR b = '') THEN 1.0
+    ELSE greatest(1 - (la + lb - 2 * c) / (2 * s + 2 * gap + la + lb),
+                  CASE WHEN gap = 1 THEN greatest(1 - (1 + la) / (2 * s + 1 + la), 1 - (1 + lb) / (2 * s + 1 + lb)) ELSE 0 END) END AS raw FROM parts)
+, sc AS (SELECT *, round(raw, 6) AS score FROM raw)
+"""
+register("q_f4_link_token_sort", _fuzzy_sql("", scored=_SORT_SQL))(_fuzzy_query("token-sort-ratio"))
+register("q_f5_link_token_set", _fuzzy_sql("", scored=_SET_SQL))(_fuzzy_query("token-set-ratio"))
 
 
 @register("q_f6_threshold_levenshtein_09", _fuzzy_sql(_LEV, 0.9))
@@ -396,6 +436,14 @@ def q_d5_cosine_top10(spark: SparkSession, d: str) -> DataFrame:
                            e.select(F.col("vec_id").alias("gaz_ord"), F.col("embedding").alias("vec")), 10)
 
 
+@register("q_d5_balls_top10", ORACLE["q_d5_cosine_top10"])
+def q_d5_balls_top10(spark: SparkSession, d: str) -> DataFrame:
+    """The same search pruned by balls, as it is for term tables of more than one block."""
+    e = fx.vec_fx(spark, d)
+    return dn.cosine_top_k(e.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("vec")),
+                           e.select(F.col("vec_id").alias("gaz_ord"), F.col("embedding").alias("vec")), 10, prune=True)
+
+
 @register("q_d6_retrieve_by_label", "WITH " + _NORM_SQL.strip().lstrip(",") + """
 , sc AS (SELECT a.label, a.vec_id AS q_id, b.vec_id AS gaz_ord, round(list_dot_product(a.u, b.u), 6) AS sim
          FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id)
@@ -407,7 +455,7 @@ def q_d6_retrieve_by_label(spark: SparkSession, d: str) -> DataFrame:
     e = fx.vec_fx(spark, d)
     q = e.select("label", F.col("vec_id").alias("q_id"), F.col("embedding").alias("vec"))
     t = e.select("label", F.col("vec_id").alias("gaz_ord"), F.col("embedding").alias("vec"))
-    top = dn.cosine_top_k(q, t, 4, keys=["label"])
+    top = dn.cosine_top_k(q, t, 4, keys=["label"], prune=True)
     top = top.where(F.col("q_id") != F.col("gaz_ord"))
     w = Window.partitionBy("q_id").orderBy(F.col("sim").desc(), F.col("gaz_ord"))
     top = top.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).where(F.col("rank") < 3)
@@ -455,12 +503,48 @@ def q_t10_canonical_lang(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "documents").select("doc_id", tx.canonical_lang("lang").alias("lang_v1"))
 
 
-@register("q_t4_split_sentences")
+# The rules of T4 token by token: a break may follow a token that ends in sentence marks and closing signs.
+_SENT_SQL = """
+WITH tk AS (
+  SELECT doc_id, pos, tok, CAST(e - length(tok) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM (
+    SELECT doc_id, pos, tok, sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS e FROM (
+      SELECT doc_id, unnest(toks) AS tok, unnest(range(0, len(toks))) AS pos
+      FROM (SELECT doc_id, regexp_extract_all(text, '\\s+|\\S+') AS toks FROM documents)))
+), nt AS (SELECT *, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM tk WHERE regexp_matches(tok, '\\S'))
+, ru AS (SELECT *, regexp_extract(tok, '([.?!]+)["'')\\]}]*$', 1) AS run,
+                ltrim(regexp_replace(tok, '[.?!]+["'')\\]}]*$', ''), '"''([{') AS word FROM nt)
+, br AS (SELECT *, CASE WHEN run <> '' AND next IS NOT NULL AND length(run) - length(replace(run, '.', '')) < 2
+    AND NOT (run[1] = '.' AND regexp_full_match(word, '[\\pL\\p{Nl}\\p{No}]') AND regexp_matches(next, '^\\pL'))
+    AND NOT (run[1] = '.' AND regexp_full_match(word, '-?[.,]?\\d[\\d,.\\-]*') AND regexp_matches(next, '^\\p{Ll}')) THEN 1 ELSE 0 END AS brk FROM ru)
+, gr AS (SELECT *, coalesce(sum(brk) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent_id FROM br)
+, se AS (SELECT g.doc_id, CAST(sent_id AS BIGINT) AS sent_id, CASE WHEN sent_id = 0 THEN 0 ELSE min(s) END AS start, max(e) AS "end",
+                substring(any_value(d.text), CAST(CASE WHEN sent_id = 0 THEN 0 ELSE min(s) END AS INTEGER) + 1,
+                          CAST(max(e) - CASE WHEN sent_id = 0 THEN 0 ELSE min(s) END AS INTEGER)) AS text
+         FROM gr AS g JOIN documents AS d ON d.doc_id = g.doc_id GROUP BY g.doc_id, sent_id)
+"""
+
+
+@register("q_t4_split_sentences", _SENT_SQL + 'SELECT doc_id, sent_id, start, "end", text FROM se')
 def q_t4_split_sentences(spark: SparkSession, d: str) -> DataFrame:
     return tp.split_sentences(fx.docs_fx(spark, d)).select("doc_id", *_long("sent_id", "start", "end"), "text")
 
 
-@register("q_t7_build_chunks")
+# Over-long sentences are cut behind every 64th word or sign; offsets of these by running lengths again.
+@register("q_t7_build_chunks", _SENT_SQL + """
+, pt AS (SELECT doc_id, sent_id, start, text, regexp_extract_all(text, '[\\pL\\pM\\p{Nd}\\p{Nl}\\p{Pc}]+|\\s+|[^\\pL\\pM\\p{Nd}\\p{Nl}\\p{Pc}\\s]') AS toks FROM se)
+, ex AS (SELECT doc_id, sent_id, start AS s0, pos, tok, sum(length(tok)) OVER (PARTITION BY doc_id, sent_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS e
+         FROM (SELECT doc_id, sent_id, start, unnest(toks) AS tok, unnest(range(0, len(toks))) AS pos FROM pt))
+, ts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id, sent_id) AS n
+         FROM ex WHERE regexp_matches(tok, '\\S'))
+, ch AS (
+  SELECT doc_id, sent_id, min(s0 + e - length(tok)) AS start, max(s0 + e) AS "end" FROM ts WHERE n > 64 GROUP BY doc_id, sent_id, i // 64
+  UNION ALL SELECT se.doc_id, se.sent_id, se.start, se."end" FROM se
+  WHERE NOT EXISTS (SELECT 1 FROM ts WHERE ts.doc_id = se.doc_id AND ts.sent_id = se.sent_id AND n > 64)
+)
+SELECT ch.doc_id, row_number() OVER (PARTITION BY ch.doc_id ORDER BY start, "end") - 1 AS chunk_id, sent_id, CAST(start AS BIGINT) AS start,
+       CAST("end" AS BIGINT) AS "end", substring(d.text, CAST(start AS INTEGER) + 1, CAST("end" - start AS INTEGER)) AS text
+FROM ch JOIN documents AS d ON d.doc_id = ch.doc_id
+""")
 def q_t7_build_chunks(spark: SparkSession, d: str) -> DataFrame:
     c = tp.build_chunks(fx.docs_fx(spark, d), max_tokens=64)
     return c.select("doc_id", *_long("chunk_id", "sent_id", "start", "end"), "text")
@@ -610,6 +694,75 @@ def q_v1_quarantine(spark: SparkSession, d: str) -> DataFrame:
         .unionByName(rejected.select("conv_id", "turn", F.lit(False).alias("valid"), "reason"))
 
 
+@register("q_s3_read_gazetteer", """
+SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS gaz_ord,
+       CASE WHEN p_partkey % 7 = 0 THEN p_name || chr(10) || 'or "' || p_name || '"' ELSE p_name END AS term, 'P' || CAST(p_partkey AS VARCHAR) AS code
+FROM part
+""")
+def q_s3_read_gazetteer(spark: SparkSession, d: str) -> DataFrame:
+    """A gazetteer of several files, with line ends and quotes inside values, in the order of its rows."""
+    path = scratch_path(spark, f"s3-{uuid.uuid4().hex}")
+    g = fx.table(spark, d, "part").withColumn("term", F.when(F.col("p_partkey") % 7 == 0, F.concat(
+        "p_name", F.lit("\nor \""), "p_name", F.lit("\""))).otherwise(F.col("p_name")))
+    g = g.repartitionByRange(5, "p_partkey").sortWithinPartitions("p_partkey")
+    g.select("term", F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("code")).write.csv(path, sep="\t", header=True, quote='"', escape='"')
+    return sg.read_gazetteer(spark, path).select("gaz_ord", "term", "code")
+
+
+@register("q_s4_check_gazetteer", """
+SELECT count(*) AS rows, count(*) FILTER (WHERE text IS NULL) AS null_terms, count(text) - count(DISTINCT text) AS duplicate_terms FROM conversations
+""")
+def q_s4_check_gazetteer(spark: SparkSession, d: str) -> DataFrame:
+    g = fx.table(spark, d, "conversations").select(F.col("text").alias("term"), F.col("conv_id").cast("string").alias("code"))
+    found = sg.check_gazetteer(g)
+    return spark.createDataFrame([(found["rows"], found["null_terms"], found["duplicate_terms"])], "rows long, null_terms long, duplicate_terms long")
+
+
+@register("q_s5_vectors", """
+SELECT vec_id, label % 3 AS model_no, CAST(round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS DOUBLE) AS total FROM embeddings
+""")
+def q_s5_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written twice, the second time by a retried job, and read back by model."""
+    path = scratch_path(spark, f"s5-{uuid.uuid4().hex}")
+    e = fx.vec_fx(spark, d).select(F.lit("en").alias("lang"), F.lit("word").alias("entity_type"), F.col("vec_id").cast("string").alias("term"),
+                                   F.col("vec_id").alias("gaz_ord"), F.concat(F.lit("m"), F.col("label") % 3).alias("model"), F.col("embedding").alias("vec"))
+    sg.write_vectors(e.where("gaz_ord % 2 = 0"), path)
+    sg.write_vectors(e, path)
+    sg.write_vectors(e.where("gaz_ord % 3 = 0"), path)
+    out = None
+    for m in range(3):
+        part = sg.read_vectors(spark, path, f"m{m}", lang="en")
+        total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double"))
+        part = part.select(F.col("gaz_ord").alias("vec_id"), F.lit(m).alias("model_no"), F.round(total, 4).alias("total"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("q_s7_manifest", """
+SELECT 'c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) || '.json' AS file, text AS meta_text FROM conversations
+""")
+def q_s7_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """One committed JSON file per document (S6), its manifest (S7), and each file read back."""
+    path = scratch_path(spark, f"s7-{uuid.uuid4().hex}")
+    c = fx.table(spark, d, "conversations")
+    name = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    recs = c.select(name.alias("doc_id"), F.struct(F.col("text")).alias("metadata"))
+    files = sk.write_records(recs, path, per_document=True)
+    back = spark.read.schema("doc_id string, metadata struct<text:string>").json(path, multiLine=True)
+    back = back.select(F.concat("doc_id", F.lit(".json")).alias("file"), F.col("metadata.text").alias("meta_text"))
+    return files.select("file").join(back, "file")
+
+
+@register("q_s8_records_by_file", """
+SELECT source || '-' || CAST(doc_id AS VARCHAR) || '.txt' AS file_key, text AS meta_text FROM documents
+""")
+def q_s8_records_by_file(spark: SparkSession, d: str) -> DataFrame:
+    docs = fx.table(spark, d, "documents")
+    path = F.concat(F.lit("/notes/"), "lang", F.lit("/"), "source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    meta = F.create_map(F.lit("source_file"), path, F.lit("text"), F.col("text"))
+    return sk.records_by_file(docs.select("doc_id", meta.alias("metadata"))).select("file_key", F.col("metadata")["text"].alias("meta_text"))
+
+
 def _catalogue_gaz(spark: SparkSession, d: str) -> DataFrame:
     a = fx.gaz_part(spark, d).select(F.lit("en").alias("lang"), F.lit("disease").alias("entity_type"), "gaz_ord", "term", "code")
     b = fx.gaz_words(spark, d).select(F.lit("es").alias("lang"), F.lit("symptoms").alias("entity_type"), "gaz_ord", "term", "code")
@@ -661,14 +814,12 @@ FROM documents d LEFT JOIN lookup_fx l ON l.doc_id = d.doc_id GROUP BY d.doc_id
 """))
 def q_p6_annotate_dir(spark: SparkSession, d: str) -> DataFrame:
     """P6 end to end: every document written as its own text file, read back (S1), annotated, written as JSON (S6)."""
-    import uuid
-
     base = scratch_path(spark, f"p6-{uuid.uuid4().hex}")
     fx.docs_fx(spark, d).select("doc_id", "text").write.partitionBy("doc_id").text(f"{base}/notes")
     notes = sn.read_notes(spark, f"{base}/notes", id_source="partition")
     from notelink.plans import jobs
 
-    recs = jobs.annotate(fx.by_document(notes), "lookup", ["WORD"], checkpointed(fx.gaz_words(spark, d)), lang="und")
+    recs = jobs.annotate(checkpointed(fx.by_document(notes)), "lookup", ["WORD"], checkpointed(fx.gaz_words(spark, d)), lang="und")
     sk.write_records(recs, f"{base}/records")
     back = spark.read.schema(recs.schema).json(f"{base}/records")
     return rc.annotation_signature(back).select(F.col("doc_id").cast("long").alias("doc_id"), "n_ann", "ann_sig")

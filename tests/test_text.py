@@ -105,3 +105,31 @@ def test_lines_end_where_python_ends_them(spark):
     rows = tp.split_lines_sentences(docs).orderBy("start").collect()
     assert [r["text"] for r in rows] == [x for x in text.splitlines() if x]
     assert all(text[r["start"]:r["end"]] == r["text"] for r in rows)
+
+
+def test_sentences_equal_the_plain_rule(spark):
+    """Column expressions against plain Python, over all mixes of what the rule looks at."""
+    import random
+
+    from notelink.operators import textprep as tp
+
+    rnd = random.Random(13)
+    parts = ["J", "Dr", "fiebre", "Alta", "3", "-1,5", "2.7", "é", "½", "x1", ".", "..", "...", "?", "!", ".?", "?.", '"', "'", ")", "]", "(", "[", "{",
+             " ", " ", " ", "\n", "\t ", " ", " ", "\x00", "\x01", "\x01\x02", "日", "ª", "\U0001F600", "-", ","]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 24))) for _ in range(1500)]
+    texts += ["", " ", "a", "A. b. C.", "J. Perez. 3. mg. (J.) b", "x.\x00 y. \x00z.", "w. " * 500, "." * 3000 + " a", "a" * 20000 + ". B"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(10**6, None)], "doc_id long, text string")
+    got = {}
+    for r in tp.split_sentences(df).collect():
+        got.setdefault(r["doc_id"], []).append((r["sent_id"], r["start"], r["end"], r["text"]))
+    for i, t in enumerate(texts):
+        assert sorted(got.get(i, [])) == [(n, a, b, t[a:b]) for n, a, b in tp.sentence_spans(t)], (t, got.get(i))
+    assert 10**6 not in got
+
+
+def test_no_python_in_sentences_and_chunks(spark):
+    from notelink.operators import textprep as tp
+
+    docs = spark.createDataFrame([(0, "a. b.")], "doc_id long, text string")
+    plan = tp.build_chunks(docs, 64)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
