@@ -8,9 +8,10 @@ so are all phrases inside it. So:
    that are shorter by a word are proposed: these are the proposals and
    their negative border (the least phrases not proposed). The counts are exact.
 3. A frequent phrase that was not proposed is a *failure of the border*: longer
-   phrases that contain it were not counted. Failures join the proposals,
-   and a further pass counts what that adds. It ends when a pass has no failures: then
-   every frequent phrase has been counted.
+   phrases that contain it were not counted. Failures join the proposals, and an expansion
+   pass counts what that adds: phrases whose parts are proposed now, or are
+   counted for the first time in the same pass. So it closes the border in one pass
+   over the documents, whatever the length; without failures there is none.
 
 Tasks look proposals up in bit arrays of a fixed size (``FILTER_BITS`` for each length),
 the only thing that is broadcast. A phrase that seems proposed by chance is counted
@@ -23,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -38,7 +40,7 @@ SAMPLE_ONE_IN, LOWERED = 4, 0.8
 # Bits by which proposed phrases of one length are looked up (2^26 bits: 8 MB), and looks at each.
 FILTER_BITS, LOOKS = 1 << 26, 2
 # Words that a task gathers before it counts them, and rows of a batch it sends on.
-FLUSH_WORDS, SEND_ROWS = 1_000_000, 200_000
+FLUSH_WORDS, SEND_ROWS = 2_000_000, 200_000
 # Candidates of one language that a task ranks at first.
 RANKED = 500_000
 
@@ -92,18 +94,59 @@ def _longer(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _chosen(h: np.ndarray, follows: np.ndarray, size: int, bits: dict | None) -> np.ndarray:
-    """Whether a phrase of ``size`` words begins at each word and is counted: all are if there are no ``bits``."""
-    n = max(0, len(h) - size + 1)
+def _joined(follows: np.ndarray, size: int) -> np.ndarray:
+    """Whether the run of ``size`` words that begins at each word lies in one piece."""
+    n = max(0, len(follows) - size + 1)
     ok = np.ones(n, bool)
     for j in range(size - 1):
         ok &= follows[j:j + n]
-    if bits is not None and n:
-        part = _has(bits[size - 1], _longer(h, size - 1))
-        ok &= part[:-1] & part[1:]
     return ok
 
 
+def _chosen(h: np.ndarray, follows: np.ndarray, sizes: list[int], now: dict | None, before: dict | None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each size, whether the phrase that begins at each word is counted in this pass.
+
+    ``now`` has the proposals: without it all phrases are counted; without ``before`` all words, and phrases
+    whose parts are proposed. ``before`` has the proposals of the pass before, whose phrases are left out.
+    """
+    new = None  # of the size before: counted for the first time now
+    for s in sizes:
+        ok = _joined(follows, s)
+        if now is not None and s > 1 and len(ok):
+            part = _longer(h, s - 1)
+            could = _has(now[s - 1], part)
+            if new is not None:
+                could |= new
+            ok &= could[:-1] & could[1:]
+            if before is not None:
+                was = _has(before[s - 1], part)
+                ok &= ~(was[:-1] & was[1:])
+                new = ok
+        yield s, ok
+
+
+def _distinct(word: np.ndarray, i: np.ndarray, size: int, known: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct runs of ``size`` words that begin at ``i``, as word numbers by place, and how often each occurs."""
+    if known**size < 1 << 63:  # a run is one number
+        key = word[i].copy()
+        for j in range(1, size):
+            key *= known
+            key += word[i + j]
+        key.sort()
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        one, n = key[edge], np.diff(np.concatenate([edge, [len(key)]]))
+        places = []
+        for _ in range(size):
+            places.append(one % known)
+            one = one // known
+        return places[::-1], n
+    key = word[i]
+    for j in range(1, size):
+        key = np.unique(key, return_inverse=True)[1].astype(np.int64) * known + word[i + j]
+    _, first, n = np.unique(key, return_index=True, return_counts=True)
+    return [word[i[first] + j] for j in range(size)], n
+
+
 class _Gathered:
     """Words of a task since the last flush."""
 
@@ -131,35 +174,30 @@ class _Gathered:
         if not self.parts:
             return
         h, follows, code, size, held = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts = []
         langs = pa.array(list(self.langs), pa.string())
-        end = np.cumsum(size)
-        known, first, word = np.unique(h, return_index=True, return_inverse=True)
+        if total:
+            yield from _sent(langs, pa.array([""] * len(langs)), 0, np.bincount(code, minlength=len(langs)))
+        word, known = pd.factorize(h)
         word = word.astype(np.int64)
-        span, begin = size[first], (end - size)[first]
+        first = np.empty(len(known), np.int64)
+        first[word[::-1]] = np.arange(len(word) - 1, -1, -1)
+        span = size[first]
+        begin = (np.cumsum(size) - size)[first]
         at = np.concatenate([[0], np.cumsum(span)])
         take = np.repeat(begin - at[:-1], span) + np.arange(at[-1])
         text = pa.LargeStringArray.from_buffers(len(known), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(held[take])).cast(pa.string())
         lang_of = code[first]
-        if total:
-            n = np.bincount(code, minlength=len(langs))
-            yield from _sent(langs, pa.array([""] * len(langs)), 0, n)
-        for s in sizes:
-            ok = _chosen(h, follows, s, now if s > 1 else None)
-            if before is not None and s > 1:
-                ok &= ~_chosen(h, follows, s, before)
+        for s, ok in _chosen(h, follows, sizes, now, before):
             i = np.flatnonzero(ok)
             if not len(i):
                 continue
-            key = word[i]
-            for j in range(1, s):
-                key = np.unique(key, return_inverse=True)[1].astype(np.int64) * len(known) + word[i + j]
-            _, one, n = np.unique(key, return_index=True, return_counts=True)
-            one = i[one]
-            for a in range(0, len(one), SEND_ROWS):
-                some = one[a:a + SEND_ROWS]
-                words = [text.take(pa.array(word[some + j])) for j in range(s)]
+            places, n = _distinct(word, i, s, len(known))
+            for a in range(0, len(n), SEND_ROWS):
+                ids = [x[a:a + SEND_ROWS] for x in places]
+                words = [text.take(pa.array(x)) for x in ids]
                 phrase = words[0] if s == 1 else pc.binary_join_element_wise(*words, " ")
-                yield from _sent(langs.take(pa.array(lang_of[word[some]])), phrase, s, n[a:a + SEND_ROWS])
+                yield from _sent(langs.take(pa.array(lang_of[ids[0]])), phrase, s, n[a:a + SEND_ROWS])
 
 
 def _sent(lang: pa.Array, phrase: pa.Array, size: int, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -222,8 +260,8 @@ def _unpacked(packed: dict[int, bytes]) -> dict[int, np.ndarray]:
 
 
 def _counted(docs: DataFrame, sizes: list[int], now: Proposals | None, before: Proposals | None, total: bool) -> DataFrame:
-    """(lang, phrase, size, c): counts by task of the phrases of these sizes that ``now`` proposes, or whose
-    parts it does, and ``before`` does not. The empty phrase stands for all words."""
+    """(lang, phrase, size, c): counts by task of the phrases of these sizes that a pass chooses (see
+    ``_chosen``). The empty phrase stands for all words."""
     spark = docs.sparkSession
     sent = [None if x is None else spark.sparkContext.broadcast(x.packed()) for x in (now, before)]
 
@@ -247,19 +285,23 @@ def frequent_phrases(docs: DataFrame, min_count: int, longest: int, sample_one_i
     short = list(range(1, longest))
     part = docs.filter(F.pmod(F.xxhash64("key", "text"), F.lit(sample_one_in)) == 0)
     least = max(1, int(min_count * LOWERED / sample_one_in))
-    proposed = _counted(part, short, None, None, False).groupBy("lang", "phrase").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
-    now, _ = Proposals(short).grow(proposed)
-    before, found, passes = None, None, 0
-    while True:
-        sizes = list(range(1 if before is None else 2, longest + 1))
-        counts = _counted(docs, sizes, now, before, before is None).groupBy("lang", "phrase", "size").agg(F.sum("c").alias("f"))
-        new = written(counts.filter((F.col("f") >= min_count) | (F.col("size") == 0)), "phrase-counts")
-        found = new if found is None else found.unionByName(new)
-        passes += 1
-        grown, failed = now.grow(new.filter(F.col("size").between(1, longest - 1)))
-        if not failed:
-            return found, passes
-        before, now = now, grown
+    now, _ = Proposals(short).grow(_summed(_counted(part, short, None, None, False)).filter(F.col("f") >= least))
+
+    def counted(sizes: list[int], now: Proposals, before: Proposals | None) -> DataFrame:
+        f = _summed(_counted(docs, sizes, now, before, before is None))
+        return written(f.filter((F.col("f") >= min_count) | (F.col("size") == 0)), "phrase-counts")
+
+    found = counted(list(range(1, longest + 1)), now, None)
+    grown, failed = now.grow(found.filter(F.col("size").between(1, longest - 1)))
+    if not failed:
+        return found, 1
+    return found.unionByName(counted(list(range(2, longest + 1)), grown, now)), 2
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    """Counts over all tasks. Tasks have summed their own rows, so these are dealt out before Spark sums anything."""
+    keys = ["lang", "phrase", "size"]
+    return counts.repartition(*keys).groupBy(*keys).agg(F.sum("c").alias("f"))
 
 
 def mine_phrases(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", min_count: int = 10, longest: int = 3,

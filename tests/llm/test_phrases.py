@@ -76,12 +76,12 @@ def test_crowded_filters_change_nothing(spark, monkeypatch):
     assert mined(spark, docs, min_count=4) == brute(docs, 4)
 
 
-def test_border_failures_make_further_passes_until_closed(spark):
-    """A sample without documents proposes nothing: words fail first, then pairs."""
+def test_border_failures_are_closed_by_an_expansion_pass(spark):
+    """A sample without documents proposes nothing: all frequent words fail, then pairs and triples of them are counted."""
     docs = corpus(9)
     rows = spark.createDataFrame(docs, "key long, text string, lang string")
     found, passes = ph.frequent_phrases(rows, 4, 3, sample_one_in=1_000_000_007)
-    assert passes == 3  # words, then pairs of these, then triples
+    assert passes == 2
     got = {(r.lang or "und", r.phrase): r.f for r in found.filter("size > 0").collect()}
     f = Counter()
     for _, t, g in docs:
@@ -93,6 +93,29 @@ def test_border_failures_make_further_passes_until_closed(spark):
     assert passes == 1
 
 
+@pytest.mark.parametrize("longest,sample", [(3, 7), (4, 1_000_000_007), (5, 3)])
+def test_no_phrase_is_counted_twice_or_left_out(spark, longest, sample):
+    docs = corpus(10)
+    rows = spark.createDataFrame(docs, "key long, text string, lang string").repartition(4)
+    found, _ = ph.frequent_phrases(rows, 3, longest, sample_one_in=sample)
+    got = [(r.lang or "und", r.phrase, r.f) for r in found.filter("size > 0").collect()]
+    f = Counter()
+    for _, t, g in docs:
+        for w in pieces(t):
+            f.update(((g or "und"), " ".join(w[i:i + s])) for s in range(1, longest + 1) for i in range(len(w) - s + 1))
+    assert sorted(got) == sorted((*p, n) for p, n in f.items() if n >= 3)
+
+
+def test_runs_of_words_as_numbers_and_by_place():
+    rng = np.random.default_rng(1)
+    word = rng.integers(0, 9, 400)
+    i = np.flatnonzero(rng.random(395) < 0.7)
+    want = Counter(tuple(word[x:x + 3].tolist()) for x in i)
+    for known in (9, 1 << 22):
+        places, n = ph._distinct(word.astype(np.int64), i, 3, known)
+        assert {tuple(int(p[j]) for p in places): int(c) for j, c in enumerate(n)} == want
+
+
 def test_infrequent_words_make_no_longer_phrases(spark):
     """Only phrases whose parts are proposed are counted."""
     rng = random.Random(2)
