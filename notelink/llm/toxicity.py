@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from notelink.llm.common import append_columns, text_buffers, word_hashes
+from notelink.llm.common import append_columns, text_buffers, word_hashes, written
 
-# The bounded sample that is learned from: labelled rows in order of their key's hash.
-TRAIN_ROWS = 10_000
+# The bounded sample that is learned from: labelled keys in order of their hash, and texts of a key in
+# order of theirs. At most TRAIN_ROWS * KEY_TEXTS rows come to the driver, as word numbers.
+TRAIN_ROWS, KEY_TEXTS = 10_000, 4
 # Beginnings of words, in bytes, that count as words too: inflected and compound forms.
 PREFIXES = (5, 6, 7)
 # Words of a model (those that tell its category best), and the rows a word must be in.
@@ -154,27 +156,33 @@ def _usable(stats: pa.Table, fold: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, str], key: str = "doc_id",
           text: str = "text", rows: int = TRAIN_ROWS) -> list[Linear]:
-    """Fit the chain on at most ``rows`` labelled documents.
+    """Fit the chain on at most ``rows`` labels, each with at most ``KEY_TEXTS`` texts.
 
     ``categories``: name to a 0/1 SQL expression over ``labels``, in the order of the
-    chain. Null keys, texts and labels are left out; a key with several labels or
-    texts counts as often as it occurs. Words are counted in Spark; the driver
+    chain. Null keys, texts and labels are left out. Equal rows count once; a key with several
+    labels or texts counts with each label and the ``KEY_TEXTS`` texts of the least
+    hash. Words are counted in Spark; the driver
     gets the counts of words in MIN_ROWS rows or more, and the numbers of chosen words.
     """
     m, spark = len(categories), docs.sparkSession
     y_cols = [f"y{j}" for j in range(m)]
     pick = labels.select(F.col(key).alias("k"), *[F.expr(c).cast("int").alias(y) for c, y in zip(categories.values(), y_cols)])
-    pick = pick.dropna().withColumn("h", F.xxhash64("k")).orderBy("h", "k", *y_cols).limit(rows)
+    pick = pick.dropna().distinct().withColumn("h", F.xxhash64("k")).orderBy("h", "k", *y_cols).limit(rows)
     fold = F.pmod(F.floor(F.col("h") / 7), F.lit(FOLDS)).cast("int").alias("fold")
-    chosen = spark.createDataFrame([tuple(r) for r in pick.collect()], pick.schema)
-    sample = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).dropna().join(F.broadcast(chosen), "k")
+    chosen = F.broadcast(spark.createDataFrame([tuple(r) for r in pick.collect()], pick.schema))
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).dropna().join(chosen.select("k").distinct(), "k", "left_semi")
+    # first which texts, by hashes alone, then these
+    texts = texts.withColumn("o", F.xxhash64("t"))
+    nth = F.row_number().over(Window.partitionBy("k").orderBy("o"))
+    some = texts.select("k", "o").distinct().withColumn("n", nth).filter(F.col("n") <= KEY_TEXTS).select("k", "o")
+    sample = texts.join(F.broadcast(written(some, "sample")), ["k", "o"]).dropDuplicates(["k", "o"]).join(chosen, "k")
     found = append_columns(sample, [T.StructField("words", T.ArrayType(T.LongType()))], _word_arrays).drop("t")
-    found = found.select("h", "k", fold, *y_cols, "words")
+    found = written(found.select("h", "k", "o", fold, *y_cols, "words"), "sample-words")
     counts = [F.sum((F.col("fold") == f).cast("int")).alias(f"n{f}") for f in range(FOLDS)]
     counts += [F.sum(F.when(F.col("fold") == f, F.col(y)).otherwise(0)).alias(f"p{j}_{f}") for j, y in enumerate(y_cols) for f in range(FOLDS)]
     stats = found.withColumn("w", F.explode("words")).groupBy("w").agg(F.count("*").alias("n"), *counts)
     stats = stats.filter(F.col("n") >= MIN_ROWS).toArrow().combine_chunks().sort_by("w")
-    known = found.select("h", "k", "fold", *y_cols).toArrow()
+    known = found.select("fold", *y_cols).toArrow()
     y_all = np.column_stack([known.column(y).to_numpy() for y in y_cols]).astype(float)
     usable = _usable(stats, known.column("fold").to_numpy(), y_all)
     kept = usable.any((0, 1))
@@ -196,7 +204,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, str], key: s
         return each
 
     data = append_columns(found, [T.StructField("numbers", T.ArrayType(T.IntegerType()))], numbers).drop("words")
-    data = data.toArrow().combine_chunks().sort_by([("h", "ascending"), ("k", "ascending")])
+    data = data.toArrow().combine_chunks().sort_by([("h", "ascending"), ("k", "ascending"), ("o", "ascending"), *[(y, "ascending") for y in y_cols]])
     got = data.column("numbers").combine_chunks() if data.num_rows else pa.array([], pa.list_(pa.int32()))
     first = np.concatenate([[0], np.cumsum(np.diff(np.asarray(got.offsets)))]).astype(np.int64)
     y = np.column_stack([data.column(c).to_numpy() for c in y_cols]).astype(float)
