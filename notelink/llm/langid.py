@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from notelink.llm.common import append_columns
+from notelink.llm.common import append_columns, written
 
-# The sample that is learned from: at most so many documents of a language,
-# characters of each, and symbols of a language and of all languages together.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS, ALL_SYMBOLS = 64, 2048, 32_768, 1 << 19
+# The sample that is learned from: at most so many languages (those of most documents), documents of a
+# language, characters of each, and symbols of a language and of all languages together.
+SAMPLE_LANGS, SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS, ALL_SYMBOLS = 256, 64, 2048, 32_768, 1 << 19
 PIECES = 16  # of a text longer than that, from all over it
 BLOCK = 512
 LETTERS = 94  # the commonest letters of the samples have columns in a table, the others are looked up
@@ -216,14 +216,20 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     the smallest hash of their key, ``SAMPLE_CHARS`` characters of each. Of a longer text these are
     ``PIECES`` pieces, one from each equal part of it at a place by hash, in the order of a hash.
 
-    The ranking moves keys and labels alone and keeps that many rows per task;
+    Equal rows count once; rows with one key and several texts or labels are documents of
+    their own. Of more than ``SAMPLE_LANGS`` labels those of most documents are learned (ties by
+    name), so at most ``SAMPLE_LANGS * SAMPLE_DOCS`` texts come to the driver. The ranking moves keys,
+    hashes and labels alone and keeps that many rows per task;
     null keys and labels and texts without a letter are left out.
     """
     docs = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("t"))
     docs = docs.filter(F.col("k").isNotNull() & F.col("lang").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    rank = Window.partitionBy("lang").orderBy("h", "k")
-    keys = docs.select("k", "lang", F.xxhash64("k").alias("h")).withColumn("rn", F.row_number().over(rank)).filter(F.col("rn") <= SAMPLE_DOCS)
-    chosen = [r.k for r in keys.select("k").collect()]
+    docs = docs.withColumn("o", F.xxhash64("t"))
+    most = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_LANGS).select("lang")
+    rank = Window.partitionBy("lang").orderBy("h", "k", "o")
+    keys = docs.select("k", "lang", "o", F.xxhash64("k").alias("h")).distinct().join(F.broadcast(most), "lang", "left_semi")
+    keys = keys.withColumn("rn", F.row_number().over(rank)).filter(F.col("rn") <= SAMPLE_DOCS).select("k", "lang", "o")
+    chosen = F.broadcast(written(keys, "sample"))
     size, each = F.char_length("t"), SAMPLE_CHARS // PIECES
 
     def piece(i: Column) -> Column:
@@ -233,7 +239,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
     pieces = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), piece))
     some = F.when(size <= SAMPLE_CHARS, F.col("t")).otherwise(F.array_join(F.transform(pieces, lambda x: x["t"]), " "))
-    rows = docs.filter(F.col("k").isin(chosen)).select("k", "lang", some.alias("t")).collect() if chosen else []
+    rows = docs.join(chosen, ["k", "lang", "o"]).select("k", "lang", "o", some.alias("t")).dropDuplicates(["k", "lang", "o"]).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, str(r.k), r.t)):
         out.setdefault(r.lang, []).append(r.t)

@@ -108,3 +108,13 @@ def test_symbols_are_shared_evenly():
     assert [len(x) for x in li.evenly(parts, 225)] == [len(x) for x in parts]
     parser = li.Parser({"x": [chr(0x4E00 + i) * 2000 for i in range(64)]})
     assert len(set(parser.symbol[0x4E00:0x4E00 + 64].tolist())) == 64
+
+
+def test_repeated_keys_and_many_languages_stay_within_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(li, "SAMPLE_LANGS", 5)
+    one = spark.range(30_000).selectExpr("1L AS doc_id", "'the cat' AS text", "'en' AS lang")
+    texts = spark.range(5_000).selectExpr("2L AS doc_id", "concat('der hund ', CAST(id AS STRING)) AS text", "'de' AS lang")
+    dirty = spark.range(300).selectExpr("id + 10 AS doc_id", "'some words' AS text", "concat('l', lpad(CAST(id AS STRING), 3, '0')) AS lang")
+    samples = li.learn(one.unionByName(texts).unionByName(dirty))
+    assert samples["en"] == ["the cat"] and len(samples["de"]) == li.SAMPLE_DOCS
+    assert sorted(samples) == ["de", "en", "l000", "l001", "l002"]  # those of most documents, ties by name
