@@ -47,9 +47,8 @@ def deep_shallow(text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nda
     """Order of the rows of ``text`` (n, m bytes, zero-padded; ``size`` bytes count), and for each
     row in that order the longest common prefix with the row before it.
 
-    Shallow: a multikey quicksort, array-wise: rows that agree so far are parted by
-    their next eight bytes. Deep: groups that agree on ``SHALLOW`` words, if not
-    all equal, are put in order by a blind trie.
+    Shallow: a multikey quicksort by words of eight bytes. Deep: groups that agree on
+    ``SHALLOW`` words, if not all equal, are put in order by a blind trie.
     """
     n, m = text.shape
     if not n:
@@ -59,15 +58,7 @@ def deep_shallow(text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nda
     padded[:, :m] = text
     padded[np.arange(width) >= size[:, None]] = 0
     words = padded.view(">u8").astype(np.uint64)
-    order = np.argsort(words[:, 0], kind="stable")
-    group = _groups(words[order, 0], np.zeros(n, np.int64))
-    for w in range(1, min(SHALLOW, words.shape[1])):
-        open_ = np.flatnonzero(_in_group(group))
-        if not len(open_):
-            break
-        rows = order[open_]
-        order[open_] = rows[np.lexsort((words[rows, w], group[open_]))]
-        group = _groups(words[order, w], group)
+    order, group = _multikey(words[:, :SHALLOW])
     open_ = _in_group(group)
     if open_.any() and (words.shape[1] > SHALLOW or size.min() < size.max()):
         at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
@@ -88,8 +79,57 @@ def deep_shallow(text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, lcp
 
 
-def _groups(value: np.ndarray, group: np.ndarray) -> np.ndarray:
-    return np.cumsum(np.concatenate([[False], (value[1:] != value[:-1]) | (group[1:] != group[:-1])]))
+# Rows from which on a group is parted by a pivot; smaller ones are sorted at once.
+PARTED = 24
+
+
+def _multikey(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of ``words``, and the number of each place's group of equal rows.
+
+    Multikey quicksort, all groups side by side: each large group takes the median of three of
+    its rows as pivot and is parted three ways by the word at its depth. What is less or
+    greater stays at that depth, what is equal goes on to the next word. Small groups
+    are finished by a sort from their depth on.
+    """
+    n, depth_end = words.shape
+    order = np.arange(n)
+    start, end, depth = np.zeros(1, np.int64), np.full(1, n), np.zeros(1, np.int64)
+    small: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(start):
+        large = (end - start >= PARTED) & (depth < depth_end)
+        rest = ~large & (depth < depth_end) & (end - start > 1)
+        small.append((start[rest], end[rest], depth[rest]))
+        start, end, depth = start[large], end[large], depth[large]
+        if not len(start):
+            break
+        size = end - start
+        own = np.repeat(np.arange(len(start)), size)
+        first = np.cumsum(size) - size
+        place = np.arange(len(own)) - first[own] + start[own]
+        rows = order[place]
+        at = words[rows, depth[own]]
+        three = np.sort(np.stack([at[first], at[first + size // 2], at[first + size - 1]]), axis=0)
+        pivot = three[1][own]
+        part = (at >= pivot).astype(np.int64) + (at > pivot)  # 0: less, 1: equal, 2: greater
+        count = np.bincount(own * 3 + part, minlength=3 * len(start)).reshape(-1, 3)
+        begin = start[:, None] + np.cumsum(count, axis=1) - count
+        for k in range(3):  # to where each part begins, in the order that rows had
+            mine = np.flatnonzero(part == k)
+            if len(mine):
+                before = np.arange(len(mine)) - np.repeat(np.cumsum(count[:, k]) - count[:, k], count[:, k])
+                order[begin[own[mine], k] + before] = rows[mine]
+        start, end, depth = begin.ravel(), (begin + count).ravel(), (depth[:, None] + np.array([0, 1, 0])).ravel()
+        keep = end - start > 1
+        start, end, depth = start[keep], end[keep], depth[keep]
+    start, end, depth = (np.concatenate(x) for x in zip(*small))
+    if len(start):
+        own = np.repeat(np.arange(len(start)), end - start)
+        place = np.arange(len(own)) - (np.cumsum(end - start) - (end - start))[own] + start[own]
+        rows = order[place]
+        by = np.lexsort((*[words[rows, w] for w in range(depth_end - 1, -1, -1)], own))
+        order[place] = rows[by]
+    differ = (words[order[1:]] != words[order[:-1]]).any(axis=1)
+    return order, np.cumsum(np.concatenate([[False], differ]))
 
 
 def _in_group(group: np.ndarray) -> np.ndarray:

@@ -23,6 +23,18 @@ def test_deep_shallow_order_and_prefixes(seed):
         assert a[:n] == b[:n] and (n == min(len(a), len(b)) or a[n] != b[n])
 
 
+@pytest.mark.parametrize("n,values", [(1, 3), (50, 2), (3000, 2), (3000, 50), (5000, 10**6)])
+def test_multikey_partition_sorts_by_words(n, values):
+    rng = np.random.default_rng(n + values)
+    words = rng.integers(0, values, (n, 4)).astype(np.uint64) << np.uint64(40)
+    order, group = sd._multikey(words)
+    want = sorted(map(tuple, words.tolist()))
+    assert [tuple(x) for x in words[order].tolist()] == want and sorted(order.tolist()) == list(range(n))
+    assert group.tolist() == np.cumsum([0, *[a != b for a, b in zip(want, want[1:])]]).tolist()
+    same = np.zeros((2000, 4), np.uint64)
+    assert not sd._multikey(same)[1].any()
+
+
 def brute(docs, length=50):
     least = {}
     for k, t in docs:
