@@ -1,8 +1,7 @@
 """Column functions for text: normalisation (T1), pretokenisation (T3), language codes (T10).
 
-Everything here returns a ``Column`` built from JVM-side functions, except the
-``*_exact`` variants, which are Arrow-batched pandas UDFs kept for characters
-the native rule does not cover.
+Everything here returns a ``Column`` built from JVM-side functions. The Python
+versions beside them (``normalize_py``, ``fold``) follow the same rules inside Arrow batches.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from __future__ import annotations
 import functools
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,23 +65,111 @@ def _fold_table() -> tuple[str, str]:
     return "".join(src), "".join(dst)
 
 
+@functools.lru_cache(maxsize=1)
+def _spelled_table() -> dict[str, str]:
+    """The other characters whose decomposition differs: several base characters, or none of the Basic
+    Multilingual Plane. Hangul syllables are spelled by arithmetic."""
+    out = {}
+    for cp in range(0x80, 0x110000):
+        if 0xD800 <= cp <= 0xDFFF or FIRST_HANGUL <= cp <= LAST_HANGUL:
+            continue
+        ch = chr(cp)
+        if unicodedata.category(ch) != "Mn" and (folded := _strip_marks(ch)) != ch and (cp > 0xFFFF or len(folded) != 1):
+            out[ch] = folded
+    return out
+
+
+# Fixed values of the Unicode standard: syllables are leading, vowel and trailing letters in order.
+FIRST_HANGUL, LAST_HANGUL = 0xAC00, 0xD7A3
+LEADING, VOWELS, TRAILING = 19, 21, 28
+
+
+def _hangul(ch: Column) -> Column:
+    """The letters of a Hangul syllable."""
+    i = F.ascii(ch) - FIRST_HANGUL
+    leading = "".join(chr(0x1100 + n) for n in range(LEADING))
+    vowels = "".join(chr(0x1161 + n) for n in range(VOWELS))
+    trailing = "".join(chr(0x11A7 + n) for n in range(1, TRAILING))
+    pick = lambda letters, n: F.substring(F.lit(letters), n.cast("int"), 1)
+    tail = F.pmod(i, F.lit(TRAILING))
+    return F.concat(pick(leading, F.floor(i / (VOWELS * TRAILING)) + 1), pick(vowels, F.floor(F.pmod(i, F.lit(VOWELS * TRAILING)) / TRAILING) + 1),
+                    F.when(tail > 0, pick(trailing, tail)).otherwise(""))
+
+
+@functools.lru_cache(maxsize=1)
+def _mark_class() -> str:
+    """The nonspacing marks of Python's Unicode database as ranges: in Java's, which may be of another
+    version, these are marks or not assigned."""
+    marks = [cp for cp in range(0x110000) if unicodedata.category(chr(cp)) == "Mn"]
+    ranges: list[list[int]] = []
+    for cp in marks:
+        if ranges and ranges[-1][1] == cp - 1:
+            ranges[-1][1] = cp
+        else:
+            ranges.append([cp, cp])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+
+
 def normalize(col: Column | str) -> Column:
     """T1 as a native expression: ``lower`` -> fold precomposed letters -> drop marks.
 
-    Equals :func:`normalize_py` for every character whose decomposition keeps
-    one base character (all Latin, Greek, Cyrillic letters with accents).
-    Characters decomposing into several base characters (Hangul syllables and
-    a few others) are kept as they are; use :func:`normalize_exact` for them.
+    Equals :func:`normalize_py`. Characters that decompose into several letters (Hangul syllables and a few
+    others) are spelled one by one, in texts that have any.
     """
     c = F.col(col) if isinstance(col, str) else col
     src, dst = _fold_table()
-    return F.regexp_replace(F.translate(F.lower(c), src, dst), r"\p{Mn}+", "")
+    low = F.translate(F.lower(c), src, dst)
+    spelled = _spelled_table()
+    table = F.create_map(*[F.lit(x) for kv in spelled.items() for x in kv])
+    one = lambda ch: F.when(ch.between(chr(FIRST_HANGUL), chr(LAST_HANGUL)), _hangul(ch)).otherwise(
+        F.coalesce(F.try_element_at(table, ch), ch))
+    long = F.array_join(F.transform(F.regexp_extract_all(low, F.lit("(?s)(.)"), 1), one), "")
+    rare = low.rlike(f"[{chr(FIRST_HANGUL)}-{chr(LAST_HANGUL)}{''.join(c for c in spelled if ord(c) < 0x10000)}\\x{{10000}}-\\x{{10FFFF}}]")
+    return F.regexp_replace(F.when(rare, long).otherwise(low), f"[[\\p{{M}}\\p{{Cn}}]&&[{_mark_class()}]]+", "")
 
 
-@F.pandas_udf(T.StringType())
-def normalize_exact(s: pd.Series) -> pd.Series:
-    """T1 with Python's Unicode database, Arrow-batched."""
-    return s.map(normalize_py, na_action="ignore")
+def fold(text: str) -> tuple[str, np.ndarray | None]:
+    """T1 of one text, and where each of its characters comes from.
+
+    ``idx[p]`` is the place in ``text`` of the normal form's character ``p``
+    (``len(norm) + 1`` places, the last is ``len(text)``); ``None`` when no place changes.
+    """
+    if text.isascii():
+        return text.lower(), None
+    low = text.replace("\u0130", "i").lower()  # the only letter that two take the place of; its second one is a mark
+    table, moved = {}, False
+    for ch in set(low):
+        if ch > "\x7f" and (piece := _strip_marks(ch)) != ch:
+            table[ord(ch)] = piece
+            moved |= len(piece) != 1
+    norm = low.translate(table)
+    if not moved:
+        return norm, None
+    lens = np.fromiter((len(table.get(ord(ch), ch)) for ch in low), np.int64, len(low))
+    return norm, np.append(np.repeat(np.arange(len(low)), lens), len(low))
+
+
+OFFSETS = T.StructType([
+    T.StructField("norm", T.StringType()),
+    T.StructField("runs", T.ArrayType(T.StructType([T.StructField("norm_start", T.IntegerType()), T.StructField("start", T.IntegerType())])))])
+
+
+@F.pandas_udf(OFFSETS)
+def normalize_with_offsets(s: pd.Series) -> pd.DataFrame:
+    """T2: the normal form with its offset map, as runs (normalised start, original start) within which places move together."""
+    norms, runs = [], []
+    for text in s:
+        if text is None:
+            norms.append(None)
+            runs.append(None)
+            continue
+        norm, idx = fold(text)
+        at = np.zeros(1, np.int64)
+        if idx is not None:
+            at = np.flatnonzero(np.diff(idx - np.arange(len(idx)), prepend=1 << 40))
+        norms.append(norm)
+        runs.append([{"norm_start": int(p), "start": int(idx[p]) if idx is not None else 0} for p in at])
+    return pd.DataFrame({"norm": norms, "runs": runs})
 
 
 def _space_class() -> str:

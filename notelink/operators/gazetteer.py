@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelink.functions.text import normalize, normalize_exact
+from notelink.functions.text import normalize
 
 KEY_COLUMNS = ("lang", "entity_type")
 
@@ -27,17 +27,14 @@ def dedup_terms(gaz: DataFrame) -> DataFrame:
     return gaz.where(F.col("term").isNotNull()).groupBy(*keys).agg(first).select(*keys, "_r.*")
 
 
-def norm_index(gaz: DataFrame, exact: bool = False, deduped: bool = False) -> DataFrame:
+def norm_index(gaz: DataFrame, deduped: bool = False) -> DataFrame:
     """G2: normal form -> (term, code); among rows sharing a normal form the last wins.
 
     Returns ``keys, norm, term, code, gaz_ord`` with ``norm`` unique per key.
-    ``exact`` normalises with Python's Unicode database (pandas UDF) instead of
-    the native rule; the lookup job uses it to agree with its tokenizer.
     """
     g = gaz if deduped else dedup_terms(gaz)
     keys = gaz_keys(g)
-    norm = normalize_exact(F.col("term")) if exact else normalize(F.col("term"))
-    g = g.select(*keys, norm.alias("norm"), "term", "code", "gaz_ord")
+    g = g.select(*keys, normalize(F.col("term")).alias("norm"), "term", "code", "gaz_ord")
     last = F.max_by(F.struct("term", "code", "gaz_ord"), "gaz_ord").alias("_r")
     return g.groupBy(*keys, "norm").agg(last).select(*keys, "norm", "_r.*")
 

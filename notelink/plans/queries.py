@@ -57,6 +57,59 @@ def q_t1_normalize(spark: SparkSession, d: str) -> DataFrame:
     return fx.docs_fx(spark, d).select("doc_id", tx.normalize("text").alias("norm"))
 
 
+# Texts with precomposed and combining accents, a ligature, Hangul and a letter that lower-cases to two.
+_T2_SQL = """
+WITH d AS (SELECT doc_id, replace(replace(replace(replace(text, 'the', '한국ﬁ'), 'an', chr(192) || 'n'), 'or', 'o' || chr(769) || 'r'), 'is', chr(304) || 's') AS text
+           FROM documents),
+c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS ch, unnest(range(0, length(text))) AS i FROM d),
+n AS (SELECT doc_id, i, CASE WHEN unicode(ch) BETWEEN 44032 AND 55203 THEN
+        chr(4352 + (unicode(ch) - 44032) // 588) || chr(4449 + (unicode(ch) - 44032) % 588 // 28)
+        || CASE WHEN (unicode(ch) - 44032) % 28 > 0 THEN chr(4519 + (unicode(ch) - 44032) % 28) ELSE '' END
+      WHEN unicode(ch) = 304 THEN 'i' ELSE strip_accents(lower(ch)) END AS piece FROM c),
+p AS (SELECT doc_id, i, piece, length(piece) AS k, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS e FROM n),
+"""
+
+
+@register("q_t2_normalize_with_offsets", _T2_SQL + """
+place AS (SELECT doc_id, i, e - k + j AS q FROM p, unnest(range(0, k)) AS u(j)
+       UNION ALL SELECT doc_id, max(i) + 1, max(e) FROM p GROUP BY doc_id),
+runs AS (SELECT doc_id, q, i, i - q AS shift, lag(i - q) OVER (PARTITION BY doc_id ORDER BY q) AS was FROM place),
+sig AS (SELECT doc_id, string_agg(CAST(q AS VARCHAR) || ':' || CAST(i AS VARCHAR), ';' ORDER BY q) AS runs FROM runs WHERE was IS NULL OR was <> shift GROUP BY doc_id),
+norm AS (SELECT doc_id, string_agg(piece, '' ORDER BY i) AS norm FROM p GROUP BY doc_id)
+SELECT doc_id, norm, runs FROM norm JOIN sig USING (doc_id)
+""")
+def q_t2_normalize_with_offsets(spark: SparkSession, d: str) -> DataFrame:
+    n = _t2_docs(spark, d).select("doc_id", tx.normalize_with_offsets("text").alias("n")).select("doc_id", "n.*")
+    sig = F.array_join(F.transform("runs", lambda r: F.concat(r["norm_start"].cast("string"), F.lit(":"), r["start"].cast("string"))), ";")
+    return n.select("doc_id", "norm", sig.alias("runs"))
+
+
+def _t2_docs(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    for a, b in (("the", "한국ﬁ"), ("an", "Àn"), ("or", "o\u0301r"), ("is", "\u0130s")):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return fx.table(spark, d, "documents").select("doc_id", t.alias("text"))
+
+
+@register("q_t2_original_offsets", _T2_SQL + """
+words AS (SELECT doc_id, unnest(regexp_extract_all(norm, '[a-z]+|[^a-z]+')) AS w, unnest(range(0, len(regexp_extract_all(norm, '[a-z]+|[^a-z]+')))) AS o
+          FROM (SELECT doc_id, string_agg(piece, '' ORDER BY i) AS norm FROM p GROUP BY doc_id)),
+spans AS (SELECT doc_id, w, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY o ROWS UNBOUNDED PRECEDING) AS z FROM words),
+place AS (SELECT doc_id, i, e - k + j AS q FROM p, unnest(range(0, k)) AS u(j) UNION ALL SELECT doc_id, max(i) + 1, max(e) FROM p GROUP BY doc_id)
+SELECT s.doc_id, s.w AS word, CAST(a.i AS BIGINT) AS start, CAST(b.i AS BIGINT) AS "end" FROM spans AS s
+JOIN place AS a ON a.doc_id = s.doc_id AND a.q = s.z - length(s.w) JOIN place AS b ON b.doc_id = s.doc_id AND b.q = s.z
+WHERE regexp_matches(s.w, '^[a-z]') AND length(s.w) > 9
+""")
+def q_t2_original_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Long words found in the normal form, with their places in the original text."""
+    n = checkpointed(_t2_docs(spark, d).select("doc_id", tx.normalize_with_offsets("text").alias("n")).select("doc_id", "n.*"))
+    w = Window.partitionBy("doc_id").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
+    t = n.select("doc_id", F.posexplode(F.regexp_extract_all("norm", F.lit("([a-z]+|[^a-z]+)"), 1)).alias("o", "word"))
+    t = t.withColumn("end", F.sum(F.length("word")).over(w)).withColumn("start", F.col("end") - F.length("word"))
+    t = t.where(F.col("word").rlike("^[a-z]") & (F.length("word") > 9)).select("doc_id", "word", "start", "end")
+    return tp.original_offsets(t, n).select("doc_id", "word", *_long("start", "end"))
+
+
 # --- G1 / G2 ---------------------------------------------------------------
 
 @register("q_g1_dedup_terms", with_views(["gaz_case"], """
@@ -82,7 +135,7 @@ def q_g2_norm_index(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, entity_type, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", code FROM cand_fx
 """))
 def q_l1_lookup_candidates(spark: SparkSession, d: str) -> DataFrame:
-    idx = checkpointed(gz.norm_index(fx.gaz_words(spark, d), exact=True))
+    idx = checkpointed(gz.norm_index(fx.gaz_words(spark, d)))
     c = lk.lookup_candidates(fx.docs_fx(spark, d), idx)
     return c.select("doc_id", "entity_type", *_long("start", "end"), "code")
 

@@ -19,10 +19,47 @@ def test_normalize_native_equals_python_for_latin_and_greek(spark):
     assert got == [tx.normalize_py(r[0]) for r in rows]
 
 
-def test_normalize_exact_udf(spark):
-    df = spark.createDataFrame([("édema",), ("한국",), (None,)], ["t"])
-    got = [r[0] for r in df.select(tx.normalize_exact("t")).collect()]
-    assert got == [tx.normalize_py("édema"), tx.normalize_py("한국"), None]
+def test_one_normal_form_for_every_letter(spark):
+    """The native form, the one of Arrow batches and the plain rule, over all letters that decompose."""
+    chars = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c))[0] in "LM"
+             and (unicodedata.normalize("NFD", chr(c)) != chr(c) or unicodedata.category(chr(c)) == "Mn" and c < 0x3000)]
+    rows = [("x" + "".join(chars[i:i + 60]) + " 한국 İ",) for i in range(0, len(chars), 60)] + [("édema",), ("한국",), (None,), ("",), ("ﬁn",)]
+    got = spark.createDataFrame(rows, "t string").select("t", tx.normalize("t").alias("a"), tx.normalize_with_offsets("t").alias("b")).collect()
+    for r in got:
+        assert r["a"] == tx.normalize_py(r["t"]) == r["b"]["norm"], r["t"]
+
+
+def test_offset_runs_lead_back(spark):
+    import random
+
+    from notelink.operators import textprep as tp
+
+    rnd = random.Random(2)
+    parts = ["a", "É", "e\u0301", "한", "국", "가", "ﬁ", "İ", " ", "\u0301", "日", "\U0001D15E", "x"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(80)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    normal = df.select("doc_id", "text", tx.normalize_with_offsets("text").alias("n")).select("doc_id", "text", "n.*")
+    want, spans = set(), []
+    for r in normal.collect():
+        if r["text"] is None:
+            assert r["norm"] is None and r["runs"] is None
+            continue
+        idx, at = [], 0
+        for i, ch in enumerate(r["text"]):
+            k = len(tx.normalize_py(ch))
+            idx += [i] * k
+        idx.append(len(r["text"]))
+        for p in range(len(r["norm"]) + 1):
+            run = [x for x in r["runs"] if x["norm_start"] <= p][-1]
+            assert run["start"] + p - run["norm_start"] == idx[p]
+        for _ in range(6):
+            a, b = sorted((rnd.randint(0, len(r["norm"])), rnd.randint(0, len(r["norm"]))))
+            spans.append((r["doc_id"], a, b, f"s{at}"))
+            want.add((r["doc_id"], idx[a], idx[b], f"s{at}"))
+            at += 1
+    sp = spark.createDataFrame(spans + spans[:3], "doc_id long, start int, end int, name string")
+    got = tp.original_offsets(sp, normal).collect()
+    assert len(got) == len(spans) + 3 and {tuple(r) for r in got} == want
 
 
 def test_pretokenize_golden(spark):
