@@ -6,9 +6,11 @@ language that needs the fewest phrases, each weighted with the bits of a
 pointer into its sample (log2 of the sample's length), wins.
 
 Texts are read as symbols: letters in lower case, and one blank for each run of
-anything else. Whole texts are parsed, in blocks of ``BLOCK`` symbols; each
-block begins a new phrase, in every language alike, so all blocks of a batch
-are walked side by side by array operations.
+anything else. Whole texts are parsed. So that array operations can walk all parts of
+a batch side by side, texts are cut into blocks of ``BLOCK`` symbols, each of which is first
+parsed as if a phrase began there. Then the phrase that really runs over a block's
+edge is followed on, until both parses are in the same state: from there on they are the
+same. The result is the parse of the whole text.
 """
 
 from __future__ import annotations
@@ -179,24 +181,59 @@ class Parser:
         length = np.minimum(size[owner] - nth * BLOCK, BLOCK)
         order = np.argsort(-length, kind="stable")
         begin, length, owner = begin[order], length[order], owner[order]
-        root = np.array(self.root, np.int32)[:, None]
-        state = np.repeat(root, len(owner), axis=1)
-        count = np.ones(state.shape, np.int32)
+        before = np.argsort(order, kind="stable")  # where each block went
+        prev = np.where(nth[order] > 0, before[np.maximum(order - 1, 0)], -1)
+        root = np.array(self.root, np.int32)
+        state = np.repeat(root[:, None], len(owner), axis=1)
+        count = np.zeros(state.shape, np.int32)
         active = np.searchsorted(-length, -np.arange(BLOCK), "left")  # blocks longer than each step
         for step in range(int(length[0])):
             k = active[step]
-            c = flat[begin[:k] + step].astype(np.int32)
-            nxt = self.step(state[:, :k], c)
-            miss = nxt < 0
-            if miss.any():
-                again = self.step(np.broadcast_to(root, (len(root), k))[miss], np.broadcast_to(c, miss.shape)[miss])
-                # a symbol that the language doesn't have is a phrase by itself
-                nxt[miss] = np.where(again < 0, np.broadcast_to(root, (len(root), k))[miss], again)
-                count[:, :k] += miss
-            state[:, :k] = nxt
+            state[:, :k], miss = self.advance(state[:, :k], flat[begin[:k] + step], root[:, None])
+            count[:, :k] += miss
+        self._rejoin(flat, begin, length, prev, root, state, count)
         for j in range(len(self.langs)):
             out[:, j] = np.bincount(owner, weights=count[j], minlength=len(texts)).astype(np.int64)
-        return out
+        return out + (size > 0)[:, None]
+
+    def advance(self, state: np.ndarray, symbol: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase began. A symbol that the language doesn't have is a phrase by itself."""
+        c, root = np.broadcast_to(symbol.astype(np.int32), state.shape), np.broadcast_to(root, state.shape)
+        nxt = self.step(state, c)
+        miss = nxt < 0
+        if miss.any():
+            again = self.step(root[miss], c[miss])
+            nxt[miss] = np.where(again < 0, root[miss], again)
+        return nxt, miss
+
+    def _rejoin(self, flat, begin, length, prev, root, state, count) -> None:
+        """Correct ``count`` (and the last states) of blocks that a phrase runs into; ``prev`` is the block before, or -1."""
+        alone, alone_count = state.copy(), count.copy()
+        after = np.full(len(prev), -1)
+        after[prev[prev >= 0]] = np.flatnonzero(prev >= 0)
+        block, lang = (x.ravel() for x in np.meshgrid(np.flatnonzero(prev >= 0), np.arange(len(root)), indexing="ij"))
+        while len(block):
+            true, new = state[lang, prev[block]], root[lang]
+            more, end = np.zeros(len(block), np.int32), np.full(len(block), -1, np.int64)
+            open_, step = np.arange(len(block)), 0
+            while len(open_):
+                met, over = true == new, step >= length[block[open_]]
+                end[open_[over & ~met]] = true[over & ~met]
+                go = ~met & ~over
+                open_, true, new = open_[go], true[go], new[go]
+                if not len(open_):
+                    break
+                c, r = flat[begin[block[open_]] + step], root[lang[open_]]
+                true, a = self.advance(true, c, r)
+                new, b = self.advance(new, c, r)
+                more[open_] += a.astype(np.int32) - b
+                step += 1
+            count[lang, block] = alone_count[lang, block] + more
+            last = np.where(end >= 0, end, alone[lang, block]).astype(state.dtype)
+            changed = (last != state[lang, block]) & (after[block] >= 0)
+            state[lang, block] = last
+            # only where another state goes on than was thought does the next block change
+            block, lang = after[block[changed]], lang[changed]
 
 
 _BUILT: dict[str, Parser] = {}

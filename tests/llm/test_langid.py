@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from notelink.llm import langid as li
 
@@ -18,29 +19,32 @@ def test_automaton_accepts_exactly_the_substrings():
         assert (state >= 0) == (tuple(x) in subs)
 
 
-def test_phrases_equal_greedy_parsing():
+def greedy(parser, text, whole):
+    """Phrases of a text, each the longest that the sample has; a symbol that it lacks ends one."""
+    x = parser.symbol[li.letters_of(text)].tobytes()
+    n, begin = int(len(x) > 0), 0
+    for at in range(len(x)):
+        if x[begin:at + 1] not in whole:
+            n, begin = n + 1, at
+            if x[at:at + 1] not in whole:
+                begin = at + 1
+    return n
+
+
+@pytest.mark.parametrize("block", [4, 37, 512])
+def test_phrases_equal_greedy_parsing(monkeypatch, block):
+    """Of whole texts, whatever the blocks; some phrases run over several blocks."""
+    monkeypatch.setattr(li, "BLOCK", block)
     rng = random.Random(3)
     text = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
-    samples = {"x": [text(300)], "y": [text(200), text(100)]}
+    samples = {"x": [text(300)], "y": [text(200), text(100)], "z": ["ab" * 100]}
     parser = li.Parser(samples)
-    texts = [text(n) for n in (0, 1, 5, 511, 512, 513, 2000)] + ["zzz", "a日b"]
+    texts = [text(n) for n in (0, 1, 5, 511, 512, 513, 2000)] + ["zzz", "a日b", samples["x"][0], "ab" * 90 + "c" + "ab" * 40, "日" * 1100]
     got = parser.phrases([li.letters_of(t) for t in texts])
     for j, lang in enumerate(parser.langs):
         parts = [np.concatenate([li.letters_of(t), [0]]) for t in samples[lang]]
         whole = parser.symbol[np.concatenate(parts)[:li.ALL_SYMBOLS]].tobytes()
-        for i, t in enumerate(texts):
-            x = parser.symbol[li.letters_of(t)].tobytes()
-            n = 0
-            for a in range(0, len(x), li.BLOCK):
-                block, at, n = x[a:a + li.BLOCK], 0, n + 1
-                begin = 0
-                while at < len(block):
-                    if block[begin:at + 1] not in whole:
-                        n, begin = n + 1, at
-                        if block[at:at + 1] not in whole:
-                            begin = at + 1  # a symbol that the sample doesn't have
-                    at += 1
-            assert got[i, j] == n
+        assert got[:, j].tolist() == [greedy(parser, t, whole) for t in texts]
 
 
 def test_defined_cases(spark):
