@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -525,6 +526,61 @@ def q_p4_link_dense(spark: SparkSession, d: str) -> DataFrame:
     return out.select("base", "v", "span", "code", "term", "nel_score")
 
 
+# An embedder that SQL can follow: how often each letter from a to z occurs in the normal form.
+def _letter_embedder():
+    def embed(texts: list[str]) -> np.ndarray:
+        norms = [tx.normalize_py(t or "") for t in texts]
+        return np.array([[t.count(chr(97 + i)) for i in range(26)] for t in norms], np.float32).reshape(len(texts), 26)
+
+    return embed
+
+
+def _letters_sql(col: str) -> str:
+    norm = f"strip_accents(lower({col}))"
+    return f"list_transform(range(0, 26), lambda i: CAST(length({norm}) - length(replace({norm}, chr(CAST(97 + i AS INTEGER)), '')) AS DOUBLE))"
+
+
+_LETTER_LINKS = f"""
+, g1 AS (SELECT term, arg_min(code, gaz_ord) AS code, min(gaz_ord) AS gaz_ord FROM gaz_part GROUP BY term)
+, tv AS (SELECT *, {_letters_sql('term')} AS e FROM g1)
+, sv AS (SELECT span, {_letters_sql('span')} AS e FROM (SELECT DISTINCT span FROM ment))
+, tu AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM tv), su AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM sv)
+, sc AS (SELECT su.span, tu.term, tu.code, tu.gaz_ord,
+                round(CASE WHEN su.n = 0 OR tu.n = 0 THEN 0.0 ELSE list_dot_product(list_transform(su.e, lambda x: x / su.n), list_transform(tu.e, lambda x: x / tu.n)) END, 6) AS sim
+         FROM su, tu)
+, link AS (SELECT span, term, code, round(sim, 4) AS nel_score FROM sc QUALIFY row_number() OVER (PARTITION BY span ORDER BY sim DESC, gaz_ord) = 1)
+"""
+
+
+@register("q_p4_link_letters", with_views(["gaz_part", "noisy_fx"], ", ment AS (SELECT base, v, span FROM noisy_fx)" + _LETTER_LINKS + """
+SELECT base, CAST(v AS BIGINT) AS v, span, code, term, nel_score FROM ment JOIN link USING (span)
+"""))
+def q_p4_link_letters(spark: SparkSession, d: str) -> DataFrame:
+    """P4 linking (D-1, D-2, D-4, D-5, D-7): noisy part names against embedded part names."""
+    model = _letter_embedder()
+    vecs = checkpointed(dn.embed_terms(fx.gaz_part(spark, d), model, "letters"))
+    out = dn.link_dense(_noisy_mentions(spark, d), vecs, model)
+    return out.select("base", "v", "span", "code", "term", "nel_score")
+
+
+@register("q_p5_link_letters_scopes", with_views(["words_fx", "scopes_fx", "gaz_part"], """
+, ment AS (SELECT doc_id, pos, start, "end", tok AS span FROM words_fx WHERE length(tok) >= 12)""" + _LETTER_LINKS + """
+SELECT m.doc_id, m.pos AS ord, m.span, l.code, l.nel_score, count(s.doc_id) FILTER (WHERE s.ner_class = 'NSCO') AS neg_count,
+       max(s.ner_score) FILTER (WHERE s.ner_class = 'USCO') AS uncertainty_score
+FROM ment m JOIN link l ON l.span = m.span LEFT JOIN scopes_fx s ON s.doc_id = m.doc_id
+  AND ((s.start <= m.start AND m.start < s."end") OR (s.start < m."end" AND m."end" <= s."end"))
+GROUP BY ALL
+""", materialized=True))
+def q_p5_link_letters_scopes(spark: SparkSession, d: str) -> DataFrame:
+    """P5: dense links of long words, with the scopes over them."""
+    model = _letter_embedder()
+    vecs = checkpointed(dn.embed_terms(fx.gaz_part(spark, d), model, "letters"))
+    w = fx.words_fx(spark, d).where(F.length("tok") >= 12)
+    m = checkpointed(w.select("doc_id", F.col("pos").alias("ord"), "start", "end", F.col("tok").alias("span"), F.lit("DIS").alias("ner_class")))
+    out = ng.scope_attributes(dn.link_dense(m, vecs, model), fx.scopes_fx(spark, d), ["doc_id", "ord"])
+    return out.select("doc_id", *_long("ord"), "span", "code", "nel_score", "neg_count", "uncertainty_score")
+
+
 # --- T3-T10 text preparation, N1/N2/N4 tagging, P2/P3/P5 pipelines --------------
 
 @register("q_t3_pretokenize", with_views(["tokens_fx"], """
