@@ -77,6 +77,17 @@ def test_stages_equal_brute_force(spark, tables):
     assert len(got) == len(rows(clean)) and 9009 in text
 
 
+def test_clashing_columns_come_back_as_they_are(spark, tables):
+    clash = ["_id", "_hash", "_text", "P_toxic", "spans", "kept", "n_removed", "items", "contaminated", "_word_runs", "class_id"]
+    docs = spark.read.parquet(f"{tables}/documents.parquet").filter("doc_id > 9000 OR doc_id < 5")
+    docs = docs.select("*", *[docs["doc_id"].cast("string").alias(c) for c in clash])
+    for name, stage in cp.STAGES[:4]:
+        out = stage(spark, docs, tables)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == str(r.doc_id) for r in rows for c in clash), name
+
+
 def test_run_over_empty_documents(spark, tables, tmp_path):
     spark.read.parquet(f"{tables}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     for t in ("labels", "benchmark"):
