@@ -548,7 +548,7 @@ _LETTER_LINKS = f"""
 , sc AS (SELECT su.span, tu.term, tu.code, tu.gaz_ord,
                 round(CASE WHEN su.n = 0 OR tu.n = 0 THEN 0.0 ELSE list_dot_product(list_transform(su.e, lambda x: x / su.n), list_transform(tu.e, lambda x: x / tu.n)) END, 6) AS sim
          FROM su, tu)
-, link AS (SELECT span, term, code, round(sim, 4) AS nel_score FROM sc QUALIFY row_number() OVER (PARTITION BY span ORDER BY sim DESC, gaz_ord) = 1)
+, link AS (SELECT span, term, code, CAST(round(CAST(sim AS DECIMAL(18, 6)), 4) AS DOUBLE) AS nel_score FROM sc QUALIFY row_number() OVER (PARTITION BY span ORDER BY sim DESC, gaz_ord) = 1)
 """
 
 
