@@ -5,8 +5,8 @@ gazetteer key, then joins back to the mentions.
 
 Fuzzy best match is exact without scoring every (mention, term) pair:
 
-1. a few seeds per mention (terms that share its rarest bigrams or a token, and the
-   terms of the most promising character signatures) are scored: the best is ``s0``;
+1. a few seeds per mention (terms that share its rarest bigrams or a token, and a
+   term of each of the most promising character signatures) are scored: the best is ``s0``;
 2. a term can only do better if it shares enough bigrams (a prefix of the rarest
    ones is joined), or, where that says nothing, enough characters: signatures (counts
    of characters by class) bound how many, first for whole classes of
@@ -211,8 +211,8 @@ def _rare_bigrams(queries: DataFrame, terms: DataFrame, keys: list[str], form: s
     return tg_, qg.withColumn("rk", F.row_number().over(w))
 
 
-# Seeds: rarest bigrams that are looked up, and signatures of which a term is tried for mentions without a good seed.
-SEED_BIGRAMS, SEED_CLASSES, GOOD = 2, 4, 0.8
+# Seeds: rarest bigrams that are looked up, and signature classes of which a term is tried.
+SEED_BIGRAMS, SEED_CLASSES = 2, 4
 
 
 def _filtered_best(queries: DataFrame, terms: DataFrame, keys: list[str], method: str) -> DataFrame:
@@ -229,21 +229,7 @@ def _filtered_best(queries: DataFrame, terms: DataFrame, keys: list[str], method
     def scored(pairs: DataFrame) -> DataFrame:
         return pairs.select(*group, "gaz_ord", "norm").distinct().withColumn("score", _score(method, F.col("m"), F.col("norm")))
 
-    # 1. seeds: the first term (it wins where all score 0), rare bigrams, shared tokens
-    tg_, qg = _rare_bigrams(q, t, keys, "f", ["gaz_ord", "norm"])
-    qg = checkpointed(qg)
-    first = t.groupBy(*keys).agg(F.min_by(F.struct("gaz_ord", "norm"), "gaz_ord").alias("_f"))
-    seeds = with_constants(q.select(*group), first, keys).select(*group, "_f.gaz_ord", "_f.norm")
-    rare = qg.where(F.col("df") > 0).withColumn("rk0", F.row_number().over(Window.partitionBy(*group).orderBy("df", "g")))
-    rare = rare.where(F.col("rk0") <= SEED_BIGRAMS).select(*group, "g")
-    seeds = seeds.unionByName(rare.join(tg_, [*keys, "g"]).select(*group, "gaz_ord", "norm"))
-    if method == "token-set-ratio":
-        mine = q.select(*group, F.explode(F.array_distinct(_tokens(F.col("m")))).alias("tok"))
-        theirs = t.select(*keys, "gaz_ord", "norm", F.explode(F.array_distinct(_tokens(F.col("norm")))).alias("tok"))
-        seeds = seeds.unionByName(mine.join(theirs, [*keys, "tok"]).select(*group, "gaz_ord", "norm"))
-    best = checkpointed(_best(scored(seeds), group))
-
-    # 2. signature classes of each term length: few, whatever the gazetteer's size (three counts that add up to the length)
+    # 1. signature classes of each term length: few, whatever the gazetteer's size (three counts that add up to the length)
     some = t.groupBy(*keys, "lb", "k0", "k1").agg(F.min_by(F.struct("gaz_ord", "norm"), "gaz_ord").alias("one"))
     classes = checkpointed(some.groupBy(*keys, "lb").agg(F.collect_list(F.struct("k0", "k1", "one")).alias("classes")))
     lens = classes.groupBy(*keys).agg(F.array_sort(F.collect_list("lb")).alias("lbs"))
@@ -258,19 +244,27 @@ def _filtered_best(queries: DataFrame, terms: DataFrame, keys: list[str], method
         most = _shared(_coarse(F.col("qvec")), [x["k0"], x["k1"], F.col("lb") - x["k0"] - x["k1"]])
         return F.round(_score_bound(method, F.col("la"), F.col("lb"), most, F.lit(0)) + 1e-9, SCORE_DIGITS)
 
-    def with_s0() -> DataFrame:
-        return q.join(best.select(*group, F.col("score").alias("s0")), group)
-
-    # a term of each of the best classes, for mentions without a good seed
-    poor = lengths(with_s0().where(F.col("s0") < GOOD), 0).join(classes, [*keys, "lb"])
+    # 2. seeds: the first term (it wins where all score 0), rare bigrams, shared tokens, a term of each of the best classes
+    tg_, qg = _rare_bigrams(q, t, keys, "f", ["gaz_ord", "norm"])
+    qg = qg if jaro else checkpointed(qg)
+    first = t.groupBy(*keys).agg(F.min_by(F.struct("gaz_ord", "norm"), "gaz_ord").alias("_f"))
+    seeds = with_constants(q.select(*group), first, keys).select(*group, "_f.gaz_ord", "_f.norm")
+    rare = qg.where(F.col("df") > 0).withColumn("rk0", F.row_number().over(Window.partitionBy(*group).orderBy("df", "g")))
+    rare = rare.where(F.col("rk0") <= SEED_BIGRAMS).select(*group, "g")
+    seeds = seeds.unionByName(rare.join(tg_, [*keys, "g"]).select(*group, "gaz_ord", "norm"))
+    if method == "token-set-ratio":
+        mine = q.select(*group, F.explode(F.array_distinct(_tokens(F.col("m")))).alias("tok"))
+        theirs = t.select(*keys, "gaz_ord", "norm", F.explode(F.array_distinct(_tokens(F.col("norm")))).alias("tok"))
+        seeds = seeds.unionByName(mine.join(theirs, [*keys, "tok"]).select(*group, "gaz_ord", "norm"))
+    every = lengths(q.withColumn("s0", F.lit(0.0)), 0).join(classes, [*keys, "lb"])
     tops = F.slice(F.sort_array(F.transform("classes", lambda x: F.struct(class_bound(x).alias("b"), x["one"].alias("one"))), asc=False), 1, SEED_CLASSES)
-    poor = poor.select(*group, F.explode(tops).alias("x")).where("x.b > 0")
+    every = every.select(*group, F.explode(tops).alias("x")).where("x.b > 0")
     nth = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("x.b"), "x.one.gaz_ord"))
-    poor = poor.withColumn("n", nth).where(F.col("n") <= SEED_CLASSES).select(*group, "x.one.gaz_ord", "x.one.norm")
-    best = checkpointed(_best(best.unionByName(scored(poor)), group))
+    every = every.withColumn("n", nth).where(F.col("n") <= SEED_CLASSES).select(*group, "x.one.gaz_ord", "x.one.norm")
+    best = checkpointed(_best(scored(seeds.unionByName(every)), group))
 
     # 3. terms that can still do better
-    open_ = checkpointed(with_s0())
+    open_ = q.join(best.select(*group, F.col("score").alias("s0")), group)
     found = []
     scan = lengths(open_, 0)
     if not jaro:
@@ -419,10 +413,10 @@ def bm25_best(queries: DataFrame, terms: DataFrame) -> DataFrame:
     post = checkpointed(bm25_postings(terms).withColumn("w", _impact()))
     qt = queries.select(*group, F.explode(_tokens(F.col("m"))).alias("token")).groupBy(*group, "token").agg(F.count("*").alias("qtf"))
     # Impacts are negative only where the mean idf is (tokens in more than half of the terms): no bound holds there
-    below = checkpointed(post.where("w < 0").select(*keys).distinct())
+    below = post.where("w < 0").select(*keys).distinct()
     spread = queries
     odd = None
-    if below.limit(1).count():
+    if post.where("w < 0").limit(1).count():
         if keys:
             odd, spread = queries.join(below, keys, "left_semi"), queries.join(below, keys, "left_anti")
             qt = qt.join(below, keys, "left_anti")
@@ -433,7 +427,7 @@ def bm25_best(queries: DataFrame, terms: DataFrame) -> DataFrame:
     # every query's tokens that some term has, with the next level to read
     todo = qt.join(levels.where("level = 0"), [*keys, "token"])
     todo = checkpointed(todo.withColumn("matched", F.count("*").over(Window.partitionBy(*group))))
-    asked = checkpointed(todo.groupBy(*group).agg(F.collect_list(F.struct("token", "qtf")).alias("toks")))
+    asked = todo.groupBy(*group).agg(F.collect_list(F.struct("token", "qtf")).alias("toks"))
     best = None
     while todo.limit(1).count():
         u = F.col("qtf") * F.col("top")
