@@ -387,7 +387,8 @@ _TURN = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.Struc
 def conversations(turns: DataFrame) -> DataFrame:
     """One row per ``conv_id`` with its messages by ``turn``; a formatted conversation is
     one value, so its turns do meet in one row. Equal turn numbers go by role, then
-    text; a null turn comes first; null role or text is empty; repeated rows all stay."""
+    text; a null turn comes first; null role or text is empty; repeated rows all stay; rows with a
+    null ``conv_id`` are one conversation, whose id is null."""
     one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("t")).select(
         "conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("messages"))

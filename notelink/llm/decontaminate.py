@@ -124,7 +124,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     has no windows; an item with a null id can hit but is not listed; repeated
     items count once, repeated documents each for themselves; an empty benchmark
     leaves all documents clean; input columns named like the new ones are
-    replaced, all others stay as they are.
+    replaced, a column ``_word_runs`` goes, all others stay as they are.
     """
     blocks = _blocks(benchmark, item_id, item_text, block_bytes)
     block, out = next(blocks), None
