@@ -916,6 +916,35 @@ def q_r2_stale_vectors(spark: SparkSession, d: str) -> DataFrame:
     return cv.stale_vectors(g, have, "m1").select("lang", "entity_type", "term", "code", *_long("gaz_ord"))
 
 
+@register("q_r3_build_vectors", with_views(["gaz_part", "gaz_words"], """
+, gz AS (SELECT 'en' AS lang, 'disease' AS entity_type, term FROM gaz_part UNION ALL SELECT 'es', 'symptoms', term FROM gaz_words)
+SELECT lang, entity_type, count(DISTINCT term) AS n_vectors, count(DISTINCT term) FILTER (WHERE NOT starts_with(term, 's')) AS written,
+       CAST(0 AS BIGINT) AS written_again FROM gz GROUP BY lang, entity_type
+"""))
+def q_r3_build_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Some terms are embedded first; the build adds the others, and a second build has nothing to do."""
+    path = scratch_path(spark, f"r3-{uuid.uuid4().hex}")
+    gaz = checkpointed(_catalogue_gaz(spark, d))
+    model = _letter_embedder()
+    cv.build_vectors(gaz.where(F.col("term").startswith("s")), path, "letters", model)
+    first = cv.build_vectors(gaz, path, "letters", model).select("lang", "entity_type", "written")
+    again = cv.build_vectors(gaz, path, "letters", model).select("lang", "entity_type", F.col("written").alias("written_again"), "n_vectors")
+    return first.join(again, ["lang", "entity_type"]).select("lang", "entity_type", "n_vectors", "written", "written_again")
+
+
+@register("q_o3_shape", with_views(["scopes_fx"], """
+SELECT d.doc_id, count(s.doc_id) AS n_ann, coalesce(string_agg(s.start || ':' || lower(s.ner_class), ';' ORDER BY s.start, s."end" DESC), '') AS sig
+FROM documents d LEFT JOIN scopes_fx s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""))
+def q_o3_shape(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose annotations a caller's function has reshaped."""
+    ann = fx.scopes_fx(spark, d).withColumn("entity_type", F.lit("scope"))
+    recs = rc.build_records(fx.table(spark, d, "documents"), ann, with_date=False,
+                            shape=lambda a: F.struct(a["start"].alias("begin"), F.lower(a["ner_class"]).alias("kind")))
+    sig = F.array_join(F.transform("annotations", lambda a: F.concat(a["begin"].cast("string"), F.lit(":"), a["kind"])), ";")
+    return recs.select("doc_id", F.size("annotations").cast("long").alias("n_ann"), sig.alias("sig"))
+
+
 @register("q_p6_annotate_dir", with_views(["lookup_fx"], """
 SELECT d.doc_id, count(l.doc_id) AS n_ann,
        coalesce(string_agg(l.start || ':' || l."end" || ':' || l.code, ';' ORDER BY l.start, l."end" DESC), '') AS ann_sig
@@ -934,6 +963,21 @@ def q_p6_annotate_dir(spark: SparkSession, d: str) -> DataFrame:
     return rc.annotation_signature(back).select(F.col("doc_id").cast("long").alias("doc_id"), "n_ann", "ann_sig")
 
 
+@register("q_p7_stream", ORACLE["q_p6_annotate_dir"])
+def q_p7_stream(spark: SparkSession, d: str) -> DataFrame:
+    """P7 end to end: text files of all documents, annotated as a stream in several micro-batches."""
+    from notelink.streaming.annotate_stream import annotate_stream
+
+    base = scratch_path(spark, f"p7-{uuid.uuid4().hex}")
+    docs = fx.table(spark, d, "documents").select("doc_id", "text")
+    docs.write.partitionBy("doc_id").text(f"{base}/notes")
+    annotate_stream(spark, f"{base}/notes", f"{base}/records", f"{base}/progress", max_files_per_trigger=max(1, docs.count() // 2 + 1),
+                    id_source="partition", method="lookup", lang="und", entities=["WORD"], gazetteer=checkpointed(fx.gaz_words(spark, d)), with_date=False)
+    back = spark.read.schema("doc_id string, annotations array<struct<start:int,`end`:int,code:string>>").json(f"{base}/records")
+    sig = F.concat_ws(";", F.transform("annotations", lambda a: F.concat_ws(":", a["start"].cast("string"), a["end"].cast("string"), a["code"])))
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.size("annotations").cast("long").alias("n_ann"), sig.alias("ann_sig"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     docs = fx.docs_fx(spark, d)
     ann = lk.lookup_annotate(docs, fx.gaz_words(spark, d))
