@@ -21,7 +21,10 @@ OWN = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def aside(docs: DataFrame) -> tuple[DataFrame, list]:
-    """``docs`` with its further columns under names that no stage uses, and how to select them all back."""
+    """``docs`` with its further columns under names that no stage uses, and how to select them all back.
+    Without further columns it stays as it is: a plan that reads it twice then still shares one exchange."""
+    if set(docs.columns) <= set(OWN):
+        return docs, docs.columns
     names = [(c, c if c in OWN else f"given{i}_{c}") for i, c in enumerate(docs.columns)]
     return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names]), [F.col(f"`{n}`").alias(c) for c, n in names]
 
