@@ -304,9 +304,12 @@ def _best(trees: DataFrame, anchors: DataFrame, same: bool, k: int) -> DataFrame
     return home.unionByName(away).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _floor(x: Column, by: int) -> Column:
-    """floor(x / by) in whole numbers."""
-    return F.call_function("div", x - F.pmod(x, F.lit(by)), F.lit(by))
+def _percent(p: int, x: Column) -> Column:
+    """floor(p * x / 100) in whole numbers; no product is larger than ``x`` if p is at most 100."""
+    rest = F.pmod(x, F.lit(100))
+    whole = F.call_function("div", x - rest, F.lit(100))
+    small = p * rest
+    return p * whole + F.call_function("div", small - F.pmod(small, F.lit(100)), F.lit(100))
 
 
 def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95,
@@ -344,12 +347,12 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = 5, ne
                    "positives")
     # The windows of each anchor: one for each score of a positive.
     s = F.col("positive_score")
-    ranges = good.select("a", window(-_floor(-low * s, 100), _floor(high * s, 100)).alias("w"), "positive_score").distinct()
+    ranges = good.select("a", window(-_percent(-low, s), _percent(high, s)).alias("w"), "positive_score").distinct()
     ranges = ranges.filter("w.lo <= w.hi").groupBy("a").agg(F.sort_array(F.collect_set("w")).alias("windows"))
     ranges = written(ranges, "windows")
     bad = _best(trees, anchors.join(ranges, "a"), False, negatives).select(
         "a", "w", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
     at = ranges.select("a", F.posexplode("windows").alias("w", "range"))
-    found = good.drop("rank").withColumn("range", window(-_floor(-low * s, 100), _floor(high * s, 100))).join(at, ["a", "range"]).join(bad, ["a", "w"])
+    found = good.drop("rank").withColumn("range", window(-_percent(-low, s), _percent(high, s))).join(at, ["a", "range"]).join(bad, ["a", "w"])
     return found.join(anchors.select("a", F.col("id").alias("anchor_id")), "a").select(
         "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
