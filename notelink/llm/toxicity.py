@@ -174,8 +174,12 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, str], key: s
     # first which texts, by hashes alone, then these
     texts = texts.withColumn("o", F.xxhash64("t"))
     nth = F.row_number().over(Window.partitionBy("k").orderBy("o"))
-    some = texts.select("k", "o").distinct().withColumn("n", nth).filter(F.col("n") <= KEY_TEXTS).select("k", "o")
-    sample = texts.join(F.broadcast(written(some, "sample")), ["k", "o"]).dropDuplicates(["k", "o"]).join(chosen, "k")
+    some = texts.groupBy("k", "o").agg(F.count("*").alias("c")).withColumn("n", nth).filter(F.col("n") <= KEY_TEXTS)
+    some = written(some.select("k", "o", "c"), "sample")
+    sample = texts.join(F.broadcast(some.select("k", "o")), ["k", "o"])
+    if some.filter("c > 1").limit(1).count():  # texts are moved only where rows repeat
+        sample = sample.dropDuplicates(["k", "o"])
+    sample = sample.join(chosen, "k")
     found = append_columns(sample, [T.StructField("words", T.ArrayType(T.LongType()))], _word_arrays).drop("t")
     found = written(found.select("h", "k", "o", fold, *y_cols, "words"), "sample-words")
     counts = [F.sum((F.col("fold") == f).cast("int")).alias(f"n{f}") for f in range(FOLDS)]
