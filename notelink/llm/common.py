@@ -49,13 +49,24 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after each, a worker gives back the memory that Arrow keeps of those before, as a
+    worker that waits for its next task would hold on to it."""
+    pool = pa.default_memory_pool()
+    for batch in batches:
+        yield batch
+        del batch
+        pool.release_unused()
+    pool.release_unused()
+
+
 def append_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]],
-                   keep: list[str] | None = None) -> DataFrame:
+                   keep: list[str] | None = None, release: bool = False) -> DataFrame:
     """``df`` with new columns computed batch by batch in Python workers.
 
     ``fn()`` is called once per task and returns the function from record batch
     to the new arrays. Input columns named like a new one are replaced, unless
-    ``fn`` needs them: then list the columns to keep in ``keep``.
+    ``fn`` needs them: then list the columns to keep in ``keep``. ``release``: see ``released``.
     """
     bounded_batches(df.sparkSession)
     low = {f.name.lower() for f in fields}
@@ -65,7 +76,7 @@ def append_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = fn()
-        for batch in batches:
+        for batch in released(batches) if release else batches:
             for part in slabs(batch):
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], *each(part)],
                                                  names=[*names, *[f.name for f in fields]])

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notelink.llm.common import append_columns, bounded_batches, fold, mix, salted_lookup, shard_of, slabs, text_buffers, word_hashes, written
+from notelink.llm.common import append_columns, bounded_batches, fold, mix, released, salted_lookup, shard_of, slabs, text_buffers, word_hashes, written
 
 # N-grams that a task gathers before it settles them (bounds its memory), and text
 # per range of the hash order.
@@ -158,7 +158,7 @@ def _screen(docs: DataFrame, k: int, num: int, den: int, n_shards: int) -> DataF
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, done, got = TaskContext.get().partitionId(), 0, _Gathered()
-        for batch in batches:
+        for batch in released(batches):
             for part in slabs(batch):
                 h, first = shingle_sets(*text_buffers(part.column("text")), k)
                 got.add(part.column("key").to_numpy(), part.column("v").to_numpy(), h, first, num, den)
@@ -170,7 +170,7 @@ def _screen(docs: DataFrame, k: int, num: int, den: int, n_shards: int) -> DataF
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, hs, idx = [], [], []
-        for batch in batches:
+        for batch in released(batches):
             for r in batch.to_pylist():
                 if r["kind"] == _INFO:
                     yield _moved([tuple(r.values())])
@@ -232,7 +232,7 @@ def _packs(docs: DataFrame, k: int) -> DataFrame:
                 [pa.array([int(key[0])]), *[pa.array([_bin(x)], pa.binary()) for x in (key, np.concatenate(sizes), np.concatenate(sets))]],
                 names=["pack", "docs", "n", "grams"])
 
-        for batch in batches:
+        for batch in released(batches):
             for part in slabs(batch):
                 h, first = shingle_sets(*text_buffers(part.column("text")), k)
                 keys.append(part.column("key").to_numpy())
@@ -257,7 +257,7 @@ def _frequencies(packs: DataFrame, n_shards: int) -> DataFrame:
                                           names=["shard", "pack", "h", "n"])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for r in range(batch.num_rows):
                 h, n = np.unique(np.frombuffer(batch.column("grams")[r].as_py(), np.uint64), return_counts=True)
                 at = np.searchsorted(shard_of(h, n_shards), np.arange(n_shards + 1))
@@ -268,7 +268,7 @@ def _frequencies(packs: DataFrame, n_shards: int) -> DataFrame:
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs_, hs, ns = [], [], []
-        for batch in batches:
+        for batch in released(batches):
             for r in batch.to_pylist():
                 packs_.append(r["pack"])
                 hs.append(np.frombuffer(r["h"], np.uint64))

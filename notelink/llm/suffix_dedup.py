@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notelink.llm.common import (BYTE_VALUES, append_columns, bounded_batches, mix, shard_of, slabs, squeeze, text_buffers, unsqueeze, without)
+from notelink.llm.common import (BYTE_VALUES, append_columns, bounded_batches, mix, released, shard_of, slabs, squeeze, text_buffers, unsqueeze, without)
 
 # Bytes of an anchor; a window of 50 bytes has 29 of them to choose from.
 GRAM = 22
@@ -310,7 +310,7 @@ def _shared_anchors(docs: DataFrame, length: int, n_shards: int) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, done, got = TaskContext.get().partitionId(), 0, _Anchors()
-        for batch in batches:
+        for batch in released(batches):
             for part in slabs(batch, STEP_BYTES):
                 got.add(part.column("key").to_numpy(), part.column("v").to_numpy(), *text_buffers(part.column("text")), length)
                 if got.n >= FLUSH:
@@ -321,7 +321,7 @@ def _shared_anchors(docs: DataFrame, length: int, n_shards: int) -> DataFrame:
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch_of, cols = [], []
-        for batch in batches:
+        for batch in released(batches):
             for r in batch.to_pylist():
                 if r["kind"] == _INFO:
                     yield _moved(*r.values())
@@ -456,7 +456,7 @@ def _spans(docs: DataFrame, text: str, length: int, n_shards: int) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, done, got = TaskContext.get().partitionId(), 0, _Contexts()
-        for batch in batches:
+        for batch in released(batches):
             for part in slabs(batch, STEP_BYTES):
                 data, off = text_buffers(part.column(text))
                 raw, grams = data.tobytes(), gram_hashes(data)
@@ -470,7 +470,7 @@ def _spans(docs: DataFrame, text: str, length: int, n_shards: int) -> DataFrame:
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch_of, cols = [], []
-        for batch in batches:
+        for batch in released(batches):
             for r in batch.to_pylist():
                 if r["kind"] == _INFO:
                     yield _moved(*r.values())
@@ -584,4 +584,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
         return each
 
-    return append_columns(found, FIELDS, build).drop("_key", "_v", "_found")
+    return append_columns(found, FIELDS, build, release=True).drop("_key", "_v", "_found")

@@ -180,7 +180,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, str], key: s
     if some.filter("c > 1").limit(1).count():  # texts are moved only where rows repeat
         sample = sample.dropDuplicates(["k", "o"])
     sample = sample.join(chosen, "k")
-    found = append_columns(sample, [T.StructField("words", T.ArrayType(T.LongType()))], _word_arrays).drop("t")
+    found = append_columns(sample, [T.StructField("words", T.ArrayType(T.LongType()))], _word_arrays, release=True).drop("t")
     found = written(found.select("h", "k", "o", fold, *y_cols, "words"), "sample-words")
     counts = [F.sum((F.col("fold") == f).cast("int")).alias(f"n{f}") for f in range(FOLDS)]
     counts += [F.sum(F.when(F.col("fold") == f, F.col(y)).otherwise(0)).alias(f"p{j}_{f}") for j, y in enumerate(y_cols) for f in range(FOLDS)]
@@ -207,7 +207,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, str], key: s
 
         return each
 
-    data = append_columns(found, [T.StructField("numbers", T.ArrayType(T.IntegerType()))], numbers).drop("words")
+    data = append_columns(found, [T.StructField("numbers", T.ArrayType(T.IntegerType()))], numbers, release=True).drop("words")
     data = data.toArrow().combine_chunks().sort_by([("h", "ascending"), ("k", "ascending"), ("o", "ascending"), *[(y, "ascending") for y in y_cols]])
     got = data.column("numbers").combine_chunks() if data.num_rows else pa.array([], pa.list_(pa.int32()))
     first = np.concatenate([[0], np.cumsum(np.diff(np.asarray(got.offsets)))]).astype(np.int64)
@@ -244,4 +244,4 @@ def score(docs: DataFrame, chain: list[Linear], names: list[str], text: str = "t
 
         return each
 
-    return append_columns(docs, [T.StructField(f"p_{n}", T.DoubleType()) for n in names], build)
+    return append_columns(docs, [T.StructField(f"p_{n}", T.DoubleType()) for n in names], build, release=True)
