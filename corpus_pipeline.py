@@ -34,7 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words get the base rates, and stay."""
     docs, back = aside(docs)
     chain = toxicity.learn(docs, table(spark, sf_dir, "labels"), CATEGORIES)
-    scored = toxicity.score(docs.withColumn("_text", F.col("text")), chain, list(CATEGORIES), text="_text")
+    scored = toxicity.score(docs, chain, list(CATEGORIES))
     return scored.filter(F.col("p_toxic") < REJECT).select(*back)
 
 
