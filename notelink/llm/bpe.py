@@ -1,12 +1,10 @@
 """Operator 4: byte-level BPE encoding and decoding.
 
 Pieces are found without a regular expression. Every character becomes a symbol
-(its class, with what the next characters decide), a symbol is a function from
-lexer state to lexer state, and as composing functions is associative, the
-states at all positions come from a scan by blocks: functions of the blocks,
-a prefix scan over them, then all blocks again side by side. A piece starts
-where the state and the symbol say so. The slices feed pair merging behind a
-bounded cache; the byte end of every token is kept, and decoding uses it.
+(its class, with what the next characters decide); the symbol before it tells the
+lexer's state at all positions at once, with contractions put right. A piece starts
+where the state and the symbol say so. Equal pieces of a slab are found by hashes and
+compared by their bytes; those that differ are merged together, one pair of each a round; the byte end of every token is kept, and decoding uses it.
 """
 
 from __future__ import annotations
@@ -22,13 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notelink.llm.common import append_columns, text_buffers
+from notelink.llm.common import append_columns, fold, mix, text_buffers
 
-# Pieces kept in a worker's cache, and the bytes that a kept piece may have.
-CACHE_PIECES, CACHE_PIECE_BYTES = 250_000, 64
+# Bytes of a piece from which it is merged alone.
+PIECE_BYTES = 64
 # A rank file above this is refused: it is broadcast.
 MAX_RANK_BYTES = 64 * 1024 * 1024
-BLOCK = 64
+# Pieces that are merged side by side: rows of these widths, and bytes held at once.
+WIDTHS, MERGED_BYTES = (8, 16, 32, PIECE_BYTES), 1 << 17
+NO_RANK, _NO_KEY = np.int32((1 << 31) - 1), np.uint64(0xFFFFFFFFFFFFFFFF)
+# Numbers whose first so many bytes are all ones.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 # --- piece boundaries --------------------------------------------------------
 # Classes of code points, and symbols: LETTER, NUMBER, OTHER; an apostrophe that begins a
@@ -102,45 +104,112 @@ def symbols(points: np.ndarray, stops: np.ndarray) -> np.ndarray:
 
 
 def piece_starts(sym: np.ndarray) -> np.ndarray:
-    """Positions where pieces start: a scan of transition functions by blocks."""
-    n = len(sym)
-    rows = -(-n // BLOCK)
-    grid = np.full(rows * BLOCK, STOP, np.uint8)
-    grid[:n] = sym
-    grid = np.ascontiguousarray(grid.reshape(rows, BLOCK).T)
-    flat = _NEXT.ravel()
-    fn = np.tile(np.arange(8, dtype=np.uint8), (rows, 1))
-    for row in grid:
-        fn = flat[(row.astype(np.uint16) * 8)[:, None] + fn]
-    step = 1
-    while step < rows:  # after this, fn[i] is the composition of blocks 0 to i
-        fn[step:] = np.take_along_axis(fn[step:], fn[:-step], axis=1)
-        step *= 2
-    state = np.concatenate([[NONE], fn[:-1, NONE]]).astype(np.uint8)
-    cut = np.empty(grid.shape, bool)
-    flat_cut = _CUT.ravel()
-    for k, row in enumerate(grid):
-        at = row.astype(np.uint16) * 8 + state
-        cut[k] = flat_cut[at]
-        state = flat[at]
-    return np.flatnonzero(cut.T.ravel()[:n])
+    """Positions where pieces start. The state before a symbol follows from the symbol before it; only a
+    contraction reaches further, by its one or two letters, and begins where no other sign is open."""
+    before = np.concatenate([[STOP], sym[:-1]]).astype(np.uint8)
+    state = _NEXT[:, NONE][before]
+    quote = np.flatnonzero((sym == SHORT) | (sym == LONG))
+    joins = np.isin(before[quote], [OTHER, BLANK_LAST])
+    for q, known in ((quote[joins], (IN_OTHER,)), (quote[~joins & (sym[quote] == SHORT)], (ONE, NONE)), (quote[~joins & (sym[quote] == LONG)], (TWO, ONE, NONE))):
+        for k, x in enumerate(known, 1):
+            at = q + k
+            state[at[at < len(sym)]] = x
+    return np.flatnonzero(_CUT.ravel()[sym * np.uint8(8) + state])
 
 
 # --- merging -----------------------------------------------------------------
 
-class Merger(dict):
-    """Piece (text) to token ids (int32 bytes); a miss is merged, and kept if short."""
+class Pairs:
+    """The rank of every pair of tokens that makes a token, in an open hash table."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
-
-    def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        ids = np.array(merge(raw, self.ranks), np.int32).tobytes()
-        if len(raw) <= CACHE_PIECE_BYTES:
-            self[piece] = ids
-        return ids
+        found = []
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                a = ranks.get(token[:k])
+                if a is not None:
+                    b = ranks.get(token[k:])
+                    if b is not None:
+                        found.append((a << 32 | b, rank))
+        key, rank = np.array(found, np.uint64).reshape(-1, 2).T
+        bits = max(4, (4 * len(key)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.key, self.rank = np.full(1 << bits, _NO_KEY), np.full(1 << bits, NO_RANK, np.int32)
+        slot, left = self._slot(key), np.arange(len(key))
+        while len(left):
+            free = left[self.key[slot[left]] == _NO_KEY]
+            self.key[slot[free]] = key[free]
+            left = left[self.key[slot[left]] != key[left]]
+            slot[left] = (slot[left] + 1) & self.last
+        self.rank[slot] = rank.astype(np.int32)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.first = self.find(np.repeat(self.single, 256), np.tile(self.single, 256))
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair; NO_RANK if it makes no token, or if ``b`` is -1."""
+        key = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint32)
+        slot = self._slot(key)
+        met = self.key[slot]
+        left = np.flatnonzero((met != key) & (met != _NO_KEY))
+        while len(left):
+            slot[left] = (slot[left] + 1) & self.last
+            met = self.key[slot[left]]
+            left = left[(met != key[left]) & (met != _NO_KEY)]
+        return self.rank[slot]
+
+    def merged(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of bytes, of which the first ``size`` (one at least) are a piece, merged like ``merge``: how many
+        ids each has, and which. A round merges the leftmost of the lowest pairs of every row, so all grow
+        shorter together."""
+        ids = np.concatenate([self.single[raw], np.full((len(raw), 1), -1, np.int32)], axis=1)
+        ids[np.arange(ids.shape[1]) >= size[:, None]] = -1
+        pair = np.full(raw.shape, NO_RANK)
+        pair[:, :-1] = self.first[raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:]]
+        pair[ids[:, 1:] < 0] = NO_RANK
+        n, out, row = np.zeros(len(ids), np.int64), np.zeros(raw.shape, np.int32), np.arange(len(ids))
+        while len(row):
+            i = pair.argmin(axis=1)
+            low = pair[np.arange(len(row)), i]
+            done = low == NO_RANK
+            if done.any():
+                n[row[done]] = (ids[done] >= 0).sum(axis=1)
+                out[row[done], :ids.shape[1] - 1] = ids[done, :-1]
+                go = ~done
+                row, ids, pair, i, low = row[go], ids[go], pair[go], i[go], low[go]
+            # one column less; the last ones are always empty: -1, no rank
+            nth, at = np.arange(len(row)), np.arange(pair.shape[1])
+            ids = np.where(at <= i[:, None], ids[:, :-1], ids[:, 1:])
+            ids[nth, i] = low
+            pair = np.where(at[:-1] < i[:, None], pair[:, :-1], pair[:, 1:])
+            after = np.flatnonzero(i < pair.shape[1])
+            pair[after, i[after]] = self.find(low[after], ids[after, i[after] + 1])
+            before = np.flatnonzero(i > 0)
+            pair[before, i[before] - 1] = self.find(ids[before, i[before] - 1], low[before])
+        return n, out
+
+
+class Lanes:
+    """Pieces of at most ``width`` bytes: eight bytes to a number, filled up with 0, and a hash of these and of the size."""
+
+    def __init__(self, at_byte: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int):
+        self.size = size
+        self.lanes = np.empty((len(begin), width // 8), np.uint64)
+        self.hash = mix(size.astype(np.uint64))
+        for j in range(width // 8):
+            self.lanes[:, j] = at_byte[begin + 8 * j] & _FIRST_BYTES[np.clip(size - 8 * j, 0, 8)]
+            self.hash = fold(self.hash, self.lanes[:, j])
+
+    def equal(self, rows, other: Lanes, others) -> np.ndarray:
+        return (self.size[rows] == other.size[others]) & (self.lanes[rows] == other.lanes[others]).all(axis=1)
+
+
+def _at_byte(raw: bytes) -> np.ndarray:
+    """The eight bytes from each byte on."""
+    padded = np.frombuffer(raw + bytes(PIECE_BYTES + 8), np.uint8)
+    return np.ndarray((len(padded) - 8,), "<u8", padded, strides=(1,))
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -148,7 +217,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    if len(piece) > CACHE_PIECE_BYTES:
+    if len(piece) > PIECE_BYTES:
         return _merge_long(piece, ranks)
     none = len(ranks) + 1
     cut = list(range(len(piece) + 1))
@@ -202,30 +271,95 @@ class Codec:
         lost = [b for b in range(256) if bytes([b]) not in self.ranks]
         if lost:
             raise ValueError(f"the rank file lacks single bytes: {lost[:5]}")
-        self.merger = Merger(self.ranks)
+        self.pairs = Pairs(self.ranks)
         size = max(self.ranks.values()) + 1
         self.length = np.full(size, -1, np.int64)
         by_id = sorted((i, t) for t, i in self.ranks.items())
         for i, t in by_id:
             self.length[i] = len(t)
-        self.bytes = np.frombuffer(b"".join(t for _, t in by_id), np.uint8)
+        whole = b"".join(t for _, t in by_id)
+        self.bytes = np.frombuffer(whole, np.uint8)
         self.at = np.cumsum(np.maximum(self.length, 0)) - np.maximum(self.length, 0)
+        # tokens by their hash, for pieces that are one token
+        self.tokens, least = {}, 0
+        for width in WIDTHS:
+            own = np.flatnonzero((self.length > least) & (self.length <= width))
+            of = Lanes(_at_byte(whole), self.at[own], self.length[own], width)
+            order = np.argsort(of.hash)
+            of.hash, of.lanes, of.size = of.hash[order], of.lanes[order], of.size[order]
+            self.tokens[width], least = (of, own[order]), width
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts one after another, and where each text's begin."""
-        if len(self.merger) > CACHE_PIECES:
-            self.merger.clear()
         joined = "\n".join([*texts, ""])
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         stops = np.cumsum(size + 1) - 1
-        sym = symbols(np.frombuffer(joined.encode("utf-32-le"), np.uint32), stops)
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        sym = symbols(points, stops)
         starts = piece_starts(sym)
         ends = np.concatenate([starts[1:], [len(sym)]]) if len(starts) else starts
         real = sym[starts] != STOP
         starts, ends = starts[real], ends[real]
-        parts = [self.merger[joined[a:b]] for a, b in zip(starts.tolist(), ends.tolist())]
-        count = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4)])
-        return np.frombuffer(b"".join(parts), np.int32), count[np.concatenate([np.searchsorted(starts, stops - size), [len(starts)]])]
+        raw, begin, end = joined.encode(), starts, ends
+        if len(raw) > len(points):  # from characters to bytes
+            wide = np.zeros(len(points) + 1, np.int32)
+            np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), out=wide[1:])
+            begin, end = wide[starts].astype(np.int64), wide[ends].astype(np.int64)
+        ids, count = self.piece_ids(raw, begin, end - begin)
+        return ids, count[np.concatenate([np.searchsorted(starts, stops - size), [len(starts)]])]
+
+    def piece_ids(self, raw: bytes, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of the pieces one after another, and where each piece's begin. Equal pieces are
+        merged once; they are found by hashes and compared by their bytes."""
+        n, found, at_byte = np.zeros(len(begin), np.int64), [], _at_byte(raw)
+        alone, least = [np.flatnonzero(size > WIDTHS[-1])], 0
+        for width in WIDTHS:
+            own = np.flatnonzero((size > least) & (size <= width))
+            least = width
+            if not len(own):
+                continue
+            pieces = Lanes(at_byte, begin[own], size[own], width)
+            _, head, number = np.unique(pieces.hash, return_index=True, return_inverse=True)
+            same = pieces.equal(slice(None), pieces, head[number])
+            count, ids, known = self._distinct(pieces, head, width)
+            same &= known[number]
+            alone.append(own[~same])
+            own, number = own[same], number[same]
+            n[own] = count[number]
+            found.append((own, number, ids))
+        alone = np.concatenate(alone)
+        merged = [np.array(merge(raw[a:a + k], self.ranks), np.int32) for a, k in zip(begin[alone].tolist(), size[alone].tolist())]
+        n[alone] = np.fromiter(map(len, merged), np.int64, len(merged))
+        count = np.concatenate([[0], np.cumsum(n)])
+        out = np.empty(int(count[-1]), np.int32)
+        for own, number, ids in found:
+            for j in range(ids.shape[1]):
+                more = n[own] > j
+                if not more.any():
+                    break
+                own, number = own[more], number[more]
+                out[count[own] + j] = ids[number, j]
+        for p, x in zip(alone.tolist(), merged):
+            out[count[p]:count[p + 1]] = x
+        return out, count
+
+    def _distinct(self, pieces: Lanes, head: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pieces that differ: how many ids, which, and whether that is known (else their hash is another token's)."""
+        tokens, rank = self.tokens[width]
+        count, ids, known = np.ones(len(head), np.int64), np.zeros((len(head), width), np.int32), np.ones(len(head), bool)
+        at = np.searchsorted(tokens.hash, pieces.hash[head])
+        hit = at < len(rank)
+        hit[hit] = tokens.hash[at[hit]] == pieces.hash[head[hit]]
+        known[hit] = pieces.equal(head[hit], tokens, at[hit])
+        ids[hit, 0] = rank[at[hit]]
+        rest, size = np.flatnonzero(~hit), pieces.size[head]
+        rest = rest[np.argsort(size[rest], kind="stable")]
+        for a in range(0, len(rest), MERGED_BYTES // width):
+            some = rest[a:a + MERGED_BYTES // width]
+            longest = size[some[-1]]
+            raw = pieces.lanes[head[some]].astype("<u8").view(np.uint8)[:, :longest]
+            count[some], ids[some, :longest] = self.pairs.merged(raw, size[some])
+        return count, ids, known
 
     def ends(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Where each token ends, in bytes of its text."""

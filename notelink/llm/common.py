@@ -27,11 +27,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None, **options) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: later steps
     survive lost executors without running what came before once more."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -221,12 +221,12 @@ def salted_lookup(rows: DataFrame, table: DataFrame, on: list[str], spread: Colu
 
 # --- arrays in binary columns ------------------------------------------------
 
-def squeeze(x: np.ndarray, ordered: bool = False) -> bytes:
+def squeeze(x: np.ndarray, ordered: bool = False, level: int = 1) -> bytes:
     """A compact binary form of a numeric array: byte planes, compressed; of differences if it is ``ordered``."""
     if ordered and len(x):
         x = np.concatenate([x[:1], np.diff(x)])
     planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T) if len(x) else np.zeros(0, np.uint8)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=level).compress(planes.tobytes())
 
 
 def unsqueeze(b: bytes, dtype, ordered: bool = False) -> np.ndarray:

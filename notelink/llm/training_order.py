@@ -23,18 +23,22 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelink.llm import bpe
-from notelink.llm.common import bounded_batches, mix, shared_path, slabs, text_buffers, written
+from notelink.llm.common import bounded_batches, mix, shared_path, slabs, squeeze, text_buffers, unsqueeze, written
 
 HEAD = np.dtype([("slot", "<i8"), ("key", "<i8"), ("part", "<i4"), ("null_key", "<u2"), ("n", "<u2")])
 ROUNDS = 6
 # Records of a shard that a reading task holds at once.
 READ_RECORDS = 4096
+# Bytes of ids that a task deals to shards at once.
+MOVED_BYTES = 16 * 1024 * 1024
+# How closely ids are stored, and rows whose ids tell which are frequent (this only makes moved ids smaller).
+STORED = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 * 1024 * 1024)}
+BOOK_ROWS, BOOK_BYTES = 1000, 1 << 20
 
 
 class Permutation:
@@ -94,7 +98,42 @@ class Shards:
         return slot // self.per_shard, slot % self.per_shard * self.stride
 
 
-_MOVED = "shard int, slot long, key long, null_key boolean, part int, n int, data binary"
+_MOVED = "shard int, head binary, data binary"
+
+
+def _book(rows: DataFrame, width: int) -> np.ndarray:
+    """Ids, the frequent ones of some rows first; others that fit the width follow as they are (up to 65,536)."""
+    some = rows.select(F.substring("data", 1, BOOK_BYTES // BOOK_ROWS // width * width).alias("data")).limit(BOOK_ROWS).collect()
+    seen = np.frombuffer(b"".join(bytes(r.data or b"") if width > 1 else (r.data or "").encode()[:BOOK_BYTES // BOOK_ROWS] for r in some), f"<u{width}")
+    often = np.bincount(seen[seen < 1 << 16], minlength=1 << min(16, 8 * width))
+    return np.argsort(-often, kind="stable")
+
+
+def _swapped(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Each id replaced; ids beyond the table stay."""
+    if len(by) > np.iinfo(x.dtype).max:
+        return by[x].astype(x.dtype)
+    return np.where(x < len(by), by[np.minimum(x, len(by) - 1)], x).astype(x.dtype)
+
+
+def _sends(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], per_shard: int, width: int, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sequences (heads, where their ids begin, ids), one row for each shard: the heads and the ids of its
+    sequences, each compressed together. Ids are sent as their ``place`` in the book, so that most have the
+    same high bytes, and sequences of like ids (by their median) lie together."""
+    if not held:
+        return
+    head, ids = np.concatenate([h for h, _, _ in held]), _swapped(np.concatenate([x for _, _, x in held]), place)
+    base = np.cumsum([0, *[len(x) for _, _, x in held]])
+    begin = np.concatenate([b + at for (_, b, _), at in zip(held, base)])
+    shard = head["slot"] // per_shard
+    order = np.argsort(shard, kind="stable")
+    cut = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+    for own in np.split(order, cut[1:-1]) if len(order) else ():
+        parts = [ids[a:z] for a, z in zip(begin[own].tolist(), (begin[own] + head["n"][own]).tolist())]
+        alike = np.argsort([np.partition(x, len(x) // 2)[len(x) // 2] for x in parts], kind="stable")
+        data = squeeze(np.concatenate([parts[k] for k in alike]), level=6)
+        yield pa.RecordBatch.from_arrays([pa.array([shard[own[0]]], pa.int32()), pa.array([squeeze(head[own[alike]])], pa.binary()), pa.array([data], pa.binary())],
+                                         names=["shard", "head", "data"])
 
 
 def write_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", ids: int = 512, per_shard: int = 32_768,
@@ -120,7 +159,7 @@ def write_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", ids:
     else:
         width = bpe.id_type(rank_file).itemsize
         coded = bpe.encode_packed(rows, rank_file).select("key", F.col("packed_ids").alias("data"), "n_ids")
-        rows = written(coded, "training-ids", "zstd")
+        rows = written(coded, "training-ids", "zstd", **STORED)
     if (HEAD.itemsize + ids * width) * per_shard >= 1 << 31:
         raise ValueError("a shard has less than 2 GB: take a smaller per_shard")
     rows = rows.withColumn("check", F.xxhash64("key", "n_ids"))
@@ -131,30 +170,32 @@ def write_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", ids:
         first[r.task] = (total, r.check)
         total += r.n
     first = spark.sparkContext.broadcast(first)
-    order = Permutation(max(total, 1), seed)
+    order, book = Permutation(max(total, 1), seed), _book(rows, width)
     n_shards = max(1, -(-total // per_shard))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, expected = first.value.get(TaskContext.get().partitionId(), (0, 0))
-        seen, squeeze = 0, zstandard.ZstdCompressor(level=1).compress
+        seen, held = 0, []
         for batch in batches:
             for part in slabs(batch):
                 data, off = text_buffers(part.column("data"))
-                raw, off = data.tobytes(), off // width
+                off = off // width
                 seen ^= int(np.bitwise_xor.reduce(part.column("check").to_numpy(), initial=0))
                 count = -(-np.diff(off) // ids)
                 n = int(count.sum())
                 doc = np.repeat(np.arange(len(count)), count)
-                nth = np.arange(n) - np.repeat(np.cumsum(count) - count, count)
-                begin = off[doc] + nth * ids
-                end = np.minimum(begin + ids, off[doc + 1])
-                slot = order.slots(np.arange(at, at + n))
+                head = np.zeros(n, HEAD)
+                head["part"] = np.arange(n) - np.repeat(np.cumsum(count) - count, count)
+                begin = off[doc] + head["part"].astype(np.int64) * ids
+                head["slot"], head["n"] = order.slots(np.arange(at, at + n)), np.minimum(begin + ids, off[doc + 1]) - begin
+                key = part.column("key")
+                head["key"], head["null_key"] = key.fill_null(0).to_numpy()[doc], key.is_null().to_numpy(zero_copy_only=False)[doc]
                 at += n
-                yield pa.RecordBatch.from_arrays([
-                    pa.array((slot // per_shard).astype(np.int32)), pa.array(slot), part.column("key").take(pa.array(doc)),
-                    part.column("key").is_null().take(pa.array(doc)), pa.array(nth.astype(np.int32)), pa.array((end - begin).astype(np.int32)),
-                    pa.array([squeeze(raw[a:b]) for a, b in zip((begin * width).tolist(), (end * width).tolist())], pa.binary()),
-                ], names=["shard", "slot", "key", "null_key", "part", "n", "data"])
+                held.append((head, begin, data.view(f"<u{width}")))
+                if sum(x.nbytes for _, _, x in held) >= MOVED_BYTES:
+                    yield from _sends(held, per_shard, width, np.argsort(book))
+                    held = []
+        yield from _sends(held, per_shard, width, np.argsort(book))
         if seen != expected:
             raise RuntimeError("the input's tasks differ between two runs; write it to a table first")
 
@@ -162,22 +203,23 @@ def write_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", ids:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        t = pa.Table.from_batches(got)
-        shard = t.column("shard")[0].as_py()
-        slot = t.column("slot").to_numpy()
-        out = np.zeros((len(slot), HEAD.itemsize + ids * width), np.uint8)
-        place = slot - shard * per_shard
-        if len(np.unique(place)) != len(place) or len(place) != min(per_shard, total - shard * per_shard):
+        shard = got[0].column("shard")[0].as_py()
+        out = np.zeros((min(per_shard, total - shard * per_shard), HEAD.itemsize + ids * width), np.uint8)
+        filled = np.zeros(len(out), bool)
+        for b in got:
+            for packed, data in zip(b.column("head"), b.column("data")):
+                head, raw = unsqueeze(packed.as_buffer(), HEAD), _swapped(unsqueeze(data.as_buffer(), f"<u{width}"), book).view(np.uint8)
+                place = head["slot"] - shard * per_shard
+                if len(np.unique(place)) != len(place) or filled[place].any():
+                    raise RuntimeError(f"shard {shard} is not complete")
+                filled[place] = True
+                out[place, :HEAD.itemsize] = head.view(np.uint8).reshape(len(head), -1)
+                end = np.cumsum(head["n"].astype(np.int64) * width)
+                for r, a, z in zip(place.tolist(), [0, *end[:-1].tolist()], end.tolist()):
+                    out[r, HEAD.itemsize:HEAD.itemsize + z - a] = raw[a:z]
+        if not filled.all():
             raise RuntimeError(f"shard {shard} is not complete")
-        head = np.zeros(len(slot), HEAD)
-        head["slot"], head["part"], head["n"] = slot, t.column("part").to_numpy(), t.column("n").to_numpy()
-        head["key"], head["null_key"] = t.column("key").fill_null(0).to_numpy(), t.column("null_key").to_numpy()
-        out[place, :HEAD.itemsize] = head.view(np.uint8).reshape(len(slot), -1)
-        open_ = zstandard.ZstdDecompressor().decompress
-        for r, x in zip(place.tolist(), t.column("data")):
-            x = open_(x.as_buffer())
-            out[r, HEAD.itemsize:HEAD.itemsize + len(x)] = np.frombuffer(x, np.uint8)
-        del got, t
+        del got
         whole = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, out.nbytes], np.int32)), pa.py_buffer(out)])
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), whole], names=["shard", "data"])
 

@@ -98,3 +98,23 @@ def test_query_equals_the_library(spark):
         ids = LIB.encode_ordinary(texts[r.doc_id])
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_equal_pieces_are_merged_once_and_side_by_side(monkeypatch):
+    rows = []
+    old = bpe.Pairs.merged
+    monkeypatch.setattr(bpe.Pairs, "merged", lambda self, raw, size: rows.append(len(raw)) or old(self, raw, size))
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("qxzjvkéß日"), int(n))) for n in rng.integers(1, 50, 300)]
+    text = " ".join(rng.choice(words, 5000)) + " \0 a\0 a a\0\0 aaaaaaaa aaaaaaa\0"
+    ids, first = CODEC.encode([text, "", text])
+    assert ids[:first[1]].tolist() == LIB.encode_ordinary(text) == ids[first[2]:].tolist()
+    assert 0 < sum(rows) <= 2 * len(words) and len(rows) < 20
+
+
+def test_pieces_with_one_hash_are_told_apart(monkeypatch):
+    """Where hashes clash, bytes decide."""
+    monkeypatch.setattr(bpe, "fold", lambda h, x: h & np.uint64(3))
+    codec = bpe.Codec(PAYLOAD)
+    text = "the theqx qxthe an anqx \u00e9t\u00e9qx " * 5
+    assert codec.encode([text])[0].tolist() == LIB.encode_ordinary(text)

@@ -120,3 +120,32 @@ def test_shards_hold_ids_of_the_rank_file(spark):
     got = sorted((r.doc_id, r.part, r.n_ids, r.ids_sha256) for r in E.queries()["op2_training_order"](spark, SF).collect())
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     assert got == sorted((r.doc_id, i, len(x), hashlib.sha256(x.astype("<u2").tobytes()).hexdigest()) for r in docs for i, x in enumerate(cut(r.text, 512)))
+
+
+def test_moved_ids_are_compressed_together(spark):
+    """One row for each shard, which gives every sequence back, and takes less than sequences that are compressed alone."""
+    import zstandard
+
+    rng = np.random.default_rng(5)
+    size = rng.integers(1, 513, 600)
+    ids = (rng.zipf(1.3, int(size.sum())) * 37 % 50_257).astype("<u2")
+    head = np.zeros(600, to.HEAD)
+    head["slot"], head["n"], head["key"] = rng.permutation(600), size, np.arange(600)
+    begin = np.cumsum(size) - size
+    book = np.argsort(-np.bincount(ids, minlength=1 << 16), kind="stable")
+    half = int(begin[300])
+    held = [(head[:300], begin[:300], ids[:half]), (head[300:], begin[300:] - half, ids[half:])]
+    got, moved = {}, 0
+    rows = [b for b in to._sends(held, 200, 2, np.argsort(book))]
+    assert sorted(b.column("shard")[0].as_py() for b in rows) == [0, 1, 2]
+    for b in rows:
+        packed, data = (b.column(n)[0].as_py() for n in ("head", "data"))
+        moved += len(packed) + len(data)
+        own, flat = to.unsqueeze(packed, to.HEAD), to._swapped(to.unsqueeze(data, "<u2"), book)
+        end = np.cumsum(own["n"].astype(int))
+        for h, a, z in zip(own, [0, *end[:-1]], end):
+            assert h["slot"] // 200 == b.column("shard")[0].as_py()
+            got[int(h["key"])] = (int(h["slot"]), flat[a:z].tolist())
+    assert got == {i: (int(head["slot"][i]), ids[a:a + n].tolist()) for i, (a, n) in enumerate(zip(begin, size))}
+    alone = sum(len(zstandard.ZstdCompressor(level=1).compress(ids[a:a + n].tobytes())) for a, n in zip(begin, size))
+    assert moved < 0.85 * alone
