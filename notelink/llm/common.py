@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -35,6 +36,19 @@ def written(df: DataFrame, name: str, compression: str | None = None, **options)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """In it, Spark removes a job's shuffle files as soon as its result is written, not when the driver
+    happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Arrow batches hold at most ``rows`` texts: the default of 10,000 is meant for narrow rows,
     and each task holds a batch twice, in the JVM and in its Python worker."""

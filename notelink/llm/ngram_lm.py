@@ -1,7 +1,8 @@
 """Operator 3: scoring with an interpolated modified Kneser-Ney model of any order from two.
 
 *Counting.* Tasks count the n-grams of the top order in their documents and send
-them, by ranges of the n-gram hash, to tasks that add them up; these know each
+them, by ranges of the n-gram hash, to tasks that add them up and store each range
+in the shared folder, after which Spark removes what was sent. Ranges know each
 n-gram once, and pass on what it adds to the order below: one to the continuation
 count of its suffix, and its own count to the context that it begins. That order's
 ranges add these up and do the same, down to single words. N-grams that begin a
@@ -33,11 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notelink.llm.common import (append_columns, bounded_batches, fold, mix, shard_of, shared_path, slabs, squeeze, text_buffers, unsqueeze, word_hashes)
+from notelink.llm.common import (append_columns, bounded_batches, fold, mix, shard_of, shared_path, shuffles_removed, slabs, squeeze, text_buffers, unsqueeze,
+                                 word_hashes, written)
 
 # Bigrams that a task counts before it sends them, and text per file of the model (at higher
 # orders fewer, as each n-gram is longer).
-FLUSH, SHARD_BYTES, WORD_SHARE = 2_500_000, 32 * 1024 * 1024, 4
+FLUSH, SHARD_BYTES, WORD_SHARE = 3_750_000, 32 * 1024 * 1024, 4
+# The byte of fields that a file lists apart.
+LISTED = 255
 # The end of a text; the context of its first token; what stands before that to fill an n-gram up.
 END, BEGIN, PAD = mix(np.array([0x454E44, 0x424547, 0x504144], np.uint64))
 
@@ -56,13 +60,13 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def grams(tok: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
+def grams(tok: np.ndarray, at: np.ndarray, order: int, pad: int = PAD, begin: int = BEGIN) -> list[np.ndarray]:
     """The n-gram that ends at each token, oldest word first."""
     out = [tok]
     nth = np.arange(len(tok)) - np.repeat(at[:-1], np.diff(at))
     for j in range(1, order):
-        before = np.full_like(tok, PAD)
-        before[nth == j - 1] = BEGIN
+        before = np.full_like(tok, pad)
+        before[nth == j - 1] = begin
         inside = np.flatnonzero(nth >= j)
         before[inside] = tok[inside - j]
         out.insert(0, before)
@@ -90,20 +94,29 @@ def _padded(x: np.ndarray) -> bytes:
 
 
 def file_bytes(h: np.ndarray, fields: list[np.ndarray], n_files: int) -> bytes:
-    """A file: sizes, where buckets begin, sorted hashes, then each field as bytes, with
-    values of 255 and more in a list of their own."""
+    """A file: sizes, where buckets begin, sorted hashes, one byte for each hash's fields, then the fields that
+    these bytes stand for; fields that are too rare for a byte (``LISTED``) are in a list of their own."""
     bits = max(0, int(len(h) // 16).bit_length())
     bucket, rest = _place(h, n_files, bits)
     order = np.lexsort((rest, bucket))
     begin = np.searchsorted(bucket[order], np.arange((1 << bits) + 1)).astype(np.uint32)
-    parts, large = [], []
-    for f in fields:
-        f = f[order].astype(np.int64)
-        big = np.flatnonzero(f >= 255)
-        large.append(len(big))
-        parts += [_padded(np.minimum(f, 255).astype(np.uint8)), _padded(big.astype(np.uint32)), _padded(f[big])]
-    head = np.array([len(h), bits, len(fields), *large], np.int64)
-    return b"".join([head.tobytes(), _padded(begin), _padded(rest[order]), *parts])
+    values = np.array([f[order] for f in fields], np.int64)
+    wide = 64 // len(fields)
+    small = np.flatnonzero((values < 1 << min(wide, 62)).all(axis=0))  # all fields as one number
+    joined = np.zeros(len(small), np.uint64)
+    for k, f in enumerate(values):
+        joined |= f[small].astype(np.uint64) << np.uint64(k * wide)
+    _, at, number, times = np.unique(joined, return_index=True, return_inverse=True, return_counts=True)
+    often = np.argsort(-times, kind="stable")[:LISTED]
+    code = np.full(len(at), LISTED, np.uint8)
+    code[often] = np.arange(len(often))
+    byte = np.full(len(h), LISTED, np.uint8)
+    byte[small] = code[number]
+    listed = np.flatnonzero(byte == LISTED)
+    kind = np.uint32 if values[:, listed].max(initial=0) < 1 << 32 else np.int64
+    head = np.array([len(h), bits, len(fields), len(often), len(listed), np.dtype(kind).itemsize], np.int64)
+    return b"".join([head.tobytes(), _padded(begin), _padded(rest[order]), _padded(byte), _padded(values[:, small[at[often]]]),
+                     _padded(listed.astype(np.uint32)), _padded(values[:, listed].astype(kind))])
 
 
 class HashFile:
@@ -111,10 +124,8 @@ class HashFile:
 
     def __init__(self, buf: np.ndarray, n_files: int):
         self.n_files = n_files
-        n, self.bits, k = (int(x) for x in buf[:24].view(np.int64))
-        self.n = n
-        large = buf[24:8 * (3 + k)].view(np.int64)
-        at = 8 * (3 + k)
+        n, self.bits, k, often, listed, wide = (int(x) for x in buf[:48].view(np.int64))
+        self.n, at = n, 48
 
         def part(count: int, kind) -> np.ndarray:
             nonlocal at
@@ -123,8 +134,11 @@ class HashFile:
             at += size + -size % 8
             return x
 
-        self.begin, self.hash = part((1 << self.bits) + 1, np.uint32), part(n, np.uint32)
-        self.fields = [(part(n, np.uint8), part(int(m), np.uint32), part(int(m), np.int64)) for m in large]
+        self.begin, self.hash, self.byte = part((1 << self.bits) + 1, np.uint32), part(n, np.uint32), part(n, np.uint8)
+        self.book = np.zeros((k, LISTED + 1), np.int64)
+        self.book[:, :often] = part(k * often, np.int64).reshape(k, often)
+        self.listed = part(listed, np.uint32)
+        self.rare = part(k * listed, np.uint32 if wide == 4 else np.int64).reshape(k, listed)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The row of each hash, or -1."""
@@ -140,13 +154,14 @@ class HashFile:
         hit[hit] = self.hash[low[hit]] == want[hit]
         return np.where(hit, low, -1)
 
-    def value(self, field: int, row: np.ndarray) -> np.ndarray:
-        small, at, big = self.fields[field]
-        out = np.zeros(len(row), np.int64)
-        ok = row >= 0
-        out[ok] = small[row[ok]]
-        full = np.flatnonzero(out == 255)
-        out[full] = big[np.searchsorted(at, row[full])]
+    def values(self, row: np.ndarray, n_fields: int) -> np.ndarray:
+        """The first fields of each row: (fields, rows); 0 for row -1."""
+        out = np.zeros((n_fields, len(row)), np.int64)
+        ok = np.flatnonzero(row >= 0)
+        byte = self.byte[row[ok]]
+        out[:, ok] = self.book[:n_fields, byte]
+        rare = ok[byte == LISTED]
+        out[:, rare] = self.rare[:n_fields, np.searchsorted(self.listed, row[rare])]
         return out
 
 
@@ -172,9 +187,7 @@ class HashTable:
         for s, a, b in zip(which.tolist(), at, [*at[1:], len(h)]):
             f = self.file(s)
             if f is not None:
-                rows = f.find(h[order[a:b]])
-                for k in range(n_fields):
-                    out[k, order[a:b]] = f.value(k, rows)
+                out[:, order[a:b]] = f.values(f.find(h[order[a:b]]), n_fields)
         return out
 
 
@@ -189,25 +202,58 @@ AS_SUFFIX, AS_CONTEXT = 2, 4
 N_SUMS = 7
 
 
-def _summed(h: np.ndarray, *cols: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Equal hashes added up, sorted; and where each was found first."""
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-    return s[begin], order[begin], *[np.add.reduceat(c[order], begin) if len(s) else c for c in cols]
+def _by_frequency(vocab: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted words, those of about equal frequency together and the common ones first, and the numbers that they get."""
+    order = np.lexsort((vocab, -np.frexp(np.bincount(numbers.ravel(), minlength=len(vocab)))[1]))
+    place = np.empty(len(vocab), np.int32)
+    place[order] = np.arange(len(vocab), dtype=np.int32)
+    return vocab[order], place[numbers]
 
 
-def _sends(kind: int, words: list[np.ndarray], fields: list[np.ndarray], n_files: int) -> Iterator[pa.RecordBatch]:
-    """N-grams added up and cut by ranges of their hash: words, numbers of each n-gram's words in them, fields."""
-    h, at, *fields = _summed(gram_hash(words), *fields)
-    cut = np.searchsorted(shard_of(h, n_files), np.arange(n_files + 1))
+def _added(numbers: np.ndarray, fields: list[np.ndarray], n_vocab: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Equal n-grams added up, in the order of their words' numbers."""
+    bits = max(1, n_vocab.bit_length())
+    if bits * len(numbers) <= 64:
+        key = numbers[0].astype(np.uint64)
+        for x in numbers[1:]:
+            key = key << np.uint64(bits) | x.astype(np.uint64)
+        order = np.argsort(key)
+        del key
+    else:
+        order = np.lexsort(numbers[::-1])
+    numbers = numbers[:, order]
+    begin = np.flatnonzero(np.concatenate([[True], (numbers[:, 1:] != numbers[:, :-1]).any(axis=0)]))
+    return numbers[:, begin], [np.add.reduceat(f[order], begin, dtype=np.int64) for f in fields]
+
+
+def _packed(vocab: np.ndarray, numbers: np.ndarray, fields: list[np.ndarray]) -> bytes:
+    """N-grams in the order of their words' numbers, which leaves little to store: the first hardly grow, and
+    those of common words are small."""
+    used, own = np.unique(numbers, return_inverse=True)
+    own = own.astype(np.int32).reshape(len(numbers), -1)
+    return pickle.dumps([squeeze(vocab[used], True), [squeeze(x, not k) for k, x in enumerate(own)], [squeeze(f) for f in fields]])
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    vocab, numbers, fields = pickle.loads(data)
+    return (unsqueeze(vocab, np.uint64, True), np.array([unsqueeze(x, np.int32, not k) for k, x in enumerate(numbers)]),
+            [unsqueeze(f, np.int64) for f in fields])
+
+
+def _row(shard: int, kind: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())],
+                                      names=["shard", "kind", "data"])
+
+
+def _sends(kind: int, vocab: np.ndarray, numbers: np.ndarray, fields: list[np.ndarray], n_files: int) -> Iterator[pa.RecordBatch]:
+    """N-grams added up and cut by ranges of their hash."""
+    numbers, fields = _added(numbers, fields, len(vocab))
+    shard = shard_of(gram_hash([vocab[x] for x in numbers]), n_files)
+    by = np.argsort(shard.astype(np.min_scalar_type(n_files)), kind="stable")
+    cut = np.searchsorted(shard[by], np.arange(n_files + 1))
     for s, (p, q) in enumerate(zip(cut, cut[1:])):
         if q > p:
-            vocab, number = np.unique(np.concatenate([w[at[p:q]] for w in words]), return_inverse=True)
-            number = number.astype(np.int32).reshape(len(words), -1)
-            data = pickle.dumps([squeeze(vocab, True), [squeeze(x) for x in number], [squeeze(f[p:q].astype(np.int64)) for f in fields]])
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())],
-                                             names=["shard", "kind", "data"])
+            yield _row(s, kind, _packed(vocab, numbers[:, by[p:q]], [f[by[p:q]] for f in fields]))
 
 
 def _count(docs: DataFrame, order: int, n_files: int) -> DataFrame:
@@ -227,62 +273,58 @@ def _count(docs: DataFrame, order: int, n_files: int) -> DataFrame:
             yield from flush(held)
 
     def flush(held) -> Iterator[pa.RecordBatch]:
-        words = [np.concatenate(x) for x in zip(*[grams(tok, at, order) for tok, at in held])]
-        yield from _sends(0, words, [np.ones(len(words[0]), np.int64)], n_files)
+        first = np.cumsum([0, *[len(tok) for tok, _ in held]])
+        at = np.concatenate([[0], *[at[1:] + a for (_, at), a in zip(held, first)]])
+        vocab, number = np.unique(np.concatenate([*[tok for tok, _ in held], [PAD, BEGIN]]), return_inverse=True)
+        held.clear()
+        vocab, number = _by_frequency(vocab, number)
+        own = np.array(grams(number[:-2], at, order, *number[-2:]))
+        yield from _sends(0, vocab, own, [np.ones(own.shape[1], np.int32)], n_files)
 
     return docs.mapInArrow(run, _SENT).repartitionById(n_files, "shard")
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> tuple[int | None, list[np.ndarray], list[np.ndarray]]:
-    """A range, and its n-grams in the order of their hashes: words and fields."""
-    parts, shard = ([], []), None
-    for batch in batches:
-        for r in batch.to_pylist():
-            shard = r["shard"]
-            vocab, numbers, fields = pickle.loads(r["data"])
-            vocab = unsqueeze(vocab, np.uint64, True)
-            parts[r["kind"]].append(([vocab[unsqueeze(x, np.int32)] for x in numbers], [unsqueeze(f, np.int64) for f in fields]))
-    found = []
-    for own in parts:
-        if own:
-            words = [np.concatenate(x) for x in zip(*[w for w, _ in own])]
-            fields = [np.concatenate(x) for x in zip(*[f for _, f in own])]
-            own.clear()
-            h, at, *fields = _summed(gram_hash(words), *fields)
-            found.append((h, [w[at] for w in words], fields))
-        else:
-            found.append(None)
-    if shard is None or not found[1] and len(found[0][2]) == 1:  # nothing, or the top order
-        return shard, *(found[0][1:] if found[0] else ([], []))
-    h = np.unique(np.concatenate([x[0] for x in found if x]))
-    words = [np.zeros(len(h), np.uint64) for _ in next(x for x in found if x)[1]]
-    out = []
-    for x, width in zip(found, (AS_SUFFIX, AS_CONTEXT)):
-        fields = [np.zeros(len(h), np.int64) for _ in range(width)]
-        if x:
-            place = np.searchsorted(h, x[0])
-            for to, of in zip([*words, *fields], [*x[1], *x[2]]):
-                to[place] = of
-        out += fields
-    return shard, words, out
+def _ranges(sent: DataFrame, n_fields: int) -> DataFrame:
+    """Each range's n-grams added up: one row."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, shard = [], None
+        for batch in batches:
+            for r in batch.to_pylist():
+                shard = r["shard"]
+                vocab, numbers, fields = _unpacked(r["data"])
+                fields = [f.astype(np.int32) if f.max() < 1 << 31 else f for f in fields]
+                other = [np.zeros(numbers.shape[1], np.int32)] * (n_fields - len(fields))
+                parts.append((vocab, numbers, [*other, *fields] if r["kind"] else [*fields, *other]))
+        if shard is None:
+            return
+        vocab, number = np.unique(np.concatenate([v for v, _, _ in parts]), return_inverse=True)
+        first = np.cumsum([0, *[len(v) for v, _, _ in parts]])
+        numbers = np.concatenate([number[a:][n] for (_, n, _), a in zip(parts, first)], axis=1)
+        fields = [np.concatenate(f) for f in zip(*[f for _, _, f in parts])]
+        parts.clear()
+        vocab, numbers = _by_frequency(vocab, numbers)
+        yield _row(shard, 0, _packed(vocab, *_added(numbers, fields, len(vocab))))
+
+    return sent.mapInArrow(run, _SENT)
 
-def _lower(sent: DataFrame, n_files: int) -> DataFrame:
+
+def _lower(ranges: DataFrame, n_files: int) -> DataFrame:
     """What the n-grams of one order add to those of the order below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, words, fields = _gather(batches)
-        if shard is None:
-            return
-        times, count = fields[0], fields[min(1, len(fields) - 1)]
-        del fields
-        real = words[0] != PAD
-        yield from _sends(0, words[1:], [times, np.where(real, 1, count)], n_files)
-        words, n = [w[real] for w in words[:-1]], count[real]
-        if len(n):
-            yield from _sends(1, words, [n, *[x.astype(np.int64) for x in (n == 1, n == 2, n > 2)]], n_files)
+        for batch in batches:
+            for data in batch.column("data"):
+                vocab, numbers, fields = _unpacked(data.as_py())
+                times, count = fields[0], fields[min(1, len(fields) - 1)]
+                del fields
+                real = vocab[numbers[0]] != PAD
+                yield from _sends(0, vocab, numbers[1:], [times, np.where(real, 1, count)], n_files)
+                numbers, n = numbers[:-1, real], count[real]
+                if len(n):
+                    yield from _sends(1, vocab, numbers, [n, *[x.astype(np.int64) for x in (n == 1, n == 2, n > 2)]], n_files)
 
-    return sent.mapInArrow(run, _SENT).repartitionById(n_files, "shard")
+    return ranges.mapInArrow(run, _SENT).repartitionById(n_files, "shard")
 
 
 # Fields in files of words: occurrences, continuation count, and as a context; in files between words and the
@@ -291,21 +333,21 @@ WORD_FIELDS = AS_SUFFIX + AS_CONTEXT
 _BLOB = "kind string, file int, data binary"
 
 
-def _file(sent: DataFrame, level: int, order: int, n_files: int) -> DataFrame:
+def _file(ranges: DataFrame, level: int, order: int, n_files: int) -> DataFrame:
     """Each range's file, and its sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, words, fields = _gather(batches)
-        if shard is None:
-            return
-        real = words[0] != PAD
-        h, fields = gram_hash(words)[real], [f[real] for f in fields]
-        times, count = fields[0], fields[min(1, len(fields) - 1)]
-        yield blob(f"g{level}", shard, file_bytes(h, fields[level != 1 and level != order:], n_files))
-        sums = [level, *[(count == k).sum() for k in (1, 2, 3, 4)], times.sum(), (times > 0).sum(), count.sum()]
-        yield blob("sums", level << 24 | shard, np.array(sums, np.int64).tobytes())
+        for batch in batches:
+            for shard, data in zip(batch.column("shard").to_pylist(), batch.column("data")):
+                vocab, numbers, fields = _unpacked(data.as_py())
+                real = vocab[numbers[0]] != PAD
+                h, fields = gram_hash([vocab[x[real]] for x in numbers]), [f[real] for f in fields]
+                times, count = fields[0], fields[min(1, len(fields) - 1)]
+                yield blob(f"g{level}", shard, file_bytes(h, fields[level != 1 and level != order:], n_files))
+                sums = [level, *[(count == k).sum() for k in (1, 2, 3, 4)], times.sum(), (times > 0).sum(), count.sum()]
+                yield blob("sums", level << 24 | shard, np.array(sums, np.int64).tobytes())
 
-    return sent.mapInArrow(run, _BLOB)
+    return ranges.mapInArrow(run, _BLOB)
 
 
 def blob(kind: str, file: int, data: bytes) -> pa.RecordBatch:
@@ -362,13 +404,15 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
     path = shared_path(spark, "ngrams")
     if docs.isEmpty():
         return Model(path, order, n_files, n_words, 0, 0, 0, [discounts([0] * 4)] * order, 1.0)
-    # One job: each order's exchange is used for its files and for the order below.
-    sent, blobs = _count(docs, order, n_files), None
-    for level in range(order, 0, -1):
-        files = _file(sent, level, order, n_files if level > 1 else n_words)
-        blobs = files if blobs is None else blobs.unionByName(files)
-        if level > 1:
-            sent = _lower(sent, n_files if level > 2 else n_words)
+    # An order's ranges are stored before the order below is counted from them: what was sent for them can go then.
+    with shuffles_removed(spark):
+        sent, blobs = _count(docs, order, n_files), None
+        for level in range(order, 0, -1):
+            ranges = written(_ranges(sent, AS_SUFFIX + AS_CONTEXT if level < order else 1), f"ngrams-{level}", "uncompressed")
+            files = _file(ranges, level, order, n_files if level > 1 else n_words)
+            blobs = files if blobs is None else blobs.unionByName(files)
+            if level > 1:
+                sent = _lower(ranges, n_files if level > 2 else n_words)
     _as_files(blobs, path)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -154,3 +154,46 @@ def test_query_tells_texts_by_more_than_word_pairs(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.score for r in E.queries()["op3_lm_score"](spark, str(tmp_path)).collect()}
     assert got[held[0]] > got[held[1]] + 0.5
+
+
+def test_training_leaves_no_shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = manager.getAllFiles()
+        names = (found.apply(i).getName() for i in range(found.size()))
+        return {x for x in names if x.startswith("shuffle_") and x.endswith(".data")}
+
+    df = spark.createDataFrame([(f"a b{i} c d{i % 7}",) for i in range(500)], "text string")
+    before, setting = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    model = lm.train(df, order=3)
+    assert model.tokens == 2500
+    # what is left is the small sum of the files' totals
+    after = [x for x in files() - before]
+    assert sum(manager.getFile(x).length() for x in after) < 10_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
+def test_sent_ngrams_take_few_bytes():
+    rng = np.random.default_rng(1)
+    vocab = np.sort(rng.integers(0, 1 << 63, 3000).astype(np.uint64))
+    tok = np.minimum(rng.zipf(1.3, 400_000), 3000) - 1
+    vocab, number = lm._by_frequency(vocab, tok)
+    own = np.array(lm.grams(number, np.array([0, len(tok)]), 3, 0, 1))
+    sent = [r for b in lm._sends(0, vocab, own, [np.ones(len(tok), np.int32)], 4) for r in b.to_pylist()]
+    back = [lm._unpacked(r["data"]) for r in sent]
+    assert sum(f[0].sum() for _, _, f in back) == len(tok)
+    assert sum(len(r["data"]) for r in sent) / sum(n.shape[1] for _, n, _ in back) < 3
+
+
+def test_files_give_back_common_rare_and_large_fields():
+    rng = np.random.default_rng(2)
+    h = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))
+    for top in (3, 1 << 11, 1 << 31, 1 << 40):
+        fields = [rng.integers(0, top, len(h)) for _ in range(5)]
+        f = lm.HashFile(np.frombuffer(lm.file_bytes(h, fields, 1), np.uint8), 1)
+        row = f.find(h)
+        assert (row >= 0).all() and (f.values(row, 5) == fields).all()
+        assert (f.values(np.array([-1, row[7]]), 2) == [[0, fields[0][7]], [0, fields[1][7]]]).all()
+    empty = lm.HashFile(np.frombuffer(lm.file_bytes(h[:0], [np.zeros(0, np.int64)], 1), np.uint8), 1)
+    assert (empty.values(empty.find(h[:3]), 1) == 0).all()
