@@ -10,6 +10,7 @@ compared by their bytes; those that differ are merged together, one pair of each
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 import unicodedata
@@ -24,6 +25,8 @@ from notelink.llm.common import append_columns, fold, mix, text_buffers
 
 # Bytes of a piece from which it is merged alone.
 PIECE_BYTES = 64
+# Bytes of text that are encoded at once: some seventy bytes of memory are needed for each.
+SLAB_BYTES = 1024 * 1024
 # A rank file above this is refused: it is broadcast.
 MAX_RANK_BYTES = 64 * 1024 * 1024
 # Pieces that are merged side by side: rows of these widths, and bytes held at once.
@@ -271,23 +274,30 @@ class Codec:
         lost = [b for b in range(256) if bytes([b]) not in self.ranks]
         if lost:
             raise ValueError(f"the rank file lacks single bytes: {lost[:5]}")
-        self.pairs = Pairs(self.ranks)
         size = max(self.ranks.values()) + 1
         self.length = np.full(size, -1, np.int64)
         by_id = sorted((i, t) for t, i in self.ranks.items())
         for i, t in by_id:
             self.length[i] = len(t)
-        whole = b"".join(t for _, t in by_id)
-        self.bytes = np.frombuffer(whole, np.uint8)
+        self.bytes = np.frombuffer(b"".join(t for _, t in by_id), np.uint8)
         self.at = np.cumsum(np.maximum(self.length, 0)) - np.maximum(self.length, 0)
-        # tokens by their hash, for pieces that are one token
-        self.tokens, least = {}, 0
+
+    # What only encoding needs is built when it is first asked for.
+    @functools.cached_property
+    def pairs(self) -> Pairs:
+        return Pairs(self.ranks)
+
+    @functools.cached_property
+    def tokens(self) -> dict[int, tuple[Lanes, np.ndarray]]:
+        """Tokens by their hash, for pieces that are one token."""
+        found, least, at_byte = {}, 0, _at_byte(self.bytes.tobytes())
         for width in WIDTHS:
             own = np.flatnonzero((self.length > least) & (self.length <= width))
-            of = Lanes(_at_byte(whole), self.at[own], self.length[own], width)
+            of = Lanes(at_byte, self.at[own], self.length[own], width)
             order = np.argsort(of.hash)
             of.hash, of.lanes, of.size = of.hash[order], of.lanes[order], of.size[order]
-            self.tokens[width], least = (of, own[order]), width
+            found[width], least = (of, own[order]), width
+        return found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts one after another, and where each text's begin."""
@@ -424,7 +434,7 @@ def encode(docs: DataFrame, rank_file: str, text: str = "text") -> DataFrame:
 
         return each
 
-    return append_columns(docs, [T.StructField("ids", _INTS), T.StructField("token_ends", _INTS)], build)
+    return append_columns(docs, [T.StructField("ids", _INTS), T.StructField("token_ends", _INTS)], build, slab=SLAB_BYTES)
 
 
 def id_type(rank_file: str) -> np.dtype:
@@ -447,7 +457,7 @@ def encode_packed(docs: DataFrame, rank_file: str, text: str = "text") -> DataFr
 
         return each
 
-    return append_columns(docs, [T.StructField("n_ids", T.LongType()), T.StructField("packed_ids", T.BinaryType())], build)
+    return append_columns(docs, [T.StructField("n_ids", T.LongType()), T.StructField("packed_ids", T.BinaryType())], build, slab=SLAB_BYTES)
 
 
 def decode(encoded: DataFrame, rank_file: str) -> DataFrame:

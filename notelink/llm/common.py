@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -64,23 +65,31 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; after each, a worker gives back the memory that Arrow keeps of those before, as a
-    worker that waits for its next task would hold on to it."""
+    """The batches; after each, a worker gives back the memory that Arrow keeps of those before, and at the
+    end what its C library keeps too, as a worker that waits for its next task would hold on to it."""
     pool = pa.default_memory_pool()
     for batch in batches:
         yield batch
         del batch
         pool.release_unused()
-    pool.release_unused()
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim is not None:
+        trim(0)
 
 
 def append_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]],
-                   keep: list[str] | None = None, release: bool = False) -> DataFrame:
+                   keep: list[str] | None = None, slab: int = SLAB_BYTES) -> DataFrame:
     """``df`` with new columns computed batch by batch in Python workers.
 
     ``fn()`` is called once per task and returns the function from record batch
     to the new arrays. Input columns named like a new one are replaced, unless
-    ``fn`` needs them: then list the columns to keep in ``keep``. ``release``: see ``released``.
+    ``fn`` needs them: then list the columns to keep in ``keep``. ``slab``: bytes
+    that ``fn``'s function gets at once. Workers give back memory (``released``).
     """
     bounded_batches(df.sparkSession)
     low = {f.name.lower() for f in fields}
@@ -90,10 +99,11 @@ def append_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = fn()
-        for batch in released(batches) if release else batches:
-            for part in slabs(batch):
+        for batch in released(batches):
+            for part in slabs(batch, slab):
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], *each(part)],
                                                  names=[*names, *[f.name for f in fields]])
+            part = batch = None  # not held while memory is given back
 
     return df.mapInArrow(run, schema)
 

@@ -4,6 +4,7 @@ import unicodedata
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -118,3 +119,43 @@ def test_pieces_with_one_hash_are_told_apart(monkeypatch):
     codec = bpe.Codec(PAYLOAD)
     text = "the theqx qxthe an anqx \u00e9t\u00e9qx " * 5
     assert codec.encode([text])[0].tolist() == LIB.encode_ordinary(text)
+
+
+def test_decoding_builds_nothing_for_encoding():
+    codec = bpe.Codec(PAYLOAD)
+    ids = np.array([RANK[b"a"], RANK[b"b"]], np.int32)
+    first = np.array([0, 2])
+    data, at = codec.decode(ids, first, codec.ends(ids, first))
+    assert data.tobytes() == b"ab" and at.tolist() == [0, 2]
+    assert not {"pairs", "tokens"} & set(vars(codec))
+    assert codec.encode(["qzxjkv"])[0].tolist() == LIB.encode_ordinary("qzxjkv") and {"pairs", "tokens"} <= set(vars(codec))
+
+
+def test_texts_are_encoded_in_small_slabs(spark):
+    from pyspark.sql import types as T
+
+    from notelink.llm.common import append_columns
+
+    def build():
+        return lambda part: [pa.array([part.num_rows] * part.num_rows, pa.int64())]
+
+    docs = spark.range(0, 40, 1, 1).selectExpr("id", "repeat('one two ', 12500) AS text")
+    got = append_columns(docs, [T.StructField("together", T.LongType())], build, slab=bpe.SLAB_BYTES).collect()
+    assert len(got) == 40 and max(r.together for r in got) <= 10  # of 100,000 bytes each
+    assert all(r.ids == LIB.encode_ordinary("one two " * 12500) for r in bpe.encode(docs.limit(15), RANKS).collect())
+
+
+def test_freed_memory_is_given_back():
+    import re
+
+    from notelink.llm.common import give_back
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", f.read()))) // 1024
+
+    blocks = [np.ones(100_000, np.uint8) for _ in range(1500)]
+    last, before = blocks[-1], held()
+    del blocks
+    give_back()
+    assert before - held() > 100 and last[0] == 1
