@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -50,6 +51,24 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+# The most that Spark may broadcast of what a bounded step joins, by Spark's estimate: that is the compressed size
+# of files, many times less than their rows in the driver, which collects them.
+BROADCAST_BYTES = 256 * 1024
+
+
+@contextlib.contextmanager
+def broadcasts_bounded(spark: SparkSession, limit: int = BROADCAST_BYTES) -> Iterator[None]:
+    """In it, Spark broadcasts no side of a join above ``limit``; a lower threshold of the session stays."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)i?b?", before.strip().lower()).groups()
+    spark.conf.set(name, str(min(limit, int(number) * 1024 ** " kmgtp".index(unit or " "))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Arrow batches hold at most ``rows`` texts: the default of 10,000 is meant for narrow rows,
     and each task holds a batch twice, in the JVM and in its Python worker."""
@@ -238,8 +257,9 @@ SALTS = 32
 
 def salted_lookup(rows: DataFrame, table: DataFrame, on: list[str], spread: Column, salts: int = SALTS) -> DataFrame:
     """``rows`` left-joined with ``table`` (one row per key): the rows of a key are dealt by the hash
-    ``spread`` to ``salts`` tasks, each of which gets a copy of the key's one row."""
-    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    ``spread`` to ``salts`` tasks, each of which gets a copy of the key's one row. The copies are sorted and
+    merged: Spark does not count them when it estimates a size, and would broadcast all of them."""
+    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     return rows.withColumn("__salt", F.pmod(spread, F.lit(salts)).cast("int")).join(copies, [*on, "__salt"], "left").drop("__salt")
 
 

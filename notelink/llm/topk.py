@@ -28,9 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from notelink.llm.common import written
+from notelink.llm.common import broadcasts_bounded, written
 
 CANDIDATES, QUERIES = 4096, 512  # rows of a block
+# Queries of up to so many bytes are broadcast to the candidates' blocks; more are sent to each block by a shuffle.
+QUERY_BYTES = 32 * 1024 * 1024
 
 
 def scaled(vector: str = "embedding", scale: int = 256) -> Column:
@@ -117,9 +119,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     blocks = _block_counts(cands.select(F.size("v").alias("dim")), CANDIDATES)
     own = written(_packed(cands.select("dim", "c", "v"), "c", blocks, parts), "blocks")
     asking = written(_packed(queries.select("dim", "q", "v"), "q", _block_counts(queries, QUERIES), parts), "query_blocks")
-    # Every node meets every block of queries of its length: queries are sent to the nodes' blocks.
-    sent = asking.select("dim", F.col("block").alias("q_block"), "part", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"),
-                         F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    few = (asking.agg(F.sum(F.octet_length("matrix") + F.octet_length("ids"))).first()[0] or 0) <= QUERY_BYTES
+
+    def met(asked: DataFrame) -> DataFrame:
+        """Every node meets every block of queries of its length. Copies for each block are never broadcast:
+        Spark does not count them when it estimates a size."""
+        each = asked.withColumnsRenamed({"block": "q_block", "ids": "q_ids", "matrix": "q_matrix"})
+        if few:
+            return own.join(F.broadcast(each), ["dim", "part"])
+        return each.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).hint("merge").join(own, ["dim", "block", "part"])
+
     def lists(score, _):
         n = min(best, score.shape[1])
         at = np.argpartition(-score, n - 1, axis=1)[:, :n]
@@ -128,27 +137,29 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     def enough(score, tau):
         return np.nonzero(score * parts >= tau[:, None])
 
-    # Phase 1: lists, the best of each part, their full scores, the cutoff.
-    listed = _nodes(sent.join(own, ["dim", "block", "part"]), lists)
-    by_part = F.row_number().over(Window.partitionBy("q", "part").orderBy(F.desc("score"), "c"))
-    gathered = listed.withColumn("n", by_part).filter(F.col("n") <= best).select("q", "c").distinct()
-    by_total = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))
-    kth = exact_scores(gathered, queries, cands).withColumn("n", by_total).filter(F.col("n") <= best)
-    tau = kth.groupBy("q").agg(F.when(F.count("*") == best, F.min("score")).alias("tau"))
-    # Phase 2: the cutoff of every query travels with its block.
-    tau = written(queries.select("q").join(tau, "q", "left").select("q", F.coalesce("tau", F.lit(-(1 << 61))).alias("tau")), "cutoffs")
-    cut = sent.join(_cutoffs(asking, tau), ["dim", "q_block", "part"])
-    entries = _nodes(cut.join(own, ["dim", "block", "part"]), enough)
-    known = entries.groupBy("q", "c").agg(F.sum("score").alias("sum"), F.count("*").alias("n")).join(tau, "q")
-    rest = F.ceil(F.col("tau") / parts) - 1  # the most that a part which was not sent can have
-    upper = F.col("sum") + (parts - F.col("n")) * rest
-    left = written(known.filter((F.col("n") == parts) | (upper >= F.col("tau"))), "survivors")
+    with broadcasts_bounded(vectors.sparkSession):
+        # Phase 1: lists, the best of each part, their full scores, the cutoff.
+        listed = _nodes(met(asking), lists)
+        by_part = F.row_number().over(Window.partitionBy("q", "part").orderBy(F.desc("score"), "c"))
+        gathered = listed.withColumn("n", by_part).filter(F.col("n") <= best).select("q", "c").distinct()
+        by_total = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))
+        kth = exact_scores(gathered, queries, cands, few).withColumn("n", by_total).filter(F.col("n") <= best)
+        tau = kth.groupBy("q").agg(F.when(F.count("*") == best, F.min("score")).alias("tau"))
+        # Phase 2: the cutoff of every query travels with its block.
+        tau = written(queries.select("q").join(tau, "q", "left").select("q", F.coalesce("tau", F.lit(-(1 << 61))).alias("tau")), "cutoffs")
+        cut = written(asking.join(_cutoffs(asking, tau), ["dim", "block", "part"]), "cut_blocks")
+        entries = _nodes(met(cut), enough)
+        known = entries.groupBy("q", "c").agg(F.sum("score").alias("sum"), F.count("*").alias("n")).join(tau, "q")
+        rest = F.ceil(F.col("tau") / parts) - 1  # the most that a part which was not sent can have
+        upper = F.col("sum") + (parts - F.col("n")) * rest
+        left = written(known.filter((F.col("n") == parts) | (upper >= F.col("tau"))), "survivors")
     # Phase 3: complete sums are exact already, the others are looked up.
     done = left.filter(F.col("n") == parts).select("q", "c", F.col("sum").alias("score"))
-    scored = done.unionByName(exact_scores(left.filter(F.col("n") < parts).select("q", "c"), queries, cands))
+    scored = done.unionByName(exact_scores(left.filter(F.col("n") < parts).select("q", "c"), queries, cands, few))
     by_id = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "least", "c"))
     scored = scored.join(cands.select("c", F.col("ids")[0].alias("least")), "c")
-    top = scored.withColumn("n", by_id).filter(F.col("n") <= best).select("q", "c", "score")
+    with broadcasts_bounded(vectors.sparkSession):
+        top = written(scored.withColumn("n", by_id).filter(F.col("n") <= best).select("q", "c", "score"), "best")
     # Back to rows: each query row, the ids behind each candidate, without its own.
     answers = top.join(cands.select("c", "ids", F.size("v").alias("dim")), "c")
     answers = queries.join(answers, ["q", "dim"]).select("dim", "v", "score", F.explode("ids").alias("vec_id"))
@@ -167,20 +178,22 @@ def _cutoffs(asking: DataFrame, tau: DataFrame) -> DataFrame:
                 q = np.frombuffer(one["ids"], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [*[pa.array(np.full(len(q), one[n], np.int32)) for n in ("dim", "block", "part")],
-                     pa.array(np.arange(len(q), dtype=np.int32)), pa.array(q)], names=["dim", "q_block", "part", "at", "q"])
+                     pa.array(np.arange(len(q), dtype=np.int32)), pa.array(q)], names=["dim", "block", "part", "at", "q"])
 
     def pack(group, pdf):
 
         values = pdf.sort_values("at")["tau"].to_numpy(np.int64).tobytes()
-        return pd.DataFrame([(*group, values)], columns=["dim", "q_block", "part", "tau"])
+        return pd.DataFrame([(*group, values)], columns=["dim", "block", "part", "tau"])
 
-    slots = asking.select("dim", "block", "part", "ids").mapInArrow(unpack, "dim int, q_block int, part int, at int, q long")
-    return slots.join(tau, "q").groupBy("dim", "q_block", "part").applyInPandas(pack, "dim int, q_block int, part int, tau binary")
+    slots = asking.select("dim", "block", "part", "ids").mapInArrow(unpack, "dim int, block int, part int, at int, q long")
+    return slots.join(tau, "q").groupBy("dim", "block", "part").applyInPandas(pack, "dim int, block int, part int, tau binary")
 
 
-def exact_scores(pairs: DataFrame, queries: DataFrame, cands: DataFrame) -> DataFrame:
-    """Full inner products of (q, c) pairs, by looking both vectors up."""
+def exact_scores(pairs: DataFrame, queries: DataFrame, cands: DataFrame, few: bool = False) -> DataFrame:
+    """Full inner products of (q, c) pairs, by looking both vectors up. ``few`` queries are broadcast, last:
+    then pairs are moved as two numbers."""
     a = queries.select("q", F.col("v").alias("qv"))
     b = cands.select("c", F.col("v").alias("cv"))
     dot = F.aggregate(F.zip_with("qv", "cv", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
-    return pairs.join(a, "q").join(b, "c").filter(F.size("qv") == F.size("cv")).select("q", "c", dot.alias("score"))
+    both = pairs.join(b, "c").join(F.broadcast(a), "q") if few else pairs.join(a, "q").join(b, "c")
+    return both.filter(F.size("qv") == F.size("cv")).select("q", "c", dot.alias("score"))

@@ -50,3 +50,24 @@ def test_ids_with_several_vectors(spark, monkeypatch, seed):
     rows += [(7, [8, 8, 8, 0, 0, 0]), (7, [0, 0, 0, 8, 8, 8])]
     got = tk.top_k(spark.createDataFrame(rows, "vec_id long, v array<long>"), F.col("vec_id") % 5 == 0, k=4).collect()
     assert sorted(tuple(r) for r in got) == brute(rows, 4)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_copies_of_query_blocks_are_not_broadcast(spark, monkeypatch, few):
+    monkeypatch.setattr(tk, "CANDIDATES", 20)
+    if not few:
+        monkeypatch.setattr(tk, "QUERY_BYTES", 0)
+    plans, nodes = [], tk._nodes
+
+    def seen(pairs, emit):
+        plans.append(pairs._jdf.queryExecution().sparkPlan().toString())
+        return nodes(pairs, emit)
+
+    monkeypatch.setattr(tk, "_nodes", seen)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(-4, 5, 6).tolist()) for i in range(150)]
+    got = tk.top_k(spark.createDataFrame(rows, "vec_id long, v array<long>"), F.col("vec_id") % 5 == 0, k=4).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 4)
+    # Spark estimates copies as one: it must not be the one to decide
+    assert len(plans) == 2
+    assert all(("BroadcastHashJoin" in p) == few and ("Generate" in p) != few for p in plans)
