@@ -34,7 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notelink.llm.common import append_columns, bounded_batches, fold, mix, released, salted_lookup, shard_of, slabs, text_buffers, word_hashes, written
+from notelink.llm.common import (append_columns, bounded_batches, broadcasts_bounded, fold, mix, released, salted_lookup, shard_of, slabs,
+                                 text_buffers, word_hashes, written)
 
 # N-grams that a task gathers before it settles them (bounds its memory), and text
 # per range of the hash order.
@@ -442,7 +443,9 @@ def representative_links(ordered: DataFrame, num: int, den: int) -> tuple[DataFr
     da, db = (docs.join(through, "doc").select("h", F.col("comp").alias(c), *[F.col(n).alias(f"{s}{x}") for n, s in (
         ("doc", "d"), ("n", "n"), ("m", "m"), ("counts", "c"), ("hs", "h"))]) for c, x in zip("ab", "xy"))
     least = F.array_min(F.array_intersect("hx", "hy")) == F.col("h")
-    test(_pairs(F.col("dx"), F.col("dy"), both.join(da, ["h", "a"]).join(db, ["h", "b"]).filter(_fits(num, den) & least)))
+    # each row has all of its document's n-grams, which its files hold once: merged, as Spark would broadcast by their size
+    met = both.join(da.hint("merge"), ["h", "a"]).join(db.hint("merge"), ["h", "b"])
+    test(_pairs(F.col("dx"), F.col("dy"), met.filter(_fits(num, den) & least)))
     return links, comp
 
 
@@ -483,14 +486,17 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     found = known.join(able, ["key", "v"])
     if info.groupBy("key", "v").count().filter("count > 1").limit(1).count():
         found = found.dropDuplicates(["key", "v"])
-    packs = written(_packs(found.select("key", "text"), k), "sets")
-    ordered = written(_ordered(packs, _frequencies(packs, n_shards), num, den), "ordered")
-    links, comp = representative_links(ordered, num, den)
+    with broadcasts_bounded(spark):
+        packs = written(_packs(found.select("key", "text"), k), "sets")
+        ordered = written(_ordered(packs, _frequencies(packs, n_shards), num, den), "ordered")
+        links, comp = representative_links(ordered, num, den)
 
     # Class and component of every class that is not one document alone; the copies of a text are spread over tasks.
     ids = classes.select("n", "d1", "d2", "rows", F.col("rep.key").alias("class_id"))
     ids = ids.join(comp.withColumnRenamed("doc", "class_id"), "class_id", "left").filter("rows > 1 OR comp IS NOT NULL").drop("rows")
-    own = salted_lookup(info, written(ids, "classes"), ["n", "d1", "d2"], spread=F.xxhash64("key", "v"))
+    with broadcasts_bounded(spark):
+        ids = written(ids, "classes")
+    own = salted_lookup(info, ids, ["n", "d1", "d2"], spread=F.xxhash64("key", "v"))
     own = own.withColumn("class_id", F.coalesce("class_id", "key"))
     out = own.select(
         F.col("key").alias(key), F.col("v").alias("text_hash"), F.col("n").alias("n_shingles"), "class_id",

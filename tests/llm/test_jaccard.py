@@ -3,6 +3,7 @@ import random
 import pytest
 
 from notelink.llm import jaccard as jc
+from notelink.llm.common import broadcasts_bounded
 
 
 def sets(t, k=5):
@@ -106,3 +107,28 @@ def test_hot_groups_do_not_make_all_pairs(spark):
     got = jc.jaccard_join(df)
     assert got.links.count() < 2 * len(docs)
     assert {r.doc_id: r.component_id for r in got.members.collect()} == {i: c for i, (_, c) in brute(list(enumerate(docs))).items()}
+
+
+def test_copies_of_classes_are_not_broadcast(spark):
+    text = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    docs = spark.createDataFrame([(i, f"{text} {i % 3}") for i in range(12)] + [(20, "q r s")], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    out = jc.jaccard_join(docs).members
+    # each class is copied for every salt, which Spark's estimate of its size leaves out
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" in plan and "BroadcastHashJoin" not in plan
+    assert {r.component_id for r in out.collect()} == {0, 20}
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
+def test_a_lower_threshold_of_the_session_stays(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    try:
+        for given, held in (("-1", "-1"), ("1k", "1024"), ("100B", "100"), ("1g", str(256 * 1024)), ("10MB", str(256 * 1024))):
+            spark.conf.set(name, given)
+            with broadcasts_bounded(spark):
+                assert spark.conf.get(name) == held
+            assert spark.conf.get(name) == given
+    finally:
+        spark.conf.set(name, before)
