@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notelink.plans.materialize import shuffles_removed  # noqa: F401
 from notelink.session import ensure_checkpoint_dir
 
 # Bytes of text that one vectorised step holds (a longer text is a step of its own).
@@ -38,19 +39,6 @@ def written(df: DataFrame, name: str, compression: str | None = None, **options)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextlib.contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """In it, Spark removes a job's shuffle files as soon as its result is written, not when the driver
-    happens to collect its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 # The most that Spark may broadcast of what a bounded step joins, by Spark's estimate: that is the compressed size
 # of files, many times less than their rows in the driver, which collects them.
 BROADCAST_BYTES = 256 * 1024
