@@ -110,3 +110,38 @@ def test_terms_are_counted_where_they_are_read(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(fx, "MAX_COUNTED", 3)
     parts = list(fx._counted_terms(iter([pa.RecordBatch.from_arrays([pa.array(["a b", "c d", "e f"])], names=["text"])])))
     assert [p.num_rows for p in parts] == [3, 3, 3, 0]
+
+
+def test_ordinals_leave_no_shuffle_files(spark):
+    from notelink.plans.materialize import numbered
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = files()
+    got = numbered(spark.range(500).selectExpr("id % 50 AS k").groupBy("k").count(), ["k"])
+    assert not files() - before
+    assert [(r["k"], r["ordinal"]) for r in got.orderBy("k").collect()] == [(i, i) for i in range(50)]
+
+
+def test_folders_of_documents_are_put_in_place_by_tasks(spark, monkeypatch):
+    """With one folder per document, the driver moved one after the other."""
+    import pytest
+    from pyspark.sql import DataFrameWriter
+
+    from notelink.plans.queries import QUERIES
+
+    for name in ("q_p6_annotate_dir", "q_p7_stream"):
+        given = {}
+
+        def options(self, _given=given, **o):
+            _given.update(o)
+            return self
+
+        def text(self, path):
+            raise InterruptedError
+
+        monkeypatch.setattr(DataFrameWriter, "options", options)
+        monkeypatch.setattr(DataFrameWriter, "text", text)
+        with pytest.raises(InterruptedError):
+            QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert given["mapreduce.fileoutputcommitter.algorithm.version"] == "2"
